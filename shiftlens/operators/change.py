@@ -166,7 +166,7 @@ def top_candidates(ranked: DataFrame, dimensions: list[str], per_dimension: int
 def duplicate_findings(counts: DataFrame, min_increase: float = 0.005) -> DataFrame:
     """Tables whose duplicate-row rate rose by more than ``min_increase`` from A to B."""
     rate = ratio(F.col("row_count") - F.col("distinct_keys"), F.col("row_count"))
-    rates = counts.groupBy("table").agg(
+    rates = counts.groupBy("table_name").agg(
         zero_if_null(F.max(F.when(F.col("period") == "A", rate))).alias("duplicate_rate_a"),
         zero_if_null(F.max(F.when(F.col("period") == "B", rate))).alias("duplicate_rate_b"))
     return (rates.withColumn("increase", F.col("duplicate_rate_b") - F.col("duplicate_rate_a"))
@@ -176,10 +176,10 @@ def duplicate_findings(counts: DataFrame, min_increase: float = 0.005) -> DataFr
 # ---- A13 ----------------------------------------------------------------------------------------
 def merge_findings(candidates: DataFrame, findings: DataFrame, table_order: list[str] | None = None) -> DataFrame:
     """Data-quality findings first (a data bug outranks business causes), then candidates."""
-    order = (F.array_position(F.array(*[F.lit(t) for t in table_order]), F.col("table"))
+    order = (F.array_position(F.array(*[F.lit(t) for t in table_order]), F.col("table_name"))
              if table_order else F.lit(0))
     dq = findings.select(
-        F.lit("data_quality").alias("dimension"), F.col("table").alias("segment"),
+        F.lit("data_quality").alias("dimension"), F.col("table_name").alias("segment"),
         F.lit(None).cast("double").alias("share_of_change"), F.col("duplicate_rate_b"),
         F.lit(0).alias("_group"), order.cast("long").alias("_pos"))
     cand = candidates.select(

@@ -157,7 +157,7 @@ def within_segments(base: DataFrame, bridge: DataFrame, picked: DataFrame) -> Da
 def duplicate_counts(tables: dict[str, DataFrame], model: SemanticModel, spec: MetricSpec) -> DataFrame:
     """M9: per table the metric reads, rows and distinct keys per period.
 
-    ``(table, period, row_count, distinct_keys)``. Tables without a key are skipped. A composite
+    ``(table_name, period, row_count, distinct_keys)``. Tables without a key are skipped. A composite
     key counts distinct tuples, including tuples with a NULL part.
     """
     o = tag_periods(tables, model, spec, apply_filter=False)
@@ -170,5 +170,5 @@ def duplicate_counts(tables: dict[str, DataFrame], model: SemanticModel, spec: M
         cols = [F.col(f"{alias}.{k}") for k in key]
         distinct = F.count_distinct(cols[0]) if len(cols) == 1 else F.count_distinct(F.struct(*cols))
         parts.append(df.groupBy("period").agg(F.count(F.lit(1)).alias("row_count"), distinct.alias("distinct_keys"))
-                     .select(F.lit(name).alias("table"), "period", "row_count", "distinct_keys"))
+                     .select(F.lit(name).alias("table_name"), "period", "row_count", "distinct_keys"))
     return reduce(DataFrame.unionByName, parts)

@@ -88,7 +88,7 @@ class Investigation:
             .unionByName(part(self.drilldown, "drill_down_inside_top_candidate", F.col("drill_rank"),
                               ["dimension", "segment", "value_a", "value_b", "share_of_change_within"]))
             .unionByName(part(self.findings, "data_quality_findings", F.lit(0),
-                              ["table", "duplicate_rate_a", "duplicate_rate_b", "increase"]))
+                              ["table_name", "duplicate_rate_a", "duplicate_rate_b", "increase"]))
             .unionByName(part(self.change, "overall_change", F.lit(0), ["value_a", "value_b", "delta", "pct_change"]))
             .unionByName(part(self.confidence, "confidence", F.lit(0), ["confidence", "status"])))
 
