@@ -392,4 +392,159 @@ def _all_oracles() -> dict[str, str]:
     for key in ALL_METRICS:
         q[f"m6_totals_{key}"] = metric_totals_sql(key)
         q[f"a10_candidates_{key}"] = candidates_sql(key)
+    q.update(retrieval_oracles())
     return q
+
+
+# ---- retrieval ----------------------------------------------------------------------------------
+WS = r"^\s+|\s+$"
+FM = r"^---[ \t\f\r\x0B]*\n([\s\S]*?)\n---[ \t\f\r\x0B]*\n"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '{WS}', '', 'g')"
+
+
+def front_matter_sql() -> str:
+    fm = FM.replace("\\x0B", "\\v")
+
+    def field(name):
+        v = f"regexp_extract(block, '(?m)^{name}[ \\t]*:[ \\t]*(.*?)[ \\t]*$', 1)"
+        v = f"""regexp_replace({v}, '^"(.*)"$|^''(.*)''$', '\\1\\2')"""
+        return f"NULLIF({v}, '')"
+
+    return (f"WITH raw AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) || "
+            f"'title: ' || source || ' ' || CAST(doc_id AS VARCHAR) || chr(10) || 'date: ' || "
+            f"strftime(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') || chr(10) || 'type: note' || "
+            f"chr(10) || '---' || chr(10) || text ELSE text END AS raw FROM documents), "
+            f"p AS (SELECT doc_id, CASE WHEN regexp_matches(raw, '{fm}') THEN regexp_extract(raw, '{fm}', 1) ELSE '' END "
+            f"AS block, CASE WHEN regexp_matches(raw, '{fm}') THEN regexp_replace(raw, '{fm}', '') ELSE raw END AS body "
+            f"FROM raw) SELECT doc_id, COALESCE({field('title')}, replace(doc_id, '_', ' ')) AS title, "
+            f"COALESCE({field('type')}, 'document') AS doc_type, TRY_CAST({field('date')} AS DATE) AS doc_date, "
+            f"CAST(length({_strip('body')}) AS BIGINT) AS body_chars, md5({_strip('body')}) AS body_md5 FROM p")
+
+
+def chunks_ctes(max_chars: int = 900) -> str:
+    """Dated corpus, lines as paragraphs, greedy packing by a recursive CTE."""
+    return (
+        "docs AS (SELECT lang AS dataset, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL "
+        "ELSE CAST(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) END AS doc_date, "
+        f"list_filter(list_transform(string_split({_strip('text')}, chr(10)), lambda x: {_strip('x')}), "
+        "lambda x: x <> '') AS paras FROM documents),\n"
+        "paras AS (SELECT dataset, doc_id, unnest(paras) AS p, generate_subscripts(paras, 1) AS i FROM docs),\n"
+        "rec AS (SELECT dataset, doc_id, 1 AS i, 0 AS chunk_no, p AS cur, CAST(NULL AS VARCHAR) AS emitted "
+        "FROM paras WHERE i = 1 UNION ALL SELECT r.dataset, r.doc_id, r.i + 1, "
+        f"CASE WHEN length(r.cur) + length(p.p) + 1 > {max_chars} THEN r.chunk_no + 1 ELSE r.chunk_no END, "
+        f"CASE WHEN length(r.cur) + length(p.p) + 1 > {max_chars} THEN p.p ELSE r.cur || chr(10) || p.p END, "
+        f"CASE WHEN length(r.cur) + length(p.p) + 1 > {max_chars} THEN r.cur END "
+        "FROM rec r JOIN paras p ON p.dataset = r.dataset AND p.doc_id = r.doc_id AND p.i = r.i + 1),\n"
+        "chunks AS (SELECT c.*, d.doc_date FROM (SELECT dataset, doc_id, chunk_no - 1 AS chunk_no, emitted AS text "
+        "FROM rec WHERE emitted IS NOT NULL UNION ALL SELECT dataset, doc_id, chunk_no, cur FROM (SELECT *, "
+        "ROW_NUMBER() OVER (PARTITION BY dataset, doc_id ORDER BY i DESC) AS rn FROM rec) WHERE rn = 1) c "
+        "JOIN docs d USING (dataset, doc_id))")
+
+
+def chunks_sql() -> str:
+    return (f"WITH RECURSIVE {chunks_ctes()} SELECT dataset, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, doc_date, "
+            "CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM chunks")
+
+
+def tokens_sql() -> str:
+    t = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
+    return (f"SELECT doc_id, CAST(len({t}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({t})) AS BIGINT) AS n_distinct "
+            "FROM documents")
+
+
+def hash_embed_sql() -> str:
+    return ("SELECT doc_id, CAST(('0x' || right(md5(t), 2)) AS INTEGER)::BIGINT AS bucket, "
+            "CAST(COUNT(*) AS DOUBLE) AS weight FROM (SELECT doc_id, "
+            "unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY 1, 2")
+
+
+def cosine_centroid_sql(top: int = 5) -> str:
+    return ("WITH parts AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i "
+            "FROM embeddings), cen AS (SELECT label, i, AVG(x) AS m FROM parts GROUP BY 1, 2), "
+            "dots AS (SELECT p.vec_id, p.label, SUM(CAST(p.x AS DOUBLE) * c.m) AS d, "
+            "sqrt(SUM(CAST(p.x AS DOUBLE) * CAST(p.x AS DOUBLE))) AS nv, sqrt(SUM(c.m * c.m)) AS nq "
+            "FROM parts p JOIN cen c ON c.label = p.label AND c.i = p.i GROUP BY 1, 2), "
+            "sc AS (SELECT vec_id, label, d / CASE WHEN nv * CASE WHEN nq = 0 THEN 1 ELSE nq END = 0 THEN 1 "
+            "ELSE nv * CASE WHEN nq = 0 THEN 1 ELSE nq END END AS cosine FROM dots) "
+            "SELECT label, vec_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER "
+            f"(PARTITION BY label ORDER BY cosine DESC, vec_id) AS BIGINT) AS rank FROM sc) WHERE rank <= {top}")
+
+
+def _bm25_ctes(corpus: str, queries: str) -> str:
+    """BM25 over ``corpus(doc_id, chunk_no, text)`` for ``queries(query_id, qtext)``."""
+    return (
+        f"corp AS (SELECT doc_id, chunk_no, regexp_extract_all(lower(text), '[a-z0-9_]+') AS tok FROM {corpus}),\n"
+        "st AS (SELECT COUNT(*) AS n, SUM(len(tok)) / COUNT(*) AS avgdl FROM corp),\n"
+        "dfq AS (SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct(tok)) AS term FROM corp) GROUP BY 1),\n"
+        "idf0 AS (SELECT term, ln(st.n - df + 0.5) - ln(df + 0.5) AS idf FROM dfq, st),\n"
+        "idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT AVG(idf) FROM idf0) ELSE idf END AS idf FROM idf0),\n"
+        f"qt AS (SELECT query_id, unnest(regexp_extract_all(lower(qtext), '[a-z0-9_]+')) AS term FROM {queries}),\n"
+        "tf AS (SELECT doc_id, chunk_no, term, len(tok) AS dl, COUNT(*) AS tf FROM (SELECT doc_id, chunk_no, tok, "
+        "unnest(tok) AS term FROM corp) GROUP BY doc_id, chunk_no, term, len(tok)),\n"
+        "bm AS (SELECT qt.query_id, tf.doc_id, tf.chunk_no, SUM(COALESCE(idf.idf, 0) * (tf.tf * 2.5) / "
+        "(tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.dl / st.avgdl))) AS bm25 FROM qt JOIN tf USING (term) "
+        "LEFT JOIN idf USING (term), st GROUP BY 1, 2, 3)")
+
+
+def bm25_top_sql(top: int = 10) -> str:
+    return (f"WITH RECURSIVE {chunks_ctes()},\nencorp AS (SELECT * FROM chunks WHERE dataset = 'en'),\n"
+            "qs AS (SELECT item_id AS query_id, text AS qtext FROM benchmark),\n"
+            f"{_bm25_ctes('encorp', 'qs')} SELECT query_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, "
+            "round(bm25, 6) AS bm25, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY "
+            f"bm25 DESC, doc_id, chunk_no) AS BIGINT) AS rank FROM bm) WHERE rank <= {top}")
+
+
+WINDOW_LO, WINDOW_HI = "1998-03-12", "1998-07-21"  # search window 1998-04-01 .. 1998-07-01 with 20 days margin
+
+
+def within_window_sql() -> str:
+    return (f"WITH RECURSIVE {chunks_ctes()} SELECT dataset, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, doc_date "
+            f"FROM chunks WHERE doc_date IS NULL OR (doc_date >= DATE '{WINDOW_LO}' AND doc_date <= DATE '{WINDOW_HI}')")
+
+
+def search_sql(k: int = 3) -> str:
+    emb = ("SELECT {key}, CAST(('0x' || right(md5(t), 2)) AS INTEGER) AS b, COUNT(*) AS c FROM (SELECT {key}, "
+           "unnest(regexp_extract_all(lower({col}), '[a-z0-9]+')) AS t FROM {src}) GROUP BY ALL")
+    return (
+        f"WITH RECURSIVE {chunks_ctes()},\n"
+        f"wc AS (SELECT * FROM chunks WHERE dataset = 'en' AND (doc_date IS NULL OR (doc_date >= DATE '{WINDOW_LO}' "
+        f"AND doc_date <= DATE '{WINDOW_HI}'))),\n"
+        "qs AS (SELECT item_id AS query_id, text AS qtext FROM benchmark),\n"
+        f"{_bm25_ctes('wc', 'qs')},\n"
+        f"ce AS ({emb.format(key='doc_id, chunk_no', col='text', src='wc')}),\n"
+        f"qe AS ({emb.format(key='query_id', col='qtext', src='qs')}),\n"
+        "cn AS (SELECT doc_id, chunk_no, sqrt(SUM(CAST(c * c AS DOUBLE))) AS nrm FROM ce GROUP BY 1, 2),\n"
+        "qn AS (SELECT query_id, sqrt(SUM(CAST(c * c AS DOUBLE))) AS nrm FROM qe GROUP BY 1),\n"
+        "dt AS (SELECT qe.query_id, ce.doc_id, ce.chunk_no, SUM(CAST(ce.c * qe.c AS DOUBLE)) AS d FROM ce JOIN qe "
+        "USING (b) GROUP BY 1, 2, 3),\n"
+        "pairs AS (SELECT q.query_id, w.doc_id, w.chunk_no, COALESCE(bm.bm25, 0) AS bm25, "
+        "COALESCE(dt.d, 0) / CASE WHEN COALESCE(cn.nrm, 0) * (CASE WHEN COALESCE(qn.nrm, 0) = 0 THEN 1 ELSE qn.nrm END) = 0 "
+        "THEN 1 ELSE COALESCE(cn.nrm, 0) * (CASE WHEN COALESCE(qn.nrm, 0) = 0 THEN 1 ELSE qn.nrm END) END AS cos "
+        "FROM qs q CROSS JOIN wc w LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = w.doc_id "
+        "AND bm.chunk_no = w.chunk_no LEFT JOIN dt ON dt.query_id = q.query_id AND dt.doc_id = w.doc_id AND "
+        "dt.chunk_no = w.chunk_no LEFT JOIN cn ON cn.doc_id = w.doc_id AND cn.chunk_no = w.chunk_no "
+        "LEFT JOIN qn ON qn.query_id = q.query_id),\n"
+        "rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id, chunk_no) AS rank_bm25, "
+        "ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id, chunk_no) AS rank_cos FROM pairs),\n"
+        "fu AS (SELECT *, 1.0 / (60 + rank_bm25) + 1.0 / (60 + rank_cos) AS score FROM rk),\n"
+        "hits AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS hit_rank "
+        "FROM fu)\n"
+        "SELECT h.query_id, CAST(h.hit_rank AS BIGINT) AS hit_rank, h.doc_id, CAST(h.chunk_no AS BIGINT) AS chunk_no, "
+        "w.doc_date, round(h.score, 4) AS score, CAST(h.rank_bm25 AS BIGINT) AS rank_bm25, "
+        f"CAST(h.rank_cos AS BIGINT) AS rank_cos FROM hits h JOIN wc w USING (doc_id, chunk_no) WHERE h.hit_rank <= {k}")
+
+
+def retrieval_oracles() -> dict[str, str]:
+    return {
+        "r1_front_matter": front_matter_sql(),
+        "r3_chunks": chunks_sql(),
+        "r4_tokens": tokens_sql(),
+        "r5_hash_embed": hash_embed_sql(),
+        "r6_cosine_centroid": cosine_centroid_sql(),
+        "r7_bm25_top10": bm25_top_sql(),
+        "r9_within_window": within_window_sql(),
+        "r10_search": search_sql(),
+    }

@@ -7,7 +7,7 @@ SQL oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,3 +195,89 @@ def q_evidence(key):
         t, m, s = _ctx(spark, sf_dir, key)
         return investigate(t, m, s, cache="none").evidence(s)
     return run
+
+
+# ---- retrieval ----------------------------------------------------------------------------------
+from shiftlens.operators import retrieval as rt  # noqa: E402
+from shiftlens.sources.derived import dated_corpus, with_front_matter  # noqa: E402
+from shiftlens.sources.documents import build_chunks  # noqa: E402
+
+SEARCH_WINDOW = ("1998-04-01", "1998-07-01")
+
+
+def corpus_chunks(spark, sf_dir):
+    """Chunks of the dated corpus (documents have no blank lines, so lines are the paragraphs)."""
+    return build_chunks(dated_corpus(LazyTables(spark, sf_dir)["documents"]), separator="\n")
+
+
+def benchmark_queries(spark, sf_dir, window=SEARCH_WINDOW, dataset="en"):
+    b = LazyTables(spark, sf_dir)["benchmark"]
+    return b.select(F.col("item_id").alias("query_id"), F.lit(dataset).alias("dataset"), F.col("text").alias("qtext"),
+                    F.lit(window[0]).cast("date").alias("start") if window else F.lit(None).cast("date").alias("start"),
+                    F.lit(window[1]).cast("date").alias("end") if window else F.lit(None).cast("date").alias("end"))
+
+
+def q_front_matter(spark, sf_dir):
+    docs = with_front_matter(LazyTables(spark, sf_dir)["documents"])
+    p = rt.parse_front_matter(docs)
+    return p.select("doc_id", "title", "doc_type", "doc_date", F.length("body").cast("bigint").alias("body_chars"),
+                    F.md5("body").alias("body_md5"))
+
+
+def q_chunks(spark, sf_dir):
+    c = corpus_chunks(spark, sf_dir)
+    return c.select("dataset", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "doc_date",
+                    F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def q_tokens(spark, sf_dir):
+    d = LazyTables(spark, sf_dir)["documents"]
+    t = rt.tokens("text")
+    return d.select("doc_id", F.size(t).cast("bigint").alias("n_tokens"),
+                    F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
+
+
+def q_hash_embed(spark, sf_dir):
+    d = LazyTables(spark, sf_dir)["documents"]
+    return rt.hash_embed_sparse(d, ["doc_id"], "text")
+
+
+def q_cosine_centroid(spark, sf_dir, top: int = 5):
+    """Vectors ranked by cosine to their own label's mean vector (top ``top`` per label)."""
+    e = LazyTables(spark, sf_dir)["embeddings"]
+    parts = e.select("label", F.posexplode("embedding").alias("i", "x"))
+    centroid = (parts.groupBy("label", "i").agg(F.avg("x").alias("m"))
+                .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_c"))
+                .select("label", F.transform("_c", lambda s: s["m"]).alias("qvec")))
+    scored = rt.cosine_scores(e, centroid, ["label"])
+    w = Window.partitionBy("label").orderBy(F.col("cosine").desc(), "vec_id")
+    return finish(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+                  .select("label", "vec_id", "cosine", "rank"))
+
+
+def q_bm25_top(spark, sf_dir, top: int = 10):
+    chunks = corpus_chunks(spark, sf_dir).filter(F.col("dataset") == "en")
+    q = benchmark_queries(spark, sf_dir, window=None)
+    s = rt.bm25_scores(chunks, q, ["doc_id", "chunk_no"])
+    w = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "doc_id", "chunk_no")
+    return finish(s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+                  .select("query_id", "doc_id", "chunk_no", "bm25", "rank"))
+
+
+def q_within_window(spark, sf_dir):
+    c = corpus_chunks(spark, sf_dir)
+    return finish(rt.within_window(c, *SEARCH_WINDOW).select("dataset", "doc_id", "chunk_no", "doc_date"))
+
+
+def q_search(spark, sf_dir):
+    hits = rt.search(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), k=3)
+    return hits.select("query_id", "hit_rank", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),
+                       "doc_date", "score", "rank_bm25", "rank_cos")
+
+
+def q_find_context(spark, sf_dir):
+    t, m, s = _ctx(spark, sf_dir, "order_count")
+    _, _, ranked, _, _ = _ranked(spark, sf_dir, "order_count")
+    cand = ch.top_candidates(ranked, m.dimension_names)
+    return rt.find_context(corpus_chunks(spark, sf_dir), cand, s.name, "why did the order count change",
+                           "en", s.period_b).drop("text")

@@ -58,3 +58,23 @@ def with_price_jump(tables, model: SemanticModel, spec: MetricSpec, segment: str
     price = F.when(hit, F.col("o_totalprice") * factor).otherwise(F.col("o_totalprice"))
     return override(tables, orders=j.select(*[price.alias(c) if c == "o_totalprice" else F.col(c)
                                               for c in o.columns]))
+
+
+def dated_corpus(documents: DataFrame, base_date: str = "1998-01-01", undated_every: int = 10) -> DataFrame:
+    """Documents as a dated corpus: ``(dataset = lang, doc_id, raw, doc_date)``;
+    ``doc_date = base_date + doc_id % 365`` days, NULL where ``doc_id % undated_every = 0``."""
+    date = F.date_add(F.lit(base_date).cast("date"), (F.col("doc_id") % 365).cast("int"))
+    return documents.select(
+        F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("raw"),
+        F.when(F.col("doc_id") % undated_every == 0, F.lit(None).cast("date")).otherwise(date).alias("doc_date"))
+
+
+def with_front_matter(documents: DataFrame, every: int = 3) -> DataFrame:
+    """Markdown-like raw text: every ``every``-th document gets a front-matter block
+    (title from its source, a date, type ``note``)."""
+    fm = F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit(" "), F.col("doc_id").cast("string"),
+                  F.lit("\ndate: "), F.date_format(F.date_add(F.lit("1998-01-01").cast("date"),
+                                                              (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd"),
+                  F.lit("\ntype: note\n---\n"))
+    raw = F.when(F.col("doc_id") % every == 0, F.concat(fm, F.col("text"))).otherwise(F.col("text"))
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), raw.alias("raw"))
