@@ -494,7 +494,7 @@ def bm25_top_sql(top: int = 10) -> str:
             "qs AS (SELECT item_id AS query_id, text AS qtext FROM benchmark),\n"
             f"{_bm25_ctes('encorp', 'qs')} SELECT query_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, "
             "round(bm25, 6) AS bm25, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY "
-            f"bm25 DESC, doc_id, chunk_no) AS BIGINT) AS rank FROM bm) WHERE rank <= {top}")
+            f"round(bm25, 9) DESC, doc_id, chunk_no) AS BIGINT) AS rank FROM bm) WHERE rank <= {top}")
 
 
 WINDOW_LO, WINDOW_HI = "1998-03-12", "1998-07-21"  # search window 1998-04-01 .. 1998-07-01 with 20 days margin
@@ -527,8 +527,9 @@ def search_sql(k: int = 3) -> str:
         "AND bm.chunk_no = w.chunk_no LEFT JOIN dt ON dt.query_id = q.query_id AND dt.doc_id = w.doc_id AND "
         "dt.chunk_no = w.chunk_no LEFT JOIN cn ON cn.doc_id = w.doc_id AND cn.chunk_no = w.chunk_no "
         "LEFT JOIN qn ON qn.query_id = q.query_id),\n"
-        "rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id, chunk_no) AS rank_bm25, "
-        "ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id, chunk_no) AS rank_cos FROM pairs),\n"
+        "rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id, chunk_no) "
+        "AS rank_bm25, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, doc_id, chunk_no) "
+        "AS rank_cos FROM pairs),\n"
         "fu AS (SELECT *, 1.0 / (60 + rank_bm25) + 1.0 / (60 + rank_cos) AS score FROM rk),\n"
         "hits AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS hit_rank "
         "FROM fu)\n"

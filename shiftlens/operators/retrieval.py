@@ -18,6 +18,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ MAX_CHARS = 900
 PARAGRAPH_SEPARATOR = "\n\n"
 MARGIN_DAYS = 20
 DEFAULT_DIMS = 256
-MAX_BROADCAST_QUERIES = 20000
+MAX_BROADCAST_QUERIES = 2000   # queries per broadcast batch in search
 
 
 def _c(c) -> Column:
@@ -112,13 +115,47 @@ def md5_bucket(token: Column, dims: int = DEFAULT_DIMS) -> Column:
                        lambda acc, d: (acc * 16 + F.conv(d, 16, 10).cast("long")) % F.lit(dims))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda binding; expressions inside a
+    higher-order function are otherwise re-evaluated on every call)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def count_in_sorted(asc: Column, desc: Column, value: Column) -> Column:
+    """Occurrences of ``value`` in an ascending array ``asc`` (``desc`` is its reverse): last
+    position - first position + 1, found with two native scans (no per-element lambda)."""
+    first = F.array_position(asc, value)
+    return F.when(first == 0, F.lit(0)).otherwise(F.size(asc) + 2 - F.array_position(desc, value) - first)
+
+
+def hash_buckets(text, dims: int = DEFAULT_DIMS) -> Column:
+    """Bucket of every embedder token (JVM md5), as ``array<bigint>``."""
+    return F.transform(tokens(text, EMBED_TOKEN), lambda t: md5_bucket(t, dims))
+
+
+def _bincount_udf(dims: int):
+    @F.pandas_udf("array<float>")
+    def bincount(buckets: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount(np.asarray(x, dtype=np.int64), minlength=dims).astype(np.float32)
+                          for x in buckets])
+    return bincount
+
+
 def hash_embed(text, dims: int = DEFAULT_DIMS) -> Column:
-    """R5 (dense): term counts hashed into ``array<float>`` of ``dims``, computed per row."""
-    buckets = F.transform(tokens(text, EMBED_TOKEN), lambda t: md5_bucket(t, dims))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dims)
-    return F.aggregate(buckets, zeros,
-                       lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + F.lit(1.0).cast("float"))
-                                                  .otherwise(x)))
+    """R5 (dense): term counts hashed into ``array<float>`` of ``dims``.
+
+    Tokens and md5 buckets are computed on the JVM; only the scatter into a dense vector (a
+    bincount, which has no native array form) runs in an Arrow-batched pandas UDF."""
+    return _bincount_udf(dims)(hash_buckets(text, dims))
+
+
+def hash_embed_expr(text, dims: int = DEFAULT_DIMS) -> Column:
+    """R5 (dense), pure-JVM form for a handful of rows (e.g. query texts): sorted buckets, then
+    two native scans per dimension."""
+    buckets = F.array_sort(hash_buckets(text, dims))
+    return let(F.struct(buckets.alias("a"), F.reverse(buckets).alias("d")), lambda bk: F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")),
+        lambda i: count_in_sorted(bk["a"], bk["d"], i).cast("float")))
 
 
 def hash_embed_sparse(df: DataFrame, keys: list[str], text: str, dims: int = DEFAULT_DIMS) -> DataFrame:
@@ -230,54 +267,29 @@ CHUNK_KEYS = ["doc_id", "chunk_no"]
 
 
 def _beats(score: Column, key: Column, t_score: Column, t_key: Column) -> Column:
+    """Ranking order of a list: higher score first, then the smaller chunk key."""
     return (score > t_score) | ((score == t_score) & (key < t_key))
 
 
-def _sorted_thresholds(survivors: DataFrame, score: str) -> Column:
-    items = F.collect_list(F.struct(F.col(score).alias("s"), F.col("_key").alias("k")))
-    return F.array_sort(items, lambda x, y: F.when(_beats(x["s"], x["k"], y["s"], y["k"]), -1)
-                        .when(_beats(y["s"], y["k"], x["s"], x["k"]), 1).otherwise(0))
-
-
-def survivor_ranks(pairs: DataFrame, survivors: DataFrame, scores: tuple[str, ...] = ("bm25", "cos")) -> DataFrame:
-    """Exact 1-based rank of each survivor in each score list of its query, by counting.
-
-    Every pair counts, per list, how many survivors it beats (thresholds sorted best first); the
-    histogram of that count gives each survivor's number of better-ranked chunks. Only the
-    histogram (at most survivors + 1 rows per query and list) is shuffled.
-    """
-    thr = survivors.groupBy("query_id").agg(*[_sorted_thresholds(survivors, s).alias(f"_t_{s}") for s in scores])
-    def beaten(s):
-        return F.size(F.filter(f"_t_{s}", lambda t: _beats(F.col(s), F.col("_key"), t["s"], t["k"])))
-
-    counts = pairs.join(F.broadcast(thr), "query_id").select(
-        "query_id", F.explode(F.array(*[F.struct(F.lit(s).alias("list"), beaten(s).alias("p"))
-                                        for s in scores])).alias("_h"))
-    hist = (counts.select("query_id", "_h.list", "_h.p").filter(F.col("p") > 0)
-            .groupBy("query_id", "list", "p").agg(F.count(F.lit(1)).alias("cnt")))
-    out = survivors.select("query_id", "_key").distinct()
-    for s in scores:
-        pos = survivors.select("query_id", "_key").distinct().join(F.broadcast(thr.select("query_id", f"_t_{s}")),
-                                                                   "query_id").select(
-            "query_id", "_key", F.size(f"_t_{s}").alias("m"),
-            F.array_position(F.transform(f"_t_{s}", lambda t: t["k"]), F.col("_key")).alias("j"))
-        h = hist.filter(F.col("list") == s).drop("list")
-        better = (pos.join(h, "query_id", "left")
-                  .groupBy("query_id", "_key")
-                  .agg(F.sum(F.when(F.col("p") >= F.col("m") - F.col("j") + 1, F.col("cnt")).otherwise(0))
-                       .alias("_b")))
-        out = out.join(better.select("query_id", "_key", (F.coalesce("_b", F.lit(0)) + 1).alias(f"rank_{s}")),
-                       ["query_id", "_key"])
-    return out
-
-
 def prepare_queries(queries: DataFrame, dims: int) -> DataFrame:
-    """Queries ``(query_id, dataset, qtext, start, end)`` with tokens, hashed vector and window id."""
+    """Queries ``(query_id, dataset, qtext, start, end)`` with tokens, sparse hashed vector
+    ``(b, w)`` of its non-zero dimensions, its norm and the window id."""
+    qvec = hash_embed_expr("qtext", dims)
+    nz = F.filter(F.transform(qvec, lambda w, i: F.struct(i.alias("b"), w.cast("double").alias("w"))),
+                  lambda e: e["w"] != 0)
     return (queries.withColumn("qtok", tokens("qtext"))
-            .withColumn("qvec", hash_embed("qtext", dims))
+            .withColumn("_qnz", nz)
+            .withColumn("_qnorm", norm(qvec))
             .withColumn("window_id", F.xxhash64("dataset", "start", "end")))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an under-partitioned input over the cluster's cores before CPU-heavy per-row
+    work (a no-op on large inputs, which already have many file splits)."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int = MARGIN_DAYS,
            dims: int = DEFAULT_DIMS, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Hybrid search for a batch of queries.
@@ -287,7 +299,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int =
     Returns ``(query_id, hit_rank, doc_id, chunk_no, title, doc_type, doc_date, text, score,
     rank_bm25, rank_cos)``: fused RRF score rounded to 4 places, best ``k`` per query.
     """
-    n_queries = queries.count()  # one small action: one broadcast, or hash batches within the bound
+    n_queries = queries.count()  # one small action: the query side is broadcast in bounded batches
     batches = max(1, -(-n_queries // max_broadcast_queries))
     outs = []
     for i in range(batches):
@@ -302,41 +314,77 @@ def _search_batch(chunks: DataFrame, q: DataFrame, k: int, margin_days: int) ->
     # chunks of each window (R9); a chunk appears once per window that covers it
     corpus = (chunks.join(F.broadcast(windows), (F.col("dataset") == F.col("_ds"))
                           & window_condition("doc_date", "start", "end", margin_days))
-              .select("window_id", *CHUNK_KEYS, "text", "embedding")
-              .withColumn("tok", tokens("text"))
-              .withColumn("_key", F.struct(*[F.col(c) for c in CHUNK_KEYS])))
-    stats = corpus.groupBy("window_id").agg((F.sum(F.size("tok")) / F.count(F.lit(1))).alias("avgdl"))
-    idf = bm25_idf(corpus, ["window_id"])
+              .select("window_id", F.struct(*[F.col(c) for c in CHUNK_KEYS]).alias("_key"),
+                      tokens("text").alias("tok"), "embedding"))
+    # BM25 statistics of the filtered set (K16): size per window, and document frequencies of the
+    # whole vocabulary (the epsilon rule needs the mean idf over it); idf kept for query terms only
+    wanted = (q.select("window_id", F.explode("qtok").alias("term"))
+              .groupBy("window_id").agg(F.collect_set("term").alias("_wanted")))
+    stats = corpus.groupBy("window_id").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("tok")).alias("avgdl"))
+    dfreq = (corpus.select("window_id", F.explode(F.array_distinct("tok")).alias("term"))
+             .groupBy("window_id", "term").agg(F.count(F.lit(1)).alias("_df"))
+             .join(F.broadcast(stats.select("window_id", "_n")), "window_id")
+             .withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)))
+    mean_idf = dfreq.groupBy("window_id").agg(F.avg("_idf").alias("_mean"))
+    idf = (dfreq.join(F.broadcast(wanted.select("window_id", F.explode("_wanted").alias("term"))),
+                      ["window_id", "term"], "left_semi")
+           .join(F.broadcast(mean_idf), "window_id")
+           .select("window_id", "term", F.when(F.col("_idf") < 0, F.lit(BM25_EPSILON) * F.col("_mean"))
+                   .otherwise(F.col("_idf")).alias("idf")))
     qterms = (q.select("query_id", "window_id", F.posexplode("qtok").alias("_pos", "term"))
-              .join(idf, ["window_id", "term"], "left")
-              .groupBy("query_id").agg(F.collect_list(F.struct(
-                  "_pos", "term", F.coalesce("idf", F.lit(0.0)).alias("idf"))).alias("_qt")))
-    wanted = q.select("window_id", F.explode(F.array_distinct("qtok")).alias("term")).distinct()
-    # term frequencies of query terms only, per chunk
-    tf = (corpus.select("window_id", "_key", F.explode("tok").alias("term"))
-          .join(F.broadcast(wanted), ["window_id", "term"], "left_semi")
-          .groupBy("window_id", "_key", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-          .groupBy("window_id", "_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("_tf")))
-    docs = (corpus.join(tf, ["window_id", "_key"], "left")
+              .join(F.broadcast(idf), ["window_id", "term"], "left")
+              .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+                  "_pos", "term", F.coalesce("idf", F.lit(0.0)).alias("idf")))).alias("_qt")))
+    # per chunk, once: term counts of the batch's query terms, length and vector norm
+    sorted_tok = F.array_sort("tok")
+    docs = (spread(corpus).join(F.broadcast(wanted), "window_id")
             .select("window_id", "_key", "embedding", F.size("tok").cast("double").alias("dl"),
-                    F.coalesce("_tf", F.create_map().cast("map<string,double>")).alias("_tf")))
-    qside = q.join(qterms, "query_id", "left").join(F.broadcast(stats), "window_id").select(
-        "query_id", "window_id", "qvec", "avgdl",
-        F.coalesce(F.array_sort("_qt"), F.array().cast("array<struct<_pos:int,term:string,idf:double>>")).alias("_qt"))
-    pairs = docs.join(F.broadcast(qside), "window_id")
-    bm25 = F.aggregate("_qt", F.lit(0.0), lambda s, t: s + bm25_term(
+                    norm("embedding").alias("_cnorm"),
+                    let(F.struct(sorted_tok.alias("a"), F.reverse(sorted_tok).alias("d"),
+                                 F.array_intersect(F.array_distinct("tok"), "_wanted").alias("c")),
+                        lambda t: F.map_from_entries(F.transform(t["c"], lambda w: F.struct(
+                            w, count_in_sorted(t["a"], t["d"], w).cast("double"))))).alias("_tf")))
+    qside = (q.join(qterms, "query_id", "left").join(F.broadcast(stats.drop("_n")), "window_id")
+             .select("query_id", "window_id", "avgdl", "_qnz", "_qnorm",
+                     F.coalesce("_qt", F.array().cast("array<struct<_pos:int,term:string,idf:double>>"))
+                     .alias("_qt")))
+    bm25 = F.aggregate("_qt", F.lit(0.0), lambda acc, t: acc + bm25_term(
         F.coalesce(F.element_at("_tf", t["term"]), F.lit(0.0)), t["idf"], F.col("dl"), F.col("avgdl")))
-    pairs = pairs.select("query_id", "_key", bm25.alias("bm25"), cosine("embedding", "qvec").alias("cos"))
-
-    def top(score):
-        w = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "_key")
-        return pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= depth).drop("_r")
-
-    survivors = top("bm25").unionByName(top("cos")).dropDuplicates(["query_id", "_key"])
-    ranks = survivor_ranks(pairs, survivors)
+    dotp = F.aggregate("_qnz", F.lit(0.0), lambda acc, e: acc + e["w"] * F.element_at("embedding", e["b"] + 1))
+    den = F.col("_cnorm") * F.when(F.col("_qnorm") == 0, F.lit(1.0)).otherwise(F.col("_qnorm"))
+    cos = dotp / F.when(den == 0, F.lit(1.0)).otherwise(den)
+    # scores rounded to 9 places so floating summation order cannot reorder near-equal chunks
+    pairs = docs.join(F.broadcast(qside), "window_id").select(
+        "query_id", "_key", F.round(bm25, 9).alias("bm25"), F.round(cos, 9).alias("cos"))
+    lists = pairs.select("query_id", "_key", "bm25", "cos", F.explode(F.array(
+        F.struct(F.lit("bm25").alias("list"), F.col("bm25").alias("score")),
+        F.struct(F.lit("cos").alias("list"), F.col("cos").alias("score")))).alias("_l")).select(
+        "query_id", "_key", "bm25", "cos", "_l.list", "_l.score")
+    # pass 1: top ``depth`` of both lists in one scan (partial top-N before the shuffle)
+    w = Window.partitionBy("query_id", "list").orderBy(F.col("score").desc(), "_key")
+    top = lists.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= depth)
+    survivors = (top.groupBy("query_id", "_key")
+                 .agg(F.first("bm25").alias("bm25"), F.first("cos").alias("cos"),
+                      F.min(F.when(F.col("list") == "bm25", F.col("_r"))).alias("_rb"),
+                      F.min(F.when(F.col("list") == "cos", F.col("_r"))).alias("_rc")))
+    # pass 2: exact rank in a list where a survivor is not in the top: count the chunks that beat it
+    missing = survivors.select("query_id", F.col("_key").alias("_mkey"), F.explode(F.array(
+        F.when(F.col("_rb").isNull(), F.struct(F.lit("bm25").alias("list"), F.col("bm25").alias("_ms"))),
+        F.when(F.col("_rc").isNull(), F.struct(F.lit("cos").alias("list"), F.col("cos").alias("_ms"))))).alias("_m")
+    ).filter(F.col("_m").isNotNull()).select("query_id", "_mkey", "_m.list", "_m._ms")
+    better = (lists.join(F.broadcast(missing), ["query_id", "list"])
+              .filter(_beats(F.col("score"), F.col("_key"), F.col("_ms"), F.col("_mkey")))
+              .groupBy("query_id", "list", "_mkey").agg(F.count(F.lit(1)).alias("_n")))
+    rb = better.filter(F.col("list") == "bm25").select("query_id", F.col("_mkey").alias("_key"),
+                                                       (F.col("_n") + 1).alias("_xb"))
+    rc = better.filter(F.col("list") == "cos").select("query_id", F.col("_mkey").alias("_key"),
+                                                      (F.col("_n") + 1).alias("_xc"))
+    ranks = (survivors.join(rb, ["query_id", "_key"], "left").join(rc, ["query_id", "_key"], "left")
+             .select("query_id", "_key", F.coalesce("_rb", "_xb", F.lit(1)).alias("rank_bm25"),
+                     F.coalesce("_rc", "_xc", F.lit(1)).alias("rank_cos")))
     fused = ranks.withColumn("score", 1.0 / (RRF_K + F.col("rank_bm25")) + 1.0 / (RRF_K + F.col("rank_cos")))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_key")
-    best = (fused.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k)
+    wf = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_key")
+    best = (fused.withColumn("hit_rank", F.row_number().over(wf)).filter(F.col("hit_rank") <= k)
             .join(q.select("query_id", F.col("dataset")), "query_id")
             .select("query_id", "hit_rank", "dataset", "_key.*", "score", "rank_bm25", "rank_cos"))
     meta = chunks.select(*CHUNK_KEYS, "dataset", "title", "doc_type", "doc_date", "text")
@@ -351,7 +399,7 @@ def _search_batch(chunks: DataFrame, q: DataFrame, k: int, margin_days: int) ->
 def search_plain(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int = MARGIN_DAYS,
                  dims: int = DEFAULT_DIMS) -> DataFrame:
     """Reference form of R10 for tests: full ranks per query by window functions (small inputs)."""
-    q = prepare_queries(queries, dims)
+    q = prepare_queries(queries, dims).withColumn("qvec", hash_embed_expr("qtext", dims))
     pairs = (chunks.join(q.withColumnRenamed("dataset", "_ds"), (F.col("dataset") == F.col("_ds"))
                          & window_condition("doc_date", "start", "end", margin_days))
              .withColumn("tok", tokens("text")))
@@ -365,8 +413,8 @@ def search_plain(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days:
     s = (qt.join(tf, ["query_id", "term"]).join(stats, "query_id")
          .groupBy("query_id", *CHUNK_KEYS).agg(F.sum(bm25_term(F.col("tf"), F.col("idf"), F.col("dl"),
                                                                F.col("avgdl"))).alias("bm25")))
-    allp = (pairs.select("query_id", *CHUNK_KEYS, cosine("embedding", "qvec").alias("cos"))
-            .join(s, ["query_id", *CHUNK_KEYS], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))))
+    allp = (pairs.select("query_id", *CHUNK_KEYS, F.round(cosine("embedding", "qvec"), 9).alias("cos"))
+            .join(s, ["query_id", *CHUNK_KEYS], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9)))
     w1 = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), *CHUNK_KEYS)
     w2 = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), *CHUNK_KEYS)
     ranked = (allp.withColumn("rank_bm25", F.row_number().over(w1)).withColumn("rank_cos", F.row_number().over(w2))

@@ -259,7 +259,7 @@ def q_bm25_top(spark, sf_dir, top: int = 10):
     chunks = corpus_chunks(spark, sf_dir).filter(F.col("dataset") == "en")
     q = benchmark_queries(spark, sf_dir, window=None)
     s = rt.bm25_scores(chunks, q, ["doc_id", "chunk_no"])
-    w = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "doc_id", "chunk_no")
+    w = Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "doc_id", "chunk_no")
     return finish(s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
                   .select("query_id", "doc_id", "chunk_no", "bm25", "rank"))
 

@@ -24,6 +24,7 @@ def build_chunks(docs: DataFrame, dataset: str | None = None, max_chars: int = r
 
     A ``doc_date`` column on the input fills in where the front matter has no date.
     """
+    docs = rt.spread(docs)
     parsed = rt.parse_front_matter(docs.withColumnRenamed("doc_date", "_given_date")
                                    if "doc_date" in docs.columns else docs)
     if "_given_date" in parsed.columns:
