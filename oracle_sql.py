@@ -393,6 +393,7 @@ def _all_oracles() -> dict[str, str]:
         q[f"m6_totals_{key}"] = metric_totals_sql(key)
         q[f"a10_candidates_{key}"] = candidates_sql(key)
     q.update(retrieval_oracles())
+    q.update(more_oracles())
     return q
 
 
@@ -549,3 +550,114 @@ def retrieval_oracles() -> dict[str, str]:
         "r9_within_window": within_window_sql(),
         "r10_search": search_sql(),
     }
+
+
+# ---- ad hoc, anomaly scan, grounding, JSON ------------------------------------------------------
+def ask_sql_oracle() -> str:
+    return ("SELECT c.c_mktsegment AS segment, CAST(COUNT(*) AS BIGINT) AS n_orders, "
+            "round(CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 6) AS revenue "
+            "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
+
+
+def top_brands_sql() -> str:
+    return ("SELECT p_brand, CAST(COUNT(*) AS BIGINT) AS n_items FROM lineitem JOIN part ON l_partkey = p_partkey "
+            "GROUP BY p_brand ORDER BY n_items DESC, p_brand LIMIT 5")
+
+
+def _anomaly_sql(events: str, flagged_only: bool) -> str:
+    sql = (
+        f"WITH ev AS ({events}),\n"
+        "d AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(COUNT(*) AS DOUBLE) AS value FROM ev GROUP BY 1, 2),\n"
+        "b AS (SELECT event_type, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1),\n"
+        "sp AS (SELECT event_type, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),\n"
+        "s AS (SELECT 'events' AS metric, sp.event_type, sp.day, COALESCE(d.value, 0.0) AS value "
+        "FROM sp LEFT JOIN d USING (event_type, day)),\n"
+        "t AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY metric, event_type ORDER BY day "
+        "ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS trend, dayofweek(day) AS wd FROM s),\n"
+        "t2 AS (SELECT *, value - trend AS detr FROM t),\n"
+        "se AS (SELECT metric, event_type, wd, quantile_cont(detr, 0.5) AS seasonal FROM t2 GROUP BY ALL),\n"
+        "r AS (SELECT t2.*, se.seasonal, t2.detr - se.seasonal AS residual FROM t2 JOIN se USING (metric, event_type, wd)),\n"
+        "m AS (SELECT metric, event_type, quantile_cont(residual, 0.5) AS med FROM r GROUP BY ALL),\n"
+        "r2 AS (SELECT r.*, m.med FROM r JOIN m USING (metric, event_type)),\n"
+        "md AS (SELECT metric, event_type, quantile_cont(abs(residual - med), 0.5) AS mad FROM r2 GROUP BY ALL),\n"
+        "sc AS (SELECT r2.*, CASE WHEN md.mad <> 0 THEN 0.6745 * (r2.residual - r2.med) / md.mad END AS score "
+        "FROM r2 JOIN md USING (metric, event_type))\n"
+        "SELECT metric, event_type, day, round(value, 6) AS value, round(trend, 6) AS trend, "
+        "round(seasonal, 6) AS seasonal, round(residual, 6) AS residual, round(score, 6) AS score, "
+        "COALESCE(abs(score) >= 6.0, false) AS is_anomaly FROM sc")
+    return sql + (" WHERE COALESCE(abs(score) >= 6.0, false)" if flagged_only else "")
+
+
+PLANTED_EVENTS = ("SELECT * FROM events UNION ALL SELECT e.* FROM events e, range(2, 11) r(c) "
+                  "WHERE e.event_type = 'click' AND CAST(e.ts AS DATE) = DATE '2024-01-15'")
+
+# the number pattern without look-behind (DuckDB's regex has none): a consumed prefix, group 2
+DUCK_NUMBER = r"(^|[^\w.])([-+]?\d[\d,]*(?:\.\d+)?)"
+
+
+def _numbers_sql(src: str, key: str, text: str) -> str:
+    return (f"SELECT {key}, CAST(unnest(generate_series(0, len(l) - 1)) AS BIGINT) AS pos, unnest(l) AS raw "
+            f"FROM (SELECT {key}, regexp_extract_all({text}, '{DUCK_NUMBER}', 2) AS l FROM {src}) WHERE len(l) > 0")
+
+
+def extract_numbers_sql() -> str:
+    return (f"SELECT page_id, pos, raw, round(CAST(replace(raw, ',', '') AS DOUBLE), 6) AS value "
+            f"FROM ({_numbers_sql('pages', 'page_id', 'html')})")
+
+
+REPORT_CTES = (
+    "per AS (SELECT o_custkey AS report_id, COUNT(*) AS n_orders, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total, "
+    "MAX(CAST(o_totalprice AS DECIMAL(18,2))) AS max_price FROM orders GROUP BY 1),\n"
+    "per2 AS (SELECT per.*, c.c_mktsegment FROM per JOIN customer c ON c.c_custkey = per.report_id),\n"
+    "ev AS (SELECT report_id, unnest([CAST(n_orders AS DOUBLE), CAST(total AS DOUBLE), CAST(max_price AS DOUBLE)]) "
+    "AS value FROM per2),\n"
+    "evx AS (SELECT DISTINCT report_id, v AS value FROM (SELECT report_id, unnest([value, abs(value), value * 100, "
+    "abs(value) * 100]) AS v FROM ev UNION ALL SELECT report_id, CAST(unnest(range(0, 11)) AS DOUBLE) FROM "
+    "(SELECT DISTINCT report_id FROM ev))),\n"
+    "rep AS (SELECT report_id, 'Segment ' || c_mktsegment || ': ' || format('{:,}', CASE WHEN report_id % 7 = 0 "
+    "THEN n_orders + 11 ELSE n_orders END) || ' orders worth ' || CAST(CAST(CASE WHEN report_id % 5 = 0 THEN "
+    "total + 17.25 ELSE total END AS DECIMAL(18,2)) AS VARCHAR) || ' in total; the largest was ' || "
+    "CAST(max_price AS VARCHAR) || '.' AS text FROM per2)")
+
+
+def evidence_values_sql() -> str:
+    return f"WITH {REPORT_CTES} SELECT report_id, round(value, 6) AS value FROM evx"
+
+
+def unsupported_sql() -> str:
+    return (
+        f"WITH {REPORT_CTES},\n"
+        f"w AS (SELECT report_id, pos, raw, CAST(replace(raw, ',', '') AS DOUBLE) AS value, "
+        "ltrim(replace(raw, ',', ''), '+') AS cleaned FROM (" + _numbers_sql('rep', 'report_id', 'text') + ")),\n"
+        "w2 AS (SELECT *, 0.5 * pow(10.0, -(CASE WHEN contains(cleaned, '.') THEN len(split_part(cleaned, '.', 2)) "
+        "ELSE 0 END)) + 1e-9 AS tol FROM w)\n"
+        "SELECT report_id, pos, raw, round(value, 6) AS value FROM w2 WHERE NOT EXISTS (SELECT 1 FROM evx "
+        "WHERE evx.report_id = w2.report_id AND abs(abs(w2.value) - abs(evx.value)) <= w2.tol)")
+
+
+def extract_json_sql() -> str:
+    fence = r"```(?:json)?\s*(\{.*?\})\s*```"
+    return (
+        "WITH r AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Here is the result:' || chr(10) || '```json' "
+        "|| chr(10) || props || chr(10) || '```' || chr(10) || 'Done.' WHEN event_id % 3 = 1 THEN '```' || chr(10) "
+        "|| props || chr(10) || '```' ELSE 'Sure! The answer is ' || props || ' - hope this helps.' END AS reply "
+        "FROM events),\n"
+        f"c AS (SELECT event_id, CASE WHEN regexp_matches(reply, '(?s){fence}') THEN "
+        f"regexp_extract(reply, '(?s){fence}', 1) ELSE reply END AS cand FROM r),\n"
+        "s AS (SELECT event_id, cand, instr(cand, '{') AS st, instr(reverse(cand), '}') AS rv FROM c),\n"
+        "j AS (SELECT event_id, CASE WHEN st > 0 AND rv > 0 THEN substr(cand, st, (len(cand) - rv + 1) - st + 1) "
+        "END AS json_text FROM s)\n"
+        "SELECT event_id, json_text, CAST(json_extract(json_text, '$.k') AS BIGINT) AS k FROM j")
+
+
+def more_oracles() -> dict[str, str]:
+    return {
+        "q1_ask_sql": ask_sql_oracle(),
+        "q2_top_brands": top_brands_sql(),
+        "a16_anomaly_scores": _anomaly_sql("SELECT * FROM events", False),
+        "a16_anomalies_planted": _anomaly_sql(PLANTED_EVENTS, True),
+        "g1_extract_numbers": extract_numbers_sql(),
+        "g2_evidence_values": evidence_values_sql(),
+        "g3_unsupported_numbers": unsupported_sql(),
+        "j1_extract_json": extract_json_sql(),
+    }

@@ -281,3 +281,64 @@ def q_find_context(spark, sf_dir):
     cand = ch.top_candidates(ranked, m.dimension_names)
     return rt.find_context(corpus_chunks(spark, sf_dir), cand, s.name, "why did the order count change",
                            "en", s.period_b).drop("text")
+
+
+# ---- ad hoc, anomaly scan, grounding, JSON ------------------------------------------------------
+from shiftlens.operators import adhoc, anomaly, grounding, jsonx  # noqa: E402
+from shiftlens.sources.derived import customer_reports, model_replies, with_unusual_day  # noqa: E402
+from shiftlens.sources.tables import load_dataset  # noqa: E402
+
+ASK_SQL = ("SELECT c.c_mktsegment AS segment, COUNT(*) AS n_orders, "
+           "CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue "
+           "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
+
+
+def q_ask_sql(spark, sf_dir):
+    load_dataset(spark, sf_dir, names=("orders", "customer"), register_views=True)
+    return finish(adhoc.ask_sql(spark, ASK_SQL))
+
+
+def q_top_brands(spark, sf_dir):
+    t = LazyTables(spark, sf_dir)
+    items = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    return adhoc.top_k_groups(items, "p_brand", k=5, count_name="n_items")
+
+
+def _event_scores(events):
+    daily = anomaly.daily_series(events, ["event_type"])
+    return finish(anomaly.anomaly_scores(daily, ["event_type"]))
+
+
+def q_anomaly_scores(spark, sf_dir):
+    return _event_scores(LazyTables(spark, sf_dir)["events"])
+
+
+def q_anomalies_planted(spark, sf_dir):
+    return _event_scores(with_unusual_day(LazyTables(spark, sf_dir)["events"])).filter("is_anomaly")
+
+
+def q_extract_numbers(spark, sf_dir):
+    pages = LazyTables(spark, sf_dir)["pages"]
+    return finish(grounding.extract_numbers(pages, ["page_id"], "html"))
+
+
+def _reports(spark, sf_dir):
+    t = LazyTables(spark, sf_dir)
+    return customer_reports(t["orders"], t["customer"])
+
+
+def q_evidence_values(spark, sf_dir):
+    ev, _ = _reports(spark, sf_dir)
+    return finish(grounding.evidence_values(ev))
+
+
+def q_unsupported_numbers(spark, sf_dir):
+    ev, rep = _reports(spark, sf_dir)
+    written = grounding.extract_numbers(rep, ["report_id"], "text")
+    return finish(grounding.unsupported_numbers(written, grounding.evidence_values(ev)))
+
+
+def q_extract_json(spark, sf_dir):
+    replies = model_replies(LazyTables(spark, sf_dir)["events"])
+    out = jsonx.extract_json(replies, "reply", "k int", keep=["event_id"])
+    return out.select("event_id", "json_text", F.col("parsed.k").cast("bigint").alias("k"))

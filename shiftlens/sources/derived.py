@@ -78,3 +78,42 @@ def with_front_matter(documents: DataFrame, every: int = 3) -> DataFrame:
                   F.lit("\ntype: note\n---\n"))
     raw = F.when(F.col("doc_id") % every == 0, F.concat(fm, F.col("text"))).otherwise(F.col("text"))
     return documents.select(F.col("doc_id").cast("string").alias("doc_id"), raw.alias("raw"))
+
+
+def with_unusual_day(events: DataFrame, event_type: str = "click", day: str = "2024-01-15",
+                     copies: int = 10) -> DataFrame:
+    """Planted unusual day: the ``event_type`` events of ``day`` appear ``copies`` times."""
+    hit = events.filter((F.col("event_type") == event_type) & (F.to_date("ts") == F.lit(day).cast("date")))
+    extra = hit.select("*", F.explode(F.sequence(F.lit(2), F.lit(copies))).alias("_copy")).drop("_copy")
+    return events.unionByName(extra)
+
+
+def customer_reports(orders: DataFrame, customer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Grounding inputs from the order table: per customer, evidence numbers ``(report_id, value)``
+    and a written report ``(report_id, text)``. Some reports are altered: ``+ 17.25`` on the total
+    where ``custkey % 5 = 0``, ``+ 11`` orders where ``custkey % 7 = 0``."""
+    per = (orders.groupBy(F.col("o_custkey").alias("report_id"))
+           .agg(F.count(F.lit(1)).alias("n_orders"),
+                F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"),
+                F.max(F.col("o_totalprice").cast("decimal(18,2)")).alias("max_price")))
+    per = per.join(customer.select(F.col("c_custkey").alias("report_id"), "c_mktsegment"), "report_id")
+    evidence = per.select("report_id", F.explode(F.array(
+        F.col("n_orders").cast("double"), F.col("total").cast("double"), F.col("max_price").cast("double")))
+        .alias("value"))
+    n_written = F.when(F.col("report_id") % 7 == 0, F.col("n_orders") + 11).otherwise(F.col("n_orders"))
+    total_written = F.when(F.col("report_id") % 5 == 0, F.col("total") + F.lit(17.25).cast("decimal(4,2)")) \
+        .otherwise(F.col("total")).cast("decimal(18,2)")
+    text = F.concat(F.lit("Segment "), F.col("c_mktsegment"), F.lit(": "), F.format_number(n_written, 0),
+                    F.lit(" orders worth "), total_written.cast("string"), F.lit(" in total; the largest was "),
+                    F.col("max_price").cast("string"), F.lit("."))
+    return evidence, per.select("report_id", text.alias("text"))
+
+
+def model_replies(events: DataFrame) -> DataFrame:
+    """Replies around ``events.props``: fenced with ```json, fenced bare, or in chatter."""
+    p = F.col("props")
+    kind = F.col("event_id") % 3
+    text = (F.when(kind == 0, F.concat(F.lit("Here is the result:\n```json\n"), p, F.lit("\n```\nDone.")))
+            .when(kind == 1, F.concat(F.lit("```\n"), p, F.lit("\n```")))
+            .otherwise(F.concat(F.lit("Sure! The answer is "), p, F.lit(" - hope this helps."))))
+    return events.select("event_id", text.alias("reply"))
