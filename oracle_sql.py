@@ -394,6 +394,7 @@ def _all_oracles() -> dict[str, str]:
         q[f"a10_candidates_{key}"] = candidates_sql(key)
     q.update(retrieval_oracles())
     q.update(more_oracles())
+    q.update(runlog_oracles())
     return q
 
 
@@ -661,3 +662,43 @@ def more_oracles() -> dict[str, str]:
         "g3_unsupported_numbers": unsupported_sql(),
         "j1_extract_json": extract_json_sql(),
     }
+
+
+# ---- run log ------------------------------------------------------------------------------------
+RUNS_CTE = (
+    "cv AS (SELECT *, 'run-' || lpad(CAST(conv_id AS VARCHAR), 6, '0') AS run_id FROM conversations),\n"
+    "per AS (SELECT run_id, conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question, "
+    "COUNT(*) AS turns, arg_max(text, turn) AS last_text FROM cv GROUP BY run_id, conv_id),\n"
+    "runs AS (SELECT run_id, conv_id, COALESCE(question, '') AS question, "
+    "CASE WHEN conv_id % 2 = 0 THEN 'lab' ELSE 'public' END AS dataset, "
+    "CASE WHEN conv_id % 5 = 0 THEN 'insufficient_evidence' ELSE 'completed' END AS status, "
+    "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) AS created_at, turns, "
+    "CAST(turns * 1.5 AS DOUBLE) AS duration_s, last_text FROM per)")
+
+
+def list_runs_sql() -> str:
+    return (f"WITH {RUNS_CTE} SELECT run_id, question, dataset, status, created_at, round(duration_s, 6) AS duration_s "
+            "FROM runs ORDER BY created_at DESC, run_id LIMIT 20")
+
+
+def feedback_rollup_sql() -> str:
+    return (f"WITH {RUNS_CTE},\nfb AS (SELECT run_id, CAST(conv_id // 2 AS BIGINT) % 3 - 1 AS rating FROM runs "
+            "WHERE conv_id % 2 = 0)\n"
+            "SELECT r.dataset, CAST(COUNT(*) AS BIGINT) AS n_feedback, round(AVG(rating), 6) AS avg_rating, "
+            "CAST(COUNT(*) FILTER (WHERE rating > 0) AS BIGINT) AS n_positive, "
+            "CAST(COUNT(*) FILTER (WHERE rating < 0) AS BIGINT) AS n_negative "
+            "FROM fb JOIN runs r USING (run_id) WHERE rating BETWEEN -1 AND 1 GROUP BY r.dataset")
+
+
+def usage_rollup_sql() -> str:
+    return (f"WITH {RUNS_CTE}\n"
+            "SELECT dataset, CAST(SUM(turns) AS BIGINT) AS calls, CAST(SUM(turns * 100) AS BIGINT) AS prompt_tokens, "
+            "CAST(SUM(turns * 40) AS BIGINT) AS completion_tokens, round(CAST(SUM(turns * 0.0125) AS DOUBLE), 6) AS cost_usd, "
+            "round(CAST(SUM(turns * 1.5) AS DOUBLE), 6) AS latency_s, "
+            "CASE WHEN bool_or(conv_id % 2 = 0) THEN 'model-a,model-b' ELSE 'model-a' END AS models "
+            "FROM runs GROUP BY dataset")
+
+
+def runlog_oracles() -> dict[str, str]:
+    return {"u10_list_runs": list_runs_sql(), "u12_feedback_rollup": feedback_rollup_sql(),
+            "u13_usage_rollup": usage_rollup_sql()}

@@ -342,3 +342,71 @@ def q_extract_json(spark, sf_dir):
     replies = model_replies(LazyTables(spark, sf_dir)["events"])
     out = jsonx.extract_json(replies, "reply", "k int", keep=["event_id"])
     return out.select("event_id", "json_text", F.col("parsed.k").cast("bigint").alias("k"))
+
+
+# ---- run log and audit --------------------------------------------------------------------------
+from shiftlens.operators import audit as au  # noqa: E402
+from shiftlens.sources.runlog import runs_from_conversations  # noqa: E402
+
+
+def _runlog(spark, sf_dir):
+    return runs_from_conversations(LazyTables(spark, sf_dir)["conversations"])
+
+
+def q_run_digests(spark, sf_dir):
+    runs, queries, _ = _runlog(spark, sf_dir)
+    return au.run_snapshots(runs, queries).select("run_id", "digest", F.col("n_queries").cast("bigint"))
+
+
+def _per_run_log(spark, sf_dir):
+    """Per-run chains (parallel): each run's ``run_recorded`` entry, then its feedback."""
+    runs, queries, fb = _runlog(spark, sf_dir)
+    snaps = au.run_snapshots(runs, queries)
+    recorded = (au.run_event_payload(snaps).join(runs.select("run_id", "created_at"), "run_id")
+                .select(F.lit("run_recorded").alias("event"), "run_id", "payload",
+                        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("at"),
+                        F.struct("created_at", "run_id").alias("_ord")))
+    events = recorded.unionByName(au.feedback_events(fb))
+    return au.append_audit(None, events, "_ord", chain_by="run_id"), runs, queries
+
+
+def q_audit_append(spark, sf_dir):
+    log, _, _ = _per_run_log(spark, sf_dir)
+    return log
+
+
+def _tampered(log):
+    """Alter one payload of every 13th run, drop the feedback entry of every 17th run."""
+    num = F.substring("run_id", 5, 6).cast("int")
+    t = log.withColumn("payload", F.when((num % 13 == 0) & (F.col("seq") == 1),
+                                         F.regexp_replace("payload", '"status":"', '"status":"x')).otherwise(F.col("payload")))
+    return t.filter(~((num % 17 == 0) & (F.col("seq") == 1)))
+
+
+def q_audit_problems(spark, sf_dir):
+    log, runs, queries = _per_run_log(spark, sf_dir)
+    num = F.substring("run_id", 5, 6).cast("int")
+    runs2 = runs.withColumn("question", F.when(num % 11 == 0, F.concat(F.col("question"), F.lit("!")))
+                            .otherwise(F.col("question"))).filter(num % 19 != 0)
+    return au.audit_problems(_tampered(log), runs2, queries, chain_by="run_id")
+
+
+def q_audit_verify(spark, sf_dir):
+    log, runs, queries = _per_run_log(spark, sf_dir)
+    return au.verify_audit(_tampered(log), runs, queries, chain_by="run_id")
+
+
+def q_list_runs(spark, sf_dir):
+    runs, _, _ = _runlog(spark, sf_dir)
+    return finish(au.list_runs(runs, 20).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+
+
+def q_feedback_rollup(spark, sf_dir):
+    runs, _, fb = _runlog(spark, sf_dir)
+    return finish(au.feedback_rollup(fb, runs))
+
+
+def q_usage_rollup(spark, sf_dir):
+    runs, _, _ = _runlog(spark, sf_dir)
+    u = au.usage_rollup(runs, ["dataset"])
+    return finish(u.withColumn("models", F.array_join("models", ",")))
