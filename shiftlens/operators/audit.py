@@ -61,7 +61,7 @@ def run_snapshots(runs: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("run_id", "query_id", json_object({
         "query_id": json_str("query_id"), "sql_executed": json_str("sql_executed"),
         "row_count": json_int("row_count"), "error": json_str("error")}).alias("_q"))
-    per_run = (q.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "_q"))).alias("_qs"))
+    per_run = (q.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("query_id", "_q"))).alias("_qs"))
                .select("run_id", F.transform("_qs", lambda s: s["_q"]).alias("_qs")))
     models = F.coalesce(F.from_json("usage", USAGE_SCHEMA)["models"], F.array().cast("array<string>"))
     r = runs.join(per_run, "run_id", "left").withColumn("_models", models).withColumn(
@@ -266,7 +266,7 @@ def usage_rollup(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum("u.calls").alias("calls"), F.sum("u.prompt_tokens").alias("prompt_tokens"),
         F.sum("u.completion_tokens").alias("completion_tokens"),
         F.round(F.sum("u.cost_usd"), 6).alias("cost_usd"), F.round(F.sum("u.latency_s"), 2).alias("latency_s"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce(
             "u.models", F.array().cast("array<string>")))))).alias("models"))
 
 

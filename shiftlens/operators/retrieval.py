@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlens.session import materialize
+
 # ---- fixed values (they define the scores and must not drift) ---------------------------------
 SEARCH_TOKEN = "[a-z0-9_]+"   # search tokens keep the underscore
 EMBED_TOKEN = "[a-z0-9]+"     # the hashing embedder drops it
@@ -152,7 +154,7 @@ def hash_embed(text, dims: int = DEFAULT_DIMS) -> Column:
 def hash_embed_expr(text, dims: int = DEFAULT_DIMS) -> Column:
     """R5 (dense), pure-JVM form for a handful of rows (e.g. query texts): sorted buckets, then
     two native scans per dimension."""
-    buckets = F.array_sort(hash_buckets(text, dims))
+    buckets = F.sort_array(hash_buckets(text, dims))
     return let(F.struct(buckets.alias("a"), F.reverse(buckets).alias("d")), lambda bk: F.transform(
         F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")),
         lambda i: count_in_sorted(bk["a"], bk["d"], i).cast("float")))
@@ -331,31 +333,40 @@ def _search_batch(chunks: DataFrame, q: DataFrame, k: int, margin_days: int) ->
            .join(F.broadcast(mean_idf), "window_id")
            .select("window_id", "term", F.when(F.col("_idf") < 0, F.lit(BM25_EPSILON) * F.col("_mean"))
                    .otherwise(F.col("_idf")).alias("idf")))
-    qterms = (q.select("query_id", "window_id", F.posexplode("qtok").alias("_pos", "term"))
+    # query side: weight of each distinct term (idf times its count in the query), sparse vector
+    qterms = (q.select("query_id", "window_id", F.explode("qtok").alias("term"))
+              .groupBy("query_id", "window_id", "term").agg(F.count(F.lit(1)).alias("_m"))
               .join(F.broadcast(idf), ["window_id", "term"], "left")
-              .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
-                  "_pos", "term", F.coalesce("idf", F.lit(0.0)).alias("idf")))).alias("_qt")))
-    # per chunk, once: term counts of the batch's query terms, length and vector norm
-    sorted_tok = F.array_sort("tok")
-    docs = (spread(corpus).join(F.broadcast(wanted), "window_id")
-            .select("window_id", "_key", "embedding", F.size("tok").cast("double").alias("dl"),
+              .groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(
+                  "term", (F.col("_m") * F.coalesce("idf", F.lit(0.0))).alias("w")))).alias("_qw")))
+    # per chunk, once: counts of the batch's query terms, the length norm K and the vector norm
+    sorted_tok = F.sort_array("tok")
+    docs = (spread(corpus).join(F.broadcast(wanted.join(F.broadcast(stats), "window_id")), "window_id")
+            .select("window_id", "_key", "embedding",
+                    (F.lit(BM25_K1) * (1 - BM25_B + BM25_B * F.coalesce(F.try_divide(F.size("tok"), F.col("avgdl")),
+                                                                         F.lit(0.0)))).alias("_K"),
                     norm("embedding").alias("_cnorm"),
                     let(F.struct(sorted_tok.alias("a"), F.reverse(sorted_tok).alias("d"),
                                  F.array_intersect(F.array_distinct("tok"), "_wanted").alias("c")),
                         lambda t: F.map_from_entries(F.transform(t["c"], lambda w: F.struct(
                             w, count_in_sorted(t["a"], t["d"], w).cast("double"))))).alias("_tf")))
-    qside = (q.join(qterms, "query_id", "left").join(F.broadcast(stats.drop("_n")), "window_id")
-             .select("query_id", "window_id", "avgdl", "_qnz", "_qnorm",
-                     F.coalesce("_qt", F.array().cast("array<struct<_pos:int,term:string,idf:double>>"))
-                     .alias("_qt")))
-    bm25 = F.aggregate("_qt", F.lit(0.0), lambda acc, t: acc + bm25_term(
-        F.coalesce(F.element_at("_tf", t["term"]), F.lit(0.0)), t["idf"], F.col("dl"), F.col("avgdl")))
-    dotp = F.aggregate("_qnz", F.lit(0.0), lambda acc, e: acc + e["w"] * F.element_at("embedding", e["b"] + 1))
+    qside = (q.join(qterms, "query_id", "left")
+             .select("query_id", "window_id", "_qnorm",
+                     F.transform("_qnz", lambda e: F.struct((e["b"] + 1).alias("i"), e["w"].alias("w"))).alias("_qnz"),
+                     F.coalesce("_qw", F.create_map().cast("map<string,double>")).alias("_qw")))
+    # per pair: only the shared terms are visited (a native intersection first)
+    shared = F.array_intersect(F.map_keys("_qw"), F.map_keys("_tf"))
+    bm25 = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.element_at("_qw", t) * let(
+        F.element_at("_tf", t), lambda tf: tf * F.lit(BM25_K1 + 1) / (tf + F.col("_K"))))
+    dotp = F.aggregate("_qnz", F.lit(0.0), lambda acc, e: acc + e["w"] * F.element_at("embedding", e["i"]))
     den = F.col("_cnorm") * F.when(F.col("_qnorm") == 0, F.lit(1.0)).otherwise(F.col("_qnorm"))
     cos = dotp / F.when(den == 0, F.lit(1.0)).otherwise(den)
     # scores rounded to 9 places so floating summation order cannot reorder near-equal chunks
     pairs = docs.join(F.broadcast(qside), "window_id").select(
         "query_id", "_key", F.round(bm25, 9).alias("bm25"), F.round(cos, 9).alias("cos"))
+    # both passes read the scored pairs; scoring is the expensive step, so it runs once and the
+    # (query, chunk, two doubles) rows are checkpointed to the shared folder (lineage cut)
+    pairs = materialize(pairs, "checkpoint")
     lists = pairs.select("query_id", "_key", "bm25", "cos", F.explode(F.array(
         F.struct(F.lit("bm25").alias("list"), F.col("bm25").alias("score")),
         F.struct(F.lit("cos").alias("list"), F.col("cos").alias("score")))).alias("_l")).select(

@@ -93,7 +93,7 @@ class Investigation:
             .unionByName(part(self.confidence, "confidence", F.lit(0), ["confidence", "status"])))
 
         def arr(name):
-            items = F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("o", "j"))))
+            items = F.sort_array(F.collect_list(F.when(F.col("part") == name, F.struct("o", "j"))))
             return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]"))
 
         def one(name):

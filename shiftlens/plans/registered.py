@@ -247,7 +247,7 @@ def q_cosine_centroid(spark, sf_dir, top: int = 5):
     e = LazyTables(spark, sf_dir)["embeddings"]
     parts = e.select("label", F.posexplode("embedding").alias("i", "x"))
     centroid = (parts.groupBy("label", "i").agg(F.avg("x").alias("m"))
-                .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_c"))
+                .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("_c"))
                 .select("label", F.transform("_c", lambda s: s["m"]).alias("qvec")))
     scored = rt.cosine_scores(e, centroid, ["label"])
     w = Window.partitionBy("label").orderBy(F.col("cosine").desc(), "vec_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,34 +40,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
+def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | None:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder must come from the session configuration (a shared file system).
-    ``default`` is only used where the setting is unset, as in tests.
+    ``default`` is used only where the setting is unset (tests); a local-mode session without one
+    gets a fresh folder under the system temp dir. Returns None on a cluster without a setting.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     path = configured or default
-    if not path:
-        raise ValueError("spark.checkpoint.dir is not set; configure a shared folder for checkpoints")
-    if sc.getCheckpointDir() is None:
+    if not path and sc.master.startswith("local"):
+        import tempfile
+        path = tempfile.mkdtemp(prefix="shiftlens-ckpt-")
+    if path and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
-    os.environ.setdefault("SHIFTLENS_CHECKPOINT_DIR", path)
-    return path
+    return sc.getCheckpointDir() or path
 
 
 def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     """Make a reused intermediate result cheap to read again.
 
     ``persist``    - memory and disk; lost blocks are recomputed from lineage.
-    ``checkpoint`` - reliable checkpoint in ``spark.checkpoint.dir`` (cuts lineage).
+    ``checkpoint`` - reliable checkpoint in ``spark.checkpoint.dir`` (cuts lineage; survives lost
+                     executors); a persist where no shared folder is configured.
     ``none``       - leave the plan as it is.
     """
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if how == "checkpoint":
-        checkpoint_dir(df.sparkSession)
+        if checkpoint_dir(df.sparkSession) is None:  # no shared folder configured: keep lineage
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df.checkpoint(eager=True)
     if how == "none":
         return df
