@@ -101,3 +101,13 @@ def test_search_batches_give_same_hits(spark):
     many = sorted(tuple(r) for r in rt.search(chunks, q, k=2, max_broadcast_queries=7)
                   .select("query_id", "doc_id", "chunk_no", "score").collect())
     assert one == many
+
+
+def test_rrf_fuses_ranks(spark):
+    ranked = spark.createDataFrame(
+        [(1, "a", "bm25", 1), (1, "b", "bm25", 2), (1, "c", "bm25", 3),
+         (1, "a", "cos", 3), (1, "b", "cos", 1), (1, "c", "cos", 2)],
+        "query_id int, item string, list string, rank int")
+    got = [(r["item"], r["hit_rank"]) for r in rt.rrf(ranked, ["item"], k=2).orderBy("hit_rank").collect()]
+    # b: 1/62 + 1/61, a: 1/61 + 1/63, c: 1/63 + 1/62
+    assert got == [("b", 1), ("a", 2)]
