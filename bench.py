@@ -1,6 +1,7 @@
 """Benchmark the headline queries and print one JSON line.
 
-    BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1)
+    BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1),
+    BENCH_ONLY (optional comma-separated subset of query names)
 
 Each query is executed in full with the ``noop`` sink (no collection to the driver) after one
 warm-up run of a small query; the reported value is the sum of the per-query medians.
@@ -39,8 +40,11 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     rq.q_top_brands(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+    only = [x for x in os.environ.get("BENCH_ONLY", "").split(",") if x]
     times = {}
     for name, fn in HEADLINE.items():
+        if only and name not in only:
+            continue
         samples = []
         for _ in range(runs):
             t0 = time.perf_counter()

@@ -10,32 +10,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PRINTABLE_ASCII = r"^[ -~]*\z"   # \z: "$" would also match before a final newline
-# fixed values: the short escapes of JSON
-SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+# fixed values: the short escapes of JSON as (Java regex, Java replacement); backslash goes first
+SHORT_ESCAPE_RULES = [(r"\\", r"\\\\"), ('"', r'\\"'), (r"\n", r"\\n"), (r"\r", r"\\r"), (r"\t", r"\\t"),
+                      (r"\x08", r"\\b"), (r"\x0c", r"\\f")]
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _escape_char(ch: Column) -> Column:
-    out = None
-    for raw, esc in SHORT_ESCAPES.items():
-        out = F.when(ch == F.lit(raw), F.lit(esc)) if out is None else out.when(ch == F.lit(raw), F.lit(esc))
+def _unicode_escape(ch: Column) -> Column:
+    """``\\uxxxx`` (lower-case hex, a surrogate pair above U+FFFF) for one code point."""
     h = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-    unicode_escape = F.when(F.length(h) == 8, F.concat(F.lit("\\u"), F.substring(h, 1, 4), F.lit("\\u"),
-                                                       F.substring(h, 5, 4))).otherwise(F.concat(F.lit("\\u"), h))
-    return out.when(ch.rlike(PRINTABLE_ASCII), ch).otherwise(unicode_escape)
+    return F.when(F.length(h) == 8, F.concat(F.lit("\\u"), F.substring(h, 1, 4), F.lit("\\u"), F.substring(h, 5, 4))) \
+        .otherwise(F.concat(F.lit("\\u"), h))
 
 
 def json_str(c) -> Column:
     """A JSON string literal with ASCII-only output (``ensure_ascii``); NULL becomes ``null``.
 
-    Printable-ASCII text takes a two-replacement fast path; other text is escaped per code point."""
+    The short escapes are native replacements; what is left outside printable ASCII is split into
+    printable runs and single code points, and only the code points are escaped one by one."""
     c = _c(c)
-    fast = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
-    slow = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), 0), _escape_char), "")
-    body = F.when(c.rlike(PRINTABLE_ASCII), fast).otherwise(slow)
+    esc = c
+    for pattern, repl in SHORT_ESCAPE_RULES:
+        esc = F.regexp_replace(esc, pattern, repl)
+    pieces = F.regexp_extract_all(esc, F.lit("(?s)[ -~]+|."), 0)
+    slow = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[ -~]"), p).otherwise(_unicode_escape(p))), "")
+    body = F.when(esc.rlike(PRINTABLE_ASCII), esc).otherwise(slow)
     return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
 
 

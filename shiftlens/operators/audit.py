@@ -89,30 +89,38 @@ def entry_text(seq: Column, event: Column, run_id: Column, payload: Column, at:
                         "payload": payload, "at": json_str(at), "prev_hash": json_str(prev)})
 
 
-def _chain_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_order", kind="stable")
-    seq = int(pdf["_last_seq"].iloc[0]) if pd.notna(pdf["_last_seq"].iloc[0]) else 0
-    prev = pdf["_last_hash"].iloc[0] if isinstance(pdf["_last_hash"].iloc[0], str) else GENESIS
-    rows = []
-    for ev, run_id, payload, at in zip(pdf["event"], pdf["run_id"], pdf["payload"], pdf["at"]):
-        seq += 1
-        entry = {"seq": seq, "event": ev, "run_id": str(run_id), "payload": json.loads(payload), "at": at,
-                 "prev_hash": prev}
-        h = hashlib.sha256(json.dumps(entry, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-        rows.append((seq, ev, str(run_id), payload, at, prev, h))
-        prev = h
-    return pd.DataFrame(rows, columns=["seq", "event", "run_id", "payload", "at", "prev_hash", "hash"])
+def _chain_batches(batches):
+    """Hash entries in (chain, order) order; a partition holds whole chains, sorted. The state
+    (last seq and hash per chain) is carried across the partition's Arrow batches."""
+    state: dict[str, tuple[int, str]] = {}
+    for pdf in batches:
+        rows = []
+        for ch, ev, run_id, payload, at, last_seq, last_hash in zip(
+                pdf["_chain"], pdf["event"], pdf["run_id"], pdf["payload"], pdf["at"], pdf["_last_seq"],
+                pdf["_last_hash"]):
+            if ch not in state:
+                state.clear()  # chains arrive one after another: keep only the current one
+                state[ch] = (int(last_seq) if pd.notna(last_seq) else 0,
+                             last_hash if isinstance(last_hash, str) else GENESIS)
+            seq, prev = state[ch]
+            seq += 1
+            entry = {"seq": seq, "event": ev, "run_id": str(run_id), "payload": json.loads(payload), "at": at,
+                     "prev_hash": prev}
+            h = hashlib.sha256(json.dumps(entry, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+            rows.append((ch, seq, ev, str(run_id), payload, at, prev, h))
+            state[ch] = (seq, h)
+        yield pd.DataFrame(rows, columns=["_chain", "seq", "event", "run_id", "payload", "at", "prev_hash", "hash"])
 
 
 def append_audit(log: DataFrame | None, events: DataFrame, order: str, chain_by: str | None = None) -> DataFrame:
     """U4: new entries for ``events (event, run_id, payload, at, <order>)``, chained after ``log``.
 
     Returns the new entries only (append them to the stored log). With ``chain_by`` each key has
-    its own chain and sequence; the keys are hashed in parallel."""
+    its own chain and sequence; chains are hash-partitioned and hashed in parallel, one Python
+    pass per partition (not per chain)."""
     key = F.col(chain_by) if chain_by else F.lit("")
     ev = events.select(key.cast("string").alias("_chain"), "event", F.col("run_id").cast("string").alias("run_id"),
                        "payload", "at", F.col(order).alias("_o"))
-    ev = ev.withColumn("_order", F.row_number().over(Window.partitionBy("_chain").orderBy("_o"))).drop("_o")
     if log is not None:
         lkey = F.col(chain_by) if chain_by else F.lit("")
         last = (log.select(lkey.cast("string").alias("_chain"), "seq", "hash").groupBy("_chain")
@@ -120,7 +128,9 @@ def append_audit(log: DataFrame | None, events: DataFrame, order: str, chain_by:
         ev = ev.join(F.broadcast(last) if not chain_by else last, "_chain", "left")
     else:
         ev = ev.withColumn("_last_seq", F.lit(None).cast("bigint")).withColumn("_last_hash", F.lit(None).cast("string"))
-    return ev.groupBy("_chain").applyInPandas(_chain_group, LOG_SCHEMA)
+    ordered = ev.repartition("_chain").sortWithinPartitions("_chain", "_o").drop("_o")
+    out = ordered.mapInPandas(_chain_batches, "_chain string, " + LOG_SCHEMA)
+    return out.drop("_chain")
 
 
 # ---- U5 -----------------------------------------------------------------------------------------

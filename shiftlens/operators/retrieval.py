@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.session import materialize
+from shiftlens.session import materialize, spread
 
 # ---- fixed values (they define the scores and must not drift) ---------------------------------
 SEARCH_TOKEN = "[a-z0-9_]+"   # search tokens keep the underscore
@@ -285,13 +285,6 @@ def prepare_queries(queries: DataFrame, dims: int) -> DataFrame:
             .withColumn("window_id", F.xxhash64("dataset", "start", "end")))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an under-partitioned input over the cluster's cores before CPU-heavy per-row
-    work (a no-op on large inputs, which already have many file splits)."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
-
-
 def search(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int = MARGIN_DAYS,
            dims: int = DEFAULT_DIMS, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Hybrid search for a batch of queries.

@@ -206,13 +206,15 @@ from shiftlens.sources.documents import build_chunks  # noqa: E402
 SEARCH_WINDOW = ("1998-04-01", "1998-07-01")
 
 
-def corpus_chunks(spark, sf_dir):
+def corpus_chunks(spark, sf_dir, dataset: str | None = None):
     """Chunks of the dated corpus (documents have no blank lines, so lines are the paragraphs).
 
     Written once to the checkpoint folder, as the chunk store would be at ingest time, so the
     several passes of a search read stored chunks instead of re-chunking and re-embedding."""
-    return materialize(build_chunks(dated_corpus(LazyTables(spark, sf_dir)["documents"]), separator="\n"),
-                       "checkpoint")
+    docs = LazyTables(spark, sf_dir)["documents"]
+    if dataset is not None:
+        docs = docs.filter(F.col("lang") == dataset)
+    return materialize(build_chunks(dated_corpus(docs), separator="\n"), "checkpoint")
 
 
 def benchmark_queries(spark, sf_dir, window=SEARCH_WINDOW, dataset="en"):
@@ -261,7 +263,7 @@ def q_cosine_centroid(spark, sf_dir, top: int = 5):
 
 
 def q_bm25_top(spark, sf_dir, top: int = 10):
-    chunks = corpus_chunks(spark, sf_dir).filter(F.col("dataset") == "en")
+    chunks = corpus_chunks(spark, sf_dir, "en")
     q = benchmark_queries(spark, sf_dir, window=None)
     s = rt.bm25_scores(chunks, q, ["doc_id", "chunk_no"])
     w = Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "doc_id", "chunk_no")
@@ -275,7 +277,7 @@ def q_within_window(spark, sf_dir):
 
 
 def q_search(spark, sf_dir):
-    hits = rt.search(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), k=3)
+    hits = rt.search(corpus_chunks(spark, sf_dir, "en"), benchmark_queries(spark, sf_dir), k=3)
     return hits.select("query_id", "hit_rank", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                        "doc_date", "score", "rank_bm25", "rank_cos")
 
@@ -284,7 +286,7 @@ def q_find_context(spark, sf_dir):
     t, m, s = _ctx(spark, sf_dir, "order_count")
     _, _, ranked, _, _ = _ranked(spark, sf_dir, "order_count")
     cand = ch.top_candidates(ranked, m.dimension_names)
-    return rt.find_context(corpus_chunks(spark, sf_dir), cand, s.name, "why did the order count change",
+    return rt.find_context(corpus_chunks(spark, sf_dir, "en"), cand, s.name, "why did the order count change",
                            "en", s.period_b).drop("text")
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftlens.session import spread
 from shiftlens.functions.canonical import json_int, json_object, json_str, json_str_array
 
 RUN_COLUMNS = ["run_id", "question", "dataset", "status", "report", "usage", "created_at", "duration_s"]
@@ -21,7 +22,7 @@ def append_table(df: DataFrame, path: str) -> None:
 def runs_from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One run per conversation: the first user turn is the question, assistant turns are its
     queries ``Q1..`` (text order), some conversations leave feedback. Deterministic."""
-    conv = conv.withColumn("run_id", F.concat(F.lit("run-"), F.lpad(F.col("conv_id").cast("string"), 6, "0")))
+    conv = spread(conv).withColumn("run_id", F.concat(F.lit("run-"), F.lpad(F.col("conv_id").cast("string"), 6, "0")))
     w = Window.partitionBy("run_id").orderBy("turn")
     asst = (conv.filter(F.col("role") == "assistant")
             .withColumn("_n", F.row_number().over(w)))
