@@ -334,8 +334,13 @@ ALL_METRICS = ["order_count", "fulfilled_orders", "revenue", "item_revenue", "it
                "pending_rate", "avg_quantity", "ship_lag_days", "avg_order_value"]
 
 
+BIG = "1e5"    # from this magnitude on, values are compared at 4 places (float summation noise)
+HUGE = "1e15"  # and from this one on as they are (no fraction left to round)
+
+
 def _plus_zero(sql: str) -> str:
-    """Wrap every ``round(...)`` as ``(round(...) + 0.0)`` so a negative zero prints as 0.0."""
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)`` so a negative zero prints as 0.0, and
+    compare large values at 4 places, as ``finish`` does on the Spark side."""
     out, i = [], 0
     while True:
         j = sql.find("round(", i)
@@ -352,7 +357,12 @@ def _plus_zero(sql: str) -> str:
                     break
             k += 1
         out.append(sql[i:j])
-        out.append("(" + sql[j:k + 1] + " + 0.0)")
+        span = sql[j:k + 1]
+        if span.endswith(", 6)"):
+            inner = span[len("round("):-len(", 6)")]
+            span = (f"CASE WHEN abs({inner}) >= {HUGE} THEN {inner} WHEN abs({inner}) >= {BIG} THEN round({inner}, 4) "
+                    f"ELSE round({inner}, 6) END")
+        out.append("(" + span + " + 0.0)")
         i = k + 1
 
 

@@ -26,7 +26,11 @@ def finish(df: DataFrame, places: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, places) + F.lit(0.0)  # no negative zero
+            if places == 6:  # large values at 4 places: summation order moves their 6th decimal
+                c = F.when(F.abs(c) >= 1e15, c).when(F.abs(c) >= 1e5, F.round(c, 4)).otherwise(F.round(c, 6))
+            else:
+                c = F.round(c, places)
+            c = c + F.lit(0.0)  # no negative zero
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         cols.append(c.alias(f.name))
