@@ -179,7 +179,8 @@ def q_investigate(key, planted_dup: bool = False):
             t, m, s = _planted_dup(spark, sf_dir, key)
         else:
             t, m, s = _ctx(spark, sf_dir, key)
-        inv = investigate(t, m, s, cache="none")
+        # base and bridge feed every step: written once to the checkpoint folder
+        inv = investigate(t, m, s, cache="checkpoint")
         return finish(inv.top(5).select("rank", "dimension", "segment", "share_of_change", "duplicate_rate_b"))
     return run
 
