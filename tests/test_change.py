@@ -96,3 +96,22 @@ def test_clean_lineitem_repeat_is_not_a_finding(spark):
     t, m, s = _ctx(spark, "item_revenue")
     counts = mt.duplicate_counts(t, m, s)
     assert ch.duplicate_findings(counts).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_is_a_partial_group_limit(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranked, m = _ranked(spark, "order_count")
+        assert "WindowGroupLimit" in _plan(ch.top_candidates(ranked, m.dimension_names))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_period_filter_reaches_the_scan(spark):
+    t, m, s = _ctx(spark, "order_count")
+    plan = _plan(mt.tag_periods(t, m, s))
+    assert "PushedFilters" in plan and "o_orderdate" in plan.split("PushedFilters")[1][:400]
