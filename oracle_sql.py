@@ -405,6 +405,7 @@ def _all_oracles() -> dict[str, str]:
     q.update(retrieval_oracles())
     q.update(more_oracles())
     q.update(runlog_oracles())
+    q.update(profile_oracles())
     return q
 
 
@@ -712,3 +713,19 @@ def usage_rollup_sql() -> str:
 def runlog_oracles() -> dict[str, str]:
     return {"u10_list_runs": list_runs_sql(), "u12_feedback_rollup": feedback_rollup_sql(),
             "u13_usage_rollup": usage_rollup_sql()}
+
+
+def profile_oracles() -> dict[str, str]:
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    tables = " UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count FROM {n}"
+                                for n in names)
+    return {
+        "s6_profile_date_range": "SELECT min(o_orderdate) AS min_date, max(o_orderdate) AS max_date, "
+                                 "CAST(COUNT(*) AS BIGINT) AS row_count FROM orders",
+        "s6_profile_tables": tables,
+        "u11_queries_of_run": (
+            "SELECT run_id, 'Q' || CAST(ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY turn) AS VARCHAR) AS query_id, "
+            "text AS sql_executed, CAST(length(text) AS BIGINT) AS row_count, CAST(turn * 7 AS BIGINT) AS duration_ms, "
+            "CASE WHEN turn % 5 = 4 THEN 'timeout' END AS error FROM (SELECT 'run-' || lpad(CAST(conv_id AS VARCHAR), "
+            "6, '0') AS run_id, turn, text FROM conversations WHERE role = 'assistant') WHERE run_id = 'run-000042'"),
+    }

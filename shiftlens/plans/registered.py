@@ -423,3 +423,29 @@ def q_usage_rollup(spark, sf_dir):
     runs, _, _ = _runlog(spark, sf_dir)
     u = au.usage_rollup(runs, ["dataset"])
     return finish(u.withColumn("models", F.array_join("models", ",")))
+
+
+# ---- profile and single-run lookups -------------------------------------------------------------
+from shiftlens.sources.tables import profile_date_range, profile_tables  # noqa: E402
+
+
+def q_profile_date_range(spark, sf_dir):
+    return profile_date_range(LazyTables(spark, sf_dir), "orders", "o_orderdate")
+
+
+def q_profile_tables(spark, sf_dir):
+    t = LazyTables(spark, sf_dir)
+    return profile_tables({n: t[n] for n in ("region", "nation", "customer", "supplier", "part", "orders",
+                                              "lineitem", "events")})
+
+
+def q_queries_of_run(spark, sf_dir, run_id: str = "run-000042"):
+    _, queries, _ = _runlog(spark, sf_dir)
+    return au.get_queries(queries, run_id).select("run_id", "query_id", "sql_executed",
+                                                  F.col("row_count").cast("bigint").alias("row_count"),
+                                                  F.col("duration_ms").cast("bigint").alias("duration_ms"), "error")
+
+
+def q_audit_tail(spark, sf_dir):
+    log, _, _ = _per_run_log(spark, sf_dir)
+    return au.audit_tail(log.filter(F.col("event") == "run_recorded"), 50).select("run_id", "seq", "event")
