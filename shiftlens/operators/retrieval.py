@@ -138,8 +138,8 @@ def hash_buckets(text, dims: int = DEFAULT_DIMS) -> Column:
 def _bincount_udf(dims: int):
     @F.pandas_udf("array<float>")
     def bincount(buckets: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.asarray(x, dtype=np.int64), minlength=dims).astype(np.float32)
-                          for x in buckets])
+        return pd.Series([np.bincount(np.asarray(x if x is not None else [], dtype=np.int64),
+                                      minlength=dims).astype(np.float32) for x in buckets])
     return bincount
 
 
