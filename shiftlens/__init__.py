@@ -6,8 +6,8 @@ Every operator takes and returns DataFrames. The sub-packages are:
 - ``plans``     - the semantic model (tables, join paths, dimensions), metric specs and the
                   composed investigation
 - ``operators`` - metric layer, change analysis, anomaly scan, retrieval, grounding, audit, ad hoc
-- ``functions`` - column-level helpers (safe ratios, tokens, number patterns, JSON)
-- ``streaming`` - incremental daily roll-up feeding the anomaly scan
+- ``functions`` - column-level helpers (safe ratios, sort keys, canonical JSON)
+- ``streaming`` - empty: the analysed system has no stream source, trigger or state
 """
 
 __version__ = "0.1.0"

@@ -1,0 +1,2 @@
+"""No streaming operators: the analysed system has no stream source, trigger or state, so every
+operator here is a batch DataFrame operator."""
