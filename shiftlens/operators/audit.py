@@ -296,7 +296,7 @@ def query_log_entry(spark: SparkSession, df: DataFrame, query_id: str, purpose:
             .agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("p")).first()
         prev = pv["p"]
     except Exception as ex:  # noqa: BLE001 - the error text is part of the log
-        err = str(ex).splitlines()[0][:500]
+        err, n = str(ex).splitlines()[0][:500], None  # a failed query has no row count
     ms = int((time.time() - t0) * 1000)
     return spark.createDataFrame([(query_id, purpose, sql_text, n, ms, err, prev)],
                                  "query_id string, purpose string, sql_executed string, row_count bigint, "

@@ -80,3 +80,24 @@ def test_appending_continues_the_chain(spark):
     assert au.verify_chain(full).count() == 0
     base = au.baseline_runs(full, runs, queries, at="2024-02-01T00:00:00+00:00")
     assert base.count() == 0
+
+
+def test_baseline_runs_append_missing_runs_in_time_order(spark):
+    runs, queries, _ = _log(spark)
+    first = au.record_runs(None, runs.filter(F.col("run_id") < "run-000020"), queries).cache()
+    base = au.baseline_runs(first, runs, queries, at="2024-02-01T00:00:00+00:00").cache()
+    assert base.count() == runs.count() - first.count()
+    assert {r["event"] for r in base.collect()} == {"run_baselined"}
+    order = [r["run_id"] for r in base.orderBy("seq").collect()]
+    assert order == sorted(order)  # created_at grows with the run number
+    full = first.unionByName(base)
+    assert au.verify_audit(full, runs, queries).first()["intact"]
+
+
+def test_query_log_entry_counts_and_previews(spark):
+    df = spark.range(25).withColumnRenamed("id", "x")
+    row = au.query_log_entry(spark, df, "Q1", "count rows", "SELECT x FROM t").first()
+    assert row["row_count"] == 25 and row["error"] is None
+    assert len(json.loads(row["preview"])) == 10
+    bad = au.query_log_entry(spark, df.selectExpr("x / 0 AS y"), "Q2", "fails", "SELECT x / 0").first()
+    assert bad["error"] is not None and bad["row_count"] is None
