@@ -41,7 +41,7 @@ with split as (
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
 patterns as (
   select id as item_id, unnest(case when len(w) < 10 then [array_to_string(w, ' ')]
-           else list_transform(range(1, len(w) - 8), i -> array_to_string(w[i:i + 9], ' ')) end) as pattern
+           else [array_to_string(w[i:i + 9], ' ') for i in range(1, len(w) - 8)] end) as pattern
   from split where kind = 'b' and len(w) > 0),
 sizes as (select distinct len(string_split(pattern, ' ')) as n from patterns),
 windows as (
