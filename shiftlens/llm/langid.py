@@ -19,7 +19,7 @@ from shiftlens.llm.common import map_texts
 
 DIMS = 1 << 14
 CENTROIDS = 4
-#: The model is fitted on at most so many texts of one language, those with the smallest hash of text.
+#: The model is fitted on at most so many texts of one language, those with the smallest hash of key.
 SAMPLE = 400
 #: Of texts up to this many characters, so that the sample is at most 400 x 20,000 x 4 bytes a language.
 SAMPLE_CHARS = 20_000
@@ -74,14 +74,15 @@ def has_letter(text: bytes | None) -> bool:
     return text is not None and _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE,
+        centroids: int = CENTROIDS) -> Centroids:
     """Fit on labelled rows: at most ``sample`` texts a language come to the driver.
 
     Rows with a null language or text, without a letter or with more than ``SAMPLE_CHARS`` characters
     are not learned from. Without any usable row the model knows no language and rejects every text.
     """
     usable = rows.filter(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS)) \
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+        .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
     # a language's sample is cut by a hash bound first, so no task sorts all rows of a language
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -89,7 +90,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 1.5 * sample / n))])
     part = usable.filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
     chosen: dict[str, list[bytes]] = {}
-    for r in sorted(part.collect(), key=lambda r: (r["lang"], r["h"])):
+    for r in sorted(part.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         if len(got := chosen.setdefault(r["lang"], [])) < sample and has_letter(raw := r["text"].encode()):
             got.append(raw)
     chosen = {k: v for k, v in chosen.items() if v}

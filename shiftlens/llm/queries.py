@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import bpe, decontam, langid
+from shiftlens.llm import bpe, brown, conv_quality, decontam, langid, licenses, minhash, quality_rules, substring
 from shiftlens.llm.common import fold_is, table
 from shiftlens.llm.urls import ALLOW, BLOCK, canonical, filter_urls, host_and_path
 
@@ -27,6 +27,36 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their fold, and those of them to learn from with their quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold_is("doc_id", 3, 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter("quality is not null")
+    return docs, docs.filter("not held_out").join(labels, "doc_id")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the byte-level network, trained on two folds of three."""
+    docs, known = _labelled(spark, sf_dir)
+    return conv_quality.classify(docs, conv_quality.fit(known), keep=["doc_id", "held_out"])
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether base rules and trees keep it; the trees learn from two folds of three."""
+    docs, known = _labelled(spark, sf_dir)
+    return quality_rules.apply_rules(docs, quality_rules.fit(known), keep=["doc_id"])
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.fit(docs), keep=["doc_id"])
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand inside a 10-word window of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,18 +78,36 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram score of every document, learned from six folds of seven."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold_is("doc_id", 7, 2).alias("held_out"))
+    model, words = brown.train(docs.filter("not held_out"))
+    return brown.score(docs, model, words)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those of three folds of four."""
     docs = table(spark, sf_dir, "documents")
     held = fold_is("doc_id", 4, 2)
-    model = langid.fit(docs.filter(~held).select("lang", "text"))
+    model = langid.fit(docs.filter(~held))
     return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), model, keep=["doc_id", "held_out"])
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside windows of 20 words that start earlier elsewhere."""
+    return substring.dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_license_scan": op4_license_scan,
+        "op5_minhash": op5_minhash,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_bpe": op7_bpe,
+        "op8_brown_lm": op8_brown_lm,
         "op9_language_id": op9_language_id,
+        "op10_substring_dedup": op10_substring_dedup,
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.llm import bpe as bpe_op
-from shiftlens.llm import decontam, langid
+from shiftlens.llm import decontam, langid, minhash, substring
 from shiftlens.llm.common import fold_is, table
 from shiftlens.llm.queries import tokenizer_path
 
@@ -18,17 +18,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """One document of each group of near copies, that with the smallest id."""
+    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """All documents, without the passages of 20 words or more that start earlier elsewhere."""
+    return substring.dedup_texts(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.filter("n_hit = 0").select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
