@@ -1,13 +1,15 @@
 """DuckDB oracle SQL for the registered queries.
 
-Written independently of the Spark plans, in the shape of the per-dimension queries the analysis
-is defined by: a base CTE per metric, one DISTINCT segment subquery per dimension, a literal
-dimension list, and the ranking formulas spelled out in SQL. Doubles are rounded to 6 places
+In the shape of the per-dimension queries the analysis is defined by: a base CTE per metric, one DISTINCT
+segment subquery per dimension, a literal dimension list, and the ranking formulas spelled out in
+SQL. Metric expressions and join lists come from the model in ``plans/model.py``. Doubles are rounded to 6 places
 (candidates to 4) on both sides; ranks are BIGINT.
 """
 
 from __future__ import annotations
 
+import re
+
 from shiftlens.plans.model import MetricSpec, SemanticModel, catalogue, tpch_model
 
 DUCK_JOIN = {
@@ -405,6 +407,7 @@ def _all_oracles() -> dict[str, str]:
     q.update(retrieval_oracles())
     q.update(more_oracles())
     q.update(runlog_oracles())
+    q.update(audit_oracles())
     q.update(profile_oracles())
     return q
 
@@ -487,26 +490,27 @@ def cosine_centroid_sql(top: int = 5) -> str:
 
 
 def _bm25_ctes(corpus: str, queries: str) -> str:
-    """BM25 over ``corpus(doc_id, chunk_no, text)`` for ``queries(query_id, qtext)``."""
+    """BM25 over ``corpus(win, doc_id, chunk_no, text)`` for ``queries(query_id, qtext, win)``, statistics per win."""
     return (
-        f"corp AS (SELECT doc_id, chunk_no, regexp_extract_all(lower(text), '[a-z0-9_]+') AS tok FROM {corpus}),\n"
-        "st AS (SELECT COUNT(*) AS n, SUM(len(tok)) / COUNT(*) AS avgdl FROM corp),\n"
-        "dfq AS (SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct(tok)) AS term FROM corp) GROUP BY 1),\n"
-        "idf0 AS (SELECT term, ln(st.n - df + 0.5) - ln(df + 0.5) AS idf FROM dfq, st),\n"
-        "idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT AVG(idf) FROM idf0) ELSE idf END AS idf FROM idf0),\n"
-        f"qt AS (SELECT query_id, unnest(regexp_extract_all(lower(qtext), '[a-z0-9_]+')) AS term FROM {queries}),\n"
-        "tf AS (SELECT doc_id, chunk_no, term, len(tok) AS dl, COUNT(*) AS tf FROM (SELECT doc_id, chunk_no, tok, "
-        "unnest(tok) AS term FROM corp) GROUP BY doc_id, chunk_no, term, len(tok)),\n"
+        f"corp AS (SELECT win, doc_id, chunk_no, regexp_extract_all(lower(text), '[a-z0-9_]+') AS tok FROM {corpus}),\n"
+        "st AS (SELECT win, COUNT(*) AS n, SUM(len(tok)) / COUNT(*) AS avgdl FROM corp GROUP BY 1),\n"
+        "dfq AS (SELECT win, term, COUNT(*) AS df FROM (SELECT win, unnest(list_distinct(tok)) AS term FROM corp) GROUP BY 1, 2),\n"
+        "idf0 AS (SELECT win, term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfq JOIN st USING (win)),\n"
+        "mean_idf AS (SELECT win, AVG(idf) AS m FROM idf0 GROUP BY 1),\n"
+        "idf AS (SELECT win, term, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf FROM idf0 JOIN mean_idf USING (win)),\n"
+        f"qt AS (SELECT query_id, win, unnest(regexp_extract_all(lower(qtext), '[a-z0-9_]+')) AS term FROM {queries}),\n"
+        "tf AS (SELECT win, doc_id, chunk_no, term, len(tok) AS dl, COUNT(*) AS tf FROM (SELECT win, doc_id, chunk_no, tok, "
+        "unnest(tok) AS term FROM corp) GROUP BY win, doc_id, chunk_no, term, len(tok)),\n"
         "bm AS (SELECT qt.query_id, tf.doc_id, tf.chunk_no, SUM(COALESCE(idf.idf, 0) * (tf.tf * 2.5) / "
-        "(tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.dl / st.avgdl))) AS bm25 FROM qt JOIN tf USING (term) "
-        "LEFT JOIN idf USING (term), st GROUP BY 1, 2, 3)")
+        "(tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.dl / st.avgdl))) AS bm25 FROM qt JOIN tf USING (win, term) "
+        "LEFT JOIN idf USING (win, term) JOIN st USING (win) GROUP BY 1, 2, 3)")
 
 
 def bm25_top_sql(top: int = 10) -> str:
-    return (f"WITH RECURSIVE {chunks_ctes()},\nencorp AS (SELECT * FROM chunks WHERE dataset = 'en'),\n"
-            "qs AS (SELECT item_id AS query_id, text AS qtext FROM benchmark),\n"
-            f"{_bm25_ctes('encorp', 'qs')} SELECT query_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, "
-            "round(bm25, 6) AS bm25, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY "
+    return (f"WITH RECURSIVE {chunks_ctes()},\nallc AS (SELECT 0 AS win, doc_id, chunk_no, text FROM chunks),\n"
+            "qs AS (SELECT item_id AS query_id, text AS qtext, 0 AS win FROM benchmark),\n"
+            f"{_bm25_ctes('allc', 'qs')} SELECT query_id, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, "
+            "round(round(bm25, 9), 6) AS bm25, rank FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY "
             f"round(bm25, 9) DESC, doc_id, chunk_no) AS BIGINT) AS rank FROM bm) WHERE rank <= {top}")
 
 
@@ -518,37 +522,121 @@ def within_window_sql() -> str:
             f"FROM chunks WHERE doc_date IS NULL OR (doc_date >= DATE '{WINDOW_LO}' AND doc_date <= DATE '{WINDOW_HI}')")
 
 
-def search_sql(k: int = 3) -> str:
+def search_ctes(k: int = 3) -> str:
+    """``hits`` with the text and date of each hit, for ``qs(query_id, qtext, ds, lo, hi, win)`` over ``chunks``."""
     emb = ("SELECT {key}, CAST(('0x' || right(md5(t), 2)) AS INTEGER) AS b, COUNT(*) AS c FROM (SELECT {key}, "
            "unnest(regexp_extract_all(lower({col}), '[a-z0-9]+')) AS t FROM {src}) GROUP BY ALL")
+    one = "(CASE WHEN COALESCE(qn.nrm, 0) = 0 THEN 1 ELSE qn.nrm END)"
     return (
-        f"WITH RECURSIVE {chunks_ctes()},\n"
-        f"wc AS (SELECT * FROM chunks WHERE dataset = 'en' AND (doc_date IS NULL OR (doc_date >= DATE '{WINDOW_LO}' "
-        f"AND doc_date <= DATE '{WINDOW_HI}'))),\n"
-        "qs AS (SELECT item_id AS query_id, text AS qtext FROM benchmark),\n"
+        "wins AS (SELECT DISTINCT win, ds, lo, hi FROM qs),\n"
+        "wc AS (SELECT win, doc_id, chunk_no, text, doc_date FROM chunks JOIN wins ON dataset = ds AND (doc_date IS NULL OR "
+        "((lo IS NULL OR doc_date >= lo) AND (hi IS NULL OR doc_date <= hi)))),\n"
         f"{_bm25_ctes('wc', 'qs')},\n"
-        f"ce AS ({emb.format(key='doc_id, chunk_no', col='text', src='wc')}),\n"
+        f"ce AS ({emb.format(key='doc_id, chunk_no', col='text', src='chunks')}),\n"
         f"qe AS ({emb.format(key='query_id', col='qtext', src='qs')}),\n"
-        "cn AS (SELECT doc_id, chunk_no, sqrt(SUM(CAST(c * c AS DOUBLE))) AS nrm FROM ce GROUP BY 1, 2),\n"
+        "cnr AS (SELECT doc_id, chunk_no, sqrt(SUM(CAST(c * c AS DOUBLE))) AS nrm FROM ce GROUP BY 1, 2),\n"
         "qn AS (SELECT query_id, sqrt(SUM(CAST(c * c AS DOUBLE))) AS nrm FROM qe GROUP BY 1),\n"
         "dt AS (SELECT qe.query_id, ce.doc_id, ce.chunk_no, SUM(CAST(ce.c * qe.c AS DOUBLE)) AS d FROM ce JOIN qe "
         "USING (b) GROUP BY 1, 2, 3),\n"
-        "pairs AS (SELECT q.query_id, w.doc_id, w.chunk_no, COALESCE(bm.bm25, 0) AS bm25, "
-        "COALESCE(dt.d, 0) / CASE WHEN COALESCE(cn.nrm, 0) * (CASE WHEN COALESCE(qn.nrm, 0) = 0 THEN 1 ELSE qn.nrm END) = 0 "
-        "THEN 1 ELSE COALESCE(cn.nrm, 0) * (CASE WHEN COALESCE(qn.nrm, 0) = 0 THEN 1 ELSE qn.nrm END) END AS cos "
-        "FROM qs q CROSS JOIN wc w LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = w.doc_id "
+        "pairs AS (SELECT q.query_id, w.doc_id, w.chunk_no, w.doc_date, w.text, COALESCE(bm.bm25, 0) AS bm25, "
+        f"COALESCE(dt.d, 0) / CASE WHEN COALESCE(cnr.nrm, 0) * {one} = 0 THEN 1 ELSE COALESCE(cnr.nrm, 0) * {one} END AS cos "
+        "FROM qs q JOIN wc w ON w.win = q.win LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = w.doc_id "
         "AND bm.chunk_no = w.chunk_no LEFT JOIN dt ON dt.query_id = q.query_id AND dt.doc_id = w.doc_id AND "
-        "dt.chunk_no = w.chunk_no LEFT JOIN cn ON cn.doc_id = w.doc_id AND cn.chunk_no = w.chunk_no "
+        "dt.chunk_no = w.chunk_no LEFT JOIN cnr ON cnr.doc_id = w.doc_id AND cnr.chunk_no = w.chunk_no "
         "LEFT JOIN qn ON qn.query_id = q.query_id),\n"
         "rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id, chunk_no) "
         "AS rank_bm25, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, doc_id, chunk_no) "
         "AS rank_cos FROM pairs),\n"
         "fu AS (SELECT *, 1.0 / (60 + rank_bm25) + 1.0 / (60 + rank_cos) AS score FROM rk),\n"
-        "hits AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS hit_rank "
-        "FROM fu)\n"
-        "SELECT h.query_id, CAST(h.hit_rank AS BIGINT) AS hit_rank, h.doc_id, CAST(h.chunk_no AS BIGINT) AS chunk_no, "
-        "w.doc_date, round(h.score, 4) AS score, CAST(h.rank_bm25 AS BIGINT) AS rank_bm25, "
-        f"CAST(h.rank_cos AS BIGINT) AS rank_cos FROM hits h JOIN wc w USING (doc_id, chunk_no) WHERE h.hit_rank <= {k}")
+        "hits AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS hit_rank "
+        f"FROM fu) WHERE hit_rank <= {k})")
+
+
+def search_sql() -> str:
+    return (
+        f"WITH RECURSIVE {chunks_ctes()},\n"
+        "qs AS (SELECT *, ds || kind AS win FROM (SELECT item_id AS query_id, text AS qtext, "
+        "['de', 'en', 'es', 'fr'][CAST(item_id % 4 + 1 AS INTEGER)] AS ds, CAST(item_id % 3 AS VARCHAR) AS kind, "
+        f"CASE WHEN item_id % 3 < 2 THEN DATE '{WINDOW_LO}' END AS lo, CASE WHEN item_id % 3 = 0 THEN DATE '{WINDOW_HI}' END AS hi "
+        f"FROM benchmark)),\n{search_ctes()}\n"
+        "SELECT query_id, CAST(hit_rank AS BIGINT) AS hit_rank, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, doc_date, "
+        "round(score, 4) AS score, CAST(rank_bm25 AS BIGINT) AS rank_bm25, CAST(rank_cos AS BIGINT) AS rank_cos FROM hits")
+
+
+def context_ctes(key: str, top: str) -> str:
+    """``hits`` for the question about metric ``key``; ``top`` is a relation (dimension, segment) of one row."""
+    return (f"{chunks_ctes()},\nqs AS (SELECT 'ctx' AS query_id, '{catalogue()[key].name} ' || dimension || ' ' || segment || "
+            f"' why did the metric change' AS qtext, 'en' AS ds, DATE '{WINDOW_LO}' AS lo, DATE '{WINDOW_HI}' AS hi, 'w' AS win FROM {top}),\n"
+            f"{search_ctes()}")
+
+
+DOCUMENT = ("'D' || hit_rank AS doc_ref, doc_id, replace(doc_id, '_', ' ') AS title, 'document' AS type, doc_date AS date, "
+            "substr(text, 1, 500) AS excerpt, CAST(hit_rank AS BIGINT) AS hit_rank")
+
+
+def find_context_sql(key: str = "order_count") -> str:
+    model, spec = tpch_model(), catalogue()[key]
+    return (f"WITH RECURSIVE {analysis_ctes(model, key, spec)},\nfirst_one AS (SELECT dimension, segment FROM cand WHERE candidate_rank = 1),\n"
+            f"{context_ctes(key, 'first_one')}\nSELECT {DOCUMENT} FROM hits")
+
+
+def rrf_sql(k: int = 5) -> str:
+    return ("WITH e AS (SELECT label, vec_id, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in embedding])) AS long, "
+            "CAST(embedding[1] AS DOUBLE) AS first FROM embeddings),\n"
+            "r AS (SELECT label AS query_id, vec_id, ROW_NUMBER() OVER (PARTITION BY label ORDER BY round(long, 6) DESC, vec_id) AS a, "
+            "ROW_NUMBER() OVER (PARTITION BY label ORDER BY round(first, 6) DESC, vec_id) AS b FROM e),\n"
+            "f AS (SELECT query_id, vec_id, 1.0 / (60 + a) + 1.0 / (60 + b) AS score FROM r)\n"
+            "SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, round(score, 6) AS score, hit_rank FROM (SELECT *, CAST(ROW_NUMBER() OVER "
+            f"(PARTITION BY query_id ORDER BY score DESC, vec_id) AS BIGINT) AS hit_rank FROM f) WHERE hit_rank <= {k}")
+
+
+def chunk_store_sql() -> str:
+    ctes = chunks_ctes().replace("> 900 THEN", "> (CASE WHEN r.dataset = 'en' THEN 400 ELSE 900 END) THEN")
+    return (f"WITH RECURSIVE {ctes} SELECT dataset, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, doc_date, "
+            "CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM chunks")
+
+
+def evidence_sql(key: str, planted: bool = False) -> str:
+    """One row per field of the evidence document."""
+    spec = catalogue()[key]
+
+    def field(part, pos, name, src, text=False, expr=None):
+        x = f"CAST({expr or name} AS VARCHAR)" if text else f"CAST({expr or name} AS DOUBLE)"
+        num = f"TRY_CAST({x} AS DOUBLE)"
+        return (f"SELECT '{part}' AS part, CAST({pos} AS BIGINT) AS pos, '{name}' AS field, round({num}, 4) AS num, "
+                f"CASE WHEN {num} IS NULL THEN CAST({x} AS VARCHAR) END AS txt FROM {src} WHERE {x} IS NOT NULL")
+
+    rows = [field("top_candidates", "rank - 1", n, "top5", text=n in ("dimension", "segment"))
+            for n in ("dimension", "segment", "value_a", "value_b", "change", "abnormal_change", "share_of_change", "duplicate_rate_b")]
+    rows += [field("drill_down_inside_top_candidate", "drill_rank - 1", n, "(SELECT * FROM drill WHERE drill_rank <= 3)", text=n in ("dimension", "segment"))
+             for n in ("dimension", "segment", "value_a", "value_b", "share_of_change_within")]
+    rows += [field("data_quality_findings", 0, n, "finds", expr=e, text=n == "table_name")
+             for n, e in (("table_name", "table_name"), ("duplicate_rate_a", "ra"), ("duplicate_rate_b", "rb"), ("increase", "rb - ra"))]
+    rows += [field("overall_change", 0, n, "chg") for n in ("value_a", "value_b", "delta", "pct_change")]
+    rows += [field("confidence", 0, "confidence", "conf", text=True)]
+    rows += [field("related_documents", "hit_rank - 1", n, f"(SELECT {DOCUMENT} FROM hits)", text=True)
+             for n in ("doc_ref", "doc_id", "title", "type", "date", "excerpt")]
+    first = "(SELECT dimension, segment FROM ranked_all WHERE rank = 1)"
+    return (merged_sql(key, planted).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f",\n{drill_ctes(spec.kind)},\n"
+            "top5 AS (SELECT a.rank, a.dimension, a.segment, c.value_a, c.value_b, c.change, c.abnormal_change, a.share_of_change, a.duplicate_rate_b "
+            "FROM ranked_all a LEFT JOIN cand c ON c.dimension = a.dimension AND c.segment = a.segment WHERE a.rank <= 5),\n"
+            f"first_one AS {first},\n{context_ctes(key, 'first_one')}\n" + "\nUNION ALL ".join(rows))
+
+
+def report_check_sql() -> str:
+    model, spec = tpch_model(), catalogue()["order_count"]
+    return (f"WITH {analysis_ctes(model, 'order_count', spec)} SELECT 'order_count' AS report_id, CAST(4 AS BIGINT) AS pos, "
+            "format('{:,}', CAST(value_b + 1234 AS BIGINT)) AS raw, value_b + 1234 AS value FROM chg")
+
+
+def query_log_sql() -> str:
+    model, spec = tpch_model(), catalogue()["order_count"]
+    steps = [("overall change", "chg"), ("ranking", "ranked"), ("candidates", "cand"), ("drill-down", "(SELECT * FROM drill WHERE drill_rank <= 3)"),
+             ("duplicate check", f"({dup_counts_sql('order_count')})")]
+    # only tables that the metric reads are checked for duplicates
+    steps[4] = ("duplicate check", f"(SELECT * FROM ({dup_counts_sql('order_count')}) WHERE table_name = 'orders')")
+    return (f"WITH {analysis_ctes(model, 'order_count', spec)},\n{drill_ctes(spec.kind)} " + " UNION ALL ".join(
+        f"SELECT 'Q{i}' AS query_id, '{purpose}' AS purpose, COUNT(*) AS row_count FROM {src}" for i, (purpose, src) in enumerate(steps, 1)))
 
 
 def retrieval_oracles() -> dict[str, str]:
@@ -561,6 +649,13 @@ def retrieval_oracles() -> dict[str, str]:
         "r7_bm25_top10": bm25_top_sql(),
         "r9_within_window": within_window_sql(),
         "r10_search": search_sql(),
+        "r11_find_context": find_context_sql(),
+        "r8_rrf": rrf_sql(),
+        "s3_chunk_store": chunk_store_sql(),
+        "a15_evidence_order_count": evidence_sql("order_count"),
+        "a15_evidence_planted_duplicates": evidence_sql("item_revenue", planted=True),
+        "g3_report_check": report_check_sql(),
+        "u1_query_log": query_log_sql(),
     }
 
 
@@ -604,7 +699,7 @@ PLANTED_EVENTS = ("SELECT * FROM events UNION ALL SELECT e.* FROM events e, rang
                   "WHERE e.event_type = 'click' AND CAST(e.ts AS DATE) = DATE '2024-01-15'")
 
 # the number pattern without look-behind (DuckDB's regex has none): a consumed prefix, group 2
-DUCK_NUMBER = r"(^|[^\w.])([-+]?\d[\d,]*(?:\.\d+)?)"
+DUCK_NUMBER = r"(^|[^\p{L}\p{N}_.])([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)"
 
 
 def _numbers_sql(src: str, key: str, text: str) -> str:
@@ -636,6 +731,14 @@ def evidence_values_sql() -> str:
     return f"WITH {REPORT_CTES} SELECT report_id, round(value, 6) AS value FROM evx"
 
 
+def nested_evidence_sql() -> str:
+    return ("WITH p AS (SELECT o_custkey AS report_id, COUNT(*) AS n, CAST(MAX(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS most, "
+            "CAST(MIN(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS least FROM orders GROUP BY 1),\n"
+            "v AS (SELECT report_id, unnest([CAST(n AS DOUBLE), least, most, (n + 20) * 1000.0, -least]) AS v FROM p)\n"
+            "SELECT DISTINCT report_id, round(x, 6) AS value FROM (SELECT report_id, unnest([v, abs(v), v * 100, abs(v) * 100]) AS x FROM v "
+            "UNION ALL SELECT report_id, CAST(unnest(range(0, 11)) AS DOUBLE) FROM p)")
+
+
 def unsupported_sql() -> str:
     return (
         f"WITH {REPORT_CTES},\n"
@@ -671,6 +774,7 @@ def more_oracles() -> dict[str, str]:
         "g1_extract_numbers": extract_numbers_sql(),
         "g2_evidence_values": evidence_values_sql(),
         "g3_unsupported_numbers": unsupported_sql(),
+        "g2_nested_evidence": nested_evidence_sql(),
         "j1_extract_json": extract_json_sql(),
     }
 
@@ -679,12 +783,13 @@ def more_oracles() -> dict[str, str]:
 RUNS_CTE = (
     "cv AS (SELECT *, 'run-' || lpad(CAST(conv_id AS VARCHAR), 6, '0') AS run_id FROM conversations),\n"
     "per AS (SELECT run_id, conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question, "
-    "COUNT(*) AS turns, arg_max(text, turn) AS last_text FROM cv GROUP BY run_id, conv_id),\n"
+    "COUNT(*) AS turns, arg_max(text, turn) AS last_text, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS answer "
+    "FROM cv GROUP BY run_id, conv_id),\n"
     "runs AS (SELECT run_id, conv_id, COALESCE(question, '') AS question, "
     "CASE WHEN conv_id % 2 = 0 THEN 'lab' ELSE 'public' END AS dataset, "
     "CASE WHEN conv_id % 5 = 0 THEN 'insufficient_evidence' ELSE 'completed' END AS status, "
     "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) AS created_at, turns, "
-    "CAST(turns * 1.5 AS DOUBLE) AS duration_s, last_text FROM per)")
+    "CAST(turns * 1.5 AS DOUBLE) AS duration_s, last_text, answer FROM per)")
 
 
 def list_runs_sql() -> str:
@@ -710,19 +815,131 @@ def usage_rollup_sql() -> str:
             "FROM runs GROUP BY dataset")
 
 
+def jstr(x: str) -> str:
+    """The value as a JSON string of printable ASCII, or null."""
+    special = " ".join(f"WHEN c = {c} THEN '{e}'" for c, e in (
+        ("'\"'", '\\"'), ("'\\'", "\\\\"), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t"), ("chr(8)", "\\b"), ("chr(12)", "\\f")))
+    return (f"(CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || array_to_string([CASE {special} WHEN unicode(c) < 32 OR unicode(c) > 126 "
+            f"THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') ELSE c END for c in string_split({x}, '')], '') || '\"' END)")
+
+
+def jobj(**fields: str) -> str:
+    """A JSON object with sorted keys; values are SQL expressions of JSON texts."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {fields[k]}" for k in sorted(fields)) + " || '}'"
+
+
+GENESIS = "0" * 64
+RUN_QUERIES = (
+    "rq AS (SELECT run_id, 'Q' || ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY turn) AS query_id, text, length(text) AS n, "
+    "CASE WHEN turn % 5 = 4 THEN 'timeout' END AS error FROM cv WHERE role = 'assistant'),\n"
+    "rqs AS (SELECT run_id, COUNT(*) AS n_queries, string_agg("
+    + jobj(query_id=jstr("query_id"), sql_executed=jstr("text"), row_count="CAST(n AS VARCHAR)", error=jstr("error"))
+    + ", ',' ORDER BY query_id) AS q FROM rq GROUP BY 1)")
+
+
+def snapshots(runs: str) -> str:
+    """Digest and recorded payload of every run."""
+    models = "CASE WHEN conv_id % 2 = 0 THEN '[\"model-b\",\"model-a\"]' ELSE '[\"model-a\"]' END"
+    snap = jobj(run_id=jstr("run_id"), question=jstr("question"), dataset=jstr("dataset"), status=jstr("status"), models=models,
+                report="(" + jobj(summary=jstr("answer"), turns="CAST(turns AS VARCHAR)") + ")",
+                created_at="'\"' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '+00:00\"'", queries="'[' || COALESCE(q, '') || ']'")
+    payload = jobj(digest=jstr("digest"), question=jstr("question"), status=jstr("status"), models=models, queries="CAST(n_queries AS VARCHAR)")
+    return (f"(SELECT *, {payload} AS payload FROM (SELECT r.*, COALESCE(n_queries, 0) AS n_queries, sha256({snap}) AS digest "
+            f"FROM {runs} r LEFT JOIN rqs USING (run_id)))")
+
+
+def entry_hash(seq="seq", event="event", run_id="run_id", payload="payload", at="at", prev="prev_hash") -> str:
+    return "sha256(" + jobj(seq=f"CAST({seq} AS VARCHAR)", event=jstr(event), run_id=jstr(run_id), payload=payload, at=jstr(at), prev_hash=jstr(prev)) + ")"
+
+
+ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+PER_RUN_LOG = (
+    f"{RUNS_CTE},\n{RUN_QUERIES},\nsnap AS {snapshots('runs')},\n"
+    f"e1 AS (SELECT *, {entry_hash()} AS hash FROM (SELECT CAST(1 AS BIGINT) AS seq, 'run_recorded' AS event, run_id, payload, "
+    f"{ISO.format('created_at')} AS at, '{GENESIS}' AS prev_hash FROM snap)),\n"
+    f"e2 AS (SELECT *, {entry_hash()} AS hash FROM (SELECT CAST(2 AS BIGINT) AS seq, 'feedback' AS event, r.run_id, "
+    + jobj(rating="CAST(CAST(conv_id // 2 AS BIGINT) % 3 - 1 AS VARCHAR)", comment=jstr("last_text"))
+    + f" AS payload, {ISO.format('created_at + INTERVAL 30 SECOND')} AS at, e1.hash AS prev_hash FROM runs r JOIN e1 USING (run_id) "
+    "WHERE conv_id % 2 = 0)),\nlog AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2)")
+NUM = "CAST(substr(run_id, 5, 6) AS INTEGER)"
+TAMPERED = (f"t AS (SELECT seq, event, run_id, CASE WHEN {NUM} % 13 = 0 AND seq = 1 THEN replace(payload, '\"status\":\"', '\"status\":\"x') "
+            f"ELSE payload END AS payload, at, prev_hash, hash FROM log WHERE NOT ({NUM} % 17 = 0 AND seq = 1))")
+CHANGED_RUNS = (f"runs2 AS (SELECT * REPLACE (CASE WHEN {NUM} % 11 = 0 THEN question || '!' ELSE question END AS question) FROM runs "
+                f"WHERE {NUM} % 19 <> 0),\nsnap2 AS {snapshots('runs2')}")
+CHAIN_MESSAGE = "audit entry altered, removed or out of order"
+
+
+def bad_chain(log: str, by: str = "") -> str:
+    over = f"OVER ({by} ORDER BY seq)"
+    return (f"SELECT seq, CAST(NULL AS VARCHAR) AS run_id, '{CHAIN_MESSAGE}' AS problem FROM (SELECT *, COALESCE(lag(hash) {over}, '{GENESIS}') AS pv "
+            f"FROM {log}) WHERE prev_hash <> pv OR hash <> {entry_hash(prev='pv')}")
+
+
+def bad_runs(log: str, snap: str) -> str:
+    return ("SELECT seq, l.run_id, CASE WHEN s.digest IS NULL THEN 'run deleted' ELSE 'run or its queries changed after they were recorded' END "
+            f"AS problem FROM {log} l LEFT JOIN {snap} s USING (run_id) WHERE event IN ('run_recorded', 'run_baselined') "
+            "AND (s.digest IS NULL OR s.digest IS DISTINCT FROM json_extract_string(l.payload, '$.digest'))")
+
+
+def not_logged(log: str, runs: str) -> str:
+    return (f"SELECT CAST(NULL AS BIGINT) AS seq, run_id, 'run has no audit entry (inserted outside the app?)' AS problem FROM {runs} "
+            f"WHERE run_id NOT IN (SELECT run_id FROM {log} WHERE event IN ('run_recorded', 'run_baselined'))")
+
+
+def problems(runs: str, snap: str) -> str:
+    return f"{bad_chain('t', 'PARTITION BY run_id')} UNION ALL {bad_runs('t', snap)} UNION ALL {not_logged('t', runs)}"
+
+
+def audit_oracles() -> dict[str, str]:
+    single = (f"one AS (SELECT ROW_NUMBER() OVER (ORDER BY created_at, run_id) AS seq, 'run_recorded' AS event, run_id, payload, "
+              f"{ISO.format('created_at')} AS at FROM snap),\n"
+              f"ch AS (SELECT *, '{GENESIS}' AS prev_hash, {entry_hash(prev=chr(39) + GENESIS + chr(39))} AS hash FROM one WHERE seq = 1 UNION ALL "
+              f"SELECT o.seq, o.event, o.run_id, o.payload, o.at, ch.hash, {entry_hash('o.seq', 'o.event', 'o.run_id', 'o.payload', 'o.at', 'ch.hash')} "
+              "FROM ch JOIN one o ON o.seq = ch.seq + 1),\n"
+              "bad AS (SELECT seq, event, run_id, CASE WHEN seq % 50 = 7 THEN replace(payload, '\"status\":\"', '\"status\":\"x') ELSE payload END AS payload, "
+              "at, prev_hash, hash FROM ch WHERE seq % 70 <> 69)")
+    no_digest = (f"ld AS (SELECT seq, event, run_id, CASE WHEN {NUM} % 23 = 0 THEN regexp_replace(payload, '\"digest\":\"[0-9a-f]*\",', '') "
+                 "ELSE payload END AS payload FROM log)")
+    base = (f"b AS (SELECT CAST(1 AS BIGINT) AS seq, 'run_baselined' AS event, run_id, payload, '2024-02-01T00:00:00+00:00' AS at, "
+            f"'{GENESIS}' AS prev_hash FROM snap WHERE {NUM} % 3 = 0)")
+    at = re.compile(r"(?<![\"\w'])at(?![\"\w:'])")  # the column's name is a keyword here
+    return {name: at.sub('"at"', sql) for name, sql in {
+        "u3_run_digests": f"WITH {PER_RUN_LOG} SELECT run_id, digest, CAST(n_queries AS BIGINT) AS n_queries FROM snap",
+        "u4_audit_append_per_run": f"WITH {PER_RUN_LOG} SELECT seq, event, run_id, payload, at, prev_hash, hash FROM log",
+        "u5_verify_chain": f"WITH RECURSIVE {PER_RUN_LOG},\n{single} {bad_chain('bad')}",
+        "u6_verify_runs": f"WITH {PER_RUN_LOG},\n{CHANGED_RUNS},\n{no_digest} SELECT run_id, seq, problem FROM ({bad_runs('ld', 'snap2')})",
+        "u7_unlogged_runs": f"WITH {PER_RUN_LOG},\n{TAMPERED} {not_logged('t', 'runs')}",
+        "u8_audit_problems_tampered": f"WITH {PER_RUN_LOG},\n{TAMPERED},\n{CHANGED_RUNS} {problems('runs2', 'snap2')}",
+        "u8_verify_audit_tampered": f"WITH {PER_RUN_LOG},\n{TAMPERED} SELECT COUNT(*) = 0 AS intact, (SELECT COUNT(*) FROM t) AS entries, "
+                                    f"COUNT(*) AS problems FROM ({problems('runs', 'snap')})",
+        "u9_baseline_runs": f"WITH {PER_RUN_LOG},\n{base} SELECT run_id, seq, event, payload, {entry_hash()} AS hash FROM b",
+        "u10_audit_tail": f"WITH {PER_RUN_LOG} SELECT run_id, seq, event, at, hash FROM log ORDER BY at DESC, run_id, seq DESC LIMIT 50",
+        "u11_run": f"WITH {RUNS_CTE} SELECT run_id, question, dataset, status, round(duration_s, 6) AS duration_s FROM runs WHERE run_id = 'run-000042'",
+        "s5_saved_runs": f"WITH {PER_RUN_LOG} SELECT dataset, COUNT(*) AS runs, CAST(SUM(n_queries) AS BIGINT) AS queries, "
+                         "CAST(SUM(f) AS BIGINT) AS feedback, CAST(SUM(e) AS BIGINT) AS entries FROM (SELECT r.run_id, r.dataset, "
+                         "rqs.n_queries, NULLIF(COUNT(l.run_id) FILTER (WHERE event = 'feedback'), 0) AS f, COUNT(l.run_id) AS e FROM runs r "
+                         "LEFT JOIN rqs USING (run_id) JOIN log l USING (run_id) GROUP BY ALL) GROUP BY dataset",
+    }.items()}
+
+
 def runlog_oracles() -> dict[str, str]:
     return {"u10_list_runs": list_runs_sql(), "u12_feedback_rollup": feedback_rollup_sql(),
             "u13_usage_rollup": usage_rollup_sql()}
 
 
 def profile_oracles() -> dict[str, str]:
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+             "pages", "benchmark", "labels", "conversations")
+    kinds = " ".join(f"WHEN '{d}' THEN '{k}'" for d, k in (
+        ("BIGINT", "bigint"), ("INTEGER", "int"), ("VARCHAR", "string"), ("DOUBLE", "double"), ("TIMESTAMP", "timestamp_ntz"), ("FLOAT[]", "array<float>")))
     tables = " UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count FROM {n}"
                                 for n in names)
     return {
         "s6_profile_date_range": "SELECT min(o_orderdate) AS min_date, max(o_orderdate) AS max_date, "
                                  "CAST(COUNT(*) AS BIGINT) AS row_count FROM orders",
         "s6_profile_tables": tables,
+        "s6_profile_columns": "SELECT table_name, CAST(column_index AS BIGINT) AS ordinal_position, column_name, "
+                              f"CASE data_type {kinds} ELSE data_type END AS data_type FROM duckdb_columns() WHERE table_name IN {names}",
         "u11_queries_of_run": (
             "SELECT run_id, 'Q' || CAST(ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY turn) AS VARCHAR) AS query_id, "
             "text AS sql_executed, CAST(length(text) AS BIGINT) AS row_count, CAST(turn * 7 AS BIGINT) AS duration_ms, "

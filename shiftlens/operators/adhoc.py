@@ -1,18 +1,23 @@
-"""Ad-hoc questions (Q1, Q2): a read query with a row cap and preview, and top-k groups."""
+"""Ad-hoc questions (Q1, Q2): a read query with an optional row cap and preview, and top-k groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_ROWS = 1000      # default cap on an ad-hoc result
 PREVIEW_ROWS = 10    # rows shown back with an answer
 
 
-def ask_sql(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Q1: run a read query on the registered views with a row cap (the cap is the feature: an
-    ad-hoc answer never returns more than ``max_rows``). ``LIMIT`` is pushed into the plan."""
-    return spark.sql(sql).limit(max_rows)
+def ask_sql(spark: SparkSession, sql: str, max_rows: int | None = None) -> DataFrame:
+    """Q1: run a read query on the registered views. With ``max_rows`` at most so many rows come back, and a
+    column ``truncated`` tells whether there were more."""
+    df = spark.sql(sql)
+    if max_rows is None:
+        return df
+    # one row more than wanted tells; the cap bounds what meets in one place
+    got = df.limit(max_rows + 1)
+    n = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return got.withColumn("truncated", F.count(F.lit(1)).over(n) > max_rows).limit(max_rows)
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

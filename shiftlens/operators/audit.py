@@ -8,7 +8,7 @@ its fields and the previous entry's hash; the first entry of a chain follows 64
   one chain per key in parallel (an extension); without it there is one chain, as in the original
   design, and the new entries of that chain are hashed in one task.
 - Verifying (U5) is parallel: an entry's expected hash uses only the previous entry's **stored**
-  hash. A single chain is cut into sequence buckets; inside a bucket a ``lag`` gives the
+  hash. A chain is cut into sequence buckets; inside a bucket a ``lag`` gives the
   predecessor, and the first entry of a bucket takes the last stored hash of the nearest earlier
   non-empty bucket (one small per-bucket table). No task holds the whole log.
 - The payload is hashed as stored (canonical text); a whitespace-only edit is therefore reported,
@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +48,25 @@ BUCKET_ROWS = 1 << 20
 def py_timestamp_text(ts) -> Column:
     """``str(datetime)`` of a UTC instant: ``YYYY-MM-DD HH:MM:SS[.ffffff]+00:00``."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    micros = F.unix_micros(ts.cast("timestamp")) % 1000000
+    micros = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1000000))
     frac = F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(F.lit(""))
-    return F.when(ts.isNull(), F.lit(None)).otherwise(
-        F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), frac, F.lit("+00:00")))
+    return F.when(ts.isNull(), F.lit(None)).otherwise(F.concat(utc_seconds(ts), frac, F.lit("+00:00")))
+
+
+def utc_ntz(ts: Column) -> Column:
+    """Wall clock of an instant in UTC, whatever the session's time zone."""
+    seconds = F.floor(F.unix_micros(ts.cast("timestamp")) / 1000000)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def utc_seconds(ts: Column) -> Column:
+    return utc_ntz(ts).cast("string")
+
+
+def utc_iso(ts) -> Column:
+    """``YYYY-MM-DDTHH:MM:SS+00:00``."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.concat(F.replace(utc_seconds(ts), F.lit(" "), F.lit("T")), F.lit("+00:00"))
 
 
 # ---- U3 -----------------------------------------------------------------------------------------
@@ -57,7 +74,8 @@ def run_snapshots(runs: DataFrame, queries: DataFrame) -> DataFrame:
     """``(run_id, snapshot, digest, question, status, models, n_queries)`` per run.
 
     The snapshot holds the run's fields and its queries ordered by id (text order). ``report``
-    is stored canonical JSON text and embedded as is."""
+    is stored canonical JSON text and embedded as is. A digest covers one text, so the queries of
+    one run are put together in one row: a run must fit in a task's memory."""
     q = queries.select("run_id", "query_id", json_object({
         "query_id": json_str("query_id"), "sql_executed": json_str("sql_executed"),
         "row_count": json_int("row_count"), "error": json_str("error")}).alias("_q"))
@@ -104,8 +122,9 @@ def _chain_batches(batches):
                              last_hash if isinstance(last_hash, str) else GENESIS)
             seq, prev = state[ch]
             seq += 1
-            entry = {"seq": seq, "event": ev, "run_id": str(run_id), "payload": json.loads(payload), "at": at,
-                     "prev_hash": prev}
+            held = json.loads(payload)
+            payload = json.dumps(held, sort_keys=True, separators=(",", ":"))  # stored as it is hashed
+            entry = {"seq": seq, "event": ev, "run_id": str(run_id), "payload": held, "at": at, "prev_hash": prev}
             h = hashlib.sha256(json.dumps(entry, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
             rows.append((ch, seq, ev, str(run_id), payload, at, prev, h))
             state[ch] = (seq, h)
@@ -115,6 +134,7 @@ def _chain_batches(batches):
 def append_audit(log: DataFrame | None, events: DataFrame, order: str, chain_by: str | None = None) -> DataFrame:
     """U4: new entries for ``events (event, run_id, payload, at, <order>)``, chained after ``log``.
 
+    Payloads are JSON in any form; the entry stores the canonical text that its hash covers.
     Returns the new entries only (append them to the stored log). With ``chain_by`` each key has
     its own chain and sequence; chains are hash-partitioned and hashed in parallel, one Python
     pass per partition (not per chain)."""
@@ -125,7 +145,7 @@ def append_audit(log: DataFrame | None, events: DataFrame, order: str, chain_by:
         lkey = F.col(chain_by) if chain_by else F.lit("")
         last = (log.select(lkey.cast("string").alias("_chain"), "seq", "hash").groupBy("_chain")
                 .agg(F.max("seq").alias("_last_seq"), F.max_by("hash", "seq").alias("_last_hash")))
-        ev = ev.join(F.broadcast(last) if not chain_by else last, "_chain", "left")
+        ev = ev.join(last, "_chain", "left")
     else:
         ev = ev.withColumn("_last_seq", F.lit(None).cast("bigint")).withColumn("_last_hash", F.lit(None).cast("string"))
     ordered = ev.repartition("_chain").sortWithinPartitions("_chain", "_o").drop("_o")
@@ -141,20 +161,16 @@ def expected_hash(seq, event, run_id, payload, at, prev) -> Column:
 def verify_chain(log: DataFrame, chain_by: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Entries whose stored previous hash or own hash does not match, ``(seq, run_id, problem)``.
 
-    ``chain_by``: one chain per key (window per key). Without it: one chain, verified in sequence
-    buckets as described in the module notes."""
-    if chain_by:
-        w = Window.partitionBy(chain_by).orderBy("seq")
-        prev = F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))
-        chk = log.withColumn("_prev", prev)
-    else:
-        b = log.withColumn("_bucket", F.floor(F.col("seq") / F.lit(bucket_rows)))
-        last = b.groupBy("_bucket").agg(F.max_by("hash", "seq").alias("_bucket_last"))
-        wb = Window.orderBy("_bucket")  # one row per bucket: a small table
-        carry = last.select("_bucket", F.lag("_bucket_last").over(wb).alias("_carry"))
-        w = Window.partitionBy("_bucket").orderBy("seq")
-        chk = (b.join(F.broadcast(carry), "_bucket")
-               .withColumn("_prev", F.coalesce(F.lag("hash").over(w), F.col("_carry"), F.lit(GENESIS))))
+    ``chain_by``: one chain per key; without it there is one chain. Every chain is verified in sequence
+    buckets as described in the module notes, so a long chain is many tasks."""
+    chain = F.col(chain_by).cast("string") if chain_by else F.lit("")
+    b = log.withColumn("_chain", chain).withColumn("_bucket", F.floor(F.col("seq") / F.lit(bucket_rows)))
+    last = b.groupBy("_chain", "_bucket").agg(F.max_by("hash", "seq").alias("_bucket_last"))
+    wb = Window.partitionBy("_chain").orderBy("_bucket")  # one row per ``bucket_rows`` entries
+    carry = last.select("_chain", "_bucket", F.lag("_bucket_last").over(wb).alias("_carry"))
+    w = Window.partitionBy("_chain", "_bucket").orderBy("seq")
+    chk = (b.join(carry, ["_chain", "_bucket"])
+           .withColumn("_prev", F.coalesce(F.lag("hash").over(w), F.col("_carry"), F.lit(GENESIS))))
     bad = (F.col("prev_hash") != F.col("_prev")) | (
         F.col("hash") != expected_hash(F.col("seq"), F.col("event"), F.col("run_id"), F.col("payload"), F.col("at"),
                                        F.col("_prev")))
@@ -168,7 +184,7 @@ def verify_runs(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     entries = log.filter(F.col("event").isin(*RUN_EVENTS)).select(
         "seq", "run_id", F.get_json_object("payload", "$.digest").alias("_logged"))
     j = entries.join(snapshots.select("run_id", F.col("digest").alias("_now")), "run_id", "left")
-    return j.filter(F.col("_now").isNull() | (F.col("_now") != F.col("_logged"))).select(
+    return j.filter(F.col("_now").isNull() | ~F.col("_now").eqNullSafe(F.col("_logged"))).select(
         "seq", "run_id", F.when(F.col("_now").isNull(), F.lit(RUN_DELETED)).otherwise(F.lit(RUN_CHANGED))
         .alias("problem"))
 
@@ -218,7 +234,7 @@ def record_runs(log: DataFrame | None, runs: DataFrame, queries: DataFrame, chai
     keep = [chain_by] if chain_by and chain_by != "run_id" else []
     events = (run_event_payload(snaps).join(runs.select("run_id", "created_at", *keep), "run_id")
               .select(F.lit("run_recorded").alias("event"), "run_id", "payload",
-                      F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("at"),
+                      utc_iso("created_at").alias("at"),
                       F.struct("created_at", "run_id").alias("_ord"), *keep))
     return append_audit(log, events, "_ord", chain_by)
 
@@ -227,7 +243,7 @@ def feedback_events(feedback: DataFrame) -> DataFrame:
     """Feedback rows as audit events (payload ``{"comment", "rating"}``)."""
     return feedback.select(F.lit("feedback").alias("event"), "run_id",
                            json_object({"rating": json_int("rating"), "comment": json_str("comment")}).alias("payload"),
-                           F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("at"),
+                           utc_iso("created_at").alias("at"),
                            F.struct("created_at", "run_id").alias("_ord"))
 
 
@@ -239,8 +255,8 @@ def list_runs(runs: DataFrame, n: int = 20) -> DataFrame:
 
 
 def audit_tail(log: DataFrame, n: int = 50) -> DataFrame:
-    """Latest ``n`` audit entries."""
-    return log.orderBy(F.col("seq").desc()).limit(n)
+    """Latest ``n`` audit entries by time; entries of one time by run and falling sequence."""
+    return log.orderBy(F.col("at").desc(), "run_id", F.col("seq").desc()).limit(n)
 
 
 def get_run(runs: DataFrame, run_id: str) -> DataFrame:
@@ -269,35 +285,61 @@ def feedback_rollup(feedback: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def usage_rollup(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Calls, tokens, cost (6 places), latency (2 places) and the sorted distinct models."""
+    """Calls, tokens, cost (6 places), latency (2 places) and the sorted distinct models.
+
+    Models are told apart before they are listed, so a list is as long as there are models."""
     by = by or []
-    u = runs.select(*by, F.from_json("usage", USAGE_SCHEMA).alias("u"))
-    return u.groupBy(*by).agg(
+    names = [f"_by{i}" for i in range(len(by))]
+    u = runs.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.lit(0).alias("_one"), F.from_json("usage", USAGE_SCHEMA).alias("u"))
+    models = (u.select(*names, "_one", F.explode("u.models").alias("m")).distinct().groupBy(*names, "_one")
+              .agg(F.sort_array(F.collect_list("m")).alias("models")))
+    sums = u.groupBy(*names, "_one").agg(
         F.sum("u.calls").alias("calls"), F.sum("u.prompt_tokens").alias("prompt_tokens"),
         F.sum("u.completion_tokens").alias("completion_tokens"),
-        F.round(F.sum("u.cost_usd"), 6).alias("cost_usd"), F.round(F.sum("u.latency_s"), 2).alias("latency_s"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce(
-            "u.models", F.array().cast("array<string>")))))).alias("models"))
+        F.round(F.sum("u.cost_usd"), 6).alias("cost_usd"), F.round(F.sum("u.latency_s"), 2).alias("latency_s"))
+    same = [F.col(f"s.{n}").eqNullSafe(F.col(f"m.{n}")) for n in [*names, "_one"]]
+    return (sums.alias("s").join(models.alias("m"), same, "left")
+            .select(*[F.col(f"s.{n}").alias(b) for n, b in zip(names, by)], "calls", "prompt_tokens", "completion_tokens", "cost_usd",
+                    "latency_s", F.coalesce("models", F.array().cast("array<string>")).alias("models")))
 
 
 # ---- U1 -----------------------------------------------------------------------------------------
+LOG_ENTRY = ("query_id string, purpose string, sql_executed string, row_count bigint, duration_ms bigint, error string, "
+             "preview string")
+
+
 def query_log_entry(spark: SparkSession, df: DataFrame, query_id: str, purpose: str, sql_text: str,
-                    preview_rows: int = 10) -> DataFrame:
-    """Run ``df`` once and describe it: ``(query_id, purpose, sql_executed, row_count,
-    duration_ms, error, preview)``. The count and the preview are Spark aggregates; only the
-    one-row description reaches the driver."""
+                    preview_rows: int = 10, error_chars: int | None = None) -> DataFrame:
+    """Run ``df`` once and describe it in one row of ``LOG_ENTRY``.
+
+    Every task counts its rows and keeps the first ``preview_rows`` of them as JSON; one aggregate adds the
+    counts and takes the first rows in order of partition. A failed query has its error's first line
+    (cut to ``error_chars`` if given) and no row count."""
     import time
     t0 = time.time()
-    err, n, prev = None, None, "[]"
+
+    def count(batches):
+        n, first = 0, []
+        for b in batches:
+            n += b.num_rows
+            if len(first) < preview_rows:
+                first += b.column(0).slice(0, preview_rows - len(first)).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([first], pa.list_(pa.string()))], names=["n", "first"])
+
+    err, n, shown = None, None, "[]"
     try:
-        row = df.agg(F.count(F.lit(1)).alias("n")).first()
-        n = int(row["n"])
-        pv = df.limit(preview_rows).select(F.to_json(F.struct(*df.columns)).alias("j")) \
-            .agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("p")).first()
-        prev = pv["p"]
+        parts = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).mapInArrow(count, "n bigint, first array<string>")
+        row = parts.select(F.spark_partition_id().alias("p"), "n", "first").agg(
+            F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(F.size("first") > 0, F.struct("p", "first")))).alias("f")).first()
+        n = int(row["n"] or 0)
+        shown = "[" + ",".join([j for part in row["f"] for j in part["first"]][:preview_rows]) + "]"
     except Exception as ex:  # noqa: BLE001 - the error text is part of the log
-        err, n = str(ex).splitlines()[0][:500], None  # a failed query has no row count
+        err = str(ex).splitlines()[0][:error_chars]
     ms = int((time.time() - t0) * 1000)
-    return spark.createDataFrame([(query_id, purpose, sql_text, n, ms, err, prev)],
-                                 "query_id string, purpose string, sql_executed string, row_count bigint, "
-                                 "duration_ms bigint, error string, preview string")
+    return spark.createDataFrame([(query_id, purpose, sql_text, n, ms, err, shown)], LOG_ENTRY)
+
+
+def log_queries(spark: SparkSession, steps: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    """U1 for the steps (purpose, text, result) of one investigation: entries ``Q1``, ``Q2``, ... in order."""
+    return reduce(DataFrame.unionByName, [query_log_entry(spark, df, f"Q{i}", purpose, text)
+                                          for i, (purpose, text, df) in enumerate(steps, 1)])

@@ -1,8 +1,8 @@
 """Change analysis: overall change, segment pivots, abnormal-change ranking, mix/rate split,
 top candidates, drill-down, duplicate-rate findings and confidence.
 
-Every per-dimension denominator is a small ``groupBy(dimension)`` aggregate (one row per
-dimension of the model) joined back by broadcast, never a window over a whole dimension.
+Every per-group denominator is a ``groupBy`` aggregate joined back, never a window over a whole group; only
+tables with one row per dimension of the model are broadcast by a hint.
 Top-k per dimension is ``row_number() <= k``, which Spark plans as a partial group limit before
 the shuffle.
 """
@@ -65,7 +65,7 @@ def segment_contributions(df: DataFrame, group: str, a: str, b: str) -> DataFram
     """
     d = df.withColumn("delta", F.col(b) - F.col(a))
     sums = d.groupBy(group).agg(F.sum("delta").alias("_total_delta"))
-    return (d.join(F.broadcast(sums), group)
+    return (d.join(sums, group)
             .withColumn("share_of_change", ratio("delta", "_total_delta"))
             .withColumn("pct_change", percent_change(a, b))
             .drop("_total_delta"))
@@ -79,7 +79,7 @@ def mix_rate_segments(df: DataFrame, num_a: str, den_a: str, num_b: str, den_b:
     w = den / group sum of den (NULL when that sum is 0); r = num / den (0 when den is 0).
     """
     sums = df.groupBy(group).agg(F.sum(den_a).alias("_sa"), F.sum(den_b).alias("_sb"))
-    d = df.join(F.broadcast(sums), group)
+    d = df.join(sums, group)
     d = (d.withColumn("weight_a", nullable_ratio(den_a, "_sa"))
           .withColumn("weight_b", nullable_ratio(den_b, "_sb"))
           .withColumn("rate_a", ratio(num_a, den_a))
@@ -112,8 +112,8 @@ def rank_segments(pivot: DataFrame, kind: str, overall: DataFrame) -> DataFrame:
     ``pivot``   - output of ``pivot_periods``
     ``overall`` - ``(dimension, overall_delta)``, one row per dimension
     Totals: ``abnormal = delta - (a / sum a) * sum delta`` (segment sums per dimension).
-    Averages: ``abnormal = rate_effect + interaction``, so a pure mix shift is never blamed on a
-    segment. Adds ``rank_in_dimension`` (|abnormal| descending, NULL last, ties by segment).
+    Averages: ``abnormal = rate_effect + interaction``; moving orders between segments with equal
+    rates leaves it at zero. Adds ``rank_in_dimension`` (|abnormal| descending, NULL last, ties by segment).
     """
     if kind == TOTAL:
         d = (pivot.withColumn("value_a", F.col("total_a")).withColumn("value_b", F.col("total_b"))
@@ -175,7 +175,7 @@ def duplicate_findings(counts: DataFrame, min_increase: float = 0.005) -> DataFr
 
 # ---- A13 ----------------------------------------------------------------------------------------
 def merge_findings(candidates: DataFrame, findings: DataFrame, table_order: list[str] | None = None) -> DataFrame:
-    """Data-quality findings first (a data bug outranks business causes), then candidates."""
+    """One list with the findings on duplicate rows before all candidates."""
     order = (F.array_position(F.array(*[F.lit(t) for t in table_order]), F.col("table_name"))
              if table_order else F.lit(0))
     dq = findings.select(

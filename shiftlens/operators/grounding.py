@@ -1,23 +1,23 @@
-"""Grounding of numbers in text (G1-G3): every number a report writes must come from evidence.
+"""Grounding of numbers in text (G1-G3): which numbers of a report no evidence value accounts for.
 
-A number is supported when some evidence value - itself, without sign, or times 100 - rounds to
-it at the precision the writer used (tolerance ``0.5 * 10^-decimals + 1e-9``); the integers
-0..10 are always allowed ("3 sellers").
+An evidence value accounts for a written number if the value, or a hundred times the value, differs from
+it by at most half a unit of the last decimal that is written (plus 1e-9), signs aside. The integers 0 to
+10 need no evidence.
 
-The support test is a range join: evidence values are bucketed by ``floor(|v|)``; a written
-number can only match values in its own bucket or the two next to it (the tolerance is at most
-0.5), so the join is an equi-join on ``(report, bucket)`` and no report pairs every number with
-every value.
+Only the nearest evidence value below and above can decide, so values and numbers are sorted together
+in buckets of width one; a number looks into its own bucket and the two beside it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------------------------
-# a number not inside a word or after a dot; optional sign, thousands commas, decimals (ASCII digits)
-NUMBER = r"(?<![\w.])[-+]?\d[\d,]*(?:\.\d+)?"
+# a number not inside a word (of any alphabet) or after a dot; optional sign, thousands commas, decimals
+NUMBER = r"(?<![\p{L}\p{N}_.])[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
+# what a JSON text holds: strings, each perhaps a key, and bare numbers
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?'
 ALWAYS_ALLOWED = list(range(0, 11))
 
 
@@ -31,6 +31,16 @@ def extract_numbers(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return found.withColumn("value", number_value(F.col("raw")))
 
 
+def json_numbers(df: DataFrame, keys: list[str], json: str) -> DataFrame:
+    """G2 (input): ``(*keys, value)`` for the numbers of an evidence document at any depth, also those written
+    inside its strings; keys, booleans and nulls hold none."""
+    token = df.select(*keys, F.explode(F.regexp_extract_all(F.col(json), F.lit(JSON_TOKEN), 0)).alias("t"))
+    token = token.filter(~(F.col("t").startswith('"') & F.col("t").endswith(":")))
+    text = F.from_json(F.concat(F.lit("["), F.col("t"), F.lit("]")), "array<string>")[0]
+    found = F.when(F.col("t").startswith('"'), F.regexp_extract_all(text, F.lit(NUMBER), 0)).otherwise(F.array("t"))
+    return token.select(*keys, F.explode(found).alias("raw")).select(*keys, number_value(F.col("raw")).alias("value"))
+
+
 def evidence_values(numbers: DataFrame, key: str = "report_id", value: str = "value") -> DataFrame:
     """Expand evidence numbers ``(key, value)`` to ``n, |n|, 100 n, 100 |n|`` plus 0..10 per key.
 
@@ -49,13 +59,23 @@ def tolerance(raw: Column) -> Column:
     return F.lit(0.5) * F.pow(F.lit(10.0), -decimals) + F.lit(1e-9)
 
 
+def _bucket(x: Column) -> Column:
+    """The whole part as a double (numbers may have any number of digits)."""
+    return x - x % 1
+
+
 def unsupported_numbers(written: DataFrame, evidence: DataFrame, key: str = "report_id") -> DataFrame:
     """The written numbers ``(key, pos, raw, value)`` that no evidence value supports."""
-    ev = evidence.select(key, F.abs("value").alias("_ev"), F.floor(F.abs("value")).alias("_b")).distinct()
-    w = written.withColumn("_x", F.abs("value")).withColumn("_tol", tolerance(F.col("raw")))
-    probes = w.select(key, "pos", "_x", "_tol", F.explode(F.array(
-        *[F.floor("_x") + d for d in (-1, 0, 1)])).alias("_b"))
-    supported = (probes.join(ev, [key, "_b"])
-                 .filter(F.abs(F.col("_x") - F.col("_ev")) <= F.col("_tol"))
-                 .select(key, "pos").distinct())
+    none = F.lit(None)
+    ev = evidence.select(key, _bucket(F.abs("value")).alias("_b"), F.abs("value").alias("_x"), F.abs("value").alias("_ev"),
+                         none.cast("int").alias("pos"), none.cast("double").alias("_tol")).distinct()
+    w = written.select(key, "pos", F.abs("value").alias("_x"), tolerance(F.col("raw")).alias("_tol"))
+    probes = w.select(key, F.explode(F.array_distinct(F.array(*[_bucket(F.col("_x")) + d for d in (-1, 0, 1)]))).alias("_b"), "_x",
+                      none.cast("double").alias("_ev"), "pos", "_tol")
+    by = Window.partitionBy(key, "_b").orderBy("_x")
+    below = F.max("_ev").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.min("_ev").over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = ev.unionByName(probes).withColumn("_lo", below).withColumn("_hi", above).filter("pos is not null")
+    supported = near.filter((F.col("_x") - F.col("_lo") <= F.col("_tol")) | (F.col("_hi") - F.col("_x") <= F.col("_tol"))) \
+        .select(key, "pos").distinct()
     return written.join(supported, [key, "pos"], "left_anti")

@@ -6,10 +6,9 @@ Plan shape (all dimensions in one pass, nothing collected):
     orders --filter(A or B)--> join dimension paths --> explode(dim, segment) --> distinct = bridge
     base x dimension list --left join bridge--> groupBy(dimension, segment, period)      = by dimension
 
-Skew: a child with many rows per order (``Join.fanout``) is joined as an inner join (which adaptive
-execution may split when one order holds a large share of the rows) plus an anti join against the
-child's distinct keys for orders without any child row. The distinct collapses copies map-side, and
-the aggregation after the union is partial before its shuffle.
+A child with many rows per order (``Join.fanout``) is scanned and shuffled once, for an inner join and an
+aggregate per order. Orders without a child row take the value of a single row of NULLs, which
+is computed from the orders alone.
 """
 
 from __future__ import annotations
@@ -55,40 +54,35 @@ def tag_periods(tables: dict[str, DataFrame], model: SemanticModel, spec: Metric
     return o.withColumn("period", F.when(in_b, F.lit("B")).otherwise(F.lit("A")))
 
 
-def _left_join_fanout(left: DataFrame, right: DataFrame, cond: Column, child_cols: list[str],
-                      parent_cols: list[str]) -> DataFrame:
-    """``left LEFT JOIN right`` for a one-to-many child, as inner join plus padded anti join."""
-    inner = left.join(right, cond, "inner")
-    keys = right.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(child_cols)]).distinct()
-    anti = left.join(keys, _and([F.col(p) == F.col(f"__k{i}") for i, p in enumerate(parent_cols)]), "left_anti")
-    padded = anti.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
-    return inner.union(padded)
-
-
 def join_path(left: DataFrame, tables: dict[str, DataFrame], model: SemanticModel, names,
               how: str = "left", inner: tuple[str, ...] = ()) -> DataFrame:
     """M2 + chained joins: parents first; ``how`` for every join except those named in ``inner``."""
     for name in model.resolve_joins(names):
         j = model.joins[name]
         right = tables[j.table].alias(j.alias)
-        child_cols = [c for c, _ in j.keys]
-        parent_cols = [p for _, p in j.keys]
         cond = _and([F.col(c) == F.col(p) for c, p in j.keys])
-        kind = "inner" if name in inner else how
-        if kind == "left" and j.fanout:
-            left = _left_join_fanout(left, right, cond, child_cols, parent_cols)
-        else:
-            left = left.join(right, cond, kind)
+        left = left.join(right, cond, "inner" if name in inner else how)
     return left
 
 
 def metric_base(tables: dict[str, DataFrame], model: SemanticModel, spec: MetricSpec) -> DataFrame:
     """M3: one value per (order, period): ``(order_key, period, v)``. Child joins are LEFT."""
     o = tag_periods(tables, model, spec)
-    joined = join_path(o, tables, model, spec.joins, how="left")
-    key = F.col(f"{model.base_alias}.{model.order_key}")
-    return (joined.groupBy(key.alias("order_key"), F.col("period"))
-            .agg(F.expr(spec.value).cast("double").alias("v")))
+    path = model.resolve_joins(spec.joins)
+    fan = tuple(n for n in path if model.joins[n].fanout)
+    keys = [F.col(f"{model.base_alias}.{model.order_key}").alias("order_key"), F.col("period")]
+    value = F.expr(spec.value).cast("double").alias("v")
+    joined = join_path(o, tables, model, spec.joins, inner=fan).groupBy(*keys).agg(value)
+    if not fan:
+        return joined
+    padded = o
+    for name in path:  # the same columns, all NULL
+        j = model.joins[name]
+        nulls = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in tables[j.table].schema.fields])
+        padded = padded.withColumn(j.alias, nulls)
+    default = padded.groupBy(*keys).agg(value).withColumnRenamed("v", "_v0")
+    return (default.join(joined.withColumn("_found", F.lit(True)), ["order_key", "period"], "left")
+            .select("order_key", "period", F.when(F.col("_found"), F.col("v")).otherwise(F.col("_v0")).alias("v")))
 
 
 def metric_total(base: DataFrame) -> DataFrame:

@@ -1,31 +1,33 @@
 """Document retrieval: front matter, paragraph packing, tokens, hashing embedder, BM25, cosine,
 reciprocal rank fusion and the hybrid search built from them (R1-R11).
 
-Scale notes for ``search``:
-
-- BM25 statistics (document count, average length, document frequency, idf) are computed per
-  query window from the filtered chunks, with ordinary aggregations.
-- Queries (with their terms, idf values and vector) are broadcast onto the chunks of their window
-  after a size check; larger query sets are processed in hash batches that each fit the bound.
-  Scores are computed inside the scan stage, so no (query, chunk) row is ever shuffled.
-- Exact fusion without sorting a whole corpus per query: only chunks in the top ``59 + 2k`` of
-  either list can reach the fused top ``k`` (a chunk ranked deeper in both lists scores at most
-  ``2 / (61 + N)``). The survivors' exact ranks are counted: every chunk records how many
-  survivors it beats, and a histogram of that number gives each survivor's rank.
+How ``search`` works (``bm25_top`` is its first scan alone):
+
+- The query set is cut into blocks of bounded bytes; what follows happens once per block.
+- BM25 statistics (document count, average length, document frequency, idf) of each query window come from
+  the filtered chunks by ordinary aggregations; only values for the block's own terms are fetched.
+- Scan 1: a task scores its chunks against the block's queries in numpy and keeps, per query and list, its
+  best ``59 + 2k``. Only these leave the task. A chunk that ranks deeper in both lists scores at
+  most ``2 / (61 + N)`` and cannot reach the fused top ``k``.
+- Scan 2: where a survivor is not among the best of the other list, its exact rank is one more than the number of
+  chunks that beat it; a task sends one count per survivor.
+- No (query, chunk) pair is written or shuffled, except each task's best.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.session import materialize, spread
-
 # ---- fixed values (they define the scores and must not drift) ---------------------------------
 SEARCH_TOKEN = "[a-z0-9_]+"   # search tokens keep the underscore
 EMBED_TOKEN = "[a-z0-9]+"     # the hashing embedder drops it
@@ -39,7 +41,8 @@ MAX_CHARS = 900
 PARAGRAPH_SEPARATOR = "\n\n"
 MARGIN_DAYS = 20
 DEFAULT_DIMS = 256
-MAX_BROADCAST_QUERIES = 2000   # queries per broadcast batch in search
+QUERY_BLOCK_BYTES = 1 << 20    # query text per block of a search
+SCAN_ROWS = 1024               # chunks that a task scores at once
 
 
 def _c(c) -> Column:
@@ -217,27 +220,6 @@ def bm25_idf(corpus: DataFrame, group: list[str], tok: str = "tok", epsilon: flo
                       .otherwise(F.col("_idf")).alias("idf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, chunk_keys: list[str], group: list[str] | None = None,
-                text: str = "text", qtext: str = "qtext") -> DataFrame:
-    """BM25 of every (query, chunk) pair sharing at least one term; ``group`` columns scope the
-    corpus statistics (the filtered set of one query window). Pairs without a shared term score 0
-    and are not emitted here (``search`` scores all pairs in place)."""
-    group = group or []
-    c = chunks.withColumn("tok", tokens(text))
-    avgdl = F.sum(F.size("tok")) / F.count(F.lit(1))
-    idf = bm25_idf(c, group)
-    qt = queries.select("query_id", *group, F.explode(tokens(qtext)).alias("term"))
-    tf = (c.select(*group, *chunk_keys, F.size("tok").alias("dl"), F.explode("tok").alias("term"))
-          .groupBy(*group, *chunk_keys, "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    pairs = qt.join(tf, [*group, "term"]).join(idf, [*group, "term"])
-    if group:
-        pairs = pairs.join(F.broadcast(c.groupBy(*group).agg(avgdl.alias("avgdl"))), group)
-    else:
-        pairs = pairs.withColumn("avgdl", c.agg(avgdl).scalar())
-    return (pairs.groupBy("query_id", *group, *chunk_keys)
-            .agg(F.sum(bm25_term(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"))).alias("bm25")))
-
-
 # ---- R8 -----------------------------------------------------------------------------------------
 def rrf(ranked: DataFrame, item_keys: list[str], k: int = 3, rrf_k: int = RRF_K) -> DataFrame:
     """Fuse ``(query_id, *item_keys, list_name, rank)`` rows: ``sum 1/(rrf_k + rank)``, top ``k``
@@ -268,136 +250,241 @@ def within_window(df: DataFrame, start: str | None, end: str | None, margin_days
 CHUNK_KEYS = ["doc_id", "chunk_no"]
 
 
-def _beats(score: Column, key: Column, t_score: Column, t_key: Column) -> Column:
-    """Ranking order of a list: higher score first, then the smaller chunk key."""
-    return (score > t_score) | ((score == t_score) & (key < t_key))
-
-
 def prepare_queries(queries: DataFrame, dims: int) -> DataFrame:
-    """Queries ``(query_id, dataset, qtext, start, end)`` with tokens, sparse hashed vector
-    ``(b, w)`` of its non-zero dimensions, its norm and the window id."""
+    """Queries ``(query_id, dataset, qtext, start, end)`` with tokens, the non-zero dimensions ``(b, w)`` of the
+    hashed vector and its norm."""
     qvec = hash_embed_expr("qtext", dims)
     nz = F.filter(F.transform(qvec, lambda w, i: F.struct(i.alias("b"), w.cast("double").alias("w"))),
                   lambda e: e["w"] != 0)
     return (queries.withColumn("qtok", tokens("qtext"))
             .withColumn("_qnz", nz)
-            .withColumn("_qnorm", norm(qvec))
-            .withColumn("window_id", F.xxhash64("dataset", "start", "end")))
+            .withColumn("_qnorm", norm(qvec)))
+
+
+def _query_blocks(queries: DataFrame, dims: int, block_bytes: int) -> Iterator[list]:
+    """Prepared queries in blocks of about ``block_bytes`` of query text, dealt by a hash of the id."""
+    q = prepare_queries(queries, dims)
+    total = queries.agg(F.coalesce(F.sum(F.octet_length("qtext")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // block_bytes))
+    for i in range(blocks):
+        own = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()
+        if own:
+            yield sorted(own, key=lambda r: str(r["query_id"]))
+
+
+def _window_stats(chunks: DataFrame, windows: list[tuple], terms: list[str], margin_days: int) -> dict[int, tuple]:
+    """Per window number: (average length, {term: idf}) over its chunks, for the given terms.
+
+    idf follows K16: the mean that replaces negative values is taken over the window's whole vocabulary.
+    The windows and terms of one query block are broadcast; one row per window comes back.
+    """
+    spark = chunks.sparkSession
+    if windows == [(None, None, None)]:
+        corpus = chunks.select(F.lit(0).alias("w"), tokens("text").alias("tok"))
+    else:
+        w = spark.createDataFrame([(i, *x) for i, x in enumerate(windows)], "w int, _ds string, start date, end date")
+        corpus = chunks.join(F.broadcast(w), (F.col("dataset") == F.col("_ds")) & window_condition("doc_date", "start", "end", margin_days)) \
+            .select("w", tokens("text").alias("tok"))
+    sizes = corpus.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tok")).alias("avgdl"))
+    wanted = spark.createDataFrame([(t, True) for t in terms] or [("", False)], "term string, wanted boolean")
+    df = (corpus.select("w", F.explode(F.array_distinct("tok")).alias("term")).groupBy("w", "term").agg(F.count(F.lit(1)).alias("df"))
+          .join(F.broadcast(sizes), "w").join(F.broadcast(wanted), "term", "left")
+          .withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    rows = sizes.join(df.groupBy("w").agg(F.avg("idf").alias("mean"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "idf"))).alias("own")),
+                      "w", "left").collect()
+    return {r["w"]: (r["avgdl"] or 0.0, {x["term"]: BM25_EPSILON * r["mean"] if x["idf"] < 0 else x["idf"] for x in r["own"] or ()}) for r in rows}
+
+
+def _block_arrays(rows: list, chunks: DataFrame, margin_days: int, dims: int, whole: bool) -> dict:
+    """What the scans need of one query block, as plain arrays."""
+    place = [(None, None, None) if whole else (r["dataset"], r["start"], r["end"]) for r in rows]
+    windows = sorted(set(place), key=str)
+    terms = sorted({t for r in rows for t in r["qtok"]})
+    number = {t: i for i, t in enumerate(terms)}
+    stats = _window_stats(chunks, windows, terms, margin_days)
+    parts = []
+    for w, (ds, start, end) in enumerate(windows):
+        avgdl, idf = stats.get(w, (0.0, {}))
+        own = [i for i, p in enumerate(place) if p == (ds, start, end)]
+        weight, vec = np.zeros((len(terms), len(own))), np.zeros((dims, len(own)))
+        for j, i in enumerate(own):
+            for t in rows[i]["qtok"]:
+                weight[number[t], j] += idf.get(t, 0.0)
+            for e in rows[i]["_qnz"]:
+                vec[e["b"], j] = e["w"]
+        epoch = np.datetime64("1970-01-01")
+        lo = None if start is None else int((np.datetime64(start) - epoch).astype(int)) - margin_days
+        hi = None if end is None else int((np.datetime64(end) - epoch).astype(int)) + margin_days
+        norms = np.array([rows[i]["_qnorm"] for i in own])
+        parts.append((ds, lo, hi, np.array(own), avgdl, weight, vec, np.where(norms == 0, 1.0, norms)))
+    return {"terms": terms, "windows": parts, "n": len(rows)}
+
+
+def _scored(batch: pa.RecordBatch, block: dict):
+    """Scores of a batch in pieces: (keys in order, numbers of the queries, BM25, cosine, shared-term mask);
+    each array has a row per chunk of the queries' window."""
+    keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("chunk_no").to_pylist()))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    batch = batch.take(pa.array(order, pa.int64()))
+    terms = pa.array(block["terms"], pa.string())
+    for at in range(0, batch.num_rows, SCAN_ROWS):
+        b = batch.slice(at, SCAN_ROWS)
+        key = [keys[i] for i in order[at:at + SCAN_ROWS]]
+        n, size = b.num_rows, max(1, len(terms))
+        length = np.nan_to_num(pc.list_value_length(b.column("tok")).to_numpy(zero_copy_only=False)).astype(np.int64)
+        term = pc.index_in(b.column("tok").flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(n), length)
+        code, tf = np.unique((row * size + term)[term >= 0], return_counts=True)
+        row, term = code // size, code % size
+        vec = np.array(b.column("embedding").to_pylist(), np.float64)
+        norm_c = np.sqrt((vec ** 2).sum(1))
+        day = b.column("doc_date").cast(pa.int32())
+        undated, day = day.is_null().to_numpy(zero_copy_only=False), day.fill_null(0).to_numpy()
+        dataset = b.column("dataset").to_pylist()
+        for ds, lo, hi, own, avgdl, weight, qvec, qnorm in block["windows"]:
+            inside = undated | ((lo is None or day >= lo) & (hi is None or day <= hi))
+            if ds is not None:
+                inside &= np.array([d == ds for d in dataset], bool)
+            at_rows = np.flatnonzero(inside)
+            if not len(at_rows):
+                continue
+            spread = BM25_K1 * (1 - BM25_B + BM25_B * (length / avgdl if avgdl else np.zeros(n)))
+            dense = np.zeros((n, size))
+            dense[row, term] = tf * (BM25_K1 + 1) / (tf + spread[row])
+            dense = dense[at_rows][:, :len(weight)]
+            den = norm_c[at_rows][:, None] * qnorm
+            cos = (vec[at_rows] @ qvec) / np.where(den == 0, 1.0, den)
+            # rounded so that the order of summation cannot reorder near-equal chunks
+            yield [key[i] for i in at_rows], own, np.round(dense @ weight, 9), np.round(cos, 9), (dense > 0) @ (weight != 0)
+
+
+def _best(scan: DataFrame, shared, depth: int, lists: int, only_shared: bool) -> DataFrame:
+    """Scan 1: (q, l, score, other, doc_id, chunk_no, r), the best ``depth`` of every query and list."""
+
+    def run(batches):
+        block = shared.value
+        held: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for keys, own, bm25, cos, common in _scored(b, block):
+                for which, score in enumerate((bm25, cos)[:lists]):
+                    score = np.where(common > 0, score, -np.inf) if only_shared else score
+                    top = np.argsort(-score, axis=0, kind="stable")[:depth]  # equal scores stay in order of key
+                    for j, q in enumerate(own.tolist()):
+                        old = held.get((q, which), [])
+                        if len(old) == depth and score[top[0, j], j] < -old[-1][0]:
+                            continue
+                        new = [(-score[i, j], *keys[i], (cos if which == 0 else bm25)[i, j]) for i in top[:, j].tolist() if score[i, j] > -np.inf]
+                        held[q, which] = sorted(old + new)[:depth]
+        flat = [(q, which, -s, other, doc, no) for (q, which), rows in held.items() for s, doc, no, other in rows]
+        cols = list(zip(*flat)) if flat else [[]] * 6
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["q", "l", "score", "other", "doc_id", "chunk_no"])
+
+    found = scan.mapInArrow(run, "q int, l int, score double, other double, doc_id string, chunk_no int")
+    w = Window.partitionBy("q", "l").orderBy(F.col("score").desc(), "doc_id", "chunk_no")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= depth)
+
+
+def _beaten_by(scan: DataFrame, shared) -> DataFrame:
+    """Scan 2: (slot, n), the number of chunks that rank before each wanted survivor. The block holds
+    ``wanted``: (query, list) -> scores, keys and slots."""
+
+    def run(batches):
+        block = shared.value
+        total = np.zeros(block["slots"], np.int64)
+        for b in batches:
+            for keys, own, bm25, cos, _ in _scored(b, block):
+                for which, score in enumerate((bm25, cos)):
+                    for j, q in enumerate(own.tolist()):
+                        if (q, which) not in block["wanted"]:
+                            continue
+                        limits, of, slots = block["wanted"][q, which]
+                        s = score[:, j][:, None]
+                        before = np.array([bisect.bisect_left(keys, k) for k in of])
+                        ties = (s == limits) & (np.arange(len(keys))[:, None] < before)
+                        total[slots] += (s > limits).sum(0) + ties.sum(0)
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["slot", "n"])
+
+    return scan.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def _scan_input(chunks: DataFrame) -> DataFrame:
+    date = F.col("doc_date") if "doc_date" in chunks.columns else F.lit(None).cast("date")
+    dataset = F.col("dataset") if "dataset" in chunks.columns else F.lit(None).cast("string")
+    return chunks.select(dataset.alias("dataset"), F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"),
+                         date.alias("doc_date"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("tok"), "embedding")
+
+
+def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = 10, dims: int = DEFAULT_DIMS, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+    """The ``k`` chunks with the greatest BM25 for every query ``(query_id, qtext)`` among those that share a
+    term with it: ``(query_id, doc_id, chunk_no, bm25, rank)``; ties by chunk key. All chunks are one corpus."""
+    spark = chunks.sparkSession
+    if "embedding" not in chunks.columns:
+        chunks = chunks.withColumn("embedding", F.array_repeat(F.lit(0.0), dims).cast("array<float>"))
+    q = queries.select("query_id", "qtext", F.lit(None).cast("string").alias("dataset"), F.lit(None).cast("date").alias("start"),
+                       F.lit(None).cast("date").alias("end"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    parts = []
+    for rows in _query_blocks(q, dims, block_bytes):
+        shared = spark.sparkContext.broadcast(_block_arrays(rows, chunks, 0, dims, True))
+        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], f"q int, query_id {kind}")
+        best = _best(_scan_input(chunks), shared, k, 1, True)
+        parts.append(best.join(F.broadcast(names), "q").select("query_id", "doc_id", "chunk_no", F.col("score").alias("bm25"), F.col("r").alias("rank")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id {kind}, doc_id string, chunk_no int, bm25 double, rank int")
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int = MARGIN_DAYS,
-           dims: int = DEFAULT_DIMS, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Hybrid search for a batch of queries.
+           dims: int = DEFAULT_DIMS, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+    """Hybrid search for a set of queries.
 
     ``chunks``  : (dataset, doc_id, chunk_no, title, doc_type, doc_date, text, embedding)
     ``queries`` : (query_id, dataset, qtext, start, end); start/end are dates and may be NULL
     Returns ``(query_id, hit_rank, doc_id, chunk_no, title, doc_type, doc_date, text, score,
     rank_bm25, rank_cos)``: fused RRF score rounded to 4 places, best ``k`` per query.
+
+    Eager: per query block the statistics, both scans and their bounded results (2 x (59 + 2k) rows a
+    query) come to the driver; the texts of the hits are joined lazily.
     """
-    n_queries = queries.count()  # one small action: the query side is broadcast in bounded batches
-    batches = max(1, -(-n_queries // max_broadcast_queries))
-    outs = []
-    for i in range(batches):
-        part = queries if batches == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == i)
-        outs.append(_search_batch(chunks, prepare_queries(part, dims), k, margin_days))
-    return reduce(DataFrame.unionByName, outs)
-
-
-def _search_batch(chunks: DataFrame, q: DataFrame, k: int, margin_days: int) -> DataFrame:
-    depth = RRF_K - 1 + 2 * k
-    windows = q.select("window_id", F.col("dataset").alias("_ds"), "start", "end").distinct()
-    # chunks of each window (R9); a chunk appears once per window that covers it
-    corpus = (chunks.join(F.broadcast(windows), (F.col("dataset") == F.col("_ds"))
-                          & window_condition("doc_date", "start", "end", margin_days))
-              .select("window_id", F.struct(*[F.col(c) for c in CHUNK_KEYS]).alias("_key"),
-                      tokens("text").alias("tok"), "embedding"))
-    # BM25 statistics of the filtered set (K16): size per window, and document frequencies of the
-    # whole vocabulary (the epsilon rule needs the mean idf over it); idf kept for query terms only
-    wanted = (q.select("window_id", F.explode("qtok").alias("term"))
-              .groupBy("window_id").agg(F.collect_set("term").alias("_wanted")))
-    stats = corpus.groupBy("window_id").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("tok")).alias("avgdl"))
-    dfreq = (corpus.select("window_id", F.explode(F.array_distinct("tok")).alias("term"))
-             .groupBy("window_id", "term").agg(F.count(F.lit(1)).alias("_df"))
-             .join(F.broadcast(stats.select("window_id", "_n")), "window_id")
-             .withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)))
-    mean_idf = dfreq.groupBy("window_id").agg(F.avg("_idf").alias("_mean"))
-    idf = (dfreq.join(F.broadcast(wanted.select("window_id", F.explode("_wanted").alias("term"))),
-                      ["window_id", "term"], "left_semi")
-           .join(F.broadcast(mean_idf), "window_id")
-           .select("window_id", "term", F.when(F.col("_idf") < 0, F.lit(BM25_EPSILON) * F.col("_mean"))
-                   .otherwise(F.col("_idf")).alias("idf")))
-    # query side: weight of each distinct term (idf times its count in the query), sparse vector
-    qterms = (q.select("query_id", "window_id", F.explode("qtok").alias("term"))
-              .groupBy("query_id", "window_id", "term").agg(F.count(F.lit(1)).alias("_m"))
-              .join(F.broadcast(idf), ["window_id", "term"], "left")
-              .groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(
-                  "term", (F.col("_m") * F.coalesce("idf", F.lit(0.0))).alias("w")))).alias("_qw")))
-    # per chunk, once: counts of the batch's query terms, the length norm K and the vector norm
-    sorted_tok = F.sort_array("tok")
-    docs = (spread(corpus).join(F.broadcast(wanted.join(F.broadcast(stats), "window_id")), "window_id")
-            .select("window_id", "_key", "embedding",
-                    (F.lit(BM25_K1) * (1 - BM25_B + BM25_B * F.coalesce(F.try_divide(F.size("tok"), F.col("avgdl")),
-                                                                         F.lit(0.0)))).alias("_K"),
-                    norm("embedding").alias("_cnorm"),
-                    let(F.struct(sorted_tok.alias("a"), F.reverse(sorted_tok).alias("d"),
-                                 F.array_intersect(F.array_distinct("tok"), "_wanted").alias("c")),
-                        lambda t: F.map_from_entries(F.transform(t["c"], lambda w: F.struct(
-                            w, count_in_sorted(t["a"], t["d"], w).cast("double"))))).alias("_tf")))
-    qside = (q.join(qterms, "query_id", "left")
-             .select("query_id", "window_id", "_qnorm",
-                     F.transform("_qnz", lambda e: F.struct((e["b"] + 1).alias("i"), e["w"].alias("w"))).alias("_qnz"),
-                     F.coalesce("_qw", F.create_map().cast("map<string,double>")).alias("_qw")))
-    # per pair: only the shared terms are visited (a native intersection first)
-    shared = F.array_intersect(F.map_keys("_qw"), F.map_keys("_tf"))
-    bm25 = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.element_at("_qw", t) * let(
-        F.element_at("_tf", t), lambda tf: tf * F.lit(BM25_K1 + 1) / (tf + F.col("_K"))))
-    dotp = F.aggregate("_qnz", F.lit(0.0), lambda acc, e: acc + e["w"] * F.element_at("embedding", e["i"]))
-    den = F.col("_cnorm") * F.when(F.col("_qnorm") == 0, F.lit(1.0)).otherwise(F.col("_qnorm"))
-    cos = dotp / F.when(den == 0, F.lit(1.0)).otherwise(den)
-    # scores rounded to 9 places so floating summation order cannot reorder near-equal chunks
-    pairs = docs.join(F.broadcast(qside), "window_id").select(
-        "query_id", "_key", F.round(bm25, 9).alias("bm25"), F.round(cos, 9).alias("cos"))
-    # both passes read the scored pairs; scoring is the expensive step, so it runs once and the
-    # (query, chunk, two doubles) rows are checkpointed to the shared folder (lineage cut)
-    pairs = materialize(pairs, "checkpoint")
-    lists = pairs.select("query_id", "_key", "bm25", "cos", F.explode(F.array(
-        F.struct(F.lit("bm25").alias("list"), F.col("bm25").alias("score")),
-        F.struct(F.lit("cos").alias("list"), F.col("cos").alias("score")))).alias("_l")).select(
-        "query_id", "_key", "bm25", "cos", "_l.list", "_l.score")
-    # pass 1: top ``depth`` of both lists in one scan (partial top-N before the shuffle)
-    w = Window.partitionBy("query_id", "list").orderBy(F.col("score").desc(), "_key")
-    top = lists.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= depth)
-    survivors = (top.groupBy("query_id", "_key")
-                 .agg(F.first("bm25").alias("bm25"), F.first("cos").alias("cos"),
-                      F.min(F.when(F.col("list") == "bm25", F.col("_r"))).alias("_rb"),
-                      F.min(F.when(F.col("list") == "cos", F.col("_r"))).alias("_rc")))
-    # pass 2: exact rank in a list where a survivor is not in the top: count the chunks that beat it
-    missing = survivors.select("query_id", F.col("_key").alias("_mkey"), F.explode(F.array(
-        F.when(F.col("_rb").isNull(), F.struct(F.lit("bm25").alias("list"), F.col("bm25").alias("_ms"))),
-        F.when(F.col("_rc").isNull(), F.struct(F.lit("cos").alias("list"), F.col("cos").alias("_ms"))))).alias("_m")
-    ).filter(F.col("_m").isNotNull()).select("query_id", "_mkey", "_m.list", "_m._ms")
-    better = (lists.join(F.broadcast(missing), ["query_id", "list"])
-              .filter(_beats(F.col("score"), F.col("_key"), F.col("_ms"), F.col("_mkey")))
-              .groupBy("query_id", "list", "_mkey").agg(F.count(F.lit(1)).alias("_n")))
-    rb = better.filter(F.col("list") == "bm25").select("query_id", F.col("_mkey").alias("_key"),
-                                                       (F.col("_n") + 1).alias("_xb"))
-    rc = better.filter(F.col("list") == "cos").select("query_id", F.col("_mkey").alias("_key"),
-                                                      (F.col("_n") + 1).alias("_xc"))
-    ranks = (survivors.join(rb, ["query_id", "_key"], "left").join(rc, ["query_id", "_key"], "left")
-             .select("query_id", "_key", F.coalesce("_rb", "_xb", F.lit(1)).alias("rank_bm25"),
-                     F.coalesce("_rc", "_xc", F.lit(1)).alias("rank_cos")))
-    fused = ranks.withColumn("score", 1.0 / (RRF_K + F.col("rank_bm25")) + 1.0 / (RRF_K + F.col("rank_cos")))
-    wf = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_key")
-    best = (fused.withColumn("hit_rank", F.row_number().over(wf)).filter(F.col("hit_rank") <= k)
-            .join(q.select("query_id", F.col("dataset")), "query_id")
-            .select("query_id", "hit_rank", "dataset", "_key.*", "score", "rank_bm25", "rank_cos"))
-    meta = chunks.select(*CHUNK_KEYS, "dataset", "title", "doc_type", "doc_date", "text")
-    # at most k rows per query in this batch: broadcast the hits onto the chunk table
-    return (meta.join(F.broadcast(best), [*CHUNK_KEYS, "dataset"])
-            .select("query_id", F.col("hit_rank").cast("bigint").alias("hit_rank"), *CHUNK_KEYS, "title",
-                    "doc_type", "doc_date", "text", F.round("score", 4).alias("score"),
-                    F.col("rank_bm25").cast("bigint").alias("rank_bm25"),
-                    F.col("rank_cos").cast("bigint").alias("rank_cos")))
+    spark = chunks.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
+    scan, hits = _scan_input(chunks), []
+    for rows in _query_blocks(queries, dims, block_bytes):
+        block = _block_arrays(rows, chunks, margin_days, dims, False)
+        hits += _fused(scan, block, rows, k)
+    best = spark.createDataFrame(hits, f"query_id {kind}, hit_rank bigint, dataset string, doc_id string, chunk_no int, score double, "
+                                       "rank_bm25 bigint, rank_cos bigint")
+    # at most k rows per query: the hits meet the chunk table without moving it
+    return (chunks.select("dataset", *CHUNK_KEYS, "title", "doc_type", "doc_date", "text").join(F.broadcast(best), ["dataset", *CHUNK_KEYS])
+            .select("query_id", "hit_rank", *CHUNK_KEYS, "title", "doc_type", "doc_date", "text", "score", "rank_bm25", "rank_cos"))
+
+
+def _fused(scan: DataFrame, block: dict, rows: list, k: int) -> list[tuple]:
+    """Hits of one query block: (query_id, hit_rank, dataset, doc_id, chunk_no, score, rank_bm25, rank_cos)."""
+    share = scan.sparkSession.sparkContext.broadcast
+    ranks: dict[tuple, list] = {}
+    scores: dict[tuple, dict] = {}
+    for t in _best(scan, share(block), RRF_K - 1 + 2 * k, 2, False).collect():
+        key = (t["q"], t["doc_id"], t["chunk_no"])
+        ranks.setdefault(key, [None, None])[t["l"]] = t["r"]
+        scores[key] = {t["l"]: t["score"], 1 - t["l"]: t["other"]}
+    open_ranks = [(key, which) for key, r in sorted(ranks.items()) for which in (0, 1) if r[which] is None]
+    wanted: dict[tuple, list] = {}
+    for slot, (key, which) in enumerate(open_ranks):
+        wanted.setdefault((key[0], which), []).append((scores[key][which], key[1:], slot))
+    if wanted:
+        more = {qw: (np.array([x[0] for x in w]), [x[1] for x in w], np.array([x[2] for x in w])) for qw, w in wanted.items()}
+        counts = {r["slot"]: r["n"] for r in _beaten_by(scan, share(block | {"wanted": more, "slots": len(open_ranks)})).collect()}
+        for slot, (key, which) in enumerate(open_ranks):
+            ranks[key][which] = counts.get(slot, 0) + 1
+    out = []
+    per_query: dict[int, list] = {}
+    for (q, doc, no), (rb, rc) in ranks.items():
+        per_query.setdefault(q, []).append((-(1.0 / (RRF_K + rb) + 1.0 / (RRF_K + rc)), doc, no, rb, rc))
+    for q, found in per_query.items():
+        for n, (score, doc, no, rb, rc) in enumerate(sorted(found)[:k], 1):
+            out.append((rows[q]["query_id"], n, rows[q]["dataset"], doc, no, round(-score, 4), rb, rc))
+    return out
 
 
 def search_plain(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int = MARGIN_DAYS,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shiftlens.functions.columns import abs_desc
 from shiftlens.operators import change as ch
 from shiftlens.operators import metric as mt
+from shiftlens.operators.retrieval import find_context
 from shiftlens.plans.model import MetricSpec, SemanticModel
 from shiftlens.session import materialize
 
@@ -91,6 +92,9 @@ class Investigation:
                               ["table_name", "duplicate_rate_a", "duplicate_rate_b", "increase"]))
             .unionByName(part(self.change, "overall_change", F.lit(0), ["value_a", "value_b", "delta", "pct_change"]))
             .unionByName(part(self.confidence, "confidence", F.lit(0), ["confidence", "status"])))
+        if self.documents is not None:
+            parts = parts.unionByName(part(self.documents, "related_documents", F.col("hit_rank"),
+                                           ["doc_ref", "doc_id", "title", "type", "date", "excerpt"]))
 
         def arr(name):
             items = F.sort_array(F.collect_list(F.when(F.col("part") == name, F.struct("o", "j"))))
@@ -100,7 +104,7 @@ class Investigation:
             return F.max(F.when(F.col("part") == name, F.col("j")))
 
         row = parts.agg(*(arr(n).alias(n) for n in ("top_candidates", "drill_down_inside_top_candidate",
-                                                     "data_quality_findings")),
+                                                     "data_quality_findings", "related_documents")),
                         one("overall_change").alias("overall_change"), one("confidence").alias("_conf"))
         head = F.to_json(F.struct(F.lit(spec.name).alias("metric"), F.lit(spec.kind).alias("kind"),
                                   F.array(*[F.lit(x) for x in spec.period_a]).alias("period_a"),
@@ -111,6 +115,7 @@ class Investigation:
             F.lit(',"top_candidates":'), F.col("top_candidates"),
             F.lit(',"drill_down_inside_top_candidate":'), F.col("drill_down_inside_top_candidate"),
             F.lit(',"data_quality_findings":'), F.col("data_quality_findings"),
+            F.lit(',"related_documents":'), F.col("related_documents"),
             F.lit(',"confidence":"'), F.get_json_object("_conf", "$.confidence"), F.lit('"'),
             F.lit("}"))
         conf = F.from_json("_conf", "confidence string, status string")
@@ -118,6 +123,13 @@ class Investigation:
                 .select(conf["confidence"].alias("confidence"), conf["status"].alias("status"),
                         body.alias("evidence_json")))
 
+    def steps(self) -> list[tuple[str, str, DataFrame]]:
+        """(purpose, what is run, result) of the queries behind the investigation, for the query log."""
+        return [("overall change", "metric per period", self.change), ("ranking", "metric per segment and period", self.ranked),
+                ("candidates", "three segments of each dimension", self.candidates),
+                ("drill-down", "other dimensions inside the first candidate", self.drilldown),
+                ("duplicate check", "rows and distinct keys per table", self.counts)]
+
     def close(self) -> None:
         for df in self._cached:
             df.unpersist()
@@ -125,8 +137,10 @@ class Investigation:
 
 def investigate(tables: dict[str, DataFrame], model: SemanticModel, spec: MetricSpec,
                 dimensions: list[str] | None = None, cache: str = "persist",
-                min_increase: float = 0.005) -> Investigation:
-    """Overall change, ranked candidates, drill-down, duplicate check, merged list, confidence."""
+                min_increase: float = 0.005, chunks: DataFrame | None = None, question: str = "",
+                dataset: str = "") -> Investigation:
+    """Overall change, ranked candidates, drill-down, duplicate check, merged list, confidence; with
+    ``chunks`` also the documents of ``dataset`` around period B that match the first entry of the list."""
     spec.validate(model)
     dims = dimensions or model.dimension_names
     base = materialize(mt.metric_base(tables, model, spec), cache)
@@ -141,5 +155,9 @@ def investigate(tables: dict[str, DataFrame], model: SemanticModel, spec: Metric
     merged = ch.merge_findings(candidates, findings, table_order)
     conf = ch.confidence(change, candidates, findings)
     cached = [df for df in (base, bridge) if cache == "persist"]
-    return Investigation(base, bridge, change, ranked, candidates, drill, counts, findings, merged, conf,
+    documents = None
+    if chunks is not None:
+        top = merged.select(F.col("rank").alias("candidate_rank"), "dimension", "segment")
+        documents = find_context(chunks, top, spec.name, question, dataset, spec.period_b)
+    return Investigation(base, bridge, change, ranked, candidates, drill, counts, findings, merged, conf, documents,
                          _cached=cached)

@@ -1,12 +1,15 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
-Every query reads the given tables in full (or inputs Spark derives from them). Doubles are
+The queries run over whole tables, or inputs that Spark derives from them. Doubles are
 rounded to 6 places and integer ranks widened to BIGINT so results compare exactly with the
 SQL oracle.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +19,7 @@ from shiftlens.operators import metric as mt
 from shiftlens.plans.investigate import drill_down, investigate, rank_all_dimensions
 from shiftlens.plans.model import catalogue, tpch_model
 from shiftlens.sources.derived import with_duplicated_items
-from shiftlens.session import materialize
+from shiftlens.session import checkpoint_dir, materialize
 from shiftlens.sources.tables import LazyTables
 
 
@@ -196,37 +199,78 @@ def q_confidence(key, planted_dup: bool = False):
     return run
 
 
-def q_evidence(key):
+QUESTION, CONTEXT_DATASET = "why did the metric change", "en"
+
+
+def _evidence(spark, sf_dir, key, planted_dup: bool = False):
+    """The investigation's evidence document with related documents: one row."""
+    t, m, s = _planted_dup(spark, sf_dir, key) if planted_dup else _ctx(spark, sf_dir, key)
+    inv = investigate(t, m, s, cache="checkpoint", chunks=corpus_chunks(spark, sf_dir), question=QUESTION, dataset=CONTEXT_DATASET)
+    return inv.evidence(s)
+
+
+def q_evidence(key, planted_dup: bool = False):
+    """The evidence document taken apart again: one row per field, numbers at 4 places."""
     def run(spark, sf_dir):
-        t, m, s = _ctx(spark, sf_dir, key)
-        return investigate(t, m, s, cache="none").evidence(s)
+        lists = ["top_candidates", "drill_down_inside_top_candidate", "data_quality_findings", "related_documents"]
+        schema = "overall_change map<string,string>, confidence string, " + ", ".join(f"{n} array<map<string,string>>" for n in lists)
+        doc = _evidence(spark, sf_dir, key, planted_dup).select(F.from_json("evidence_json", schema).alias("e")).select("e.*")
+        parts = [doc.select(F.lit(n).alias("part"), F.posexplode(n).alias("pos", "entry")) for n in lists]
+        parts += [doc.select(F.lit("overall_change").alias("part"), F.lit(0).alias("pos"), F.col("overall_change").alias("entry")),
+                  doc.select(F.lit("confidence").alias("part"), F.lit(0).alias("pos"), F.create_map(F.lit("confidence"), "confidence").alias("entry"))]
+        rows = reduce(DataFrame.unionByName, parts).select("part", "pos", F.explode("entry").alias("field", "txt"))
+        num = F.col("txt").try_cast("double")
+        return finish(rows.select("part", "pos", "field", num.alias("num"), F.when(num.isNull(), F.col("txt")).alias("txt")), places=4)
     return run
 
 
+def q_report_check(spark, sf_dir):
+    """G1-G3 on a report about the investigation: its numbers come from the evidence, but for one that is 1,234 too high."""
+    ev = _evidence(spark, sf_dir, "order_count").select(F.lit("order_count").alias("report_id"), "evidence_json")
+    v = F.from_json(F.get_json_object("evidence_json", "$.overall_change"), "value_a double, value_b double, pct_change double")
+    count = lambda c: F.format_number(c, 0)
+    report = ev.select("report_id", v.alias("v")).select("report_id", F.concat(
+        F.lit("Orders went from "), count(F.col("v.value_a")), F.lit(" to "), count(F.col("v.value_b")), F.lit(" (caf\u00e95, "),
+        F.format_number("v.pct_change", 1), F.lit(" %); 3 segments stand out and "), count(F.col("v.value_b") + 1234), F.lit(" were expected.")).alias("text"))
+    written = grounding.extract_numbers(report, ["report_id"], "text")
+    return finish(grounding.unsupported_numbers(written, grounding.evidence_values(grounding.json_numbers(ev, ["report_id"], "evidence_json"))))
+
+
+def q_query_log(spark, sf_dir):
+    t, m, s = _ctx(spark, sf_dir, "order_count")
+    log = au.log_queries(spark, investigate(t, m, s, cache="checkpoint").steps())
+    return log.select("query_id", "purpose", "row_count")
+
+
 # ---- retrieval ----------------------------------------------------------------------------------
 from shiftlens.operators import retrieval as rt  # noqa: E402
 from shiftlens.sources.derived import dated_corpus, with_front_matter  # noqa: E402
-from shiftlens.sources.documents import build_chunks  # noqa: E402
+from shiftlens.sources.documents import build_chunks, export_chunks, load_chunks, write_chunks  # noqa: E402
 
 SEARCH_WINDOW = ("1998-04-01", "1998-07-01")
 
 
-def corpus_chunks(spark, sf_dir, dataset: str | None = None):
+def corpus_chunks(spark, sf_dir):
     """Chunks of the dated corpus (documents have no blank lines, so lines are the paragraphs).
 
     Written once to the checkpoint folder, as the chunk store would be at ingest time, so the
-    several passes of a search read stored chunks instead of re-chunking and re-embedding."""
-    docs = LazyTables(spark, sf_dir)["documents"]
-    if dataset is not None:
-        docs = docs.filter(F.col("lang") == dataset)
-    return materialize(build_chunks(dated_corpus(docs), separator="\n"), "checkpoint")
+    several passes of a search read stored chunks instead of re-chunking and re-embedding. The documents
+    are dealt out first, because a table may be one file with one row group."""
+    docs = dated_corpus(LazyTables(spark, sf_dir)["documents"])
+    return materialize(build_chunks(docs, separator="\n", partitions=spark.sparkContext.defaultParallelism), "checkpoint")
+
 
+DATASETS = ("de", "en", "es", "fr")
 
-def benchmark_queries(spark, sf_dir, window=SEARCH_WINDOW, dataset="en"):
+
+def benchmark_queries(spark, sf_dir):
+    """Benchmark texts as queries, dealt over the datasets and over three windows (bounded, open at the end, none)."""
     b = LazyTables(spark, sf_dir)["benchmark"]
-    return b.select(F.col("item_id").alias("query_id"), F.lit(dataset).alias("dataset"), F.col("text").alias("qtext"),
-                    F.lit(window[0]).cast("date").alias("start") if window else F.lit(None).cast("date").alias("start"),
-                    F.lit(window[1]).cast("date").alias("end") if window else F.lit(None).cast("date").alias("end"))
+    kind = F.col("item_id") % 3
+    day = lambda i, on: F.when(kind.isin(on), F.lit(SEARCH_WINDOW[i]).cast("date"))
+    dataset = F.element_at(F.array(*map(F.lit, DATASETS)), (F.col("item_id") % 4 + 1).cast("int"))
+    return b.select(F.col("item_id").alias("query_id"), dataset.alias("dataset"), F.col("text").alias("qtext"),
+                    day(0, [0, 1]).alias("start"), day(1, [0]).alias("end"))
 
 
 def q_front_matter(spark, sf_dir):
@@ -268,12 +312,7 @@ def q_cosine_centroid(spark, sf_dir, top: int = 5):
 
 
 def q_bm25_top(spark, sf_dir, top: int = 10):
-    chunks = corpus_chunks(spark, sf_dir, "en")
-    q = benchmark_queries(spark, sf_dir, window=None)
-    s = rt.bm25_scores(chunks, q, ["doc_id", "chunk_no"])
-    w = Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc(), "doc_id", "chunk_no")
-    return finish(s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-                  .select("query_id", "doc_id", "chunk_no", "bm25", "rank"))
+    return finish(rt.bm25_top(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), top))
 
 
 def q_within_window(spark, sf_dir):
@@ -282,7 +321,7 @@ def q_within_window(spark, sf_dir):
 
 
 def q_search(spark, sf_dir):
-    hits = rt.search(corpus_chunks(spark, sf_dir, "en"), benchmark_queries(spark, sf_dir), k=3)
+    hits = rt.search(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), k=3)
     return hits.select("query_id", "hit_rank", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                        "doc_date", "score", "rank_bm25", "rank_cos")
 
@@ -291,8 +330,48 @@ def q_find_context(spark, sf_dir):
     t, m, s = _ctx(spark, sf_dir, "order_count")
     _, _, ranked, _, _ = _ranked(spark, sf_dir, "order_count")
     cand = ch.top_candidates(ranked, m.dimension_names)
-    return rt.find_context(corpus_chunks(spark, sf_dir, "en"), cand, s.name, "why did the order count change",
-                           "en", s.period_b).drop("text")
+    return finish(rt.find_context(corpus_chunks(spark, sf_dir), cand, s.name, QUESTION, CONTEXT_DATASET, s.period_b))
+
+
+def q_rrf(spark, sf_dir, k: int = 5):
+    """R8 on its own: two rankings of each label's vectors (by length and by first component), fused."""
+    e = LazyTables(spark, sf_dir)["embeddings"].select(F.col("label").alias("query_id"), "vec_id", rt.norm("embedding").alias("long"),
+                                                       F.col("embedding")[0].cast("double").alias("first"))
+    parts = []
+    for name in ("long", "first"):
+        w = Window.partitionBy("query_id").orderBy(F.round(name, 6).desc(), "vec_id")
+        parts.append(e.select("query_id", "vec_id", F.lit(name).alias("list_name"), F.row_number().over(w).alias("rank")))
+    return finish(rt.rrf(parts[0].unionByName(parts[1]), ["vec_id"], k))
+
+
+def _store(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_chunk_store(spark, sf_dir):
+    """The chunk store written, one dataset replaced by smaller chunks, exported and read back."""
+    docs = dated_corpus(LazyTables(spark, sf_dir)["documents"])
+    path = _store(spark, "store")
+    write_chunks(build_chunks(docs, separator="\n"), path)
+    write_chunks(build_chunks(docs.filter("dataset = 'en'"), separator="\n", max_chars=400), path, dataset="en")
+    export_chunks(load_chunks(spark, path), f"{path}-export")
+    c = spark.read.parquet(f"{path}-export")
+    return c.select("dataset", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "doc_date", F.length("text").cast("bigint").alias("n_chars"),
+                    F.md5("text").alias("text_md5"))
+
+
+def q_saved_runs(spark, sf_dir):
+    """Runs, queries and feedback saved with their audit entries, read back and counted per dataset."""
+    runs, queries, fb = _runlog(spark, sf_dir)
+    path = _store(spark, "runs")
+    early = F.col("created_at") < F.timestamp_seconds(F.lit(START + 60 * 100))
+    for part in (early, ~early):  # two calls: the second continues the chains of the first
+        save_runs(path, runs.filter(part), queries.join(runs.filter(part), "run_id", "left_semi"), chain_by="run_id")
+    save_feedback(path, fb, chain_by="run_id")
+    r, q, f, log = (spark.read.parquet(f"{path}/{n}") for n in ("runs", "queries", "feedback", "audit_log"))
+    counted = r.select("dataset", "run_id").join(q.groupBy("run_id").agg(F.count("*").alias("q")), "run_id", "left") \
+        .join(f.groupBy("run_id").agg(F.count("*").alias("f")), "run_id", "left").join(log.groupBy("run_id").agg(F.count("*").alias("e")), "run_id", "left")
+    return counted.groupBy("dataset").agg(F.count("*").alias("runs"), F.sum("q").alias("queries"), F.sum("f").alias("feedback"), F.sum("e").alias("entries"))
 
 
 # ---- ad hoc, anomaly scan, grounding, JSON ------------------------------------------------------
@@ -358,7 +437,7 @@ def q_extract_json(spark, sf_dir):
 
 # ---- run log and audit --------------------------------------------------------------------------
 from shiftlens.operators import audit as au  # noqa: E402
-from shiftlens.sources.runlog import runs_from_conversations  # noqa: E402
+from shiftlens.sources.runlog import START, runs_from_conversations, save_feedback, save_runs  # noqa: E402
 
 
 def _runlog(spark, sf_dir):
@@ -376,7 +455,7 @@ def _per_run_log(spark, sf_dir):
     snaps = au.run_snapshots(runs, queries)
     recorded = (au.run_event_payload(snaps).join(runs.select("run_id", "created_at"), "run_id")
                 .select(F.lit("run_recorded").alias("event"), "run_id", "payload",
-                        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("at"),
+                        au.utc_iso("created_at").alias("at"),
                         F.struct("created_at", "run_id").alias("_ord")))
     events = recorded.unionByName(au.feedback_events(fb))
     # the log is stored data that verification reads several times: write it once
@@ -396,11 +475,16 @@ def _tampered(log):
     return t.filter(~((num % 17 == 0) & (F.col("seq") == 1)))
 
 
+def _changed(runs):
+    """The question of every 11th run edited, every 19th run deleted."""
+    num = F.substring("run_id", 5, 6).cast("int")
+    edited = F.when(num % 11 == 0, F.concat(F.col("question"), F.lit("!"))).otherwise(F.col("question"))
+    return runs.withColumn("question", edited).filter(num % 19 != 0), num
+
+
 def q_audit_problems(spark, sf_dir):
     log, runs, queries = _per_run_log(spark, sf_dir)
-    num = F.substring("run_id", 5, 6).cast("int")
-    runs2 = runs.withColumn("question", F.when(num % 11 == 0, F.concat(F.col("question"), F.lit("!")))
-                            .otherwise(F.col("question"))).filter(num % 19 != 0)
+    runs2, _ = _changed(runs)
     return au.audit_problems(_tampered(log), runs2, queries, chain_by="run_id")
 
 
@@ -411,7 +495,7 @@ def q_audit_verify(spark, sf_dir):
 
 def q_list_runs(spark, sf_dir):
     runs, _, _ = _runlog(spark, sf_dir)
-    return finish(au.list_runs(runs, 20).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+    return finish(au.list_runs(runs, 20).withColumn("created_at", au.utc_ntz(F.col("created_at"))))
 
 
 def q_feedback_rollup(spark, sf_dir):
@@ -426,7 +510,7 @@ def q_usage_rollup(spark, sf_dir):
 
 
 # ---- profile and single-run lookups -------------------------------------------------------------
-from shiftlens.sources.tables import profile_date_range, profile_tables  # noqa: E402
+from shiftlens.sources.tables import TABLES, profile_columns, profile_date_range, profile_tables  # noqa: E402
 
 
 def q_profile_date_range(spark, sf_dir):
@@ -435,8 +519,12 @@ def q_profile_date_range(spark, sf_dir):
 
 def q_profile_tables(spark, sf_dir):
     t = LazyTables(spark, sf_dir)
-    return profile_tables({n: t[n] for n in ("region", "nation", "customer", "supplier", "part", "orders",
-                                              "lineitem", "events")})
+    return profile_tables({n: t[n] for n in TABLES})
+
+
+def q_profile_columns(spark, sf_dir):
+    t = LazyTables(spark, sf_dir)
+    return finish(profile_columns(spark, {n: t[n] for n in TABLES}))
 
 
 def q_queries_of_run(spark, sf_dir, run_id: str = "run-000042"):
@@ -448,4 +536,49 @@ def q_queries_of_run(spark, sf_dir, run_id: str = "run-000042"):
 
 def q_audit_tail(spark, sf_dir):
     log, _, _ = _per_run_log(spark, sf_dir)
-    return au.audit_tail(log.filter(F.col("event") == "run_recorded"), 50).select("run_id", "seq", "event")
+    return au.audit_tail(log, 50).select("run_id", "seq", "event", "at", "hash")
+
+
+def q_verify_chain(spark, sf_dir):
+    """U5 alone, on one chain over all runs with altered entries."""
+    runs, queries, _ = _runlog(spark, sf_dir)
+    log = materialize(au.record_runs(None, runs, queries), "checkpoint")
+    bad = log.withColumn("payload", F.when(F.col("seq") % 50 == 7, F.replace("payload", F.lit('"status":"'), F.lit('"status":"x'))).otherwise(F.col("payload")))
+    return au.verify_chain(bad.filter(F.col("seq") % 70 != 69), bucket_rows=64)
+
+
+def q_verify_runs(spark, sf_dir):
+    """U6 alone: questions edited, runs deleted, one entry in 23 without a digest."""
+    log, runs, queries = _per_run_log(spark, sf_dir)
+    runs2, num = _changed(runs)
+    log = log.withColumn("payload", F.when(num % 23 == 0, F.regexp_replace("payload", '"digest":"[0-9a-f]*",', "")).otherwise(F.col("payload")))
+    return au.verify_runs(log, au.run_snapshots(runs2, queries)).select("run_id", "seq", "problem")
+
+
+def q_unlogged_runs(spark, sf_dir):
+    log, runs, _ = _per_run_log(spark, sf_dir)
+    return au.unlogged_runs(_tampered(log), runs)
+
+
+def q_baseline_runs(spark, sf_dir):
+    """Entries for the runs that a tampered log no longer mentions."""
+    log, runs, queries = _per_run_log(spark, sf_dir)
+    num = F.substring("run_id", 5, 6).cast("int")
+    return au.baseline_runs(log.filter(num % 3 != 0), runs, queries, "2024-02-01T00:00:00+00:00", chain_by="run_id") \
+        .select("run_id", "seq", "event", "payload", "hash")
+
+
+def q_get_run(spark, sf_dir, run_id: str = "run-000042"):
+    runs, _, _ = _runlog(spark, sf_dir)
+    return finish(au.get_run(runs, run_id).select("run_id", "question", "dataset", "status", "duration_s"))
+
+
+def q_nested_evidence(spark, sf_dir):
+    """G2 on nested evidence documents, one per customer: numbers at any depth and inside strings."""
+    t = LazyTables(spark, sf_dir)
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    per = t["orders"].groupBy(F.col("o_custkey").alias("report_id")).agg(F.count("*").alias("n"), F.max(price).alias("most"), F.min(price).alias("least"))
+    doc = per.select("report_id", F.to_json(F.struct(
+        F.struct("n", F.array("least", "most").alias("5 prices")).alias("orders"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("none"),
+        F.concat(F.lit('He said "caf\u00e95": '), (F.col("n") + 20).cast("string"), F.lit(",000 of "), (-F.col("least")).cast("string")).alias("note"))).alias("j"))
+    return finish(grounding.evidence_values(grounding.json_numbers(doc, ["report_id"], "j")))

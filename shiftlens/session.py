@@ -43,14 +43,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | None:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder must come from the session configuration (a shared file system).
-    ``default`` is used only where the setting is unset (tests); a local-mode session without one
-    gets a fresh folder under the system temp dir. Returns None on a cluster without a setting.
+    The setting comes from the session (on a cluster: a file system that the driver and all executors
+    share). ``default`` is used only where it is unset, as in tests. A session on one machine
+    (master ``local...``) without either gets a fresh folder; anywhere else the result is None.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or default
-    if not path and sc.master.startswith("local"):
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or default
+    if not path and sc.getCheckpointDir() is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         import tempfile
         path = tempfile.mkdtemp(prefix="shiftlens-ckpt-")
     if path and sc.getCheckpointDir() is None:
@@ -63,22 +62,15 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
 
     ``persist``    - memory and disk; lost blocks are recomputed from lineage.
     ``checkpoint`` - reliable checkpoint in ``spark.checkpoint.dir`` (cuts lineage; survives lost
-                     executors); a persist where no shared folder is configured.
+                     executors); an error where no shared folder is set.
     ``none``       - leave the plan as it is.
     """
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if how == "checkpoint":
-        if checkpoint_dir(df.sparkSession) is None:  # no shared folder configured: keep lineage
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        if checkpoint_dir(df.sparkSession) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return df.checkpoint(eager=True)
     if how == "none":
         return df
     raise ValueError(f"unknown materialisation {how!r}")
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an under-partitioned input over the cluster's cores before CPU-heavy per-row
-    work (a no-op on large inputs, which already have many file splits)."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)

@@ -19,12 +19,13 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_chunks(docs: DataFrame, dataset: str | None = None, max_chars: int = rt.MAX_CHARS,
-                 separator: str = rt.PARAGRAPH_SEPARATOR, dims: int = rt.DEFAULT_DIMS) -> DataFrame:
+                 separator: str = rt.PARAGRAPH_SEPARATOR, dims: int = rt.DEFAULT_DIMS, partitions: int | None = None) -> DataFrame:
     """R1 + R3 + R5: ``(doc_id, raw[, dataset][, doc_date])`` to chunk rows with embeddings.
 
-    A ``doc_date`` column on the input fills in where the front matter has no date.
+    A ``doc_date`` column on the input fills in where the front matter has no date. ``partitions`` deals
+    the documents out first; it is for inputs of a few large files that cannot be split.
     """
-    docs = rt.spread(docs)
+    docs = docs.repartition(partitions) if partitions else docs
     parsed = rt.parse_front_matter(docs.withColumnRenamed("doc_date", "_given_date")
                                    if "doc_date" in docs.columns else docs)
     if "_given_date" in parsed.columns:
@@ -36,11 +37,15 @@ def build_chunks(docs: DataFrame, dataset: str | None = None, max_chars: int = r
     return chunks.withColumn("embedding", rt.hash_embed("text", dims))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
+def write_chunks(chunks: DataFrame, path: str, dataset: str | None = None) -> None:
     """S3: replace the chunks of the datasets present in ``chunks``; other datasets stay.
 
-    Dynamic partition overwrite: an empty input leaves old rows in place.
+    With ``dataset``, all of ``chunks`` belong to it and it is replaced also by no chunks at all.
     """
+    if dataset is not None:
+        one = chunks.withColumn("dataset", F.lit(dataset)).drop("dataset")
+        one.write.mode("overwrite").parquet(f"{path}/dataset={dataset}")
+        return
     (chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("dataset").parquet(path))
 

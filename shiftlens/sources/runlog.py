@@ -3,10 +3,11 @@ from the ``conversations`` table (one run per conversation) for tests and regist
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftlens.session import spread
+from shiftlens.operators import audit as au
 from shiftlens.functions.canonical import json_int, json_object, json_str, json_str_array
 
 RUN_COLUMNS = ["run_id", "question", "dataset", "status", "report", "usage", "created_at", "duration_s"]
@@ -14,15 +15,41 @@ QUERY_COLUMNS = ["run_id", "query_id", "purpose", "sql_submitted", "sql_executed
                  "error", "preview"]
 
 
+START = 1_704_067_200  # 2024-01-01 00:00:00 UTC
+
+
 def append_table(df: DataFrame, path: str) -> None:
     """Append rows to a run-log table (runs, queries, feedback or audit log)."""
     df.write.mode("append").parquet(path)
 
 
+def _log(spark: SparkSession, store: str) -> DataFrame | None:
+    """The stored audit log, None before the first entry."""
+    try:
+        return spark.read.schema(au.LOG_SCHEMA).parquet(f"{store}/audit_log")
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def save_runs(store: str, runs: DataFrame, queries: DataFrame, chain_by: str | None = None) -> None:
+    """Append runs and their queries to the store, then their audit entries."""
+    append_table(runs, f"{store}/runs")
+    append_table(queries, f"{store}/queries")
+    append_table(au.record_runs(_log(runs.sparkSession, store), runs, queries, chain_by), f"{store}/audit_log")
+
+
+def save_feedback(store: str, feedback: DataFrame, chain_by: str | None = None) -> None:
+    """Append feedback to the store, then its audit entries."""
+    append_table(feedback, f"{store}/feedback")
+    append_table(au.append_audit(_log(feedback.sparkSession, store), au.feedback_events(feedback), "_ord", chain_by), f"{store}/audit_log")
+
+
 def runs_from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One run per conversation: the first user turn is the question, assistant turns are its
     queries ``Q1..`` (text order), some conversations leave feedback. Deterministic."""
-    conv = spread(conv).withColumn("run_id", F.concat(F.lit("run-"), F.lpad(F.col("conv_id").cast("string"), 6, "0")))
+    conv = conv.withColumn("run_id", F.concat(F.lit("run-"), F.lpad(F.col("conv_id").cast("string"), 6, "0")))
     w = Window.partitionBy("run_id").orderBy("turn")
     asst = (conv.filter(F.col("role") == "assistant")
             .withColumn("_n", F.row_number().over(w)))
@@ -50,12 +77,11 @@ def runs_from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame, Data
                      "cost_usd": F.format_string("%.4f", (F.col("_turns") * F.lit(0.0125)).cast("double")),
                      "latency_s": F.format_string("%.2f", (F.col("_turns") * F.lit(1.5)).cast("double")),
                      "models": json_str_array(models)}).alias("usage"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.col("conv_id").cast("int"))).alias("created_at"),
+        F.timestamp_seconds(F.lit(START) + 60 * F.col("conv_id")).alias("created_at"),
         (F.col("_turns") * F.lit(1.5)).cast("double").alias("duration_s"),
         "_last", "conv_id")
     feedback = runs.filter(F.col("conv_id") % 2 == 0).select(
         "run_id", ((F.col("conv_id") / 2).cast("bigint") % 3 - 1).cast("smallint").alias("rating"),
-        F.substring("_last", 1, 40).alias("comment"),
+        F.col("_last").alias("comment"),
         (F.col("created_at") + F.expr("INTERVAL 30 SECONDS")).alias("created_at"))
     return runs.select(*RUN_COLUMNS), queries, feedback
