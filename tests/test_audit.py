@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from shiftlens.functions.canonical import json_str
 from shiftlens.operators import audit as au
-from shiftlens.sources.runlog import runs_from_conversations
+from shiftlens.sources.runlog import runs_from_conversations, save_feedback, save_runs
 from shiftlens.sources.tables import LazyTables
 
 
@@ -94,6 +94,80 @@ def test_baseline_runs_append_missing_runs_in_time_order(spark):
     assert au.verify_audit(full, runs, queries).first()["intact"]
 
 
+def test_payloads_in_any_form_verify_after_append(spark):
+    payloads = ['{"b": 1, "a": 2}', '{"x":1.50}', '{"t": "caf\u00e9 \\u00e9", "n": [1, {"z": null, "y": 1e3}]}', '{}']
+    ev = spark.createDataFrame([("note", f"r{i}", p, "2024-01-01T00:00:00+00:00", i) for i, p in enumerate(payloads)],
+                               "event string, run_id string, payload string, at string, n int")
+    for by in (None, "run_id"):
+        log = au.append_audit(None, ev, "n", chain_by=by).cache()
+        assert au.verify_chain(log, by).count() == 0
+        assert sorted(r["payload"] for r in log.collect()) == sorted(json.dumps(json.loads(p), sort_keys=True, separators=(",", ":")) for p in payloads)
+
+
+def test_an_entry_without_a_digest_is_reported(spark):
+    runs, queries, _ = _log(spark)
+    log = au.record_runs(None, runs, queries).withColumn("payload", F.when(F.col("seq") == 3, F.lit('{"status":"completed"}')).otherwise(F.col("payload")))
+    assert [(r["seq"], r["problem"]) for r in au.verify_runs(log, au.run_snapshots(runs, queries)).collect()] == [(3, au.RUN_CHANGED)]
+
+
+def test_digests_do_not_depend_on_the_time_zone(spark):
+    got = []
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            runs, queries, _ = runs_from_conversations(LazyTables(spark, SF001)["conversations"])
+            got.append({r["run_id"]: r["digest"] for r in au.run_snapshots(runs, queries).collect()})
+            df = spark.sql("SELECT timestamp_micros(v) AS t FROM VALUES (1710054000000000L), (-1500000L), (1704067200250000L) AS x(v)")
+            assert [r["s"] for r in df.select(au.py_timestamp_text("t").alias("s")).collect()] == [
+                "2024-03-10 07:00:00+00:00", "1969-12-31 23:59:58.500000+00:00", "2024-01-01 00:00:00.250000+00:00"]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got[0] == got[1] == got[2]
+
+
+def test_a_long_chain_per_key_is_verified_in_buckets(spark):
+    ev = spark.sql("SELECT 'note' AS event, concat('k', id % 2) AS run_id, '{}' AS payload, '2024-01-01T00:00:00+00:00' AS at, id AS n FROM range(400)")
+    log = au.append_audit(None, ev, "n", chain_by="run_id").cache()
+    for size in (7, 1000):
+        assert au.verify_chain(log, "run_id", bucket_rows=size).count() == 0
+        bad = log.filter(~((F.col("run_id") == "k1") & (F.col("seq") == 70)))
+        bad = bad.withColumn("payload", F.when((F.col("run_id") == "k0") & (F.col("seq") == 140), F.lit('{"x":1}')).otherwise(F.col("payload")))
+        assert sorted(r["seq"] for r in au.verify_chain(bad, "run_id", bucket_rows=size).collect()) == [71, 140]
+
+
+def test_usage_without_groups_and_without_models(spark):
+    runs = spark.createDataFrame([("a", '{"calls":1,"models":["m2","m1"]}'), ("b", '{"calls":2,"models":["m1"]}'), (None, '{"calls":4}')], "dataset string, usage string")
+    assert (au.usage_rollup(runs).first()["models"], au.usage_rollup(runs).first()["calls"]) == (["m1", "m2"], 7)
+    got = {r["dataset"]: (r["calls"], r["models"]) for r in au.usage_rollup(runs, ["dataset"]).collect()}
+    assert got == {"a": (1, ["m1", "m2"]), "b": (2, ["m1"]), None: (4, [])}
+
+
+def test_saving_runs_and_feedback_continues_the_chain(spark, tmp_path):
+    runs, queries, fb = _log(spark)
+    store = str(tmp_path)
+    early = F.col("run_id") < "run-000050"
+    for part in (early, ~early):
+        save_runs(store, runs.filter(part), queries.join(runs.filter(part), "run_id", "left_semi"))
+    save_feedback(store, fb)
+    log = spark.read.parquet(f"{store}/audit_log")
+    assert log.count() == runs.count() + fb.count() and au.verify_audit(log, runs, queries).first()["intact"]
+    assert spark.read.parquet(f"{store}/queries").count() == queries.count()
+
+
+def test_a_logged_query_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(25, numPartitions=3).mapInArrow(count, "id long")
+    rows = au.log_queries(spark, [("first", "a", df), ("second", "b", spark.range(4))]).collect()
+    assert seen.value == 25
+    assert [(r["query_id"], r["purpose"], r["row_count"], len(json.loads(r["preview"]))) for r in rows] == [("Q1", "first", 25, 10), ("Q2", "second", 4, 4)]
+
+
 def test_query_log_entry_counts_and_previews(spark):
     df = spark.range(25).withColumnRenamed("id", "x")
     row = au.query_log_entry(spark, df, "Q1", "count rows", "SELECT x FROM t").first()

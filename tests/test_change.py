@@ -1,5 +1,8 @@
 """Metric layer and change analysis: algebra identities, edge rules, planted causes."""
 
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -98,6 +101,43 @@ def test_clean_lineitem_repeat_is_not_a_finding(spark):
     assert ch.duplicate_findings(counts).count() == 0
 
 
+def test_a_row_in_both_periods_counts_in_the_second(spark):
+    t = {"orders": spark.sql("SELECT 1L AS o_orderkey, timestamp_ntz'1998-02-15' AS o_orderdate, 'F' AS o_orderstatus, 5.0D AS o_totalprice")}
+    spec = catalogue(("1998-01-01", "1998-03-01"), ("1998-02-01", "1998-04-01"))["order_count"]
+    assert [r["period"] for r in mt.tag_periods(t, tpch_model(), spec).collect()] == ["B"]
+
+
+def test_keys_with_a_null_part_are_counted(spark):
+    t = {"orders": spark.sql("SELECT 1L AS o_orderkey, timestamp_ntz'1998-02-15' AS o_orderdate"),
+         "lineitem": spark.sql("SELECT * FROM VALUES (1L, 1, 2.0D), (1L, NULL, 2.0D), (1L, NULL, 3.0D) AS l(l_orderkey, l_linenumber, l_quantity)")}
+    r = mt.duplicate_counts(t, tpch_model(), catalogue()["avg_quantity"]).filter("table_name = 'lineitem'").first()
+    assert (r["row_count"], r["distinct_keys"]) == (3, 2)
+
+
+def test_orders_without_items_get_the_value_of_a_row_of_nulls(spark):
+    t = {"orders": spark.sql("SELECT id AS o_orderkey, timestamp_ntz'1998-02-15' AS o_orderdate FROM range(3)"),
+         "lineitem": spark.sql("SELECT * FROM VALUES (1L, 1, 2.0D), (1L, 2, 4.0D) AS l(l_orderkey, l_linenumber, l_quantity)")}
+    for value, want in (("SUM(l.l_quantity)", [None, 6.0, None]), ("COUNT(l.l_quantity)", [0.0, 2.0, 0.0])):
+        spec = replace(catalogue()["avg_quantity"], value=value)
+        assert [r["v"] for r in mt.metric_base(t, tpch_model(), spec).orderBy("order_key").collect()] == want
+
+
+def test_one_scan_and_one_shuffle_of_the_items(spark):
+    t, m, s = _ctx(spark, "item_revenue")
+    plan = _plan(mt.metric_total(mt.metric_base(t, m, s)))
+    final = plan.split("== Initial Plan ==")[-1]
+    assert final.count("lineitem.parquet") == 1
+
+
+def test_joins_come_with_their_parents(spark):
+    m = tpch_model()
+    assert m.resolve_joins(["supp_nation", "cust_region"]) == ["customer", "lineitem", "supplier", "cust_nation", "cust_region", "supp_nation"]
+    with pytest.raises(ValueError):
+        m.resolve_joins(["nowhere"])
+    with pytest.raises(ValueError):
+        catalogue(("1998-04-01", "1998-01-01"))["revenue"].validate(m)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

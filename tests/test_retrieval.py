@@ -61,7 +61,7 @@ def test_bm25_matches_hand_formula(spark):
     docs = ["the cat sat", "the dog sat on the mat", "cats and dogs", "the the the"]
     chunks = spark.createDataFrame([(str(i), 0, d) for i, d in enumerate(docs)], "doc_id string, chunk_no int, text string")
     q = spark.createDataFrame([(1, "the cat")], "query_id int, qtext string")
-    got = {r["doc_id"]: r["bm25"] for r in rt.bm25_scores(chunks, q, ["doc_id", "chunk_no"]).collect()}
+    got = {r["doc_id"]: r["bm25"] for r in rt.bm25_top(chunks, q, 10).collect()}
     toks = [re.findall(r"[a-z0-9_]+", d.lower()) for d in docs]
     n, avgdl = len(toks), sum(map(len, toks)) / len(toks)
     dfreq = Counter(t for ts in toks for t in set(ts))
@@ -72,8 +72,9 @@ def test_bm25_matches_hand_formula(spark):
         tf = Counter(ts)
         s = sum(idf.get(t, 0) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(ts) / avgdl)) for t in ["the", "cat"]
                 if tf[t])
-        if s:
-            assert abs(got[str(i)] - s) < 1e-9
+        assert (str(i) in got) == any(tf[t] for t in ["the", "cat"])
+        if str(i) in got:
+            assert abs(got[str(i)] - s) < 1e-8
 
 
 def test_window_filter_edges(spark):
@@ -94,13 +95,25 @@ def test_exact_search_equals_full_ranking(spark):
     assert fast == plain and len(fast) > 0
 
 
-def test_search_batches_give_same_hits(spark):
+def test_scans_move_no_pairs(spark):
+    """What leaves a task of the first scan is cut to its best per query; the second sends counts."""
+    chunks = rq.corpus_chunks(spark, SF0001)
+    rows = next(rt._query_blocks(rq.benchmark_queries(spark, SF0001), 256, 1 << 20))
+    block = rt._block_arrays(rows, chunks, 20, 256, False)
+    found = rt._best(rt._scan_input(chunks), spark.sparkContext.broadcast(block), 65, 2, False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert found.count() <= 2 * 65 * len(rows)
+
+
+def test_search_blocks_give_same_hits(spark):
     chunks = rq.corpus_chunks(spark, SF0001)
     q = rq.benchmark_queries(spark, SF0001)
     one = sorted(tuple(r) for r in rt.search(chunks, q, k=2).select("query_id", "doc_id", "chunk_no", "score").collect())
-    many = sorted(tuple(r) for r in rt.search(chunks, q, k=2, max_broadcast_queries=7)
+    many = sorted(tuple(r) for r in rt.search(chunks, q, k=2, block_bytes=900)
                   .select("query_id", "doc_id", "chunk_no", "score").collect())
-    assert one == many
+    assert one == many and one
+    assert rt.search(chunks, q.limit(0)).count() == 0 and rt.search(chunks.limit(0), q).count() == 0
 
 
 def test_rrf_fuses_ranks(spark):

@@ -30,5 +30,10 @@ def test_markdown_folder_to_chunk_store(spark):
     assert docs.load_chunks(spark, store).groupBy("dataset").count().count() == 2
     # replacing one dataset leaves the other untouched
     docs.write_chunks(chunks.filter(F.col("doc_id") == "plain_note"), store)
+    docs.write_chunks(chunks.limit(0), f"{store}-2")  # an empty first write leaves nothing
+    docs.write_chunks(chunks, f"{store}-2")
+    docs.write_chunks(chunks.limit(0), f"{store}-2", dataset="lab")  # replaced by nothing
+    docs.write_chunks(chunks.withColumn("dataset", F.lit("public")), f"{store}-2")
+    assert {r["dataset"] for r in docs.load_chunks(spark, f"{store}-2").select("dataset").distinct().collect()} == {"public"}
     counts = {r["dataset"]: r["count"] for r in docs.load_chunks(spark, store).groupBy("dataset").count().collect()}
     assert counts == {"lab": 1, "public": 3}

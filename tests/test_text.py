@@ -47,6 +47,25 @@ def test_numbers_and_support_match_python(spark):
         assert got == py_unsupported(t, vs)
 
 
+def test_numbers_beside_letters_of_any_alphabet_and_long_ones(spark):
+    text = "caf\u00e95 \u044f7 _8 12345678901234567890 and 0.1234, 0.9 or 1" + "0" * 400
+    rep = spark.createDataFrame([(1, text)], "report_id int, text string")
+    written = grounding.extract_numbers(rep, ["report_id"], "text")
+    assert [r["raw"] for r in written.orderBy("pos").collect()] == NUMBER.findall(text)
+    values = [0.001 * i for i in range(0, 1000, 2)] + [12345678901234567000.0]
+    ev = spark.createDataFrame([(1, v) for v in values], "report_id int, value double")
+    bad = [r["raw"] for r in grounding.unsupported_numbers(written, grounding.evidence_values(ev)).orderBy("pos").collect()]
+    want = py_unsupported(text, values)
+    assert bad == [r for r in want if r in bad] and "0.1234" in bad and "0.9" not in bad
+
+
+def test_numbers_of_nested_evidence(spark):
+    doc = {"a 9": [1, {"b": -2.5e1, "c": "up 3,000 to caf\u00e94 \\" + '"5"'}], "d": True, "e": None, "f": "none"}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, None), (3, "[]")], "report_id int, j string")
+    got = sorted(r["value"] for r in grounding.json_numbers(df, ["report_id"], "j").collect())
+    assert got == [-25.0, 1.0, 5.0, 3000.0]
+
+
 def py_extract(text):
     m = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text, re.DOTALL)
     c = m.group(1) if m else text
@@ -73,6 +92,10 @@ def test_anomaly_flags_only_planted_day(spark):
 
 def test_ask_sql_caps_rows(spark):
     LazyTables(spark, SF001)["orders"].createOrReplaceTempView("orders")
-    assert adhoc.ask_sql(spark, "SELECT * FROM orders", max_rows=7).count() == 7
+    n = spark.table("orders").count()
+    assert adhoc.ask_sql(spark, "SELECT * FROM orders").count() == n
+    for cap in (7, n):
+        got = adhoc.ask_sql(spark, "SELECT o_orderkey FROM orders", max_rows=cap).collect()
+        assert len(got) == cap and all(r["truncated"] == (cap < n) for r in got)
     top = adhoc.top_k_groups(LazyTables(spark, SF001)["orders"], "o_orderpriority", k=2).collect()
     assert len(top) == 2 and top[0]["n"] >= top[1]["n"]
