@@ -50,6 +50,16 @@ OTHER_NOTICES = ["All rights reserved. Unauthorised copying is prohibited.", "Li
                  "This work is licensed under the Example Vendor License, version 7.", "Released under a custom license, see the file named above.",
                  "This software is proprietary and confidential."]
 
+#: Everyday sentences, so that common words speak for no licence also where the sample is small.
+PLAIN = ["The children ran home and nobody knew why.", "In the morning she read the paper and went to work with her friends.",
+         "You may not have seen it, but this form of the file was there for years.", "He did not use the source of the river as it was too far away.",
+         "We were permitted to leave at noon under the terms that they gave us.", "This is the second version of the story and it is free of mistakes.",
+         "It was published by the foundation in the year of the flood.", "All of the software was on the public shelf in the general store.",
+         "Any person with a copy of the book can be sure of the state of the world.", "The project of the city is subject to change and to the rights of others.",
+         "Sie ging mit dem Hund in die Stadt und kam nicht vor dem Abend nach Hause.", "Das ist ein Werk von vielen und es ist nicht das letzte in der Reihe.",
+         "Elle est dans la maison avec les enfants et le chien de la voisine.", "Il y a une version de cette histoire que tout le monde conna\u00eet.",
+         "El trabajo de la semana es para los dos y no para uno solo.", "La obra se public\u00f3 en la ciudad y todos la vieron por la noche."]
+
 _TABLE = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() or c == 10 else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
 
@@ -126,9 +136,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     usable = docs.filter((F.length(text) <= SAMPLE_CHARS) & F.col(key).isNotNull())
     got = usable.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(F.col(text).alias("t")).limit(2 * sample).collect()
     lines = sorted(x for r in got for x in paragraphs(r["t"].encode()))
-    plain = [x for x in lines if not any(b"licen" in w or w in (b"reserved", b"copyright", b"spdx") for w in x)] or [b"the and of to a in is it that for".split()]
+    plain = [x for x in lines if not any(b"licen" in w or w in (b"reserved", b"copyright", b"spdx") for w in x)]
     rng = random.Random(5)
-    plain = rng.sample(plain, min(len(plain), 2_000))
+    plain = rng.sample(plain, min(len(plain), 2_000)) + [w for x in PLAIN for w in paragraphs(x.encode())]
     names = [NONE, *TEMPLATES]
     rows, labels = list(plain), [0] * len(plain)
     for k, family in enumerate(TEMPLATES, 1):
