@@ -250,8 +250,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     linked = block_pairs(inside, "component", "id", "blocks").select("pair", "id", "sig", "text") \
         .mapInArrow(_edges(kind, _linked(least, percent)), edges)
 
-    copies = sets.join(heads.select("digest", F.col("id").alias("dst")), "digest").select(F.col("id").alias("src"), "dst")
-    found = connected_components(linked.unionByName(copies), "links").select("id", F.col("component").alias("component_id"))
-    out = sketches.select("id", "n_shingles").join(found, "id", "left") \
-        .withColumn("component_id", F.coalesce("component_id", "id"))
+    # a copy follows its representative; only a key with several sets ties their groups together
+    of_set = heads.select("digest", F.col("id").alias("head"))
+    several = sets.groupBy("id").agg((F.min("digest") < F.max("digest")).alias("several")).filter("several").select("id")
+    ties = sets.join(several, "id", "left_semi").join(of_set, "digest").select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    found = connected_components(linked.unionByName(ties), "links").select(F.col("id").alias("head"), F.col("component").alias("component_id"))
+    groups_of = of_set.join(found, "head", "left").select("digest", F.coalesce("component_id", "head").alias("component_id"))
+    out = sketches.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")) \
+        .join(groups_of, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
