@@ -60,5 +60,45 @@ where kind = 'd'
 """
 
 
+# all pairs that share a shingle are compared; components by the closure of the links
+OP5 = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')]
+                                 else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s
+  from split where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b using (s)
+  where a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reached(start, place) as (
+  select doc_id, doc_id from documents
+  union
+  select start, b from reached join links on place = a)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from (select start as doc_id, min(place) as component_id from reached group by start) left join sizes using (doc_id)
+"""
+
+OP10 = r"""
+with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 18)) as start from split where len(w) >= 20),
+windows as (select doc_id, start, array_to_string(w[start:start + 19], ' ') as words from starts),
+firsts as (select words, min({'d': doc_id, 's': start}) as own from windows group by words),
+gone as (
+  select distinct doc_id, unnest(range(start, start + 20)) as place
+  from windows join firsts using (words) where {'d': doc_id, 's': start} <> own),
+kept as (
+  select p.doc_id, count(*) as n, string_agg(word, ' ' order by place) as words
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as place from split) p
+  anti join gone using (doc_id, place) group by p.doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(words, '')) as kept_sha256
+from split left join kept using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op6_benchmark_decontamination": OP6}
+    return {"op1_url_filter": OP1, "op5_minhash": OP5, "op6_benchmark_decontamination": OP6, "op10_substring_dedup": OP10}
