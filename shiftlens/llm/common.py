@@ -45,6 +45,44 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables that an operator writes on its way; leaving the block deletes them.
+
+    What outlives the block must have been written by ``stage`` before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        out = stage(df, label)
+        self.tables.append(out)
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete the files of one table at once."""
+        for file in table.inputFiles()[:1]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for t in self.tables:
+            self.drop(t)
+
+
+#: Rows whose texts are Python objects at one time.
+SLICE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``SLICE`` rows; an empty batch once."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), SLICE):
+            yield b.slice(at, SLICE)
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
@@ -67,7 +105,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], fields: dict[str, str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in slices(batches):
             got = work(raw_texts(b.column(text)), b)
             arrays = [b.column(c) for c in kept] + [pa.array(g, t) for g, t in zip(got, kinds.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *kinds])
@@ -83,7 +121,7 @@ def emit_rows(df: DataFrame, make: Callable[[], Callable], schema: str, columns:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in slices(batches):
             for got in work(b):
                 yield pa.RecordBatch.from_arrays([pa.array(got[n], t) for n, t in kinds.items()], names=list(kinds))
 
