@@ -48,7 +48,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 class Scratch:
     """The tables that an operator writes on its way; leaving the block deletes them.
 
-    What outlives the block must have been written by ``stage`` before."""
+    What outlives the block must have been written by ``stage``, or taken out of ``tables``, before."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import stage
+from shiftlens.llm.common import Scratch, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,14 +30,19 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     """(id, component) of every vertex that has an edge; the component is its smallest vertex.
 
     ``edges`` has comparable columns src and dst; nulls, self-loops, repeats and direction do not
-    matter. Rounds are written to the shared checkpoint folder; only a count and a hash of the edges
-    come to the driver. Their number grows with the logarithm of the vertices.
+    matter. Rounds are written to the shared checkpoint folder, as is the result; only a count and a hash of
+    the edges come to the driver. The number of rounds grows with the logarithm of the vertices.
     """
-    edges = stage(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    with Scratch(edges.sparkSession) as scratch:
+        return stage(_rounds(edges, scratch, label), f"{label}-components")
+
+
+def _rounds(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    edges = scratch.stage(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
                   .filter("src <> dst").distinct(), label)
     now = _print(edges)
     while now[0]:
-        edges = stage(_small_star(_large_star(edges)), label)
+        edges = scratch.stage(_small_star(_large_star(edges)), label)
         before, now = now, _print(edges)
         if now == before:
             break

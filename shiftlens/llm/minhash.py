@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import map_texts, raw_texts, stage
+from shiftlens.llm.common import Scratch, map_texts, raw_texts, stage
 from shiftlens.llm.components import connected_components
 
 SHINGLE = 5
@@ -224,14 +224,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     or more); component_id is the smallest key that links reach, and the document with that key is kept.
     A null text or one without words has an empty set and is linked with nothing. Rows with the same
     key are one vertex: they are in one component, also with different texts, and all have the same
-    ``kept``. A row with a null key is in no component (null) and kept.
+    ``kept``. A row with a null key is in no component (null) and kept. The result is a written table;
+    those on the way to it are deleted.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return stage(_components(docs, text, key, percent, scratch), "near-duplicates")
+
+
+def _components(docs: DataFrame, text: str, key: str, percent: int, scratch: Scratch) -> DataFrame:
     least = LEAST_EQUAL if percent >= 85 else 77  # 77: five standard deviations below the mean at 0.80
-    sketches = stage(sketch(docs, text, key).withColumnRenamed(key, "id"), "sketches")
+    sketches = scratch.stage(sketch(docs, text, key).withColumnRenamed(key, "id"), "sketches")
     sets = sketches.filter("n_shingles > 0 and id is not null")
     kind = sketches.schema["id"].dataType.simpleString()
     # equal sets have equal sketches, so any row of a digest will do
-    heads = stage(sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+    heads = scratch.stage(sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
                                              F.first("bands").alias("bands")), "heads")
 
     bands = heads.select("id", F.explode("bands").alias("bucket"))
@@ -241,7 +247,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         .select("id", "sig", "in.bucket", F.ceil(F.col("in.n") / BLOCK).alias("blocks"))
     edges = "src {0}, dst {0}".format(kind)
     similar = block_pairs(members, "bucket", "id", "blocks").select("pair", "id", "sig").mapInArrow(_edges(kind, _similar(least)), edges)
-    groups = stage(connected_components(similar, "similar"), "groups")
+    groups = connected_components(similar, "similar")
+    scratch.tables.append(groups)
 
     inside = groups.join(heads.select("id", "sig", "digest", "n_shingles"), "id")
     sizes = inside.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
@@ -254,7 +261,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     of_set = heads.select("digest", F.col("id").alias("head"))
     several = sets.groupBy("id").agg((F.min("digest") < F.max("digest")).alias("several")).filter("several").select("id")
     ties = sets.join(several, "id", "left_semi").join(of_set, "digest").select(F.col("id").alias("src"), F.col("head").alias("dst"))
-    found = connected_components(linked.unionByName(ties), "links").select(F.col("id").alias("head"), F.col("component").alias("component_id"))
+    found = connected_components(linked.unionByName(ties), "links")
+    scratch.tables.append(found)
+    found = found.select(F.col("id").alias("head"), F.col("component").alias("component_id"))
     groups_of = of_set.join(found, "head", "left").select("digest", F.coalesce("component_id", "head").alias("component_id"))
     out = sketches.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")) \
         .join(groups_of, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))

@@ -6,6 +6,8 @@ the same document). The corpus is its own reference:
 1. Every window has an anchor: its k-gram of words with the smallest hash. Equal windows have equal
    anchors at equal places, so only windows whose anchor occurs more than once can repeat. Neighbouring
    windows with the same anchor form a segment.
+   An anchor that occurs only in copies of one whole text is no reason to look into it: the first of
+   the copies stands for the others, whose windows all start earlier in it.
 2. Segments with a repeated anchor are taken from the texts. Equal ones collapse to their first
    occurrence; all windows of the others start earlier elsewhere and are removed.
 3. The distinct segments are dealt by anchor to reference shards of bounded size. A task builds the suffix
@@ -23,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import emit_rows, map_texts, raw_texts, stage
+from shiftlens.llm.common import Scratch, emit_rows, map_texts, stage
 
 SIZE = 20
 #: Words of an anchor. A text has about one anchor in (SIZE - ANCHOR + 2) / 2 = 8 words.
@@ -197,41 +200,82 @@ def _explode_windows(size: int):
     return lambda: work
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE,
-                     shard_words: int = SHARD_WORDS, anchor_segments: int = ANCHOR_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(corpus, spans): which words of which document to remove.
+def _anchored(rows: DataFrame, size: int) -> DataFrame:
+    """Per document: a 128-bit digest of its text, its number of words, the SHA-256 of its words joined by single
+    spaces, and its segments' anchors and first windows; ``again`` marks anchors that occur twice in the text."""
 
-    ``corpus`` has one row (doc, h, text, flagged) per distinct key and text, with the text compressed; ``spans`` has
-    (doc, h, starts, counts) of documents with removable windows. h is a hash of the text.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).filter("doc is not null and text is not null")
-
-    def anchors():
+    def make():
         hashes = WordHashes()
 
-        def work(b):
-            out = {"anchor": [], "doc": [], "h": [], "start": []}
-            for doc, h, t in zip(b.column("doc").to_pylist(), b.column("h").to_pylist(), raw_texts(b.column("text"))):
-                a, first, _ = segments(t.split(), hashes, size)
-                out["anchor"].append(a)
-                out["start"].append(first)
-                out["doc"] += [doc] * len(a)
-                out["h"].append(np.full(len(a), h, np.int64))
-            yield {k: v if k == "doc" else np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()}
+        def work(texts, _):
+            out = []
+            for t in texts:
+                words = t.split()
+                a, first, _n = segments(words, hashes, size)
+                _, back, counts = np.unique(a, return_inverse=True, return_counts=True)
+                x = xxhash.xxh3_128_intdigest(t)
+                out.append((*_halves(x), len(words), hashlib.sha256(b" ".join(words)).digest(), a, first, (counts[back] > 1).astype(np.int32)))
+            return list(zip(*out, strict=True)) if out else [[]] * 7
 
         return work
 
-    found = emit_rows(rows, anchors, f"anchor bigint, doc {kind}, h bigint, start bigint", ["doc", "h", "text"])
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    flagged = found.join(often, "anchor").groupBy("doc", "h").agg(F.collect_set("start").alias("starts"))  # of one document
+    fields = {"da": "bigint", "db": "bigint", "n_words": "bigint", "sha": "binary", "anchors": "array<bigint>", "starts": "array<bigint>",
+              "again": "array<int>"}
+    return map_texts(rows, make, fields, keep=["doc", "h"])
+
+
+def _halves(x: int) -> tuple[int, int]:
+    """A 128-bit number as two signed ones."""
+    return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
+
+
+@dataclass
+class Repeats:
+    """What is repeated in a corpus, by document (``doc`` is its key, ``h`` a hash of its text)."""
+
+    texts: DataFrame      # doc, h, n_words, sha: every document
+    copies: DataFrame     # doc, h, n_words: documents whose whole text has a smaller key elsewhere
+    corpus: DataFrame     # doc, h, packed: compressed texts of the documents that were looked into
+    ranges: DataFrame     # doc, h, start, n: windows to remove from them
+
+    def spans(self, size: int) -> DataFrame:
+        """(doc, h, starts, counts) of all documents with removable windows."""
+        whole = self.copies.filter(F.col("n_words") >= size).select("doc", "h", F.lit(0).cast("bigint").alias("start"), (F.col("n_words") - size + 1).alias("n"))
+        return _gathered(self.ranges.unionByName(whole))
+
+
+def _gathered(ranges: DataFrame) -> DataFrame:
+    """The ranges of each document in one row: as many as the document has segments at most, or windows."""
+    return ranges.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("r")) \
+        .select("doc", "h", F.col("r.start").alias("starts"), F.col("r.n").alias("counts"))
+
+
+def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", size: int = SIZE,
+                 shard_words: int = SHARD_WORDS, anchor_segments: int = ANCHOR_SEGMENTS) -> Repeats:
+    """The windows to remove; rows with a null key or text take no part. The tables in ``scratch`` must outlive the use
+    of the result."""
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).filter("doc is not null and text is not null")
+    known = scratch.stage(_anchored(rows, size), "anchors")
+    occurrence = F.struct("doc", "h", "start")
+
+    # a whole text that is there already: the first of its copies stands for all of them
+    firsts = known.groupBy("da", "db").agg(F.min(F.struct("doc", "h")).alias("first"))
+    copies = known.select("doc", "h", "da", "db", "n_words").join(firsts, ["da", "db"]).filter(F.struct("doc", "h") != F.col("first")) \
+        .select("doc", "h", "n_words").distinct()
+
+    found = known.select("doc", "h", F.explode(F.arrays_zip("anchors", "starts", "again")).alias("a")) \
+        .select(F.col("a.anchors").alias("anchor"), "doc", "h", F.col("a.starts").alias("start"), F.col("a.again").alias("again"))
+    often = found.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("again").alias("again")) \
+        .filter("lo <> hi or again = 1").select("anchor")
+    flagged = found.select("anchor", "doc", "h", "start").join(often, "anchor").groupBy("doc", "h").agg(F.collect_set("start").alias("starts")) \
+        .join(copies, ["doc", "h"], "left_anti")  # the starts are those of one document
 
     def pack():
         z = zstandard.ZstdCompressor(level=1)
         return lambda texts, _: ([z.compress(t) for t in texts],)
 
-    packed = map_texts(rows, pack, {"packed": "binary"}, keep=["doc", "h"])
-    corpus = stage(packed.join(flagged, ["doc", "h"], "left"), "corpus")
+    corpus = scratch.stage(map_texts(rows, pack, {"packed": "binary"}, keep=["doc", "h"]).join(flagged, ["doc", "h"]), "corpus")
 
     def take():
         hashes, z = WordHashes(), zstandard.ZstdDecompressor()
@@ -241,41 +285,43 @@ def repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", s
             for doc, h, p, starts in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "packed", "starts"))):
                 words = z.decompress(p).split()
                 a, first, count = segments(words, hashes, size)
+                own = set()
                 for i in np.flatnonzero(np.isin(first, starts)).tolist():
                     start, n = int(first[i]), int(count[i])
                     content = b" ".join(words[start:start + n + size - 1])
                     x = xxhash.xxh3_128_intdigest(content)
-                    for name, v in zip(out, (int(a[i]), (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63), content.decode(), doc, h, start, n)):
+                    # a segment that stood in this text before is removed; its words need not be looked at again
+                    shown = None if x in own else content.decode()
+                    own.add(x)
+                    for name, v in zip(out, (int(a[i]), *_halves(x), shown, doc, h, start, n)):
                         out[name].append(v)
             yield out
 
         return work
 
-    taken = emit_rows(corpus.filter("starts is not null"), take,
-                      f"anchor bigint, ca bigint, cb bigint, content string, doc {kind}, h bigint, start bigint, n bigint", ["doc", "h", "packed", "starts"])
-    taken = stage(taken, "segments")
-    occurrence = F.struct("doc", "h", "start")
-    distinct = stage(taken.groupBy("anchor", "ca", "cb").agg(F.min(occurrence).alias("own"), F.first("content").alias("content"))
+    taken = emit_rows(corpus, take, f"anchor bigint, ca bigint, cb bigint, content string, doc {kind}, h bigint, start bigint, n bigint", ["doc", "h", "packed", "starts"])
+    taken = scratch.stage(taken, "segments")
+    in_text = taken.filter("content is null").select("doc", "h", "start", "n")
+    taken = taken.filter("content is not null")
+    distinct = scratch.stage(taken.groupBy("anchor", "ca", "cb").agg(F.min(occurrence).alias("own"), F.first("content").alias("content"))
                      .select("anchor", "ca", "cb", "own.*", "content"), "distinct")
     # all windows of a later occurrence of the same segment start earlier in its first one
-    later = taken.drop("content", "anchor").alias("t").join(distinct.select("ca", "cb", F.struct("doc", "h", "start").alias("own")), ["ca", "cb"]) \
-        .filter(F.struct("doc", "h", "start") != F.col("own")).select("doc", "h", "start", "n")
+    later = taken.select("ca", "cb", "doc", "h", "start", "n").join(distinct.select("ca", "cb", occurrence.alias("own")), ["ca", "cb"]) \
+        .filter(occurrence != F.col("own")).select("doc", "h", "start", "n")
 
     crowded = distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > anchor_segments).select("anchor")
-    crowded = stage(crowded, "crowded")
+    crowded = scratch.stage(crowded, "crowded")
     few = distinct.join(crowded, "anchor", "left_anti").select("anchor", "doc", "h", "start", "content") \
         .repartition("anchor").sortWithinPartitions("anchor")
     by_automaton = few.mapInArrow(_own_windows(size, shard_words), f"doc {kind}, h bigint, start bigint, n bigint")
 
     windows = emit_rows(distinct.join(crowded, "anchor", "left_semi"), _explode_windows(size), f"wa bigint, wb bigint, doc {kind}, h bigint, start bigint",
                         ["doc", "h", "start", "content"])
-    firsts = windows.groupBy("wa", "wb").agg(F.min(occurrence).alias("own"))
-    by_window = windows.join(firsts, ["wa", "wb"]).filter(occurrence != F.col("own")).select("doc", "h", "start", F.lit(1).cast("bigint").alias("n"))
+    earliest = windows.groupBy("wa", "wb").agg(F.min(occurrence).alias("own"))
+    by_window = windows.join(earliest, ["wa", "wb"]).filter(occurrence != F.col("own")).select("doc", "h", "start", F.lit(1).cast("bigint").alias("n"))
 
-    ranges = later.unionByName(by_automaton).unionByName(by_window)
-    spans = ranges.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("r")) \
-        .select("doc", "h", F.col("r.start").alias("starts"), F.col("r.n").alias("counts"))  # of one document
-    return corpus, spans
+    ranges = in_text.unionByName(later).unionByName(by_automaton).unionByName(by_window)
+    return Repeats(known.select("doc", "h", "n_words", "sha"), copies, corpus, ranges)
 
 
 def removed_words(n_words: int, starts: list[int] | None, counts: list[int] | None, size: int = SIZE) -> np.ndarray:
@@ -289,45 +335,49 @@ def removed_words(n_words: int, starts: list[int] | None, counts: list[int] | No
     return np.cumsum(edge[:-1]) > 0
 
 
-def _digest(texts, batch, size, unpack):
-    rows = []
-    for t, s, n in zip(texts, batch.column("r_starts").to_pylist(), batch.column("r_counts").to_pylist()):
-        words = (unpack(t) if t is not None else b"").split()
-        if s:
-            gone = removed_words(len(words), s, n, size)
-            kept = [w for w, g in zip(words, gone.tolist()) if not g]
-        else:
-            kept = words
-        rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-    return list(zip(*rows)) if rows else [[]] * 3
-
-
 def dedup_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, **limits: int) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every row of ``docs``.
 
     A null text has no words. Rows with the same key and the same text are one document, and rows with the
     same key and different texts are told apart (and ordered) by a hash of the text. Rows with a null
-    key are compared with nothing and keep all their words.
+    key are compared with nothing and keep all their words. The result is a written table; those on the
+    way to it are deleted.
     """
-    corpus, spans = repeated_windows(docs, text, key, size, **limits)
-    spans = spans.withColumnsRenamed({"starts": "r_starts", "counts": "r_counts"})
-    nothing = F.lit(None).cast("array<bigint>")
-    some = corpus.filter("starts is not null").drop("starts").join(spans, ["doc", "h"], "left")
-    none = corpus.filter("starts is null").select("doc", "h", "packed", nothing.alias("r_starts"), nothing.alias("r_counts"))
+    with Scratch(docs.sparkSession) as scratch:
+        return stage(_digests(docs, find_repeats(docs, scratch, text, key, size, **limits), text, key, size), "kept-words")
+
 
-    def work_packed():
+def _digests(docs: DataFrame, found: Repeats, text: str, key: str, size: int) -> DataFrame:
+    nothing = hashlib.sha256(b"").hexdigest()
+
+    def cut():
         unpack = zstandard.ZstdDecompressor().decompress
-        return lambda texts, b: _digest(texts, b, size, unpack)
 
-    def work_plain():
-        return lambda texts, b: _digest(texts, b, size, bytes)
+        def work(texts, b):
+            rows = []
+            for p, s, n in zip(texts, b.column("starts").to_pylist(), b.column("counts").to_pylist()):
+                words = unpack(p).split()
+                gone = removed_words(len(words), s, n, size)
+                rows.append((int(gone.sum()), hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist()) if not g])).hexdigest()))
+            return list(zip(*rows, strict=True)) if rows else [[]] * 2
+
+        return work
+
+    changed = map_texts(found.corpus.drop("starts").join(_gathered(found.ranges), ["doc", "h"]), cut, {"n_removed": "bigint", "kept": "string"},
+                        "packed", ["doc", "h"], ("starts", "counts")).dropDuplicates(["doc", "h"])
+    whole = found.copies.filter(F.col("n_words") >= size).select("doc", "h", F.col("n_words").alias("n_removed"), F.lit(nothing).alias("kept"))
+    compared = found.texts.join(changed.unionByName(whole), ["doc", "h"], "left").select(
+        F.col("doc").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", F.lower(F.hex("sha"))).alias("kept_sha256"))
+
+    def count():
+        def work(texts, _):
+            words = [(t or b"").split() for t in texts]
+            return [len(w) for w in words], [0] * len(words), [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+
+        return work
 
-    fields = {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}
-    also = ("r_starts", "r_counts")
-    compared = map_texts(some.unionByName(none), work_packed, fields, "packed", ["doc"], also).withColumnRenamed("doc", key)
-    rest = docs.select(F.col(key), F.col(text).alias("text"), nothing.alias("r_starts"), nothing.alias("r_counts")) \
-        .filter(F.col(key).isNull() | F.col("text").isNull())
-    return compared.unionByName(map_texts(rest, work_plain, fields, "text", [key], also))
+    rest = docs.select(F.col(key), F.col(text).alias("text")).filter(F.col(key).isNull() | F.col("text").isNull())
+    return compared.unionByName(map_texts(rest, count, {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}, "text", [key]))
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -339,7 +389,8 @@ def dedup_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     All other columns, and the texts without repeats, stay as they are; a text may become empty. Nulls and
     repeated rows are treated as in ``dedup_digests``.
     """
-    _, spans = repeated_windows(docs, text, key, size, **limits)
+    with Scratch(docs.sparkSession) as scratch:
+        spans = stage(find_repeats(docs, scratch, text, key, size, **limits).spans(size), "spans")
     spans = spans.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("starts").alias("_starts"), F.col("counts").alias("_counts"))
     joined = docs.join(spans, (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_h")), "left").drop("_doc", "_h")
 
