@@ -241,7 +241,8 @@ def _components(docs: DataFrame, text: str, key: str, percent: int, scratch: Scr
                                              F.first("bands").alias("bands")), "heads")
 
     bands = heads.select("id", F.explode("bands").alias("bucket"))
-    full = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # written before the join: then a bucket that holds many of the rows can be split
+    full = scratch.stage(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     shared = bands.join(full, "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n")).alias("in"))  # at most BANDS each
     members = shared.join(heads.select("id", "sig"), "id").select("id", "sig", F.explode("in").alias("in")) \
         .select("id", "sig", "in.bucket", F.ceil(F.col("in.n") / BLOCK).alias("blocks"))

@@ -260,7 +260,9 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str
     occurrence = F.struct("doc", "h", "start")
 
     # a whole text that is there already: the first of its copies stands for all of them
-    firsts = known.groupBy("da", "db").agg(F.min(F.struct("doc", "h")).alias("first"))
+    # (tables of the few are written before the many are joined to them: then a hot key can be split)
+    firsts = known.groupBy("da", "db").agg(F.min(F.struct("doc", "h")).alias("first"), F.max(F.struct("doc", "h")).alias("last"))
+    firsts = scratch.stage(firsts.filter("first <> last").select("da", "db", "first"), "firsts")
     copies = known.select("doc", "h", "da", "db", "n_words").join(firsts, ["da", "db"]).filter(F.struct("doc", "h") != F.col("first")) \
         .select("doc", "h", "n_words").distinct()
 
@@ -268,6 +270,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str
         .select(F.col("a.anchors").alias("anchor"), "doc", "h", F.col("a.starts").alias("start"), F.col("a.again").alias("again"))
     often = found.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("again").alias("again")) \
         .filter("lo <> hi or again = 1").select("anchor")
+    often = scratch.stage(often, "often")
     flagged = found.select("anchor", "doc", "h", "start").join(often, "anchor").groupBy("doc", "h").agg(F.collect_set("start").alias("starts")) \
         .join(copies, ["doc", "h"], "left_anti")  # the starts are those of one document
 
@@ -317,7 +320,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str
 
     windows = emit_rows(distinct.join(crowded, "anchor", "left_semi"), _explode_windows(size), f"wa bigint, wb bigint, doc {kind}, h bigint, start bigint",
                         ["doc", "h", "start", "content"])
-    earliest = windows.groupBy("wa", "wb").agg(F.min(occurrence).alias("own"))
+    windows = scratch.stage(windows, "windows")
+    earliest = scratch.stage(windows.groupBy("wa", "wb").agg(F.min(occurrence).alias("own")), "earliest")
     by_window = windows.join(earliest, ["wa", "wb"]).filter(occurrence != F.col("own")).select("doc", "h", "start", F.lit(1).cast("bigint").alias("n"))
 
     ranges = in_text.unionByName(later).unionByName(by_automaton).unionByName(by_window)
