@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shiftlens.llm import stages
-from shiftlens.llm.common import stage as written
+from shiftlens.llm.common import Scratch
 
 STAGES = [
     ("language_id", stages.language_id),
@@ -26,7 +26,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages before it wrote is deleted at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = written(step(spark, docs, sf_dir), f"pipeline-{name}")
+    with Scratch(spark) as scratch:
+        for name, step in STAGES:
+            docs = scratch.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.tables.remove(docs)
     return docs
