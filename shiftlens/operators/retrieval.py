@@ -456,7 +456,8 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int =
                                        "rank_bm25 bigint, rank_cos bigint")
     # at most k rows per query: the hits meet the chunk table without moving it
     return (chunks.select("dataset", *CHUNK_KEYS, "title", "doc_type", "doc_date", "text").join(F.broadcast(best), ["dataset", *CHUNK_KEYS])
-            .select("query_id", "hit_rank", *CHUNK_KEYS, "title", "doc_type", "doc_date", "text", "score", "rank_bm25", "rank_cos"))
+            .select("query_id", "hit_rank", *CHUNK_KEYS, "title", "doc_type", "doc_date", "text", F.round("score", 4).alias("score"),
+                    "rank_bm25", "rank_cos"))
 
 
 def _fused(scan: DataFrame, block: dict, rows: list, k: int) -> list[tuple]:
@@ -483,7 +484,7 @@ def _fused(scan: DataFrame, block: dict, rows: list, k: int) -> list[tuple]:
         per_query.setdefault(q, []).append((-(1.0 / (RRF_K + rb) + 1.0 / (RRF_K + rc)), doc, no, rb, rc))
     for q, found in per_query.items():
         for n, (score, doc, no, rb, rc) in enumerate(sorted(found)[:k], 1):
-            out.append((rows[q]["query_id"], n, rows[q]["dataset"], doc, no, round(-score, 4), rb, rc))
+            out.append((rows[q]["query_id"], n, rows[q]["dataset"], doc, no, -score, rb, rc))
     return out
 
 
