@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 
 from shiftlens.llm.common import map_texts
 
-#: Entries in a Python worker's memories of encoded words and pieces (about 250 bytes each); one is emptied when full.
-MEMORY = 500_000
+#: Entries in a Python worker's memories of encoded pieces and of token pairs, and of encoded words (about 200 bytes each);
+#: one is emptied when full.
+MEMORY, WORD_MEMORY = 300_000, 200_000
 
 #: Stands for the end of a word inside a word's symbols; it occurs in no symbol of a byte.
 END = ""
@@ -77,11 +78,11 @@ class Pieces(dict):
         super().__init__()
         self.make, self.some_empty = make, False
 
-    def __missing__(self, piece: bytes) -> tuple[bytes, bytes]:
+    def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
         got = self[piece] = self.make(piece)
-        self.some_empty |= not got[0]
+        self.some_empty |= not got
         return got
 
 
@@ -89,7 +90,7 @@ class Pieces(dict):
 class Encoder:
     vocabulary: Vocabulary
     pairs: dict[tuple[int, int], bool] = field(default_factory=dict)  # the compatibility table, filled as pairs come up
-    words: dict[str, tuple[bytes, bytes]] = field(default_factory=dict)
+    words: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         self.pieces = Pieces(self.encode_piece)
@@ -109,13 +110,14 @@ class Encoder:
         self.symbols = byte_symbols()
         self.word = regex.compile(v.words, regex.V0)
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.specials, key=len, reverse=True)))) if v.specials else None
-        # decoding: all token texts in one string of bytes, with the offset of each
+        # decoding: the token texts, cut from one string of bytes by a table of offsets
         texts = [t.replace(END, v.suffix) for t in v.tokens]
         for t, i in v.specials.items():
             texts[i] = t
         encoded = [t.encode() for t in texts]
-        self.blob = b"".join(encoded)
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).tolist()
+        blob = b"".join(encoded)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).tolist()
+        self.token_text = {str(i).encode(): blob[a:b] for i, (a, b) in enumerate(zip(offsets, offsets[1:]))}
 
     def next_shorter(self, token: int) -> int | None:
         """The longest token that is a proper prefix of this one."""
@@ -147,6 +149,8 @@ class Encoder:
                     rank = self.vocabulary.merges.get((x, y))
                     if rank is not None and rank < x_ends and rank <= y_ends:
                         ok = False
+            if len(self.pairs) >= MEMORY:
+                self.pairs.clear()
             self.pairs[a, b] = ok
         return ok
 
@@ -180,18 +184,18 @@ class Encoder:
                 token = longest[at] if at < n else None
         return out
 
-    def encode_text_word(self, word: str) -> tuple[bytes, bytes]:
-        """The ids as text and the decoded text of one normalised word."""
+    def encode_text_word(self, word: str) -> bytes:
+        """The ids of one normalised word, as text."""
         got = self.words.get(word)
         if got is None:
-            ids = self.encode_word("".join([self.symbols[b] for b in word.encode()]) + END)
-            if len(self.words) >= MEMORY:
+            if len(self.words) >= WORD_MEMORY:
                 self.words.clear()
-            got = self.words[word] = (" ".join(map(str, ids)).encode(), self.decode(ids))
+            ids = self.encode_word("".join([self.symbols[b] for b in word.encode()]) + END)
+            got = self.words[word] = " ".join(map(str, ids)).encode()
         return got
 
-    def encode_piece(self, piece: bytes) -> tuple[bytes, bytes]:
-        """Of a piece without ASCII white space: the ids as text and the decoded text.
+    def encode_piece(self, piece: bytes) -> bytes:
+        """The ids of a piece without ASCII white space, as text.
 
         Words never reach over white space, so pieces can be encoded and remembered one by one."""
         if piece.isascii():
@@ -200,30 +204,24 @@ class Encoder:
         else:
             text = unicodedata.normalize("NFC", piece.decode())
             text = "".join(map(str.lower, text)) if self.vocabulary.lower else text
-        got = list(map(self.encode_text_word, self.word.findall(text)))
-        return got[0] if len(got) == 1 else (b" ".join([g[0] for g in got]), b" ".join([g[1] for g in got]))
+        return b" ".join(map(self.encode_text_word, self.word.findall(text)))
 
-    def encode(self, text: bytes) -> tuple[int, bytes, bytes]:
-        """Of a whole text: number of ids, the ids as text joined by spaces, the decoded text."""
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a whole text, as text joined by spaces."""
         if self.special is not None and b"<|" in text:
             parts, at, line = [], 0, text.decode()
             for m in self.special.finditer(line):
-                i = self.vocabulary.specials[m[0]]
-                parts += [*map(self.pieces.__getitem__, line[at:m.start()].encode().split()), (str(i).encode(), self.decode([i]))]
+                parts += map(self.pieces.__getitem__, line[at:m.start()].encode().split())
+                parts.append(str(self.vocabulary.specials[m[0]]).encode())
                 at = m.end()
             parts += map(self.pieces.__getitem__, line[at:].encode().split())
         else:
             parts = list(map(self.pieces.__getitem__, text.split()))
-        if self.pieces.some_empty:
-            parts = [p for p in parts if p[0]]
-        if not parts:
-            return 0, b"", b""
-        ids = b" ".join([p[0] for p in parts])
-        return ids.count(b" ") + 1, ids, b" ".join([p[1] for p in parts])
-
-    def decode(self, ids: list[int]) -> bytes:
+        return b" ".join(filter(None, parts) if self.pieces.some_empty else parts)
+
+    def decode(self, ids: bytes) -> bytes:
         """The tokens' texts joined by spaces, as decoding does without a decoder in the tokenizer file."""
-        return b" ".join(self.blob[self.offsets[i]:self.offsets[i + 1]] for i in ids)
+        return b" ".join(map(self.token_text.__getitem__, ids.split()))
 
 
 def tokenise(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -240,11 +238,11 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", keep: list[str] | N
         held = shared.value
         if "encoder" not in held:  # kept by the Python worker for its next tasks
             held["encoder"] = Encoder(Vocabulary(*held["parts"]))
-        encode = held["encoder"].encode
+        encoder = held["encoder"]
 
         def work(texts, _):
-            rows = [encode(t or b"") for t in texts]
-            return [r[0] for r in rows], [r[1].decode() for r in rows], [r[2].decode() for r in rows]
+            ids = [encoder.encode(t or b"") for t in texts]
+            return [x.count(b" ") + bool(x) for x in ids], [x.decode() for x in ids], [encoder.decode(x).decode() for x in ids]
 
         return work
 
