@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
+    """One document of each group of near copies (similarity of 0.8 or more), that with the smallest id."""
+    gone = minhash.near_duplicates(docs, percent=80).filter("not kept").select("doc_id")
     # the keys grow with the input, so they are never broadcast
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 

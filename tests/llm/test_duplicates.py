@@ -145,6 +145,23 @@ def test_suffix_automaton_statistics():
         assert list(a.matches(s, 5)) == want
 
 
+def test_near_dedup_stage_drops_copies_of_similarity_080_to_085(spark):
+    rows = []
+    for g, changed in enumerate((3, 4, 5, 6, 7)):  # each changed word takes five shingles: similarity 0.86 to 0.71
+        base = [f"g{g}w{i}" for i in range(204)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join("other" if i % 20 == 10 and i < 20 * changed else w for i, w in enumerate(base)))]
+    at_80, at_85 = ({i for i, (_, c) in brute.near_duplicates(rows, percent=p).items() if i == c} for p in (80, 85))
+    assert len(at_85) - len(at_80) == 1
+    got = stages.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert {r.doc_id for r in got.collect()} == at_80
+
+
+def test_near_dedup_stage_on_the_documents_at_80(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {i for i, (_, c) in brute.near_duplicates(rows_of(spark), percent=80).items() if i == c}
+    assert {r.doc_id for r in stages.near_dedup(spark, docs, SMALL).select("doc_id").collect()} == want
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = lambda df: {r.doc_id: r.text for r in df.collect()}
