@@ -3,7 +3,7 @@
 A text is its vector of byte 1- to 3-grams (hashed to ``DIMS`` dimensions, 1 + log of the count
 times the inverse document frequency, length one). Spherical k-means gives a few centroids for each
 language; a text gets the language of the centroid with the greatest cosine, and is rejected where
-even that cosine is lower than any seen in training allows.
+even that cosine is lower than held-out texts of that language with about as many different n-grams reach.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ CENTROIDS = 4
 SAMPLE = 400
 #: Of texts up to this many characters, so that the sample is at most 400 x 20,000 x 4 bytes a language.
 SAMPLE_CHARS = 20_000
-#: A cosine below this share of the smallest one in the sample (texts of 20 letters or more) is a rejection.
-REJECT_SHARE = 0.5
+#: A text is rejected below ``REJECT_SHARE`` of this quantile of the held-out cosines of its language and size.
+REJECT_QUANTILE, REJECT_SHARE = 0.005, 0.8
+#: Parts of the sample that are held out in turn, and held-out texts that a size needs for a bound of its own.
+FOLDS, LEAST_HELD = 4, 20
+#: Sizes are told apart by the number of bits of their number of different n-grams.
+OCTAVES = DIMS.bit_length() + 1
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -35,7 +39,7 @@ class Centroids:
     names: list[str]       # language of each centroid
     vectors: np.ndarray    # DIMS x centroids, columns of length one
     idf: np.ndarray
-    least: float           # smallest cosine that is accepted
+    least: np.ndarray      # centroids x OCTAVES, smallest cosine that is accepted
 
 
 def gram_ids(text: bytes) -> np.ndarray:
@@ -74,6 +78,37 @@ def has_letter(text: bytes | None) -> bool:
     return text is not None and _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
+def _bits(v: np.ndarray) -> int:
+    return int(np.count_nonzero(v)).bit_length()
+
+
+def _bounds(own: list[bytes], x: np.ndarray, idf: np.ndarray, centroids: int) -> np.ndarray:
+    """Smallest accepted cosine of one language for each size, from texts (vectors ``x``) held out of the clusters.
+
+    A text stands for its own size and, cut, for smaller ones. Cosines grow with the size, so each size also counts the
+    texts of the one below it, and a size of few texts takes the bound of that one.
+    """
+    held: list[list[float]] = [[] for _ in range(OCTAVES)]
+    for fold in range(min(FOLDS, len(own)) if len(own) > 1 else 0):
+        out = np.arange(len(own)) % FOLDS == fold
+        c = _cluster(x[~out], centroids)
+        for i in np.flatnonzero(out):
+            found: dict[int, float] = {}
+            for b in range(1, len(own[i]).bit_length()):
+                part = own[i][:1 << (b - 1)].decode("utf-8", "ignore").encode()
+                if has_letter(part):
+                    v = vector(part, idf)
+                    found.setdefault(_bits(v), float((c @ v).max()))
+            found.setdefault(_bits(x[i]), float((c @ x[i]).max()))
+            for b, cos in found.items():
+                held[b].append(cos)
+    least = np.zeros(OCTAVES)
+    for b in range(1, OCTAVES):
+        near = held[b - 1] + held[b]
+        least[b] = REJECT_SHARE * np.quantile(near, REJECT_QUANTILE) if len(held[b]) >= LEAST_HELD else least[b - 1]
+    return least
+
+
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE,
         centroids: int = CENTROIDS) -> Centroids:
     """Fit on labelled rows: at most ``sample`` texts a language come to the driver.
@@ -86,7 +121,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     # a language's sample is cut by a hash bound first, so no task sorts all rows of a language
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Centroids([], np.zeros((DIMS, 0), np.float32), np.ones(DIMS, np.float32), 1.0)
+        return Centroids([], np.zeros((DIMS, 0), np.float32), np.ones(DIMS, np.float32), np.zeros((0, OCTAVES)))
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 1.5 * sample / n))])
     part = usable.filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
     chosen: dict[str, list[bytes]] = {}
@@ -95,20 +130,18 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             got.append(raw)
     chosen = {k: v for k, v in chosen.items() if v}
     if not chosen:
-        return Centroids([], np.zeros((DIMS, 0), np.float32), np.ones(DIMS, np.float32), 1.0)
+        return Centroids([], np.zeros((DIMS, 0), np.float32), np.ones(DIMS, np.float32), np.zeros((0, OCTAVES)))
     texts = [t for v in chosen.values() for t in v]
     df = sum((np.bincount(np.unique(gram_ids(t)), minlength=DIMS) for t in texts), np.zeros(DIMS))
     idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
-    names, found, least = [], [], 1.0
+    names, found, least = [], [], []
     for name, own in sorted(chosen.items()):
         x = np.stack([vector(t, idf) for t in own])
         c = _cluster(x, centroids)
         names += [name] * len(c)
         found.append(c)
-        long = np.array([sum(map(len, _LETTER.findall(t.decode()))) >= 20 for t in own])
-        if long.any():
-            least = min(least, float((x[long] @ c.T).max(1).min()))
-    return Centroids(names, np.concatenate(found).T.astype(np.float32), idf, least * REJECT_SHARE if least < 1 else 0.0)
+        least += [_bounds(own, x, idf, centroids)] * len(c)
+    return Centroids(names, np.concatenate(found).T.astype(np.float32), idf, np.stack(least))
 
 
 def predict(docs: DataFrame, model: Centroids, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -116,7 +149,7 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text", keep: list[st
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected. Every other text gets
     the language of its nearest centroid (the first in order of name on a tie); ``rejected`` tells
-    that it is too far from all of them. The whole text counts.
+    that it is further from it than texts of that language and size are. The whole text counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.vectors, model.idf, model.least))
 
@@ -127,14 +160,15 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text", keep: list[st
             langs, scores, out = [], [], []
             for t in texts:
                 if not has_letter(t) or not names:
-                    got, cos = UNKNOWN, 0.0
+                    got, cos, bound = UNKNOWN, 0.0, 1.0
                 else:
-                    cosines = vector(t, idf) @ vectors
+                    v = vector(t, idf)
+                    cosines = v @ vectors
                     at = int(cosines.argmax())
-                    got, cos = names[at], float(min(1.0, max(0.0, cosines[at])))
+                    got, cos, bound = names[at], float(min(1.0, max(0.0, cosines[at]))), least[at, _bits(v)]
                 langs.append(got)
                 scores.append(cos)
-                out.append(got == UNKNOWN or cos < least)
+                out.append(bool(cos < bound))
             return langs, scores, out
 
         return work

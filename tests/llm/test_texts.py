@@ -223,3 +223,32 @@ def test_model_is_a_distribution(spark, odd):
     nothing, none = brown.train(odd.limit(0).select("text"))
     rows = brown.score(odd.select("doc_id", "text"), nothing, none).collect()
     assert len(rows) == odd.count() and all(r.n_known == 0 and r.base_score == 0 for r in rows)
+
+
+# ---- rejection of languages that were not learned -------------------------------------------------
+STRANGE = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+}
+
+
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    rng = np.random.default_rng(8)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    az = "abcdefghijklmnopqrstuvwxyz"
+    texts = [*STRANGE.values(), *(letters(n, az) for n in (160, 1000, 5000)), letters(1200, az + "     "), letters(3000, az + az.upper() + "0123456789+/")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.filter(~fold_is("doc_id", 4, 2)))
+    got = by_id(langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model))
+    assert [got[i]["rejected"] for i in range(len(texts))] == [True] * len(texts)
+    assert langid.predict(docs.filter(fold_is("doc_id", 4, 2)), model).filter("rejected").count() == 0
+
+
+def test_odd_labelled_texts_loosen_no_bound(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(9)
+    odd = spark.createDataFrame([(10_000_000 + i, "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 24)), "en") for i in range(30)], docs.schema)
+    fi = spark.createDataFrame([(1, STRANGE["fi"])], "doc_id long, text string")
+    assert langid.predict(fi, langid.fit(docs.unionByName(odd))).first()["rejected"]
