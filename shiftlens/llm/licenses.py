@@ -1,9 +1,10 @@
 """License scan: a paragraph classifier over word n-grams, with templates to confirm what it says.
 
-Every line of a text is a paragraph. A sparse logistic regression over hashed words and word pairs gives
-each paragraph a probability per licence family and for "no licence". A paragraph that is probably a
-licence is given a family if the calibrated probability is high enough and a template of that family
-shares enough word pairs with it; otherwise it is ``unknown``.
+Every line of a text is a paragraph, and is covered by overlapping windows of a bounded number of words, so
+that a notice within a long line stands whole in one of them. A sparse logistic regression over hashed words
+and word pairs gives each window a probability per licence family and for "no licence". A window that is
+probably a licence is given a family if the calibrated probability is high enough and a template of that
+family shares enough word pairs with it; a paragraph whose windows get none is ``unknown``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SAMPLE, SAMPLE_CHARS = 300, 20_000
 #: Share of a template's word pairs that a paragraph must have.
 CONFIRM = 0.6
 MEMORY = 400_000
+#: Words of a window and from one window to the next: any WINDOW - STEP + 1 words (the longest template) stand in one.
+WINDOW, STEP = 24, 8
 
 #: Notices that state each licence family.
 TEMPLATES = {
@@ -76,14 +79,24 @@ def paragraphs(text: bytes | None) -> list[list[bytes]]:
     return [w for line in (text or b"").translate(_TABLE).split(b"\n") if (w := line.split())]
 
 
+def spans(n: int) -> list[tuple[int, int]]:
+    """Start and end of the windows that cover a line of ``n`` words."""
+    return [(0, n)] if n <= WINDOW else [*((at, at + WINDOW) for at in range(0, n - WINDOW, STEP)), (n - WINDOW, n)]
+
+
+def hashed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension of each word and of each pair of neighbours."""
+    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    shift = np.uint64(64 - DIMS.bit_length() + 1)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)) >> shift, pair >> shift
+
+
 def grams(lines: list[list[bytes]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Dimension of each word and each pair of neighbours in a line, and the line of either."""
-    h = np.array([words[w] for line in lines for w in line], np.int64).view(np.uint64)
     at = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    one, two = hashed(np.array([words[w] for line in lines for w in line], np.int64).view(np.uint64))
     same = at[1:] == at[:-1]
-    shift = np.uint64(64 - DIMS.bit_length() + 1)
-    return (h * np.uint64(0xBF58476D1CE4E5B9)) >> shift, at, pair[same] >> shift, at[1:][same]
+    return one, at, two[same], at[1:][same]
 
 
 @dataclass
@@ -94,35 +107,67 @@ class Classifier:
     temperature: float
     least: float            # smallest calibrated probability of a family
 
-    def log_odds(self, lines: list[list[bytes]], words: _Words) -> np.ndarray:
-        one, at, two, at2 = grams(lines, words)
-        n = len(lines)
-        z = np.empty((n, len(self.names)))
-        size = np.sqrt(np.maximum(1, np.bincount(at, minlength=n) + np.bincount(at2, minlength=n)))
+    def log_odds(self, lines: list[list[bytes]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of every window of every line, the line of each window and its first word in the line."""
+        h = np.array([words[w] for line in lines for w in line], np.int64).view(np.uint64)
+        one, two = hashed(h)
+        base = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+        at = [(i, a, b) for i, x in enumerate(lines) for a, b in spans(len(x))]
+        line, start, end = np.array(at, np.int64).reshape(-1, 3).T
+        a, b = base[line] + start, base[line] + end
+        size = np.sqrt(2 * (b - a) - 1)
+        z = np.empty((len(line), len(self.names)))
         for k in range(len(self.names)):
             w = self.weights[:, k]
-            z[:, k] = (np.bincount(at, w[one], n) + np.bincount(at2, w[two], n)) / size + self.bias[k]
-        return z
+            of_one, of_two = np.concatenate([[0], np.cumsum(w[one])]), np.concatenate([[0], np.cumsum(w[two])])
+            z[:, k] = (of_one[b] - of_one[a] + of_two[b - 1] - of_two[a]) / size + self.bias[k]
+        return z, line, start
 
-    def probabilities(self, lines: list[list[bytes]], words: _Words) -> np.ndarray:
-        z = self.log_odds(lines, words) / self.temperature
+    def probabilities(self, lines: list[list[bytes]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z, line, start = self.log_odds(lines, words)
+        z /= self.temperature
         e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+        return e / e.sum(1, keepdims=True), line, start
 
 
 def _pairs(words: list[bytes]) -> set:
     return set(zip(words, words[1:])) or {(w,) for w in words}
 
 
+def _matches(words: list[bytes], templates: list[tuple[int, set]], at: int) -> list[tuple[int, int, int]]:
+    """(pairs found, start, end) of the best place in ``words`` (the first is number ``at``) of each template that is confirmed."""
+    out, pairs = [], list(zip(words, words[1:])) or [(words[0],)]
+    own = set(pairs)
+    for size, known in templates:
+        if len(own & known) >= CONFIRM * len(known):
+            hit = np.concatenate([[0], np.cumsum([x in known for x in pairs])])
+            reach = max(1, min(size - 1, len(pairs)))
+            inside = hit[reach:] - hit[:-reach]
+            s = int(inside.argmax())
+            out.append((int(inside[s]), at + s, at + s + reach + 1))
+    return out
+
+
+def _apart(found: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
+    """(start, family) of the matches of a line, in order; of those that overlap the one with the most pairs counts, so that a
+    notice that one window cuts off is known by the window that has it whole."""
+    kept: list[tuple[int, int, str]] = []
+    for _, a, b, family in sorted(found, key=lambda x: (-x[0], x[1:])):
+        if all(b <= c or d <= a for c, d, _ in kept):
+            kept.append((a, b, family))
+    return [(a, family) for a, _, family in sorted(kept)]
+
+
 def _variants(rng: random.Random, notice: str, filler: list[list[bytes]], n: int) -> list[list[bytes]]:
-    """The notice inside other words, with a word left out now and then."""
+    """The notice inside up to a window of other words, with a word left out now and then."""
     base = notice.encode().translate(_TABLE).split()
     out = [base]
     for _ in range(n):
         w = [x for x in base if rng.random() > 0.08] or base
-        around = rng.choice(filler) if filler else []
-        cut = rng.randrange(0, 9)
-        out.append(around[:cut] + w if rng.random() < 0.5 else w + around[:cut])
+        around = [x for _ in range(4) for x in rng.choice(filler)] if filler else []
+        around = around[:rng.randrange(0, max(9, WINDOW - len(w) + 1))]
+        cut = rng.choice((0, len(around), rng.randrange(0, len(around) + 1)))
+        out.append(around[:cut] + w + around[cut:])
     return out
 
 
@@ -135,15 +180,20 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     share = int(min(1.0, sample / n) * (1 << 20))
     usable = docs.filter((F.length(text) <= SAMPLE_CHARS) & F.col(key).isNotNull())
     got = usable.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(F.col(text).alias("t")).limit(2 * sample).collect()
-    lines = sorted(x for r in got for x in paragraphs(r["t"].encode()))
+    lines = sorted(x[a:b] for r in got for x in paragraphs(r["t"].encode()) for a, b in spans(len(x)))
     plain = [x for x in lines if not any(b"licen" in w or w in (b"reserved", b"copyright", b"spdx") for w in x)]
     rng = random.Random(5)
     plain = rng.sample(plain, min(len(plain), 2_000)) + [w for x in PLAIN for w in paragraphs(x.encode())]
+    filler = list(plain)
+    # also short lines and words said over and over, which windows of the sample seldom are
+    for x in rng.sample(plain, min(len(plain), 400)):
+        at = rng.randrange(len(x))
+        plain += [x[at:at + rng.randrange(1, 5)], [x[at]] * rng.randrange(2, WINDOW + 1)]
     names = [NONE, *TEMPLATES]
     rows, labels = list(plain), [0] * len(plain)
     for k, family in enumerate(TEMPLATES, 1):
         for notice in TEMPLATES[family]:
-            v = _variants(rng, notice, plain, 40)
+            v = _variants(rng, notice, filler, 40)
             rows += v
             labels += [k] * len(v)
     y = np.array(labels)
@@ -159,9 +209,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: _loss(z / t, y[held])) if held.any() else 1.0
     model = Classifier(names, w.astype(np.float64), b.astype(np.float64), temperature, 0.0)
     # a family must be surer than 99 of 100 notices of no family, but no surer than 98 of 100 of its own
-    other = [v for notice in OTHER_NOTICES for v in _variants(rng, notice, plain, 40)]
-    strangers = model.probabilities(other, words)[:, 1:].max(1)
-    own = model.probabilities([r for r, h, k in zip(rows, held, y) if h and k], words)[:, 1:].max(1)
+    other = [v for notice in OTHER_NOTICES for v in _variants(rng, notice, filler, 40)]
+    strangers = model.probabilities(other, words)[0][:, 1:].max(1)
+    own = model.probabilities([r for r, h, k in zip(rows, held, y) if h and k], words)[0][:, 1:].max(1)
     model.least = float(min(np.quantile(strangers, 0.99), np.quantile(own, 0.02))) if len(own) else 0.5
     return model
 
@@ -171,7 +221,8 @@ def _regress(x: np.ndarray, y: np.ndarray, k: int, steps: int = 150, rate: float
     w, b = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
     gw, gb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     one = np.eye(k, dtype=np.float32)[y]
-    weight = (1 / np.bincount(y, minlength=k).clip(min=1))[y][:, None].astype(np.float32)
+    # the words around a notice stand in all families, so "none" (0) weighs as much as these together
+    weight = (1 / np.bincount(y, minlength=k).clip(min=1) * np.where(np.arange(k) == 0, k - 1, 1))[y][:, None].astype(np.float32)
     weight *= len(y) / weight.sum() / len(y)
     for _ in range(steps):
         z = x @ w + b
@@ -193,30 +244,32 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 def scan(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``license`` (the family of its first confirmed paragraph; ``unknown`` if it only has notices of no
     known family; null without any), ``n_licensed`` and ``n_unknown`` (paragraphs) and ``score`` (the largest
-    calibrated probability of a licence over the paragraphs).
+    calibrated probability of a licence over the windows of the paragraphs).
 
-    Every line of the whole text is scored. A null text and one without words have no paragraph: null, 0, 0, 0.0.
+    Every window of every line of the whole text is scored. A null text and one without words have no paragraph: null, 0, 0, 0.0.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias, model.temperature, model.least, TEMPLATES))
 
     def make():
         names, weights, bias, temperature, least, templates = shared.value
         m, words = Classifier(names, weights, bias, temperature, least), _Words()
-        known = {f: [_pairs(t.encode().translate(_TABLE).split()) for t in ts] for f, ts in templates.items()}
+        known = {f: [(len(w), _pairs(w)) for w in (t.encode().translate(_TABLE).split() for t in ts)] for f, ts in templates.items()}
 
         def judge(t):
             lines = paragraphs(t)
             if not lines:
                 return None, 0, 0, 0.0
-            p = m.probabilities(lines, words)
-            first, sure, unsure = None, 0, 0
+            p, line, start = m.probabilities(lines, words)
+            found: dict[int, list[tuple[int, int, int, str]]] = {}
             for i in np.flatnonzero(p[:, 0] < 0.5):
+                confirmed = found.setdefault(int(line[i]), [])
                 best = 1 + int(p[i, 1:].argmax())
-                own = _pairs(lines[i])
-                if p[i, best] >= least and any(len(own & x) >= CONFIRM * len(x) for x in known[names[best]]):
-                    first, sure = first or names[best], sure + 1
-                else:
-                    unsure += 1
+                if p[i, best] >= least:
+                    window = lines[line[i]][start[i]:start[i] + WINDOW]
+                    confirmed += [(*x, names[best]) for x in _matches(window, known[names[best]], int(start[i]))]
+            first = next((_apart(x)[0][1] for x in found.values() if x), None)
+            sure = sum(map(bool, found.values()))
+            unsure = len(found) - sure
             return first or (UNKNOWN if unsure else None), sure, unsure, float(1 - p[:, 0].min())
 
         def work(texts, _):

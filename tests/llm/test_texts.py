@@ -252,3 +252,32 @@ def test_odd_labelled_texts_loosen_no_bound(spark):
     odd = spark.createDataFrame([(10_000_000 + i, "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 24)), "en") for i in range(30)], docs.schema)
     fi = spark.createDataFrame([(1, STRANGE["fi"])], "doc_id long, text string")
     assert langid.predict(fi, langid.fit(docs.unionByName(odd))).first()["rejected"]
+
+
+# ---- licence notices inside long lines ------------------------------------------------------------
+def test_licences_inside_long_lines(spark):
+    docs, rows = docs_of(spark, SF)
+    model = licenses.fit(docs.select("doc_id", "text"))
+    plain = " ".join(t for _, t in rows if "icense" not in (t or "")).split()
+    rng = np.random.default_rng(6)
+    around = lambda n: " ".join(plain[at:at + n]) if (at := int(rng.integers(0, len(plain) - n))) >= 0 else ""
+    assert max(len(w) for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.paragraphs(t.encode())) <= licenses.WINDOW - licenses.STEP + 1
+    texts, want = [], []
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for n in (20, 50, 500):  # lines of 40, 100 and 1,000 words around the notice
+                texts.append(f"{around(n)} {notice} {around(n)}")
+                want.append(family)
+    bare = [around(n) for n in (40, 100, 1000) for _ in range(30)]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts + bare)), "doc_id long, text string"), model))
+    missed = [(want[i], got[i]["license"], len(t.split())) for i, t in enumerate(texts) if got[i]["license"] != want[i] or got[i]["n_licensed"] != 1]
+    assert len(missed) <= 0.02 * len(texts), missed
+    assert sum(got[i + len(texts)]["license"] is not None for i in range(len(bare))) <= 1
+
+
+def test_windows_cover_every_line():
+    for n in range(1, 200):
+        w = licenses.spans(n)
+        assert w[0][0] == 0 and w[-1][1] == n and all(0 < b - a <= licenses.WINDOW for a, b in w)
+        size = min(n, licenses.WINDOW - licenses.STEP + 1)
+        assert all(any(a <= at and at + size <= b for a, b in w) for at in range(n - size + 1))
