@@ -99,6 +99,32 @@ select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(c
 from split left join kept using (doc_id)
 """
 
+OP11 = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+size as (select doc_id, cast(len(w) as bigint) as n from words where len(w) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as length from size),
+counts as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from words) group by doc_id, term),
+wanted as (
+  select item_id, term, count(*) as times from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)
+  group by item_id, term),
+weights as (
+  select term, cast(floor(1000 * ln((2 * docs + 2) / cast(2 * df + 1 as double))) as bigint) as weight
+  from (select term, count(*) as df from counts where term in (select term from wanted) group by term), total),
+scores as (
+  select item_id, doc_id,
+         cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length)))) as bigint) as score
+  from wanted join weights using (term) join counts using (term) join size using (doc_id), total
+  group by item_id, doc_id)
+select item_id, rank, doc_id, score
+from (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from scores where score > 0)
+where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op5_minhash": OP5, "op6_benchmark_decontamination": OP6, "op10_substring_dedup": OP10}
+    return {"op1_url_filter": OP1, "op5_minhash": OP5, "op6_benchmark_decontamination": OP6, "op10_substring_dedup": OP10,
+            "op11_ranked_search": OP11}

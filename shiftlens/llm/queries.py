@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftlens.llm import bpe, brown, conv_quality, decontam, langid, licenses, minhash, quality_rules, substring
+from shiftlens.llm import alignment, bpe, brown, conv_quality, decontam, langid, licenses, minhash, pieces, quality_rules, ranked, substring
 from shiftlens.llm.common import fold_is, table
 from shiftlens.llm.urls import ALLOW, BLOCK, canonical, filter_urls, host_and_path
 
@@ -72,10 +72,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.search_items(docs, table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.tokenise(docs, model or tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"]).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every document's byte-level and SentencePiece tokens, weighed by their numbers in the corpus."""
+    import public_tokenizers
+
+    docs, second = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")
+    aligned = alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), second, public_tokenizers.PATTERN, keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return alignment.score_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), second)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -110,4 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_brown_lm": op8_brown_lm,
         "op9_language_id": op9_language_id,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_ranked_search": op11_ranked_search,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_token_alignment": op13_token_alignment,
     }
