@@ -2,59 +2,63 @@
 
 In the shape of the per-dimension queries the analysis is defined by: a base CTE per metric, one DISTINCT
 segment subquery per dimension, a literal dimension list, and the ranking formulas spelled out in
-SQL. Metric expressions and join lists come from the model in ``plans/model.py``. Doubles are rounded to 6 places
+SQL. Metrics, joins and dimensions are written out here, not taken from the library. Doubles are rounded to 6 places
 (candidates to 4) on both sides; ranks are BIGINT.
 """
 
 from __future__ import annotations
 
 import re
-
-from shiftlens.plans.model import MetricSpec, SemanticModel, catalogue, tpch_model
-
-DUCK_JOIN = {
-    "customer": "customer c ON c.c_custkey = o.o_custkey",
-    "lineitem": "lineitem l ON l.l_orderkey = o.o_orderkey",
-    "part": "part p ON p.p_partkey = l.l_partkey",
-    "supplier": "supplier s ON s.s_suppkey = l.l_suppkey",
-    "cust_nation": "nation cn ON cn.n_nationkey = c.c_nationkey",
-    "cust_region": "region cr ON cr.r_regionkey = cn.n_regionkey",
-    "supp_nation": "nation sn ON sn.n_nationkey = s.s_nationkey",
+from types import SimpleNamespace
+
+# ---- metrics, joins and dimensions, written out ---------------------------------------------------------
+PERIOD_A = "(o.o_orderdate >= TIMESTAMP '1998-01-01' AND o.o_orderdate < TIMESTAMP '1998-04-01')"
+PERIOD_B = "(o.o_orderdate >= TIMESTAMP '1998-04-01' AND o.o_orderdate < TIMESTAMP '1998-07-01')"
+ITEMS = "LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey"
+
+
+def _metric(kind: str, value: str, items: bool = False, where: str = "") -> SimpleNamespace:
+    return SimpleNamespace(kind=kind, value=value, joins=ITEMS if items else "", where=where, tables=["orders", "lineitem"] if items else ["orders"])
+
+
+AVERAGE = "per_order_average"
+METRICS = {
+    "order_count": _metric("total", "1"),
+    "fulfilled_orders": _metric("total", "1", where="o.o_orderstatus = 'F'"),
+    "revenue": _metric("total", "MAX(o.o_totalprice)"),
+    "item_revenue": _metric("total", "SUM(l.l_extendedprice * (1 - l.l_discount))", True),
+    "item_tax": _metric("total", "SUM(l.l_extendedprice * l.l_tax)", True),
+    "large_item_rate": _metric(AVERAGE, "MAX(CASE WHEN l.l_orderkey IS NULL THEN NULL WHEN l.l_quantity > 45 THEN 1 ELSE 0 END)", True),
+    "pending_rate": _metric(AVERAGE, "MAX(CASE WHEN o.o_orderstatus = 'P' THEN 1 ELSE 0 END)"),
+    "avg_quantity": _metric(AVERAGE, "AVG(l.l_quantity)", True),
+    "ship_lag_days": _metric(AVERAGE, "AVG(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)))", True),
+    "avg_order_value": _metric(AVERAGE, "MAX(o.o_totalprice)"),
 }
-
-# Per-order values in DuckDB's dialect (only the date difference is spelled differently).
-DUCK_VALUE = {
-    "ship_lag_days": "AVG(date_diff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)))",
+TO_CUSTOMER, TO_ITEMS = "JOIN customer c ON c.c_custkey = o.o_custkey", "JOIN lineitem l ON l.l_orderkey = o.o_orderkey"
+DIMENSIONS = {
+    "customer_nation": ("cn.n_name", f"{TO_CUSTOMER} JOIN nation cn ON cn.n_nationkey = c.c_nationkey"),
+    "market_segment": ("c.c_mktsegment", TO_CUSTOMER),
+    "supplier_id": ("l.l_suppkey", TO_ITEMS),
+    "supplier_nation": ("sn.n_name", f"{TO_ITEMS} JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation sn ON sn.n_nationkey = s.s_nationkey"),
+    "part_type": ("p.p_type", f"{TO_ITEMS} JOIN part p ON p.p_partkey = l.l_partkey"),
+    "return_flag": ("l.l_returnflag", TO_ITEMS),
+    "order_priority": ("o.o_orderpriority", ""),
 }
 
 
-def _joins(model: SemanticModel, names, kind: str) -> str:
-    return " ".join(f"{kind} {DUCK_JOIN[n]}" for n in model.resolve_joins(names))
-
-
-def _period_preds(spec: MetricSpec) -> tuple[str, str]:
-    d = f"o.{spec.date_column}"
-    a = f"({d} >= TIMESTAMP '{spec.period_a[0]}' AND {d} < TIMESTAMP '{spec.period_a[1]}')"
-    b = f"({d} >= TIMESTAMP '{spec.period_b[0]}' AND {d} < TIMESTAMP '{spec.period_b[1]}')"
-    return a, b
-
-
-def base_cte(model: SemanticModel, spec: MetricSpec, key: str, orders: str = "orders",
-             lineitem: str = "lineitem") -> str:
-    a, b = _period_preds(spec)
-    where = f"({a} OR {b})" + (f" AND ({spec.filter})" if spec.filter else "")
-    value = DUCK_VALUE.get(key, spec.value)
-    joins = _joins(model, spec.joins, "LEFT JOIN").replace("lineitem l ON", f"{lineitem} l ON")
-    return (f"base AS (SELECT o.o_orderkey AS order_key, CASE WHEN {b} THEN 'B' ELSE 'A' END AS period, "
-            f"CAST({value} AS DOUBLE) AS v FROM {orders} o {joins} WHERE {where} GROUP BY 1, 2)")
+def base_cte(spec: SimpleNamespace, orders: str = "orders", lineitem: str = "lineitem") -> str:
+    where = f"({PERIOD_A} OR {PERIOD_B})" + (f" AND ({spec.where})" if spec.where else "")
+    joins = spec.joins.replace("lineitem l ON", f"{lineitem} l ON")
+    return (f"base AS (SELECT o.o_orderkey AS order_key, CASE WHEN {PERIOD_B} THEN 'B' ELSE 'A' END AS period, "
+            f"CAST({spec.value} AS DOUBLE) AS v FROM {orders} o {joins} WHERE {where} GROUP BY 1, 2)")
 
 
-def seg_cte(model: SemanticModel, dims: list[str], orders: str = "orders", lineitem: str = "lineitem") -> str:
+def seg_cte(dims: list[str], orders: str = "orders", lineitem: str = "lineitem") -> str:
     parts = []
     for name in dims:
-        d = model.dimension(name)
-        joins = _joins(model, d.joins, "JOIN").replace("lineitem l ON", f"{lineitem} l ON")
-        parts.append(f"SELECT DISTINCT b.order_key, '{name}' AS dimension, CAST({d.sql} AS VARCHAR) AS segment "
+        sql, joins = DIMENSIONS[name]
+        joins = joins.replace("lineitem l ON", f"{lineitem} l ON")
+        parts.append(f"SELECT DISTINCT b.order_key, '{name}' AS dimension, CAST({sql} AS VARCHAR) AS segment "
                      f"FROM base b JOIN {orders} o ON o.o_orderkey = b.order_key {joins}")
     return "seg AS (" + " UNION ALL ".join(parts) + ")"
 
@@ -119,17 +123,16 @@ def ranked_cte(kind: str, name: str = "ranked", piv: str = "piv", overall: str =
 
 def candidates_cte(name: str = "cand", ranked: str = "ranked") -> str:
     return (f"{name} AS (SELECT *, ROW_NUMBER() OVER (ORDER BY abs(share_of_change) DESC NULLS LAST, dim_order, "
-            f"rank_in_dimension) AS candidate_rank FROM (SELECT r.dimension, r.segment, round(r.value_a, 4) AS value_a, "
-            f"round(r.value_b, 4) AS value_b, round(r.delta, 4) AS change, round(r.abnormal, 4) AS abnormal_change, "
-            f"round(r.share_of_change, 4) AS share_of_change, d.dim_order, r.rank_in_dimension "
+            f"rank_in_dimension) AS candidate_rank FROM (SELECT r.dimension, r.segment, round_even(r.value_a, 4) AS value_a, "
+            f"round_even(r.value_b, 4) AS value_b, round_even(r.delta, 4) AS change, round_even(r.abnormal, 4) AS abnormal_change, "
+            f"round_even(r.share_of_change, 4) AS share_of_change, d.dim_order, r.rank_in_dimension "
             f"FROM {ranked} r JOIN dims d USING (dimension) WHERE r.rank_in_dimension <= 3 AND r.segment <> '(none)'))")
 
 
-def analysis_ctes(model: SemanticModel, key: str, spec: MetricSpec, orders: str = "orders",
-                  lineitem: str = "lineitem") -> str:
-    dims = model.dimension_names
+def analysis_ctes(spec: SimpleNamespace, orders: str = "orders", lineitem: str = "lineitem") -> str:
+    dims = [*DIMENSIONS]
     return ",\n".join([
-        base_cte(model, spec, key, orders, lineitem), dims_cte(dims), seg_cte(model, dims, orders, lineitem),
+        base_cte(spec, orders, lineitem), dims_cte(dims), seg_cte(dims, orders, lineitem),
         bydim_cte(),
         "totals AS (SELECT period, SUM(v) AS total, COUNT(v) AS n, COUNT(*) AS orders FROM base GROUP BY period)",
         change_cte(spec.kind), pivot_cte(),
@@ -163,73 +166,71 @@ def r6(*cols: str) -> str:
 
 
 def metric_totals_sql(key: str) -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    return (f"WITH {base_cte(model, spec, key)} SELECT period, round(SUM(v), 6) AS total, COUNT(v) AS n, "
+    spec = METRICS[key]
+    return (f"WITH {base_cte(spec)} SELECT period, round(SUM(v), 6) AS total, COUNT(v) AS n, "
             f"COUNT(*) AS orders FROM base GROUP BY period")
 
 
 def ranked_sql(key: str, **kw) -> str:
-    model, spec = tpch_model(), catalogue()[key]
+    spec = METRICS[key]
     extra = ", " + r6("mix_effect", "rate_effect", "interaction") if spec.kind != "total" else ""
-    return (f"WITH {analysis_ctes(model, key, spec, **kw)} SELECT dimension, segment, "
+    return (f"WITH {analysis_ctes(spec, **kw)} SELECT dimension, segment, "
             f"{r6('value_a', 'value_b', 'delta', 'abnormal', 'share_of_change')}{extra}, "
             f"CAST(rank_in_dimension AS BIGINT) AS rank_in_dimension FROM ranked")
 
 
 def candidates_sql(key: str, **kw) -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    return (f"WITH {analysis_ctes(model, key, spec, **kw)} SELECT dimension, segment, value_a, value_b, change, "
+    spec = METRICS[key]
+    return (f"WITH {analysis_ctes(spec, **kw)} SELECT dimension, segment, value_a, value_b, change, "
             f"abnormal_change, share_of_change, CAST(candidate_rank AS BIGINT) AS candidate_rank FROM cand")
 
 
 def drill_sql(key: str, **kw) -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    return (f"WITH {analysis_ctes(model, key, spec, **kw)},\n{drill_ctes(spec.kind)} SELECT dimension, segment, "
+    spec = METRICS[key]
+    return (f"WITH {analysis_ctes(spec, **kw)},\n{drill_ctes(spec.kind)} SELECT dimension, segment, "
             f"{r6('value_a', 'value_b', 'share_of_change_within')}, CAST(drill_rank AS BIGINT) AS drill_rank "
             f"FROM drill WHERE drill_rank <= 3")
 
 
 def change_sql(key: str) -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    return (f"WITH {base_cte(model, spec, key)}, "
+    spec = METRICS[key]
+    return (f"WITH {base_cte(spec)}, "
             "totals AS (SELECT period, SUM(v) AS total, COUNT(v) AS n FROM base GROUP BY period), "
             f"{change_cte(spec.kind)} SELECT {r6('value_a', 'value_b', 'delta', 'pct_change')} FROM chg")
 
 
 def tag_periods_sql() -> str:
-    spec = catalogue()["order_count"]
-    a, b = _period_preds(spec)
+    a, b = PERIOD_A, PERIOD_B
     return f"SELECT o.o_orderkey, CASE WHEN {b} THEN 'B' ELSE 'A' END AS period FROM orders o WHERE {a} OR {b}"
 
 
 def base_sql(key: str) -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    return f"WITH {base_cte(model, spec, key)} SELECT order_key, period, round(v, 6) AS v FROM base"
+    spec = METRICS[key]
+    return f"WITH {base_cte(spec)} SELECT order_key, period, round(v, 6) AS v FROM base"
 
 
 def within_segment_sql() -> str:
-    model, spec = tpch_model(), catalogue()["revenue"]
-    return (f"WITH {base_cte(model, spec, 'revenue')} SELECT order_key, period, round(v, 6) AS v FROM base "
+    spec = METRICS["revenue"]
+    return (f"WITH {base_cte(spec)} SELECT order_key, period, round(v, 6) AS v FROM base "
             "WHERE order_key IN (SELECT o.o_orderkey FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey "
             "WHERE CAST(c.c_mktsegment AS VARCHAR) = 'AUTOMOBILE')")
 
 
 def bridge_sql() -> str:
-    model, spec = tpch_model(), catalogue()["item_revenue"]
-    return (f"WITH {base_cte(model, spec, 'item_revenue')}, {seg_cte(model, model.dimension_names)} "
+    spec = METRICS["item_revenue"]
+    return (f"WITH {base_cte(spec)}, {seg_cte([*DIMENSIONS])} "
             "SELECT order_key, dimension, segment FROM seg")
 
 
 def by_dimension_sql(key: str) -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    dims = model.dimension_names
-    return (f"WITH {base_cte(model, spec, key)}, {dims_cte(dims)}, {seg_cte(model, dims)}, {bydim_cte()} "
+    spec = METRICS[key]
+    dims = [*DIMENSIONS]
+    return (f"WITH {base_cte(spec)}, {dims_cte(dims)}, {seg_cte(dims)}, {bydim_cte()} "
             "SELECT dimension, segment, period, round(total, 6) AS total, n, orders FROM bydim")
 
 
 def dup_counts_sql(key: str, lineitem: str = "lineitem", prefix: str = "") -> str:
-    spec = catalogue()[key]
-    a, b = _period_preds(spec)
+    a, b = PERIOD_A, PERIOD_B
     per = f"CASE WHEN {b} THEN 'B' ELSE 'A' END"
     return (f"{prefix}SELECT 'orders' AS table_name, {per} AS period, COUNT(*) AS row_count, "
             f"COUNT(DISTINCT o.o_orderkey) AS distinct_keys FROM orders o WHERE {a} OR {b} GROUP BY 2 "
@@ -239,8 +240,7 @@ def dup_counts_sql(key: str, lineitem: str = "lineitem", prefix: str = "") -> st
 
 
 def planted_dup_cte(key: str) -> str:
-    spec = catalogue()[key]
-    _, b = _period_preds(spec)
+    b = PERIOD_B
     return (f"lineitem_dup AS (SELECT * FROM lineitem UNION ALL SELECT l.* FROM lineitem l "
             f"WHERE l.l_orderkey % 10 = 0 AND l.l_orderkey IN (SELECT o.o_orderkey FROM orders o WHERE {b}))")
 
@@ -257,14 +257,14 @@ def dup_findings_sql(key: str) -> str:
 
 
 def pivot_sql(key: str) -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    return (f"WITH {analysis_ctes(model, key, spec)} SELECT dimension, segment, "
+    spec = METRICS[key]
+    return (f"WITH {analysis_ctes(spec)} SELECT dimension, segment, "
             f"{r6('total_a', 'total_b', 'n_a', 'n_b')} FROM piv")
 
 
 def contributions_sql() -> str:
-    model, spec = tpch_model(), catalogue()["order_count"]
-    return (f"WITH {analysis_ctes(model, 'order_count', spec)}, x AS (SELECT *, total_b - total_a AS delta, "
+    spec = METRICS["order_count"]
+    return (f"WITH {analysis_ctes(spec)}, x AS (SELECT *, total_b - total_a AS delta, "
             "SUM(total_b - total_a) OVER (PARTITION BY dimension) AS td FROM piv) "
             "SELECT dimension, segment, round(total_a, 6) AS total_a, round(total_b, 6) AS total_b, "
             "round(delta, 6) AS delta, round(CASE WHEN td <> 0 THEN delta / td ELSE 0 END, 6) AS share_of_change, "
@@ -281,15 +281,15 @@ def _mix_cte() -> str:
 
 
 def mix_segments_sql() -> str:
-    model, spec = tpch_model(), catalogue()["large_item_rate"]
-    return (f"WITH {analysis_ctes(model, 'large_item_rate', spec)}, {_mix_cte()} SELECT dimension, segment, "
+    spec = METRICS["large_item_rate"]
+    return (f"WITH {analysis_ctes(spec)}, {_mix_cte()} SELECT dimension, segment, "
             f"{r6('weight_a', 'weight_b', 'rate_a', 'rate_b', 'mix_effect', 'rate_effect', 'interaction')}, "
             "round(mix_effect + rate_effect + interaction, 6) AS total_effect FROM mix")
 
 
 def mix_summary_sql() -> str:
-    model, spec = tpch_model(), catalogue()["large_item_rate"]
-    return (f"WITH {analysis_ctes(model, 'large_item_rate', spec)}, {_mix_cte()}, x AS (SELECT dimension, "
+    spec = METRICS["large_item_rate"]
+    return (f"WITH {analysis_ctes(spec)}, {_mix_cte()}, x AS (SELECT dimension, "
             "CASE WHEN SUM(n_a) <> 0 THEN SUM(total_a) / SUM(n_a) END AS rate_a, "
             "CASE WHEN SUM(n_b) <> 0 THEN SUM(total_b) / SUM(n_b) END AS rate_b, SUM(mix_effect) AS mix_effect, "
             "SUM(rate_effect) AS rate_effect, SUM(interaction) AS interaction FROM mix GROUP BY 1) "
@@ -299,13 +299,13 @@ def mix_summary_sql() -> str:
 
 def merged_sql(key: str, planted: bool) -> str:
     """Findings first (table order: orders, then the metric's joins), then candidates; top 5."""
-    model, spec = tpch_model(), catalogue()[key]
+    spec = METRICS[key]
     li = "lineitem_dup" if planted else "lineitem"
     pre = planted_dup_cte(key) + ",\n" if planted else ""
     rate = "CASE WHEN row_count <> 0 THEN CAST(row_count - distinct_keys AS DOUBLE) / row_count ELSE 0 END"
-    tables = [model.base_table, *model.resolve_joins(spec.joins)]
+    tables = spec.tables
     order = "CASE table_name " + " ".join(f"WHEN '{t}' THEN {i + 1}" for i, t in enumerate(tables)) + " END"
-    return (f"WITH {pre}{analysis_ctes(model, key, spec, lineitem=li)},\n"
+    return (f"WITH {pre}{analysis_ctes(spec, lineitem=li)},\n"
             f"cnt AS ({dup_counts_sql(key, li)}),\n"
             f"rates AS (SELECT table_name, COALESCE(MAX(CASE WHEN period = 'A' THEN {rate} END), 0) AS ra, "
             f"COALESCE(MAX(CASE WHEN period = 'B' THEN {rate} END), 0) AS rb FROM cnt GROUP BY 1),\n"
@@ -421,7 +421,7 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '{WS}', '', 'g')"
 
 
-def front_matter_sql() -> str:
+def front_matter_sql(prefix: str = "") -> str:
     fm = FM.replace("\\x0B", "\\v")
 
     def field(name):
@@ -429,7 +429,7 @@ def front_matter_sql() -> str:
         v = f"""regexp_replace({v}, '^"(.*)"$|^''(.*)''$', '\\1\\2')"""
         return f"NULLIF({v}, '')"
 
-    return (f"WITH raw AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) || "
+    return (f"WITH raw AS (SELECT '{prefix}' || CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) || "
             f"'title: ' || source || ' ' || CAST(doc_id AS VARCHAR) || chr(10) || 'date: ' || "
             f"strftime(DATE '1998-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') || chr(10) || 'type: note' || "
             f"chr(10) || '---' || chr(10) || text ELSE text END AS raw FROM documents), "
@@ -565,7 +565,7 @@ def search_sql() -> str:
 
 def context_ctes(key: str, top: str) -> str:
     """``hits`` for the question about metric ``key``; ``top`` is a relation (dimension, segment) of one row."""
-    return (f"{chunks_ctes()},\nqs AS (SELECT 'ctx' AS query_id, '{catalogue()[key].name} ' || dimension || ' ' || segment || "
+    return (f"{chunks_ctes()},\nqs AS (SELECT 'ctx' AS query_id, '{key.replace('_', ' ')} ' || dimension || ' ' || segment || "
             f"' why did the metric change' AS qtext, 'en' AS ds, DATE '{WINDOW_LO}' AS lo, DATE '{WINDOW_HI}' AS hi, 'w' AS win FROM {top}),\n"
             f"{search_ctes()}")
 
@@ -575,8 +575,8 @@ DOCUMENT = ("'D' || hit_rank AS doc_ref, doc_id, replace(doc_id, '_', ' ') AS ti
 
 
 def find_context_sql(key: str = "order_count") -> str:
-    model, spec = tpch_model(), catalogue()[key]
-    return (f"WITH RECURSIVE {analysis_ctes(model, key, spec)},\nfirst_one AS (SELECT dimension, segment FROM cand WHERE candidate_rank = 1),\n"
+    spec = METRICS[key]
+    return (f"WITH RECURSIVE {analysis_ctes(spec)},\nfirst_one AS (SELECT dimension, segment FROM cand WHERE candidate_rank = 1),\n"
             f"{context_ctes(key, 'first_one')}\nSELECT {DOCUMENT} FROM hits")
 
 
@@ -598,7 +598,7 @@ def chunk_store_sql() -> str:
 
 def evidence_sql(key: str, planted: bool = False) -> str:
     """One row per field of the evidence document."""
-    spec = catalogue()[key]
+    spec = METRICS[key]
 
     def field(part, pos, name, src, text=False, expr=None):
         x = f"CAST({expr or name} AS VARCHAR)" if text else f"CAST({expr or name} AS DOUBLE)"
@@ -624,24 +624,25 @@ def evidence_sql(key: str, planted: bool = False) -> str:
 
 
 def report_check_sql() -> str:
-    model, spec = tpch_model(), catalogue()["order_count"]
-    return (f"WITH {analysis_ctes(model, 'order_count', spec)} SELECT 'order_count' AS report_id, CAST(4 AS BIGINT) AS pos, "
+    spec = METRICS["order_count"]
+    return (f"WITH {analysis_ctes(spec)} SELECT 'order_count' AS report_id, CAST(4 AS BIGINT) AS pos, "
             "format('{:,}', CAST(value_b + 1234 AS BIGINT)) AS raw, value_b + 1234 AS value FROM chg")
 
 
 def query_log_sql() -> str:
-    model, spec = tpch_model(), catalogue()["order_count"]
+    spec = METRICS["order_count"]
     steps = [("overall change", "chg"), ("ranking", "ranked"), ("candidates", "cand"), ("drill-down", "(SELECT * FROM drill WHERE drill_rank <= 3)"),
              ("duplicate check", f"({dup_counts_sql('order_count')})")]
     # only tables that the metric reads are checked for duplicates
     steps[4] = ("duplicate check", f"(SELECT * FROM ({dup_counts_sql('order_count')}) WHERE table_name = 'orders')")
-    return (f"WITH {analysis_ctes(model, 'order_count', spec)},\n{drill_ctes(spec.kind)} " + " UNION ALL ".join(
+    return (f"WITH {analysis_ctes(spec)},\n{drill_ctes(spec.kind)} " + " UNION ALL ".join(
         f"SELECT 'Q{i}' AS query_id, '{purpose}' AS purpose, COUNT(*) AS row_count FROM {src}" for i, (purpose, src) in enumerate(steps, 1)))
 
 
 def retrieval_oracles() -> dict[str, str]:
     return {
         "r1_front_matter": front_matter_sql(),
+        "s2_markdown_folder": front_matter_sql("doc_"),
         "r3_chunks": chunks_sql(),
         "r4_tokens": tokens_sql(),
         "r5_hash_embed": hash_embed_sql(),
@@ -695,6 +696,27 @@ def _anomaly_sql(events: str, flagged_only: bool) -> str:
     return sql + (" WHERE COALESCE(abs(score) >= 6.0, false)" if flagged_only else "")
 
 
+def _metric_anomaly_sql(orders: str, flagged_only: bool) -> str:
+    """C1-C10 by day; totals are 0 and averages missing on a day without orders."""
+    values = {False: [], True: []}
+    for key, m in METRICS.items():
+        values[bool(m.joins)].append((key, f"CASE WHEN bool_or({m.where}) THEN {m.value} END" if m.where else m.value, m.kind))
+    per, sums = [], []
+    for items, own in values.items():
+        cols = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v, _ in own)
+        per.append(f"p{int(items)} AS (SELECT o.o_orderkey, CAST(o.o_orderdate AS DATE) AS day, {cols} FROM od o {ITEMS if items else ''} GROUP BY 1, 2)")
+        sums += [f"SELECT '{k}' AS metric, '{kind}' AS kind, day, SUM({k}) AS total, COUNT({k}) AS n FROM p{int(items)} GROUP BY day" for k, _, kind in own]
+    kinds = ", ".join(f"('{k}', '{m.kind}')" for k, m in METRICS.items())
+    days = ("s AS (SELECT k.metric, sp.day, CASE WHEN k.kind = 'total' THEN COALESCE(d.total, 0.0) WHEN d.n > 0 THEN d.total / d.n END AS value FROM "
+            "(SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(day) AS lo, max(day) AS hi FROM d)) sp "
+            "CROSS JOIN k LEFT JOIN d ON d.metric = k.metric AND d.day = sp.day)")
+    tail = _anomaly_sql("SELECT 1", flagged_only).split("t AS (SELECT *", 1)[1].replace("metric, event_type", "metric")
+    return (f"WITH od AS ({orders}),\n" + ",\n".join(per) + f",\nk(metric, kind) AS (VALUES {kinds}),\nd AS ({' UNION ALL '.join(sums)}),\n{days},\n"
+            f"t AS (SELECT *{tail}")
+
+
+PLANTED_ORDERS = ("SELECT * REPLACE (CASE WHEN CAST(o_orderdate AS DATE) = DATE '1997-06-15' THEN o_totalprice * 25 ELSE o_totalprice END AS o_totalprice) "
+                  "FROM orders")
 PLANTED_EVENTS = ("SELECT * FROM events UNION ALL SELECT e.* FROM events e, range(2, 11) r(c) "
                   "WHERE e.event_type = 'click' AND CAST(e.ts AS DATE) = DATE '2024-01-15'")
 
@@ -771,6 +793,12 @@ def more_oracles() -> dict[str, str]:
         "q2_top_brands": top_brands_sql(),
         "a16_anomaly_scores": _anomaly_sql("SELECT * FROM events", False),
         "a16_anomalies_planted": _anomaly_sql(PLANTED_EVENTS, True),
+        "a16_metric_anomalies": _metric_anomaly_sql("SELECT * FROM orders", False),
+        "a16_metric_anomalies_planted": _metric_anomaly_sql(PLANTED_ORDERS, True),
+        "q1_ask_sql_capped": "SELECT customer, n_orders, (SELECT COUNT(DISTINCT o_custkey) FROM orders) > 1000 AS truncated FROM (SELECT o_custkey AS customer, "
+                             "COUNT(*) AS n_orders FROM orders GROUP BY 1 ORDER BY 1 LIMIT 1000)",
+        "q1_answer_preview": "SELECT '{\"customer\":' || customer || ',\"n_orders\":' || n_orders || '}' AS row_json FROM (SELECT o_custkey AS customer, "
+                             "COUNT(*) AS n_orders FROM orders GROUP BY 1 ORDER BY 1 LIMIT 10)",
         "g1_extract_numbers": extract_numbers_sql(),
         "g2_evidence_values": evidence_values_sql(),
         "g3_unsupported_numbers": unsupported_sql(),
@@ -891,12 +919,13 @@ def problems(runs: str, snap: str) -> str:
 
 
 def audit_oracles() -> dict[str, str]:
-    single = (f"one AS (SELECT ROW_NUMBER() OVER (ORDER BY created_at, run_id) AS seq, 'run_recorded' AS event, run_id, payload, "
+    chain = "dataset || '/' || strftime(created_at, '%Y-%m-%d')"
+    single = (f"one AS (SELECT {chain} AS chain, ROW_NUMBER() OVER (PARTITION BY {chain} ORDER BY created_at, run_id) AS seq, 'run_recorded' AS event, run_id, payload, "
               f"{ISO.format('created_at')} AS at FROM snap),\n"
               f"ch AS (SELECT *, '{GENESIS}' AS prev_hash, {entry_hash(prev=chr(39) + GENESIS + chr(39))} AS hash FROM one WHERE seq = 1 UNION ALL "
-              f"SELECT o.seq, o.event, o.run_id, o.payload, o.at, ch.hash, {entry_hash('o.seq', 'o.event', 'o.run_id', 'o.payload', 'o.at', 'ch.hash')} "
-              "FROM ch JOIN one o ON o.seq = ch.seq + 1),\n"
-              "bad AS (SELECT seq, event, run_id, CASE WHEN seq % 50 = 7 THEN replace(payload, '\"status\":\"', '\"status\":\"x') ELSE payload END AS payload, "
+              f"SELECT o.chain, o.seq, o.event, o.run_id, o.payload, o.at, ch.hash, {entry_hash('o.seq', 'o.event', 'o.run_id', 'o.payload', 'o.at', 'ch.hash')} "
+              "FROM ch JOIN one o ON o.chain = ch.chain AND o.seq = ch.seq + 1),\n"
+              "bad AS (SELECT chain, seq, event, run_id, CASE WHEN seq % 50 = 7 THEN replace(payload, '\"status\":\"', '\"status\":\"x') ELSE payload END AS payload, "
               "at, prev_hash, hash FROM ch WHERE seq % 70 <> 69)")
     no_digest = (f"ld AS (SELECT seq, event, run_id, CASE WHEN {NUM} % 23 = 0 THEN regexp_replace(payload, '\"digest\":\"[0-9a-f]*\",', '') "
                  "ELSE payload END AS payload FROM log)")
@@ -906,7 +935,7 @@ def audit_oracles() -> dict[str, str]:
     return {name: at.sub('"at"', sql) for name, sql in {
         "u3_run_digests": f"WITH {PER_RUN_LOG} SELECT run_id, digest, CAST(n_queries AS BIGINT) AS n_queries FROM snap",
         "u4_audit_append_per_run": f"WITH {PER_RUN_LOG} SELECT seq, event, run_id, payload, at, prev_hash, hash FROM log",
-        "u5_verify_chain": f"WITH RECURSIVE {PER_RUN_LOG},\n{single} {bad_chain('bad')}",
+        "u5_verify_chain": f"WITH RECURSIVE {PER_RUN_LOG},\n{single} {bad_chain('bad', 'PARTITION BY chain')}",
         "u6_verify_runs": f"WITH {PER_RUN_LOG},\n{CHANGED_RUNS},\n{no_digest} SELECT run_id, seq, problem FROM ({bad_runs('ld', 'snap2')})",
         "u7_unlogged_runs": f"WITH {PER_RUN_LOG},\n{TAMPERED} {not_logged('t', 'runs')}",
         "u8_audit_problems_tampered": f"WITH {PER_RUN_LOG},\n{TAMPERED},\n{CHANGED_RUNS} {problems('runs2', 'snap2')}",

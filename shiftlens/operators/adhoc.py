@@ -14,10 +14,10 @@ def ask_sql(spark: SparkSession, sql: str, max_rows: int | None = None) -> DataF
     df = spark.sql(sql)
     if max_rows is None:
         return df
-    # one row more than wanted tells; the cap bounds what meets in one place
-    got = df.limit(max_rows + 1)
+    # one row more than wanted tells; a limited result is one partition, so its rows are numbered from 0 in its order
+    got = df.limit(max_rows + 1).withColumn("_n", F.monotonically_increasing_id())
     n = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return got.withColumn("truncated", F.count(F.lit(1)).over(n) > max_rows).limit(max_rows)
+    return got.withColumn("truncated", F.max("_n").over(n) >= max_rows).filter(F.col("_n") < max_rows).drop("_n")
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

@@ -21,15 +21,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftlens.functions.canonical import (digest, json_int, json_object, json_raw_array, json_str,
-                                           json_str_array)
+from shiftlens.functions.canonical import digest, json_int, json_object, json_str, json_str_array
+from shiftlens.session import materialize
 
 # ---- fixed values -------------------------------------------------------------------------------
 GENESIS = "0" * 64
@@ -70,27 +71,69 @@ def utc_iso(ts) -> Column:
 
 
 # ---- U3 -----------------------------------------------------------------------------------------
+SNAPSHOT_SCHEMA = "run_id string, digest string, question string, status string, models array<string>, n_queries bigint"
+
+
+def _fold_snapshots(batches):
+    """Digests of snapshots from their pieces in order: a run's head (kind 0), then its queries (kind 1).
+
+    A run's SHA-256 takes in one piece after another, across batches; nothing of a run is held but its hash."""
+    import hashlib
+
+    runs: list[list] = []  # of the current id: [hash so far, end of the text, question, status, models, queries]
+    current, out = None, []
+
+    def close():
+        for h, end, question, status, models, n in runs:
+            h.update(("]" + end).encode())
+            out.append((current, h.hexdigest(), question, status, models, n))
+        runs.clear()
+
+    def batch():
+        cols = list(zip(*out)) or [[]] * 6
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64())
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                          names=["run_id", "digest", "question", "status", "models", "n_queries"])
+
+    for b in batches:
+        for run_id, kind, piece, end, question, status, models in zip(*(b.column(c).to_pylist() for c in (
+                "run_id", "kind", "piece", "end", "question", "status", "models"))):
+            if run_id != current or run_id is None:
+                close()
+                current = run_id
+            if kind == 0:
+                runs.append([hashlib.sha256((piece + "[").encode()), end, question, status, models, 0])
+            for r in runs if kind == 1 and run_id is not None else ():
+                r[0].update((("," if r[5] else "") + piece).encode())
+                r[5] += 1
+        yield batch()
+    close()
+    yield batch()
+
+
 def run_snapshots(runs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(run_id, snapshot, digest, question, status, models, n_queries)`` per run.
+    """``(run_id, digest, question, status, models, n_queries)`` per run.
 
-    The snapshot holds the run's fields and its queries ordered by id (text order). ``report``
-    is stored canonical JSON text and embedded as is. A digest covers one text, so the queries of
-    one run are put together in one row: a run must fit in a task's memory."""
-    q = queries.select("run_id", "query_id", json_object({
+    The digest covers the run's fields and its queries ordered by id (text order), as one canonical JSON text. ``report``
+    is stored canonical JSON text and embedded as is. The text is never put together: a task folds its pieces, sorted
+    by run and query, into the hash, so a run may have any number of queries. Queries of unknown runs are left out."""
+    q = queries.select("run_id", F.lit(1).alias("kind"), F.col("query_id").alias("key"), json_object({
         "query_id": json_str("query_id"), "sql_executed": json_str("sql_executed"),
-        "row_count": json_int("row_count"), "error": json_str("error")}).alias("_q"))
-    per_run = (q.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("query_id", "_q"))).alias("_qs"))
-               .select("run_id", F.transform("_qs", lambda s: s["_q"]).alias("_qs")))
+        "row_count": json_int("row_count"), "error": json_str("error")}).alias("piece"))
     models = F.coalesce(F.from_json("usage", USAGE_SCHEMA)["models"], F.array().cast("array<string>"))
-    r = runs.join(per_run, "run_id", "left").withColumn("_models", models).withColumn(
-        "_qs", F.coalesce("_qs", F.array().cast("array<string>")))
-    snap = json_object({
-        "run_id": json_str("run_id"), "question": json_str("question"), "dataset": json_str("dataset"),
-        "status": json_str("status"), "report": F.coalesce(F.col("report"), F.lit("null")),
-        "models": json_str_array("_models"), "created_at": json_str(py_timestamp_text("created_at")),
-        "queries": json_raw_array("_qs")})
-    return r.select("run_id", snap.alias("snapshot"), digest(snap).alias("digest"), "question", "status",
-                    F.col("_models").alias("models"), F.size("_qs").alias("n_queries"))
+    r = runs.withColumn("_models", models)
+    # the fields of the snapshot in order of name, cut where the queries stand
+    before = {"created_at": json_str(py_timestamp_text("created_at")), "dataset": json_str("dataset"), "models": json_str_array("_models")}
+    after = {"question": json_str("question"), "report": F.coalesce(F.col("report"), F.lit("null")), "run_id": json_str("run_id"),
+             "status": json_str("status")}
+    head = F.concat(F.lit("{"), *[x for k, v in before.items() for x in (F.lit(f'"{k}":'), v, F.lit(","))], F.lit('"queries":'))
+    end = F.concat(*[x for k, v in after.items() for x in (F.lit(f',"{k}":'), v)], F.lit("}"))
+    heads = r.select("run_id", F.lit(0).alias("kind"), head.alias("piece"), end.alias("end"), "question", "status", F.col("_models").alias("models"))
+    # dealt by a hash of the id of its own: a deal by the id itself may be taken for one that both sides of the union have already,
+    # which does not hold where they were cached with unlike numbers of partitions
+    pieces = heads.unionByName(q, allowMissingColumns=True).repartition(F.xxhash64("run_id")).sortWithinPartitions("run_id", "kind", "key", "piece")
+    return pieces.drop("key").mapInArrow(_fold_snapshots, SNAPSHOT_SCHEMA)
 
 
 def run_event_payload(snapshots: DataFrame) -> DataFrame:
@@ -131,13 +174,13 @@ def _chain_batches(batches):
         yield pd.DataFrame(rows, columns=["_chain", "seq", "event", "run_id", "payload", "at", "prev_hash", "hash"])
 
 
-def append_audit(log: DataFrame | None, events: DataFrame, order: str, chain_by: str | None = None) -> DataFrame:
+def append_audit(log: DataFrame | None, events: DataFrame, order: str, chain_by: str | None = None, keep_chain: bool = False) -> DataFrame:
     """U4: new entries for ``events (event, run_id, payload, at, <order>)``, chained after ``log``.
 
     Payloads are JSON in any form; the entry stores the canonical text that its hash covers.
     Returns the new entries only (append them to the stored log). With ``chain_by`` each key has
     its own chain and sequence; chains are hash-partitioned and hashed in parallel, one Python
-    pass per partition (not per chain)."""
+    pass per partition (not per chain). ``keep_chain``: the entries also have the column ``chain_by``."""
     key = F.col(chain_by) if chain_by else F.lit("")
     ev = events.select(key.cast("string").alias("_chain"), "event", F.col("run_id").cast("string").alias("run_id"),
                        "payload", "at", F.col(order).alias("_o"))
@@ -150,7 +193,7 @@ def append_audit(log: DataFrame | None, events: DataFrame, order: str, chain_by:
         ev = ev.withColumn("_last_seq", F.lit(None).cast("bigint")).withColumn("_last_hash", F.lit(None).cast("string"))
     ordered = ev.repartition("_chain").sortWithinPartitions("_chain", "_o").drop("_o")
     out = ordered.mapInPandas(_chain_batches, "_chain string, " + LOG_SCHEMA)
-    return out.drop("_chain")
+    return out.withColumnRenamed("_chain", chain_by) if keep_chain and chain_by and chain_by != "run_id" else out.drop("_chain")
 
 
 # ---- U5 -----------------------------------------------------------------------------------------
@@ -161,15 +204,18 @@ def expected_hash(seq, event, run_id, payload, at, prev) -> Column:
 def verify_chain(log: DataFrame, chain_by: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Entries whose stored previous hash or own hash does not match, ``(seq, run_id, problem)``.
 
-    ``chain_by``: one chain per key; without it there is one chain. Every chain is verified in sequence
-    buckets as described in the module notes, so a long chain is many tasks."""
+    ``chain_by``: one chain per key; without it there is one chain. A chain that is longer than ``bucket_rows`` is verified in
+    sequence buckets as described in the module notes, so it is many tasks; shorter chains need one ``lag`` and no join (the
+    table of bucket ends is empty for them, which adaptive execution takes out of the plan)."""
     chain = F.col(chain_by).cast("string") if chain_by else F.lit("")
     b = log.withColumn("_chain", chain).withColumn("_bucket", F.floor(F.col("seq") / F.lit(bucket_rows)))
-    last = b.groupBy("_chain", "_bucket").agg(F.max_by("hash", "seq").alias("_bucket_last"))
+    long = b.filter(F.col("seq") >= bucket_rows).select("_chain").distinct()
+    last = b.select("_chain", "_bucket", "seq", "hash").join(long, "_chain", "left_semi") \
+        .groupBy("_chain", "_bucket").agg(F.max_by("hash", "seq").alias("_bucket_last"))
     wb = Window.partitionBy("_chain").orderBy("_bucket")  # one row per ``bucket_rows`` entries
     carry = last.select("_chain", "_bucket", F.lag("_bucket_last").over(wb).alias("_carry"))
     w = Window.partitionBy("_chain", "_bucket").orderBy("seq")
-    chk = (b.join(carry, ["_chain", "_bucket"])
+    chk = (b.join(carry, ["_chain", "_bucket"], "left")
            .withColumn("_prev", F.coalesce(F.lag("hash").over(w), F.col("_carry"), F.lit(GENESIS))))
     bad = (F.col("prev_hash") != F.col("_prev")) | (
         F.col("hash") != expected_hash(F.col("seq"), F.col("event"), F.col("run_id"), F.col("payload"), F.col("at"),
@@ -228,15 +274,15 @@ def baseline_runs(log: DataFrame | None, runs: DataFrame, queries: DataFrame, at
     return append_audit(log, events, "_ord", chain_by)
 
 
-def record_runs(log: DataFrame | None, runs: DataFrame, queries: DataFrame, chain_by: str | None = None) -> DataFrame:
-    """``run_recorded`` entries for newly saved runs; ``at`` is the run's own time."""
+def record_runs(log: DataFrame | None, runs: DataFrame, queries: DataFrame, chain_by: str | None = None, keep_chain: bool = False) -> DataFrame:
+    """``run_recorded`` entries for newly saved runs; ``at`` is the run's own time. ``keep_chain`` as in ``append_audit``."""
     snaps = run_snapshots(runs, queries)
     keep = [chain_by] if chain_by and chain_by != "run_id" else []
     events = (run_event_payload(snaps).join(runs.select("run_id", "created_at", *keep), "run_id")
               .select(F.lit("run_recorded").alias("event"), "run_id", "payload",
                       utc_iso("created_at").alias("at"),
                       F.struct("created_at", "run_id").alias("_ord"), *keep))
-    return append_audit(log, events, "_ord", chain_by)
+    return append_audit(log, events, "_ord", chain_by, keep_chain)
 
 
 def feedback_events(feedback: DataFrame) -> DataFrame:
@@ -308,35 +354,29 @@ LOG_ENTRY = ("query_id string, purpose string, sql_executed string, row_count bi
              "preview string")
 
 
+def logged(df: DataFrame, preview_rows: int = 10) -> tuple[DataFrame, int, list[str]]:
+    """Run ``df`` once: its result, written to the shared checkpoint folder, its number of rows, observed on the way, and its
+    first rows as JSON, read back from what was written."""
+    rows = Observation()
+    result = materialize(df.observe(rows, F.count(F.lit(1)).alias("n")), "checkpoint")
+    first = result.limit(preview_rows).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("j")).collect()
+    return result, rows.get["n"], [r["j"] for r in first]
+
+
 def query_log_entry(spark: SparkSession, df: DataFrame, query_id: str, purpose: str, sql_text: str,
                     preview_rows: int = 10, error_chars: int | None = None) -> DataFrame:
     """Run ``df`` once and describe it in one row of ``LOG_ENTRY``.
 
-    Every task counts its rows and keeps the first ``preview_rows`` of them as JSON; one aggregate adds the
-    counts and takes the first rows in order of partition. A failed query has its error's first line
-    (cut to ``error_chars`` if given) and no row count."""
-    import time
+    The number of rows is observed while the query runs; the preview is read from its written result. A failed query has
+    its error's first line (cut to ``error_chars`` if given) and no row count."""
     t0 = time.time()
-
-    def count(batches):
-        n, first = 0, []
-        for b in batches:
-            n += b.num_rows
-            if len(first) < preview_rows:
-                first += b.column(0).slice(0, preview_rows - len(first)).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([first], pa.list_(pa.string()))], names=["n", "first"])
-
-    err, n, shown = None, None, "[]"
+    err, n, shown = None, None, []
     try:
-        parts = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).mapInArrow(count, "n bigint, first array<string>")
-        row = parts.select(F.spark_partition_id().alias("p"), "n", "first").agg(
-            F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(F.size("first") > 0, F.struct("p", "first")))).alias("f")).first()
-        n = int(row["n"] or 0)
-        shown = "[" + ",".join([j for part in row["f"] for j in part["first"]][:preview_rows]) + "]"
+        _, n, shown = logged(df, preview_rows)
     except Exception as ex:  # noqa: BLE001 - the error text is part of the log
         err = str(ex).splitlines()[0][:error_chars]
     ms = int((time.time() - t0) * 1000)
-    return spark.createDataFrame([(query_id, purpose, sql_text, n, ms, err, shown)], LOG_ENTRY)
+    return spark.createDataFrame([(query_id, purpose, sql_text, n, ms, err, f"[{','.join(shown)}]")], LOG_ENTRY)
 
 
 def log_queries(spark: SparkSession, steps: list[tuple[str, str, DataFrame]]) -> DataFrame:

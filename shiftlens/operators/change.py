@@ -4,11 +4,13 @@ top candidates, drill-down, duplicate-rate findings and confidence.
 Every per-group denominator is a ``groupBy`` aggregate joined back, never a window over a whole group; only
 tables with one row per dimension of the model are broadcast by a hint.
 Top-k per dimension is ``row_number() <= k``, which Spark plans as a partial group limit before
-the shuffle.
+the shuffle; full ranks come from a sort by ranges and the sizes of its parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +108,14 @@ def mix_rate_summary(df: DataFrame, num_a: str, den_a: str, num_b: str, den_b: s
 
 
 # ---- A5 / A8 / A9 -------------------------------------------------------------------------------
-def rank_segments(pivot: DataFrame, kind: str, overall: DataFrame) -> DataFrame:
-    """Abnormal change per segment and its share of the overall change.
+def abnormal_change(pivot: DataFrame, kind: str, overall: DataFrame) -> DataFrame:
+    """Abnormal change per segment and its share of the overall change.
 
     ``pivot``   - output of ``pivot_periods``
     ``overall`` - ``(dimension, overall_delta)``, one row per dimension
     Totals: ``abnormal = delta - (a / sum a) * sum delta`` (segment sums per dimension).
     Averages: ``abnormal = rate_effect + interaction``; moving orders between segments with equal
-    rates leaves it at zero. Adds ``rank_in_dimension`` (|abnormal| descending, NULL last, ties by segment).
+    rates leaves it at zero.
     """
     if kind == TOTAL:
         d = (pivot.withColumn("value_a", F.col("total_a")).withColumn("value_b", F.col("total_b"))
@@ -134,8 +136,30 @@ def rank_segments(pivot: DataFrame, kind: str, overall: DataFrame) -> DataFrame:
     d = d.withColumn("share_of_change",
                      F.when(F.coalesce(F.col("overall_delta"), F.lit(0.0)) != 0,
                             F.try_divide(F.col("abnormal"), F.col("overall_delta"))).otherwise(F.lit(0.0)))
-    w = Window.partitionBy("dimension").orderBy(abs_desc("abnormal"), F.col("segment"))
-    return d.withColumn("rank_in_dimension", F.row_number().over(w))
+    return d
+
+
+def _rank_order() -> list[Column]:
+    """Inside a dimension: |abnormal| descending, NULL last, ties by segment."""
+    return [abs_desc("abnormal"), F.col("segment").asc()]
+
+
+def rank_segments(abnormal: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every segment's ``rank_in_dimension``, however many segments a dimension has.
+
+    The rows of ``abnormal_change`` are sorted across tasks by ranges of (dimension, rank order), so a dimension is spread over
+    many tasks, and given to ``write`` (which persists or checkpoints them: their places must not change any more). A row's rank is its
+    place in its task's part of the dimension plus the sizes of the parts before it; those sizes, one row per task and
+    dimension, are all that a window looks at. For the first few of a dimension ``top_candidates`` needs no full ranks.
+    """
+    order = [F.col("dimension"), *_rank_order()]
+    placed = write(abnormal.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_task", F.shiftright("_at", 33))
+    parts = placed.groupBy("dimension", "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("dimension").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("dimension", "_task", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.join(F.broadcast(starts), ["dimension", "_task"]) \
+        .select(*abnormal.columns, (F.col("_at") + F.col("_shift")).cast("int").alias("rank_in_dimension"))
 
 
 def overall_by_dimension(change: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -145,16 +169,22 @@ def overall_by_dimension(change: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 # ---- A10 ----------------------------------------------------------------------------------------
-def top_candidates(ranked: DataFrame, dimensions: list[str], per_dimension: int = 3) -> DataFrame:
-    """A10: each dimension's top ``per_dimension`` (taken before ``(none)`` is dropped), rounded to
+def first_segments(abnormal: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` segments of each dimension with their ``rank_in_dimension`` (a group limit before the shuffle)."""
+    w = Window.partitionBy("dimension").orderBy(*_rank_order())
+    return abnormal.withColumn("rank_in_dimension", F.row_number().over(w)).filter(F.col("rank_in_dimension") <= n)
+
+
+def top_candidates(abnormal: DataFrame, dimensions: list[str], per_dimension: int = 3) -> DataFrame:
+    """A10: each dimension's top ``per_dimension`` (taken before ``(none)`` is dropped), rounded half-even to
     4 places, ordered by |share| descending; ties keep dimension order, then rank in dimension."""
     order = F.array_position(F.array(*[F.lit(d) for d in dimensions]), F.col("dimension"))
-    top = ranked.filter(F.col("rank_in_dimension") <= per_dimension).filter(F.col("segment") != NONE_SEGMENT)
+    top = first_segments(abnormal, per_dimension).filter(F.col("segment") != NONE_SEGMENT)
     top = top.select(
         "dimension", "segment",
-        F.round("value_a", 4).alias("value_a"), F.round("value_b", 4).alias("value_b"),
-        F.round("delta", 4).alias("change"), F.round("abnormal", 4).alias("abnormal_change"),
-        F.round("share_of_change", 4).alias("share_of_change"),
+        F.bround("value_a", 4).alias("value_a"), F.bround("value_b", 4).alias("value_b"),
+        F.bround("delta", 4).alias("change"), F.bround("abnormal", 4).alias("abnormal_change"),
+        F.bround("share_of_change", 4).alias("share_of_change"),
         order.alias("_dim_order"), "rank_in_dimension")
     w = Window.orderBy(abs_desc("share_of_change"), "_dim_order", "rank_in_dimension")
     # The candidate list is at most per_dimension x (number of dimensions) rows, so one

@@ -6,13 +6,18 @@ Plan shape (all dimensions in one pass, nothing collected):
     orders --filter(A or B)--> join dimension paths --> explode(dim, segment) --> distinct = bridge
     base x dimension list --left join bridge--> groupBy(dimension, segment, period)      = by dimension
 
-A child with many rows per order (``Join.fanout``) is scanned and shuffled once, for an inner join and an
-aggregate per order. Orders without a child row take the value of a single row of NULLs, which
-is computed from the orders alone.
+A metric that reads one child with many rows per order (``Join.fanout``) gets it by an inner join and an aggregate per
+order; orders without a child row take the value of a single row with NULLs for the child, which is computed without it.
+With several such children the joins are all LEFT, as an order may lack some of them and not others.
+
+``read_children_once`` cuts the children down to the rows of the orders in question, written once: base, bridge and
+duplicate check then read that table, and the child itself is scanned a single time.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,24 +70,56 @@ def join_path(left: DataFrame, tables: dict[str, DataFrame], model: SemanticMode
     return left
 
 
+def per_order(o: DataFrame, tables: dict[str, DataFrame], model: SemanticModel, joins, keys: list[Column], values: list[Column]) -> DataFrame:
+    """``values`` aggregated by ``keys`` (which hold the order key) over the base rows ``o`` LEFT JOINed with ``joins``."""
+    path = model.resolve_joins(joins)
+    fan = [n for n in path if model.joins[n].fanout]
+    if len(fan) != 1:
+        return join_path(o, tables, model, path).groupBy(*keys).agg(*values)
+    found = join_path(o, tables, model, path, inner=tuple(fan)).groupBy(*keys).agg(*values)
+    below = [n for n in path if n in fan or fan[0] in model.resolve_joins([n])]
+    padded = join_path(o, tables, model, [n for n in path if n not in below])
+    for name in below:  # the same columns, all NULL
+        j = model.joins[name]
+        nulls = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in tables[j.table].schema.fields])
+        padded = padded.withColumn(j.alias, nulls)
+    names = found.columns
+    own, kept = names[:len(keys)], names[len(keys):]
+    default = padded.groupBy(*keys).agg(*values).select(*own, F.struct(*kept).alias("_default"))
+    both = default.join(found.select(*own, F.struct(*kept).alias("_found")), own, "left")
+    return both.select(*own, *[F.when(F.col("_found").isNotNull(), F.col(f"_found.{c}")).otherwise(F.col(f"_default.{c}")).alias(c) for c in kept])
+
+
 def metric_base(tables: dict[str, DataFrame], model: SemanticModel, spec: MetricSpec) -> DataFrame:
-    """M3: one value per (order, period): ``(order_key, period, v)``. Child joins are LEFT."""
+    """M3: one value per (order, period): ``(order_key, period, v)``. Child joins are LEFT; rows of several children of one
+    order multiply before the aggregate, as in one statement with all the joins."""
     o = tag_periods(tables, model, spec)
-    path = model.resolve_joins(spec.joins)
-    fan = tuple(n for n in path if model.joins[n].fanout)
     keys = [F.col(f"{model.base_alias}.{model.order_key}").alias("order_key"), F.col("period")]
-    value = F.expr(spec.value).cast("double").alias("v")
-    joined = join_path(o, tables, model, spec.joins, inner=fan).groupBy(*keys).agg(value)
-    if not fan:
-        return joined
-    padded = o
-    for name in path:  # the same columns, all NULL
+    return per_order(o, tables, model, spec.joins, keys, [F.expr(spec.value).cast("double").alias("v")])
+
+
+def read_children_once(tables: dict[str, DataFrame], model: SemanticModel, spec: MetricSpec, dimensions: list[str],
+                       write: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """The tables with every fan-out child of the metric and the dimensions cut down to the rows of the orders in period A or
+    B and the columns that the model and the metric name, each given to ``write`` (which persists or checkpoints it), by parent key.
+
+    Every later join with a child keeps only such rows, so no result changes."""
+    path = model.resolve_joins([*spec.joins, *(n for d in dimensions for n in model.dimension(d).joins)])
+    texts = [spec.value, spec.filter or "", *(d.sql for d in model.dimensions), *(c for j in model.joins.values() for pair in j.keys for c in pair)]
+    out = dict(tables)
+    for name in path:
         j = model.joins[name]
-        nulls = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in tables[j.table].schema.fields])
-        padded = padded.withColumn(j.alias, nulls)
-    default = padded.groupBy(*keys).agg(value).withColumnRenamed("v", "_v0")
-    return (default.join(joined.withColumn("_found", F.lit(True)), ["order_key", "period"], "left")
-            .select("order_key", "period", F.when(F.col("_found"), F.col("v")).otherwise(F.col("_v0")).alias("v")))
+        if not j.fanout or j.requires or any(not p.startswith(f"{model.base_alias}.") for _, p in j.keys):
+            continue  # only children of the orders themselves
+        words = {w for t in texts for w in re.findall(r"\w+", t)} | set(model.keys.get(j.table, ()))
+        child = tables[j.table]
+        child = child.select(*[c for c in child.columns if c in words]).alias(j.alias)
+        o = tag_periods(tables, model, spec, apply_filter=False)
+        kept = child.join(o, _and([F.col(c) == F.col(p) for c, p in j.keys]), "left_semi")
+        out[j.table] = write(kept.repartition(*[c.split(".")[-1] for c, _ in j.keys]))
+    for t in {model.base_table, *(model.joins[n].table for n in path)} - set(out):
+        out[t] = tables[t]
+    return out
 
 
 def metric_total(base: DataFrame) -> DataFrame:

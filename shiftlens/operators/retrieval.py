@@ -1,29 +1,11 @@
 """Document retrieval: front matter, paragraph packing, tokens, hashing embedder, BM25, cosine,
-reciprocal rank fusion and the hybrid search built from them (R1-R11).
-
-How ``search`` works (``bm25_top`` is its first scan alone):
-
-- The query set is cut into blocks of bounded bytes; what follows happens once per block.
-- BM25 statistics (document count, average length, document frequency, idf) of each query window come from
-  the filtered chunks by ordinary aggregations; only values for the block's own terms are fetched.
-- Scan 1: a task scores its chunks against the block's queries in numpy and keeps, per query and list, its
-  best ``59 + 2k``. Only these leave the task. A chunk that ranks deeper in both lists scores at
-  most ``2 / (61 + N)`` and cannot reach the fused top ``k``.
-- Scan 2: where a survivor is not among the best of the other list, its exact rank is one more than the number of
-  chunks that beat it; a task sends one count per survivor.
-- No (query, chunk) pair is written or shuffled, except each task's best.
+reciprocal rank fusion and the plain form of the hybrid search (R1-R9); ``operators.search`` has the search over an index.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,14 +17,12 @@ RRF_K = 60
 BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_EPSILON = 0.25
-FRONT_MATTER = r"^---[ \t\f\r\x0B]*\n([\s\S]*?)\n---[ \t\f\r\x0B]*\n"
+FRONT_MATTER = r"(?sU)^---\s*\n(.*?)\n---\s*\n"
 DEFAULT_DOC_TYPE = "document"
 MAX_CHARS = 900
 PARAGRAPH_SEPARATOR = "\n\n"
 MARGIN_DAYS = 20
 DEFAULT_DIMS = 256
-QUERY_BLOCK_BYTES = 1 << 20    # query text per block of a search
-SCAN_ROWS = 1024               # chunks that a task scores at once
 
 
 def _c(c) -> Column:
@@ -77,23 +57,40 @@ def parse_front_matter(df: DataFrame, raw: str = "raw", doc_id: str = "doc_id")
 
 
 # ---- R2 / R3 ------------------------------------------------------------------------------------
-def chunk_text(text, max_chars: int = MAX_CHARS, separator: str = PARAGRAPH_SEPARATOR) -> Column:
-    """R2: greedy paragraph packing into ``array<string>``; paragraphs stay whole, an oversize
-    paragraph becomes its own chunk. A left fold per text, parallel over texts."""
-    sep_len = len(separator)
-    paras = F.filter(F.transform(F.split(_c(text), r"\Q" + separator + r"\E"), strip), lambda p: p != "")
-    init = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("cur"))
+def next_chunks(lengths: np.ndarray, max_chars: int, separator: int) -> list[tuple[int, int]]:
+    """Greedy packing of paragraphs of these lengths: [first, end) of every chunk.
+
+    The prefix sums of the lengths tell for each paragraph where a chunk that starts with it ends: at the first
+    paragraph that no longer fits. The chunks are the chain of these pointers from the first paragraph on."""
+    total = np.concatenate(([0], np.cumsum(lengths + separator)))
+    start = np.arange(len(lengths))
+    pointer = np.maximum(np.searchsorted(total, total[:-1] + max_chars + separator, "right") - 1, start + 1).tolist()
+    out, at = [], 0
+    while at < len(lengths):
+        out.append((at, pointer[at]))
+        at = pointer[at]
+    return out
+
 
-    def step(acc, p):
-        full = (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(p) + sep_len > max_chars)
-        joined = F.when(acc["cur"] != "", F.concat(acc["cur"], F.lit(separator), p)).otherwise(p)
-        return F.when(full, F.struct(F.array_append(acc["chunks"], acc["cur"]).alias("chunks"), p.alias("cur"))) \
-                .otherwise(F.struct(acc["chunks"].alias("chunks"), joined.alias("cur")))
+def _pack_udf(max_chars: int, separator: str):
+    @F.pandas_udf("array<string>")
+    def pack(paragraphs: pd.Series) -> pd.Series:
+        out = []
+        for p in paragraphs:
+            if p is None:
+                out.append(None)
+                continue
+            cuts = next_chunks(np.fromiter(map(len, p), np.int64, len(p)), max_chars, len(separator))
+            out.append([separator.join(p[a:b]) for a, b in cuts])
+        return pd.Series(out, dtype=object)
+    return pack
 
-    def done(acc):
-        return F.when(acc["cur"] != "", F.array_append(acc["chunks"], acc["cur"])).otherwise(acc["chunks"])
 
-    return F.aggregate(paras, init, step, done)
+def chunk_text(text, max_chars: int = MAX_CHARS, separator: str = PARAGRAPH_SEPARATOR) -> Column:
+    """R2: greedy paragraph packing into ``array<string>``; paragraphs stay whole, an oversize
+    paragraph becomes its own chunk. Linear in the text's length; parallel over texts. A null text has no array."""
+    paras = F.filter(F.transform(F.split(_c(text), r"\Q" + separator + r"\E"), strip), lambda p: p != "")
+    return _pack_udf(max_chars, separator)(paras)
 
 
 def chunk_documents(df: DataFrame, text: str = "body", keys: tuple[str, ...] = ("dataset", "doc_id"),
@@ -154,6 +151,25 @@ def hash_embed(text, dims: int = DEFAULT_DIMS) -> Column:
     return _bincount_udf(dims)(hash_buckets(text, dims))
 
 
+def _pairs_udf(dims: int):
+    @F.pandas_udf("struct<buckets:array<int>,weights:array<float>>")
+    def pairs(buckets: pd.Series) -> pd.DataFrame:
+        own = [np.unique(np.asarray(x if x is not None else [], dtype=np.int32), return_counts=True) for x in buckets]
+        return pd.DataFrame({"buckets": [b for b, _ in own], "weights": [n.astype(np.float32) for _, n in own]})
+    return pairs
+
+
+def hash_embed_pairs(text, dims: int = DEFAULT_DIMS) -> Column:
+    """R5 (sparse, at rest): the buckets that occur, in order, and their term counts, as a struct of two arrays."""
+    return _pairs_udf(dims)(hash_buckets(text, dims))
+
+
+def dense(buckets, weights, dims: int = DEFAULT_DIMS) -> Column:
+    """The ``array<double>`` of a sparse vector."""
+    return let(F.map_from_arrays(_c(buckets), _c(weights)), lambda m: F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)).cast("double")))
+
+
 def hash_embed_expr(text, dims: int = DEFAULT_DIMS) -> Column:
     """R5 (dense), pure-JVM form for a handful of rows (e.g. query texts): sorted buckets, then
     two native scans per dimension."""
@@ -261,236 +277,9 @@ def prepare_queries(queries: DataFrame, dims: int) -> DataFrame:
             .withColumn("_qnorm", norm(qvec)))
 
 
-def _query_blocks(queries: DataFrame, dims: int, block_bytes: int) -> Iterator[list]:
-    """Prepared queries in blocks of about ``block_bytes`` of query text, dealt by a hash of the id."""
-    q = prepare_queries(queries, dims)
-    total = queries.agg(F.coalesce(F.sum(F.octet_length("qtext")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // block_bytes))
-    for i in range(blocks):
-        own = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()
-        if own:
-            yield sorted(own, key=lambda r: str(r["query_id"]))
-
-
-def _window_stats(chunks: DataFrame, windows: list[tuple], terms: list[str], margin_days: int) -> dict[int, tuple]:
-    """Per window number: (average length, {term: idf}) over its chunks, for the given terms.
-
-    idf follows K16: the mean that replaces negative values is taken over the window's whole vocabulary.
-    The windows and terms of one query block are broadcast; one row per window comes back.
-    """
-    spark = chunks.sparkSession
-    if windows == [(None, None, None)]:
-        corpus = chunks.select(F.lit(0).alias("w"), tokens("text").alias("tok"))
-    else:
-        w = spark.createDataFrame([(i, *x) for i, x in enumerate(windows)], "w int, _ds string, start date, end date")
-        corpus = chunks.join(F.broadcast(w), (F.col("dataset") == F.col("_ds")) & window_condition("doc_date", "start", "end", margin_days)) \
-            .select("w", tokens("text").alias("tok"))
-    sizes = corpus.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tok")).alias("avgdl"))
-    wanted = spark.createDataFrame([(t, True) for t in terms] or [("", False)], "term string, wanted boolean")
-    df = (corpus.select("w", F.explode(F.array_distinct("tok")).alias("term")).groupBy("w", "term").agg(F.count(F.lit(1)).alias("df"))
-          .join(F.broadcast(sizes), "w").join(F.broadcast(wanted), "term", "left")
-          .withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    rows = sizes.join(df.groupBy("w").agg(F.avg("idf").alias("mean"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "idf"))).alias("own")),
-                      "w", "left").collect()
-    return {r["w"]: (r["avgdl"] or 0.0, {x["term"]: BM25_EPSILON * r["mean"] if x["idf"] < 0 else x["idf"] for x in r["own"] or ()}) for r in rows}
-
-
-def _block_arrays(rows: list, chunks: DataFrame, margin_days: int, dims: int, whole: bool) -> dict:
-    """What the scans need of one query block, as plain arrays."""
-    place = [(None, None, None) if whole else (r["dataset"], r["start"], r["end"]) for r in rows]
-    windows = sorted(set(place), key=str)
-    terms = sorted({t for r in rows for t in r["qtok"]})
-    number = {t: i for i, t in enumerate(terms)}
-    stats = _window_stats(chunks, windows, terms, margin_days)
-    parts = []
-    for w, (ds, start, end) in enumerate(windows):
-        avgdl, idf = stats.get(w, (0.0, {}))
-        own = [i for i, p in enumerate(place) if p == (ds, start, end)]
-        weight, vec = np.zeros((len(terms), len(own))), np.zeros((dims, len(own)))
-        for j, i in enumerate(own):
-            for t in rows[i]["qtok"]:
-                weight[number[t], j] += idf.get(t, 0.0)
-            for e in rows[i]["_qnz"]:
-                vec[e["b"], j] = e["w"]
-        epoch = np.datetime64("1970-01-01")
-        lo = None if start is None else int((np.datetime64(start) - epoch).astype(int)) - margin_days
-        hi = None if end is None else int((np.datetime64(end) - epoch).astype(int)) + margin_days
-        norms = np.array([rows[i]["_qnorm"] for i in own])
-        parts.append((ds, lo, hi, np.array(own), avgdl, weight, vec, np.where(norms == 0, 1.0, norms)))
-    return {"terms": terms, "windows": parts, "n": len(rows)}
-
-
-def _scored(batch: pa.RecordBatch, block: dict):
-    """Scores of a batch in pieces: (keys in order, numbers of the queries, BM25, cosine, shared-term mask);
-    each array has a row per chunk of the queries' window."""
-    keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("chunk_no").to_pylist()))
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    batch = batch.take(pa.array(order, pa.int64()))
-    terms = pa.array(block["terms"], pa.string())
-    for at in range(0, batch.num_rows, SCAN_ROWS):
-        b = batch.slice(at, SCAN_ROWS)
-        key = [keys[i] for i in order[at:at + SCAN_ROWS]]
-        n, size = b.num_rows, max(1, len(terms))
-        length = np.nan_to_num(pc.list_value_length(b.column("tok")).to_numpy(zero_copy_only=False)).astype(np.int64)
-        term = pc.index_in(b.column("tok").flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(n), length)
-        code, tf = np.unique((row * size + term)[term >= 0], return_counts=True)
-        row, term = code // size, code % size
-        vec = np.array(b.column("embedding").to_pylist(), np.float64)
-        norm_c = np.sqrt((vec ** 2).sum(1))
-        day = b.column("doc_date").cast(pa.int32())
-        undated, day = day.is_null().to_numpy(zero_copy_only=False), day.fill_null(0).to_numpy()
-        dataset = b.column("dataset").to_pylist()
-        for ds, lo, hi, own, avgdl, weight, qvec, qnorm in block["windows"]:
-            inside = undated | ((lo is None or day >= lo) & (hi is None or day <= hi))
-            if ds is not None:
-                inside &= np.array([d == ds for d in dataset], bool)
-            at_rows = np.flatnonzero(inside)
-            if not len(at_rows):
-                continue
-            spread = BM25_K1 * (1 - BM25_B + BM25_B * (length / avgdl if avgdl else np.zeros(n)))
-            dense = np.zeros((n, size))
-            dense[row, term] = tf * (BM25_K1 + 1) / (tf + spread[row])
-            dense = dense[at_rows][:, :len(weight)]
-            den = norm_c[at_rows][:, None] * qnorm
-            cos = (vec[at_rows] @ qvec) / np.where(den == 0, 1.0, den)
-            # rounded so that the order of summation cannot reorder near-equal chunks
-            yield [key[i] for i in at_rows], own, np.round(dense @ weight, 9), np.round(cos, 9), (dense > 0) @ (weight != 0)
-
-
-def _best(scan: DataFrame, shared, depth: int, lists: int, only_shared: bool) -> DataFrame:
-    """Scan 1: (q, l, score, other, doc_id, chunk_no, r), the best ``depth`` of every query and list."""
-
-    def run(batches):
-        block = shared.value
-        held: dict[tuple[int, int], list] = {}
-        for b in batches:
-            for keys, own, bm25, cos, common in _scored(b, block):
-                for which, score in enumerate((bm25, cos)[:lists]):
-                    score = np.where(common > 0, score, -np.inf) if only_shared else score
-                    top = np.argsort(-score, axis=0, kind="stable")[:depth]  # equal scores stay in order of key
-                    for j, q in enumerate(own.tolist()):
-                        old = held.get((q, which), [])
-                        if len(old) == depth and score[top[0, j], j] < -old[-1][0]:
-                            continue
-                        new = [(-score[i, j], *keys[i], (cos if which == 0 else bm25)[i, j]) for i in top[:, j].tolist() if score[i, j] > -np.inf]
-                        held[q, which] = sorted(old + new)[:depth]
-        flat = [(q, which, -s, other, doc, no) for (q, which), rows in held.items() for s, doc, no, other in rows]
-        cols = list(zip(*flat)) if flat else [[]] * 6
-        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["q", "l", "score", "other", "doc_id", "chunk_no"])
-
-    found = scan.mapInArrow(run, "q int, l int, score double, other double, doc_id string, chunk_no int")
-    w = Window.partitionBy("q", "l").orderBy(F.col("score").desc(), "doc_id", "chunk_no")
-    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= depth)
-
-
-def _beaten_by(scan: DataFrame, shared) -> DataFrame:
-    """Scan 2: (slot, n), the number of chunks that rank before each wanted survivor. The block holds
-    ``wanted``: (query, list) -> scores, keys and slots."""
-
-    def run(batches):
-        block = shared.value
-        total = np.zeros(block["slots"], np.int64)
-        for b in batches:
-            for keys, own, bm25, cos, _ in _scored(b, block):
-                for which, score in enumerate((bm25, cos)):
-                    for j, q in enumerate(own.tolist()):
-                        if (q, which) not in block["wanted"]:
-                            continue
-                        limits, of, slots = block["wanted"][q, which]
-                        s = score[:, j][:, None]
-                        before = np.array([bisect.bisect_left(keys, k) for k in of])
-                        ties = (s == limits) & (np.arange(len(keys))[:, None] < before)
-                        total[slots] += (s > limits).sum(0) + ties.sum(0)
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["slot", "n"])
-
-    return scan.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-def _scan_input(chunks: DataFrame) -> DataFrame:
-    date = F.col("doc_date") if "doc_date" in chunks.columns else F.lit(None).cast("date")
-    dataset = F.col("dataset") if "dataset" in chunks.columns else F.lit(None).cast("string")
-    return chunks.select(dataset.alias("dataset"), F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"),
-                         date.alias("doc_date"), F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("tok"), "embedding")
-
-
-def bm25_top(chunks: DataFrame, queries: DataFrame, k: int = 10, dims: int = DEFAULT_DIMS, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
-    """The ``k`` chunks with the greatest BM25 for every query ``(query_id, qtext)`` among those that share a
-    term with it: ``(query_id, doc_id, chunk_no, bm25, rank)``; ties by chunk key. All chunks are one corpus."""
-    spark = chunks.sparkSession
-    if "embedding" not in chunks.columns:
-        chunks = chunks.withColumn("embedding", F.array_repeat(F.lit(0.0), dims).cast("array<float>"))
-    q = queries.select("query_id", "qtext", F.lit(None).cast("string").alias("dataset"), F.lit(None).cast("date").alias("start"),
-                       F.lit(None).cast("date").alias("end"))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    parts = []
-    for rows in _query_blocks(q, dims, block_bytes):
-        shared = spark.sparkContext.broadcast(_block_arrays(rows, chunks, 0, dims, True))
-        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], f"q int, query_id {kind}")
-        best = _best(_scan_input(chunks), shared, k, 1, True)
-        parts.append(best.join(F.broadcast(names), "q").select("query_id", "doc_id", "chunk_no", F.col("score").alias("bm25"), F.col("r").alias("rank")))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id {kind}, doc_id string, chunk_no int, bm25 double, rank int")
-
-
-def search(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int = MARGIN_DAYS,
-           dims: int = DEFAULT_DIMS, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
-    """Hybrid search for a set of queries.
-
-    ``chunks``  : (dataset, doc_id, chunk_no, title, doc_type, doc_date, text, embedding)
-    ``queries`` : (query_id, dataset, qtext, start, end); start/end are dates and may be NULL
-    Returns ``(query_id, hit_rank, doc_id, chunk_no, title, doc_type, doc_date, text, score,
-    rank_bm25, rank_cos)``: fused RRF score rounded to 4 places, best ``k`` per query.
-
-    Eager: per query block the statistics, both scans and their bounded results (2 x (59 + 2k) rows a
-    query) come to the driver; the texts of the hits are joined lazily.
-    """
-    spark = chunks.sparkSession
-    kind = queries.schema["query_id"].dataType.simpleString()
-    scan, hits = _scan_input(chunks), []
-    for rows in _query_blocks(queries, dims, block_bytes):
-        block = _block_arrays(rows, chunks, margin_days, dims, False)
-        hits += _fused(scan, block, rows, k)
-    best = spark.createDataFrame(hits, f"query_id {kind}, hit_rank bigint, dataset string, doc_id string, chunk_no int, score double, "
-                                       "rank_bm25 bigint, rank_cos bigint")
-    # at most k rows per query: the hits meet the chunk table without moving it
-    return (chunks.select("dataset", *CHUNK_KEYS, "title", "doc_type", "doc_date", "text").join(F.broadcast(best), ["dataset", *CHUNK_KEYS])
-            .select("query_id", "hit_rank", *CHUNK_KEYS, "title", "doc_type", "doc_date", "text", F.round("score", 4).alias("score"),
-                    "rank_bm25", "rank_cos"))
-
-
-def _fused(scan: DataFrame, block: dict, rows: list, k: int) -> list[tuple]:
-    """Hits of one query block: (query_id, hit_rank, dataset, doc_id, chunk_no, score, rank_bm25, rank_cos)."""
-    share = scan.sparkSession.sparkContext.broadcast
-    ranks: dict[tuple, list] = {}
-    scores: dict[tuple, dict] = {}
-    for t in _best(scan, share(block), RRF_K - 1 + 2 * k, 2, False).collect():
-        key = (t["q"], t["doc_id"], t["chunk_no"])
-        ranks.setdefault(key, [None, None])[t["l"]] = t["r"]
-        scores[key] = {t["l"]: t["score"], 1 - t["l"]: t["other"]}
-    open_ranks = [(key, which) for key, r in sorted(ranks.items()) for which in (0, 1) if r[which] is None]
-    wanted: dict[tuple, list] = {}
-    for slot, (key, which) in enumerate(open_ranks):
-        wanted.setdefault((key[0], which), []).append((scores[key][which], key[1:], slot))
-    if wanted:
-        more = {qw: (np.array([x[0] for x in w]), [x[1] for x in w], np.array([x[2] for x in w])) for qw, w in wanted.items()}
-        counts = {r["slot"]: r["n"] for r in _beaten_by(scan, share(block | {"wanted": more, "slots": len(open_ranks)})).collect()}
-        for slot, (key, which) in enumerate(open_ranks):
-            ranks[key][which] = counts.get(slot, 0) + 1
-    out = []
-    per_query: dict[int, list] = {}
-    for (q, doc, no), (rb, rc) in ranks.items():
-        per_query.setdefault(q, []).append((-(1.0 / (RRF_K + rb) + 1.0 / (RRF_K + rc)), doc, no, rb, rc))
-    for q, found in per_query.items():
-        for n, (score, doc, no, rb, rc) in enumerate(sorted(found)[:k], 1):
-            out.append((rows[q]["query_id"], n, rows[q]["dataset"], doc, no, -score, rb, rc))
-    return out
-
-
 def search_plain(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days: int = MARGIN_DAYS,
                  dims: int = DEFAULT_DIMS) -> DataFrame:
-    """Reference form of R10 for tests: full ranks per query by window functions (small inputs)."""
+    """Plain form of R10 for tests: full ranks per query by window functions (small inputs)."""
     q = prepare_queries(queries, dims).withColumn("qvec", hash_embed_expr("qtext", dims))
     pairs = (chunks.join(q.withColumnRenamed("dataset", "_ds"), (F.col("dataset") == F.col("_ds"))
                          & window_condition("doc_date", "start", "end", margin_days))
@@ -505,7 +294,7 @@ def search_plain(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days:
     s = (qt.join(tf, ["query_id", "term"]).join(stats, "query_id")
          .groupBy("query_id", *CHUNK_KEYS).agg(F.sum(bm25_term(F.col("tf"), F.col("idf"), F.col("dl"),
                                                                F.col("avgdl"))).alias("bm25")))
-    allp = (pairs.select("query_id", *CHUNK_KEYS, F.round(cosine("embedding", "qvec"), 9).alias("cos"))
+    allp = (pairs.select("query_id", *CHUNK_KEYS, F.round(cosine(dense("buckets", "weights", dims), "qvec"), 9).alias("cos"))
             .join(s, ["query_id", *CHUNK_KEYS], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9)))
     w1 = Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), *CHUNK_KEYS)
     w2 = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), *CHUNK_KEYS)
@@ -514,23 +303,3 @@ def search_plain(chunks: DataFrame, queries: DataFrame, k: int = 3, margin_days:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *CHUNK_KEYS)
     return (ranked.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank") <= k)
             .select("query_id", "hit_rank", *CHUNK_KEYS, F.round("score", 4).alias("score"), "rank_bm25", "rank_cos"))
-
-
-# ---- R11 ----------------------------------------------------------------------------------------
-def find_context(chunks: DataFrame, candidates: DataFrame, metric_name: str, question: str, dataset: str,
-                 period_b: tuple[str, str], k: int = 3, excerpt_chars: int = 500) -> DataFrame:
-    """Documents for an investigation: query = metric name, top candidate and question;
-    window = period B. Returns ``(doc_ref D1.., doc_id, title, type, date, excerpt)``."""
-    # the top candidate, or empty strings when there is none (the text query still runs)
-    picked = candidates.filter(F.col("candidate_rank") == 1).select(
-        F.lit(1).alias("_prio"), F.struct("dimension", "segment").alias("_c"))
-    default = candidates.sparkSession.range(1).select(
-        F.lit(0).alias("_prio"), F.struct(F.lit("").alias("dimension"), F.lit("").alias("segment")).alias("_c"))
-    first = picked.unionByName(default).agg(F.max_by("_c", "_prio").alias("_c")).select("_c.*")
-    q = first.select(F.lit("ctx").alias("query_id"), F.lit(dataset).alias("dataset"),
-                     F.concat_ws(" ", F.lit(metric_name), "dimension", "segment", F.lit(question)).alias("qtext"),
-                     F.lit(period_b[0]).cast("date").alias("start"), F.lit(period_b[1]).cast("date").alias("end"))
-    hits = search(chunks, q, k)
-    return hits.select(F.concat(F.lit("D"), F.col("hit_rank")).alias("doc_ref"), "doc_id", "title",
-                       F.col("doc_type").alias("type"), F.col("doc_date").alias("date"),
-                       F.substring("text", 1, excerpt_chars).alias("excerpt"), "hit_rank")

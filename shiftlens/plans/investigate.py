@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from shiftlens.functions.columns import abs_desc
 from shiftlens.operators import change as ch
 from shiftlens.operators import metric as mt
-from shiftlens.operators.retrieval import find_context
+from shiftlens.operators.search import find_context
 from shiftlens.plans.model import MetricSpec, SemanticModel
 from shiftlens.session import materialize
 
 
-def rank_all_dimensions(base: DataFrame, bridge: DataFrame, change: DataFrame, kind: str,
-                        dimensions: list[str]) -> DataFrame:
-    """Segments of every dimension ranked by abnormal change against the overall change."""
+def change_of_all_dimensions(base: DataFrame, bridge: DataFrame, change: DataFrame, kind: str,
+                             dimensions: list[str]) -> DataFrame:
+    """Abnormal change of the segments of every dimension, against the overall change."""
     by_dim = mt.metric_by_dimension(base, bridge, dimensions)
-    return ch.rank_segments(ch.pivot_periods(by_dim), kind, ch.overall_by_dimension(change, dimensions))
+    return ch.abnormal_change(ch.pivot_periods(by_dim), kind, ch.overall_by_dimension(change, dimensions))
 
 
 def drill_down(base: DataFrame, bridge: DataFrame, candidates: DataFrame, kind: str, dimensions: list[str],
@@ -40,9 +40,9 @@ def drill_down(base: DataFrame, bridge: DataFrame, candidates: DataFrame, kind:
     by_dim = mt.metric_by_dimension(sub, bridge, dimensions)
     by_dim = by_dim.join(F.broadcast(top.select("dimension")), "dimension", "left_anti")
     inner = ch.total_change(by_dim, kind, by=["dimension"])
-    ranked = ch.rank_segments(ch.pivot_periods(by_dim), kind,
-                              inner.select("dimension", F.col("delta").alias("overall_delta")))
-    first = ranked.filter((F.col("rank_in_dimension") == 1) & (F.col("segment") != mt.NONE_SEGMENT))
+    abnormal = ch.abnormal_change(ch.pivot_periods(by_dim), kind,
+                                  inner.select("dimension", F.col("delta").alias("overall_delta")))
+    first = ch.first_segments(abnormal, 1).filter(F.col("segment") != mt.NONE_SEGMENT)
     order = F.array_position(F.array(*[F.lit(d) for d in dimensions]), F.col("dimension"))
     # at most one row per dimension of the model reaches this window
     w = Window.orderBy(abs_desc("share_of_change_within"), order)
@@ -59,7 +59,7 @@ class Investigation:
     base: DataFrame
     bridge: DataFrame
     change: DataFrame
-    ranked: DataFrame
+    segments: DataFrame
     candidates: DataFrame
     drilldown: DataFrame
     counts: DataFrame
@@ -125,7 +125,7 @@ class Investigation:
 
     def steps(self) -> list[tuple[str, str, DataFrame]]:
         """(purpose, what is run, result) of the queries behind the investigation, for the query log."""
-        return [("overall change", "metric per period", self.change), ("ranking", "metric per segment and period", self.ranked),
+        return [("overall change", "metric per period", self.change), ("ranking", "metric per segment and period", self.segments),
                 ("candidates", "three segments of each dimension", self.candidates),
                 ("drill-down", "other dimensions inside the first candidate", self.drilldown),
                 ("duplicate check", "rows and distinct keys per table", self.counts)]
@@ -143,21 +143,29 @@ def investigate(tables: dict[str, DataFrame], model: SemanticModel, spec: Metric
     ``chunks`` also the documents of ``dataset`` around period B that match the first entry of the list."""
     spec.validate(model)
     dims = dimensions or model.dimension_names
+    held: list[DataFrame] = []
+
+    def write(df: DataFrame) -> DataFrame:
+        held.append(materialize(df, cache))
+        return held[-1]
+
+    if cache != "none":  # one scan of each child feeds base, bridge and duplicate check
+        tables = mt.read_children_once(tables, model, spec, dims, write)
     base = materialize(mt.metric_base(tables, model, spec), cache)
     bridge = materialize(mt.segment_bridge(tables, model, spec, dims), cache)
     change = ch.total_change(mt.metric_total(base), spec.kind)
-    ranked = rank_all_dimensions(base, bridge, change, spec.kind, dims)
-    candidates = ch.top_candidates(ranked, dims)
+    segments = change_of_all_dimensions(base, bridge, change, spec.kind, dims)
+    candidates = ch.top_candidates(segments, dims)
     drill = drill_down(base, bridge, candidates, spec.kind, dims)
     counts = mt.duplicate_counts(tables, model, spec)
     findings = ch.duplicate_findings(counts, min_increase)
     table_order = [model.base_table, *model.resolve_joins(spec.joins)]
     merged = ch.merge_findings(candidates, findings, table_order)
     conf = ch.confidence(change, candidates, findings)
-    cached = [df for df in (base, bridge) if cache == "persist"]
+    cached = [df for df in (*held, base, bridge) if cache == "persist"]
     documents = None
     if chunks is not None:
         top = merged.select(F.col("rank").alias("candidate_rank"), "dimension", "segment")
         documents = find_context(chunks, top, spec.name, question, dataset, spec.period_b)
-    return Investigation(base, bridge, change, ranked, candidates, drill, counts, findings, merged, conf, documents,
+    return Investigation(base, bridge, change, segments, candidates, drill, counts, findings, merged, conf, documents,
                          _cached=cached)

@@ -7,7 +7,6 @@ SQL oracle.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,10 +15,10 @@ from pyspark.sql import types as T
 
 from shiftlens.operators import change as ch
 from shiftlens.operators import metric as mt
-from shiftlens.plans.investigate import drill_down, investigate, rank_all_dimensions
+from shiftlens.plans.investigate import change_of_all_dimensions, drill_down, investigate
 from shiftlens.plans.model import catalogue, tpch_model
 from shiftlens.sources.derived import with_duplicated_items
-from shiftlens.session import checkpoint_dir, materialize
+from shiftlens.session import materialize, scratch_path
 from shiftlens.sources.tables import LazyTables
 
 
@@ -128,17 +127,18 @@ def q_mix_rate_summary(spark, sf_dir):
     return finish(ch.mix_rate_summary(piv, "total_a", "n_a", "total_b", "n_b"))
 
 
-def _ranked(spark, sf_dir, key, tables=None):
+def _abnormal(spark, sf_dir, key, tables=None):
     t, m, s = _ctx(spark, sf_dir, key)
     t = tables or t
     base, bridge = mt.metric_base(t, m, s), mt.segment_bridge(t, m, s)
     change = ch.total_change(mt.metric_total(base), s.kind)
-    return base, bridge, rank_all_dimensions(base, bridge, change, s.kind, m.dimension_names), m, s
+    return base, bridge, change_of_all_dimensions(base, bridge, change, s.kind, m.dimension_names), m, s
 
 
 def q_ranked(key):
     def run(spark, sf_dir):
-        _, _, ranked, _, s = _ranked(spark, sf_dir, key)
+        _, _, abnormal, _, s = _abnormal(spark, sf_dir, key)
+        ranked = ch.rank_segments(abnormal, lambda df: materialize(df, "checkpoint"))
         cols = ["dimension", "segment", "value_a", "value_b", "delta", "abnormal", "share_of_change"]
         if s.kind != ch.TOTAL:
             cols += ["mix_effect", "rate_effect", "interaction"]
@@ -148,15 +148,15 @@ def q_ranked(key):
 
 def q_candidates(key):
     def run(spark, sf_dir):
-        _, _, ranked, m, _ = _ranked(spark, sf_dir, key)
-        return finish(ch.top_candidates(ranked, m.dimension_names))
+        _, _, abnormal, m, _ = _abnormal(spark, sf_dir, key)
+        return finish(ch.top_candidates(abnormal, m.dimension_names))
     return run
 
 
 def q_drill(key):
     def run(spark, sf_dir):
-        base, bridge, ranked, m, s = _ranked(spark, sf_dir, key)
-        cand = ch.top_candidates(ranked, m.dimension_names)
+        base, bridge, abnormal, m, s = _abnormal(spark, sf_dir, key)
+        cand = ch.top_candidates(abnormal, m.dimension_names)
         return finish(drill_down(base, bridge, cand, s.kind, m.dimension_names))
     return run
 
@@ -243,9 +243,9 @@ def q_query_log(spark, sf_dir):
 
 
 # ---- retrieval ----------------------------------------------------------------------------------
-from shiftlens.operators import retrieval as rt  # noqa: E402
+from shiftlens.operators import retrieval as rt, search as se  # noqa: E402
 from shiftlens.sources.derived import dated_corpus, with_front_matter  # noqa: E402
-from shiftlens.sources.documents import build_chunks, export_chunks, load_chunks, write_chunks  # noqa: E402
+from shiftlens.sources.documents import build_chunks, export_chunks, load_chunks, read_markdown, write_chunks, write_markdown  # noqa: E402
 
 SEARCH_WINDOW = ("1998-04-01", "1998-07-01")
 
@@ -312,7 +312,7 @@ def q_cosine_centroid(spark, sf_dir, top: int = 5):
 
 
 def q_bm25_top(spark, sf_dir, top: int = 10):
-    return finish(rt.bm25_top(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), top))
+    return finish(se.bm25_top(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), top))
 
 
 def q_within_window(spark, sf_dir):
@@ -321,16 +321,16 @@ def q_within_window(spark, sf_dir):
 
 
 def q_search(spark, sf_dir):
-    hits = rt.search(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), k=3)
+    hits = se.search(corpus_chunks(spark, sf_dir), benchmark_queries(spark, sf_dir), k=3)
     return hits.select("query_id", "hit_rank", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),
                        "doc_date", "score", "rank_bm25", "rank_cos")
 
 
 def q_find_context(spark, sf_dir):
     t, m, s = _ctx(spark, sf_dir, "order_count")
-    _, _, ranked, _, _ = _ranked(spark, sf_dir, "order_count")
-    cand = ch.top_candidates(ranked, m.dimension_names)
-    return finish(rt.find_context(corpus_chunks(spark, sf_dir), cand, s.name, QUESTION, CONTEXT_DATASET, s.period_b))
+    _, _, abnormal, _, _ = _abnormal(spark, sf_dir, "order_count")
+    cand = ch.top_candidates(abnormal, m.dimension_names)
+    return finish(se.find_context(corpus_chunks(spark, sf_dir), cand, s.name, QUESTION, CONTEXT_DATASET, s.period_b))
 
 
 def q_rrf(spark, sf_dir, k: int = 5):
@@ -345,7 +345,7 @@ def q_rrf(spark, sf_dir, k: int = 5):
 
 
 def _store(spark, name):
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def q_chunk_store(spark, sf_dir):
@@ -368,7 +368,8 @@ def q_saved_runs(spark, sf_dir):
     for part in (early, ~early):  # two calls: the second continues the chains of the first
         save_runs(path, runs.filter(part), queries.join(runs.filter(part), "run_id", "left_semi"), chain_by="run_id")
     save_feedback(path, fb, chain_by="run_id")
-    r, q, f, log = (spark.read.parquet(f"{path}/{n}") for n in ("runs", "queries", "feedback", "audit_log"))
+    save_feedback(path, fb, chain_by="run_id")  # again: adds nothing
+    r, q, f, log = (read_store(spark, path, n) for n in ("runs", "queries", "feedback", "audit_log"))
     counted = r.select("dataset", "run_id").join(q.groupBy("run_id").agg(F.count("*").alias("q")), "run_id", "left") \
         .join(f.groupBy("run_id").agg(F.count("*").alias("f")), "run_id", "left").join(log.groupBy("run_id").agg(F.count("*").alias("e")), "run_id", "left")
     return counted.groupBy("dataset").agg(F.count("*").alias("runs"), F.sum("q").alias("queries"), F.sum("f").alias("feedback"), F.sum("e").alias("entries"))
@@ -376,7 +377,7 @@ def q_saved_runs(spark, sf_dir):
 
 # ---- ad hoc, anomaly scan, grounding, JSON ------------------------------------------------------
 from shiftlens.operators import adhoc, anomaly, grounding, jsonx  # noqa: E402
-from shiftlens.sources.derived import customer_reports, model_replies, with_unusual_day  # noqa: E402
+from shiftlens.sources.derived import customer_reports, model_replies, with_unusual_day, with_unusual_order_day  # noqa: E402
 from shiftlens.sources.tables import load_dataset  # noqa: E402
 
 ASK_SQL = ("SELECT c.c_mktsegment AS segment, COUNT(*) AS n_orders, "
@@ -389,6 +390,44 @@ def q_ask_sql(spark, sf_dir):
     return finish(adhoc.ask_sql(spark, ASK_SQL))
 
 
+ASK_CUSTOMERS = "SELECT o_custkey AS customer, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey ORDER BY o_custkey"
+
+
+def q_ask_sql_capped(spark, sf_dir, max_rows: int = 1000):
+    """Q1 with its row cap, which is the feature: the first rows of an ordered answer and whether there were more."""
+    load_dataset(spark, sf_dir, names=("orders",), register_views=True)
+    return adhoc.ask_sql(spark, ASK_CUSTOMERS, max_rows)
+
+
+def q_answer_preview(spark, sf_dir):
+    """Q1: the first ten rows of an ordered answer, as an answer is written from them."""
+    load_dataset(spark, sf_dir, names=("orders",), register_views=True)
+    return adhoc.preview(spark.sql(ASK_CUSTOMERS))
+
+
+def q_markdown_folder(spark, sf_dir):
+    """Every document written as a markdown file, the folder read back and its front matter parsed."""
+    docs = with_front_matter(LazyTables(spark, sf_dir)["documents"]).select(F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), "raw")
+    path = _store(spark, "markdown")
+    write_markdown(docs.repartition(spark.sparkContext.defaultParallelism), path)
+    p = rt.parse_front_matter(read_markdown(spark, path))
+    return p.select("doc_id", "title", "doc_type", "doc_date", F.length("body").cast("bigint").alias("body_chars"), F.md5("body").alias("body_md5"))
+
+
+def _metric_scores(tables):
+    return finish(anomaly.anomaly_scores(anomaly.daily_metrics(tables, tpch_model(), catalogue()), []))
+
+
+def q_metric_anomalies(spark, sf_dir):
+    """A16 on the key metrics: C1-C10 by day with their scores."""
+    return _metric_scores(LazyTables(spark, sf_dir))
+
+
+def q_metric_anomalies_planted(spark, sf_dir):
+    """The unusual days of the key metrics, one of them planted."""
+    return _metric_scores(with_unusual_order_day(LazyTables(spark, sf_dir))).filter("is_anomaly")
+
+
 def q_top_brands(spark, sf_dir):
     t = LazyTables(spark, sf_dir)
     items = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
@@ -437,7 +476,7 @@ def q_extract_json(spark, sf_dir):
 
 # ---- run log and audit --------------------------------------------------------------------------
 from shiftlens.operators import audit as au  # noqa: E402
-from shiftlens.sources.runlog import START, runs_from_conversations, save_feedback, save_runs  # noqa: E402
+from shiftlens.sources.runlog import START, read_store, runs_from_conversations, save_feedback, save_runs  # noqa: E402
 
 
 def _runlog(spark, sf_dir):
@@ -446,7 +485,7 @@ def _runlog(spark, sf_dir):
 
 def q_run_digests(spark, sf_dir):
     runs, queries, _ = _runlog(spark, sf_dir)
-    return au.run_snapshots(runs, queries).select("run_id", "digest", F.col("n_queries").cast("bigint"))
+    return au.run_snapshots(runs, queries).select("run_id", "digest", "n_queries")
 
 
 def _per_run_log(spark, sf_dir):
@@ -540,11 +579,12 @@ def q_audit_tail(spark, sf_dir):
 
 
 def q_verify_chain(spark, sf_dir):
-    """U5 alone, on one chain over all runs with altered entries."""
+    """U5 alone, on one chain per dataset and day, with altered entries; long chains are verified in buckets."""
     runs, queries, _ = _runlog(spark, sf_dir)
-    log = materialize(au.record_runs(None, runs, queries), "checkpoint")
+    runs = runs.withColumn("chain", F.concat_ws("/", "dataset", F.date_format(au.utc_ntz(F.col("created_at")), "yyyy-MM-dd")))
+    log = materialize(au.record_runs(None, runs, queries, chain_by="chain", keep_chain=True), "checkpoint")
     bad = log.withColumn("payload", F.when(F.col("seq") % 50 == 7, F.replace("payload", F.lit('"status":"'), F.lit('"status":"x'))).otherwise(F.col("payload")))
-    return au.verify_chain(bad.filter(F.col("seq") % 70 != 69), bucket_rows=64)
+    return au.verify_chain(bad.filter(F.col("seq") % 70 != 69), chain_by="chain", bucket_rows=64)
 
 
 def q_verify_runs(spark, sf_dir):

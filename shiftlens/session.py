@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,14 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | Non
     return sc.getCheckpointDir() or path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared checkpoint folder; an error where none is set."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     """Make a reused intermediate result cheap to read again.
 

@@ -88,6 +88,13 @@ def with_unusual_day(events: DataFrame, event_type: str = "click", day: str = "2
     return events.unionByName(extra)
 
 
+def with_unusual_order_day(tables, day: str = "1997-06-15", factor: float = 25.0) -> dict:
+    """Planted unusual day: ``o_totalprice`` times ``factor`` for the orders of ``day``."""
+    o = tables["orders"]
+    price = F.when(F.to_date("o_orderdate") == F.lit(day).cast("date"), F.col("o_totalprice") * factor).otherwise(F.col("o_totalprice"))
+    return override(tables, orders=o.withColumn("o_totalprice", price))
+
+
 def customer_reports(orders: DataFrame, customer: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Grounding inputs from the order table: per customer, evidence numbers ``(report_id, value)``
     and a written report ``(report_id, text)``. Some reports are altered: ``+ 17.25`` on the total

@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftlens.operators import retrieval as rt
+from shiftlens.sources.commits import CommitLog, Conflict
 
 CHUNK_SCHEMA = ("dataset string, doc_id string, chunk_no int, title string, doc_type string, doc_date date, "
-                "text string, embedding array<float>")
+                "text string, buckets array<int>, weights array<float>")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*.md`` file of a folder as ``(doc_id, raw)``; the id is the file stem."""
-    df = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    """Every ``*.md`` file of a folder as ``(doc_id, raw)``; the id is the file stem. All kinds of line
+    ends become ``\\n``, as in text files. Spark reads no files without a byte, so these are no documents (they would have no chunks)."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("doc_id"),
-                     F.col("value").alias("raw"))
+                     F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("raw"))
+
+
+def write_markdown(docs: DataFrame, path: str) -> int:
+    """A markdown folder from ``(doc_id, raw)``: one file ``<doc_id>.md`` for each row with an id; the number of files.
+
+    Tasks write their own rows to ``path``, which driver and executors share; a task that is run again writes the same
+    files. An id must be usable as a file name, and rows of one id are one file."""
+    if docs.filter(F.col("doc_id").rlike(r"[/\\\x00]|^\.|^_|^$")).limit(1).count():
+        raise ValueError("document ids that are no file names")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
+        store, folder = fs.FileSystem.from_uri(uri)
+        store.create_dir(folder, recursive=True)
+        n = 0
+        for b in batches:
+            for name, raw in zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist()):
+                with store.open_output_stream(f"{folder}/{name}.md") as out:
+                    out.write((raw or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return docs.filter("doc_id is not null").select("doc_id", "raw").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def build_chunks(docs: DataFrame, dataset: str | None = None, max_chars: int = rt.MAX_CHARS,
                  separator: str = rt.PARAGRAPH_SEPARATOR, dims: int = rt.DEFAULT_DIMS, partitions: int | None = None) -> DataFrame:
-    """R1 + R3 + R5: ``(doc_id, raw[, dataset][, doc_date])`` to chunk rows with embeddings.
+    """R1 + R3 + R5: ``(doc_id, raw[, dataset][, doc_date])`` to chunk rows with sparse embeddings.
 
     A ``doc_date`` column on the input fills in where the front matter has no date. ``partitions`` deals
     the documents out first; it is for inputs of a few large files that cannot be split.
@@ -34,26 +65,69 @@ def build_chunks(docs: DataFrame, dataset: str | None = None, max_chars: int = r
         parsed = parsed.withColumn("dataset", F.lit(dataset))
     chunks = rt.chunk_documents(parsed.withColumn("doc_id", F.col("doc_id").cast("string")),
                                 max_chars=max_chars, separator=separator)
-    return chunks.withColumn("embedding", rt.hash_embed("text", dims))
+    return chunks.withColumn("_v", rt.hash_embed_pairs("text", dims)).select("*", "_v.buckets", "_v.weights").drop("_v")
 
 
-def write_chunks(chunks: DataFrame, path: str, dataset: str | None = None) -> None:
-    """S3: replace the chunks of the datasets present in ``chunks``; other datasets stay.
+STORED = CHUNK_SCHEMA.split(", ", 1)[1] + ", version string, dataset string"
 
-    With ``dataset``, all of ``chunks`` belong to it and it is replaced also by no chunks at all.
-    """
+
+def write_chunks(chunks: DataFrame, path: str, dataset: str | None = None) -> None:
+    """S3: replace the chunks of the datasets present in ``chunks``, all of them in one step; other datasets stay.
+
+    With ``dataset``, all of ``chunks`` belong to it and it is replaced also by no chunks at all. The new chunks are
+    written beside the old ones, as a version of their own; then one record in the commit log says which version each
+    dataset has now. Readers see the old chunks until then and the new ones from then on, never a mixture, and a
+    writer that fails before leaves nothing visible. Inside a dataset the chunks are stored in order of date."""
+    spark = chunks.sparkSession
+    log, version = CommitLog(spark, path), uuid.uuid4().hex
+    own = chunks.withColumn("dataset", F.lit(dataset)) if dataset is not None else chunks
+    columns = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]
+    own.select(*columns).withColumn("version", F.lit(version)).repartitionByRange("dataset", "doc_date", "doc_id", "chunk_no") \
+        .sortWithinPartitions("dataset", "doc_date", "doc_id", "chunk_no").write.mode("append").partitionBy("version", "dataset").parquet(f"{path}/data")
     if dataset is not None:
-        one = chunks.withColumn("dataset", F.lit(dataset)).drop("dataset")
-        one.write.mode("overwrite").parquet(f"{path}/dataset={dataset}")
-        return
-    (chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset").parquet(path))
+        names = [dataset]
+    else:  # one name per dataset
+        names = [r["dataset"] for r in _data(spark, path).filter(F.col("version") == version).select("dataset").distinct().collect()]
+    while True:  # versions of different datasets do not depend on each other, so a taken number is no conflict
+        try:
+            log.publish({"version": version, "datasets": names}, len(log.records()))
+            return
+        except Conflict:
+            continue
+
+
+def _data(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORED).parquet(f"{path}/data")
+
+
+def _current(spark: SparkSession, path: str) -> dict[str | None, str]:
+    """Dataset -> its version now."""
+    return {name: r["version"] for r in CommitLog(spark, path).records() for name in r["datasets"]}
 
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Read the chunk store (partition column ``dataset`` restored)."""
-    df = spark.read.parquet(path)
-    return df.select("dataset", "doc_id", "chunk_no", "title", "doc_type", "doc_date", "text", "embedding")
+    """Read the chunk store as it is published now. Only the folders of current versions are read (partition pruning), and
+    a filter on ``dataset`` or ``doc_date`` prunes folders and row groups."""
+    columns = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]
+    now = _current(spark, path)
+    if not now:
+        return spark.createDataFrame([], CHUNK_SCHEMA)
+    df = _data(spark, path)
+    one = [(F.col("version") == v) & F.col("dataset").eqNullSafe(F.lit(name)) for name, v in now.items()]
+    return df.filter(reduce(lambda a, b: a | b, one)).select(*columns)
+
+
+def vacuum_chunks(spark: SparkSession, path: str) -> int:
+    """Delete the chunks of versions that no dataset has any more; the number of folders that went. Only for times without
+    writers, whose versions are not published yet, and without readers of older versions."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    keep, gone = {f"version={v}" for v in _current(spark, path).values()}, 0
+    for status in fs.listStatus(hadoop.Path(f"{path}/data")):
+        folder = status.getPath()
+        if folder.getName().startswith("version=") and folder.getName() not in keep:
+            gone += bool(fs.delete(folder, True))
+    return gone
 
 
 def export_chunks(chunks: DataFrame, path: str) -> None:

@@ -1,14 +1,17 @@
-"""Run log tables (S5): runs, queries and feedback, appended as Parquet; and a run log derived
+"""Run log tables (S5): runs, queries and feedback, saved with their audit entries in one step; and a run log derived
 from the ``conversations`` table (one run per conversation) for tests and registered queries."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shiftlens.operators import audit as au
 from shiftlens.functions.canonical import json_int, json_object, json_str, json_str_array
+from shiftlens.operators import audit as au
+from shiftlens.sources.commits import CommitLog, Conflict
 
 RUN_COLUMNS = ["run_id", "question", "dataset", "status", "report", "usage", "created_at", "duration_s"]
 QUERY_COLUMNS = ["run_id", "query_id", "purpose", "sql_submitted", "sql_executed", "row_count", "duration_ms",
@@ -18,32 +21,65 @@ QUERY_COLUMNS = ["run_id", "query_id", "purpose", "sql_submitted", "sql_executed
 START = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    """Append rows to a run-log table (runs, queries, feedback or audit log)."""
-    df.write.mode("append").parquet(path)
-
-
-def _log(spark: SparkSession, store: str) -> DataFrame | None:
-    """The stored audit log, None before the first entry."""
-    try:
-        return spark.read.schema(au.LOG_SCHEMA).parquet(f"{store}/audit_log")
-    except AnalysisException as ex:
-        if ex.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def save_runs(store: str, runs: DataFrame, queries: DataFrame, chain_by: str | None = None) -> None:
-    """Append runs and their queries to the store, then their audit entries."""
-    append_table(runs, f"{store}/runs")
-    append_table(queries, f"{store}/queries")
-    append_table(au.record_runs(_log(runs.sparkSession, store), runs, queries, chain_by), f"{store}/audit_log")
-
-
-def save_feedback(store: str, feedback: DataFrame, chain_by: str | None = None) -> None:
-    """Append feedback to the store, then its audit entries."""
-    append_table(feedback, f"{store}/feedback")
-    append_table(au.append_audit(_log(feedback.sparkSession, store), au.feedback_events(feedback), "_ord", chain_by), f"{store}/audit_log")
+TABLES = {"runs": "run_id string, question string, dataset string, status string, report string, usage string, created_at timestamp, duration_s double",
+          "queries": "run_id string, query_id string, purpose string, sql_submitted string, sql_executed string, row_count int, duration_ms int, "
+                     "error string, preview string",
+          "feedback": "run_id string, rating smallint, comment string, created_at timestamp",
+          "audit_log": au.LOG_SCHEMA}
+#: Times that a save is tried anew because another writer was faster.
+ATTEMPTS = 5
+
+
+def read_store(spark: SparkSession, store: str, table: str, records: list[dict] | None = None) -> DataFrame:
+    """The published rows of ``runs``, ``queries``, ``feedback`` or ``audit_log``."""
+    records = CommitLog(spark, store).records() if records is None else records
+    folders = [f"{store.rstrip('/')}/{r['folder']}/{table}" for r in records if table in r["tables"]]
+    return spark.read.schema(TABLES[table]).parquet(*folders) if folders else spark.createDataFrame([], TABLES[table])
+
+
+def _save(store: str, kind: str, tables: dict[str, DataFrame], entries) -> bool:
+    """Write the tables and their audit entries, made by ``entries(log)``, and publish all of them in one step."""
+    spark = next(iter(tables.values())).sparkSession
+    log = CommitLog(spark, store)
+    first = next(iter(tables))
+    # the content's digest names the save: a repeated call is known by it
+    content = tables[first].select(F.xxhash64(*[F.col(c).cast("string") for c in tables[first].columns]).alias("h")) \
+        .agg(F.count(F.lit(1)), F.coalesce(F.bit_xor("h"), F.lit(0)), F.coalesce(F.sum(F.pmod("h", F.lit(1 << 31))), F.lit(0))).first()
+    save_id = f"{kind}-{'-'.join(str(x) for x in content)}"
+    folder, written = f"{kind}-{uuid.uuid4().hex}", False
+    for _ in range(ATTEMPTS):
+        records = log.records()
+        if any(r["save_id"] == save_id for r in records):
+            return False
+        if not written:
+            for name, df in tables.items():
+                columns = [F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(TABLES[name])]
+                df.select(*columns).write.parquet(f"{store.rstrip('/')}/{folder}/{name}")
+            written = True
+        saved = {n: spark.read.schema(TABLES[n]).parquet(f"{store.rstrip('/')}/{folder}/{n}") for n in tables}
+        # the entries follow the chain's head of this version; if another writer takes the number first, they are made anew
+        entries(read_store(spark, store, "audit_log", records) if records else None, saved) \
+            .write.mode("overwrite").parquet(f"{store.rstrip('/')}/{folder}/audit_log")
+        try:
+            log.publish({"save_id": save_id, "folder": folder, "tables": [*tables, "audit_log"]}, len(records))
+            return True
+        except Conflict:
+            continue
+    raise Conflict(f"{store}: other writers were faster {ATTEMPTS} times")
+
+
+def save_runs(store: str, runs: DataFrame, queries: DataFrame, chain_by: str | None = None) -> bool:
+    """Save runs, their queries and their audit entries in one step.
+
+    Either all three are seen by ``read_store`` or none: a save that fails on the way leaves nothing visible. A save of
+    the same runs again adds nothing (False). The entries follow the newest published one; of two writers
+    at a time the slower one makes its entries anew, so chains never fork. Columns beside those of the store are left out."""
+    return _save(store, "runs", {"runs": runs, "queries": queries}, lambda log, t: au.record_runs(log, t["runs"], t["queries"], chain_by))
+
+
+def save_feedback(store: str, feedback: DataFrame, chain_by: str | None = None) -> bool:
+    """Save feedback and its audit entries in one step, as ``save_runs`` does."""
+    return _save(store, "feedback", {"feedback": feedback}, lambda log, t: au.append_audit(log, au.feedback_events(t["feedback"]), "_ord", chain_by))
 
 
 def runs_from_conversations(conv: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -4,12 +4,15 @@ import datetime
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from shiftlens.functions.canonical import json_str
 from shiftlens.operators import audit as au
-from shiftlens.sources.runlog import runs_from_conversations, save_feedback, save_runs
+from shiftlens.session import materialize
+from shiftlens.sources import commits
+from shiftlens.sources.runlog import read_store, runs_from_conversations, save_feedback, save_runs
 from shiftlens.sources.tables import LazyTables
 
 
@@ -149,9 +152,84 @@ def test_saving_runs_and_feedback_continues_the_chain(spark, tmp_path):
     for part in (early, ~early):
         save_runs(store, runs.filter(part), queries.join(runs.filter(part), "run_id", "left_semi"))
     save_feedback(store, fb)
-    log = spark.read.parquet(f"{store}/audit_log")
+    log = read_store(spark, store, "audit_log")
     assert log.count() == runs.count() + fb.count() and au.verify_audit(log, runs, queries).first()["intact"]
-    assert spark.read.parquet(f"{store}/queries").count() == queries.count()
+    assert read_store(spark, store, "queries").count() == queries.count()
+    assert not save_feedback(store, fb) and not save_runs(store, runs.filter(early), queries.join(runs.filter(early), "run_id", "left_semi"))
+    assert read_store(spark, store, "audit_log").count() == log.count() and read_store(spark, store, "runs").count() == runs.count()
+
+
+def test_a_save_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
+    runs, queries, fb = _log(spark)
+    store = str(tmp_path)
+    for broken in ("record_runs", "append_audit"):  # after the tables, or the entries, were written in part
+        with monkeypatch.context() as m:
+            m.setattr(au, broken, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                save_runs(store, runs, queries)
+    with monkeypatch.context() as m:
+        m.setattr(commits.CommitLog, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            save_runs(store, runs, queries)
+    assert all(read_store(spark, store, t).count() == 0 for t in ("runs", "queries", "audit_log", "feedback"))
+    assert save_runs(store, runs, queries)  # the retry
+    assert read_store(spark, store, "runs").count() == runs.count() and au.verify_audit(read_store(spark, store, "audit_log"), runs, queries).first()["intact"]
+
+
+def test_of_two_writers_the_slower_one_follows_the_other(spark, tmp_path, monkeypatch):
+    """Both read the same head; the one that publishes second makes its entries anew, so the chain does not fork."""
+    runs, queries, _ = _log(spark)
+    store, early = str(tmp_path), F.col("run_id") < "run-000050"
+    publish, raced = commits.CommitLog.publish, []
+
+    def late(self, record, version):
+        if not raced:
+            raced.append(version)
+            monkeypatch.setattr(commits.CommitLog, "publish", publish)
+            save_runs(store, runs.filter(~early), queries.join(runs.filter(~early), "run_id", "left_semi"))
+        publish(self, record, version)
+
+    monkeypatch.setattr(commits.CommitLog, "publish", late)
+    assert save_runs(store, runs.filter(early), queries.join(runs.filter(early), "run_id", "left_semi")) and raced == [0]
+    log = read_store(spark, store, "audit_log")
+    assert log.count() == runs.count() == log.select("seq").distinct().count() and au.verify_audit(log, runs, queries).first()["intact"]
+    assert len(commits.CommitLog(spark, store).records()) == 2
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    log = commits.CommitLog(spark, str(tmp_path))
+    log.publish({"n": 0}, 0)
+    with pytest.raises(commits.Conflict):
+        log.publish({"n": 1}, 0)
+    log.publish({"n": 1}, 1)
+    assert [r["n"] for r in log.records()] == [0, 1]
+
+
+def test_a_run_of_many_queries_is_folded(spark):
+    """Digest and number of queries of a long run, of runs without queries, of repeated and null run ids."""
+    runs = spark.createDataFrame([(i, "q", "d", "s", '{"a":1}', '{"models":["m"]}', datetime.datetime(2024, 1, 1), 1.0) for i in ("r1", "r2", "r2", None)],
+                                 "run_id string, question string, dataset string, status string, report string, usage string, created_at timestamp, duration_s double")
+    queries = spark.sql("SELECT CASE WHEN id < 20000 THEN 'r1' WHEN id < 20002 THEN 'r2' WHEN id < 20003 THEN 'gone' END AS run_id, concat('Q', id) AS query_id, "
+                        "'SELECT 1' AS sql_executed, cast(id AS int) AS row_count, cast(NULL AS string) AS error FROM range(20004)")
+    got = sorted((str(r["run_id"]), r["digest"], r["n_queries"]) for r in au.run_snapshots(runs.repartition(3), queries.repartition(5)).collect())
+
+    def want(run_id, ids):
+        snap = {"run_id": run_id, "question": "q", "dataset": "d", "status": "s", "report": {"a": 1}, "models": ["m"], "created_at": "2024-01-01 00:00:00+00:00",
+                "queries": [{"query_id": q, "sql_executed": "SELECT 1", "row_count": int(q[1:]), "error": None} for q in sorted(f"Q{i}" for i in ids)]}
+        return str(run_id), hashlib.sha256(json.dumps(snap, sort_keys=True, separators=(",", ":")).encode()).hexdigest(), len(ids)
+
+    assert got == sorted([want("r1", range(20000)), want("r2", range(20000, 20002)), want("r2", range(20000, 20002)), want(None, [])])
+    plan = au.run_snapshots(runs, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_short_chains_are_verified_without_a_join(spark):
+    ev = spark.sql("SELECT 'note' AS event, concat('k', id % 50) AS run_id, '{}' AS payload, '2024-01-01T00:00:00+00:00' AS at, id AS n FROM range(200)")
+    log = materialize(au.append_audit(None, ev, "n", chain_by="run_id"), "checkpoint")
+    checked = au.verify_chain(log, "run_id", bucket_rows=1000)
+    assert checked.collect() == []
+    final = checked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in final and final.count("Window") >= 1
 
 
 def test_a_logged_query_runs_once(spark):

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from shiftlens.operators import change as ch
 from shiftlens.operators import metric as mt
-from shiftlens.plans.investigate import investigate, rank_all_dimensions
-from shiftlens.plans.model import catalogue, tpch_model
+from shiftlens.plans.investigate import change_of_all_dimensions, investigate
+from shiftlens.plans.model import Join, MetricSpec, SemanticModel, catalogue, tpch_model
+from shiftlens.session import materialize
 from shiftlens.sources.derived import with_dropped_segment, with_duplicated_items, with_price_jump
 from shiftlens.sources.tables import LazyTables
 
@@ -23,7 +24,7 @@ def _ranked(spark, key, tables=None):
     t, m, s = _ctx(spark, key, tables)
     base, bridge = mt.metric_base(t, m, s), mt.segment_bridge(t, m, s)
     change = ch.total_change(mt.metric_total(base), s.kind)
-    return rank_all_dimensions(base, bridge, change, s.kind, m.dimension_names), m
+    return change_of_all_dimensions(base, bridge, change, s.kind, m.dimension_names), m
 
 
 def test_abnormal_sums_to_zero_for_totals(spark):
@@ -155,3 +156,84 @@ def test_period_filter_reaches_the_scan(spark):
     t, m, s = _ctx(spark, "order_count")
     plan = _plan(mt.tag_periods(t, m, s))
     assert "PushedFilters" in plan and "o_orderdate" in plan.split("PushedFilters")[1][:400]
+
+
+# ---- several child tables, full ranks, one scan of a child ----------------------------------------------
+TWO_CHILDREN = SemanticModel(
+    "orders", "o", "id", ("d",), {"orders": ("id",), "items": ("id", "no"), "payments": ("id", "no")},
+    {j.name: j for j in (Join("customer", "customer", "c", (("c.cid", "o.cid"),)), Join("items", "items", "i", (("i.id", "o.id"),), fanout=True),
+                         Join("payments", "payments", "p", (("p.id", "o.id"),), fanout=True), Join("kinds", "kinds", "k", (("k.kid", "i.kid"),), requires=("items",)))}, ())
+
+
+def _two_children(spark):
+    day = "timestamp_ntz'1998-02-15' AS d"
+    return {"orders": spark.sql(f"SELECT id, id % 2 AS cid, {day} FROM range(1, 6)"),
+            "customer": spark.sql("SELECT 1L AS cid, 100.0D AS bonus"),
+            "items": spark.sql("SELECT * FROM VALUES (1L, 1, 10.0D, 7), (1L, 2, 5.0D, 8), (2L, 1, 20.0D, 7), (4L, 1, NULL, 9) AS t(id, no, price, kid)"),
+            "payments": spark.sql("SELECT * FROM VALUES (1L, 1, 3.0D), (1L, 2, 4.0D), (3L, 1, 8.0D), (4L, 1, 9.0D) AS t(id, no, amt)"),
+            "kinds": spark.sql("SELECT 7 AS kid, 1000.0D AS extra")}
+
+
+@pytest.mark.parametrize("value,joins,want", [
+    # items x payments of one order multiply, as in one statement with both joins
+    ("SUM(i.price) + COALESCE(SUM(p.amt), 0)", ("items", "payments"), [44.0, 20.0, None, None, None]),
+    ("COALESCE(SUM(i.price), 0) + COALESCE(SUM(p.amt), 0)", ("payments", "items"), [44.0, 20.0, 8.0, 9.0, 0.0]),
+    ("COUNT(p.amt)", ("items", "payments"), [4.0, 0.0, 1.0, 1.0, 0.0]),
+    # an order without items still has its customer
+    ("COALESCE(MAX(c.bonus), 0) + COUNT(i.no)", ("customer", "items"), [102.0, 1.0, 100.0, 1.0, 100.0]),
+    ("COALESCE(MAX(k.extra), 0) + COALESCE(MAX(c.bonus), 0)", ("kinds", "customer"), [1100.0, 1000.0, 100.0, 0.0, 100.0])])
+def test_children_are_left_joined_in_every_combination(spark, value, joins, want):
+    spec = MetricSpec("x", "total", value, "d", ("1998-01-01", "1998-03-01"), ("1998-03-01", "1998-04-01"), joins)
+    tables = _two_children(spark)
+    got = {r["order_key"]: r["v"] for r in mt.metric_base(tables, TWO_CHILDREN, spec).collect()}
+    assert got == dict(enumerate(want, 1))
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    left = " ".join(f"LEFT JOIN {j.table} {j.alias} ON {j.keys[0][0]} = {j.keys[0][1]}" for n in TWO_CHILDREN.resolve_joins(joins) for j in [TWO_CHILDREN.joins[n]])
+    plain = {r[0]: r[1] for r in spark.sql(f"SELECT o.id, CAST({value} AS DOUBLE) FROM orders o {left} GROUP BY o.id").collect()}
+    assert got == plain
+
+
+def test_full_ranks_come_from_ranges(spark):
+    rows = [("big", f"s{i:04d}", float((i * 37) % 101 - 50) if i % 11 else None) for i in range(3000)] + [("small", "x", 2.0), ("small", "y", -2.0), ("small", None, 2.0)]
+    df = spark.createDataFrame(rows, "dimension string, segment string, abnormal double").repartition(7)
+    ranked = ch.rank_segments(df, lambda d: materialize(d, "checkpoint"))
+    got = {(r["dimension"], r["segment"]): r["rank_in_dimension"] for r in ranked.collect()}
+    want = {}
+    for d in ("big", "small"):
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: (r[2] is None, -abs(r[2] or 0), r[1] is not None, r[1] or ""))
+        want |= {(d, r[1]): i for i, r in enumerate(own, 1)}
+    assert got == want and ranked.columns == ["dimension", "segment", "abnormal", "rank_in_dimension"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tables as small as this one would be one task
+    try:
+        placed = []
+        ch.rank_segments(df, lambda d: placed.append(d) or d)
+        assert placed[0].groupBy(F.shiftright("_at", 33)).count().agg(F.max("count")).first()[0] < 1500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    plan = _plan(ranked)
+    assert "row_number" not in plan and "rank(" not in plan
+    assert ch.rank_segments(df.limit(0), lambda d: materialize(d, "checkpoint")).count() == 0
+
+
+def test_candidates_round_half_even(spark):
+    rows = [("d", "a", 0.00005, 0.00015, 0.00025, -0.00035, 0.00045)]
+    df = spark.createDataFrame(rows, "dimension string, segment string, value_a double, value_b double, delta double, abnormal double, share_of_change double")
+    r = ch.top_candidates(df, ["d"]).first()
+    assert [r[c] for c in ("value_a", "value_b", "change", "abnormal_change", "share_of_change")] == [0.0, 0.0002, 0.0002, -0.0004, 0.0004]
+
+
+def test_investigation_scans_a_child_once(spark):
+    t, m, s = _ctx(spark, "item_revenue")
+    written = []
+    once = mt.read_children_once(t, m, s, m.dimension_names, lambda df: written.append(df) or materialize(df, "checkpoint"))
+    assert len(written) == 1 and _plan(written[0]).count("l_orderkey") and set(written[0].columns) == {
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag"}
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    base, bridge = mt.metric_base(once, m, s), mt.segment_bridge(once, m, s)
+    for df in (base, bridge, mt.duplicate_counts(once, m, s)):
+        assert "lineitem" not in _plan(df)
+    assert rows(mt.duplicate_counts(once, m, s)) == rows(mt.duplicate_counts(t, m, s)) and rows(bridge) == rows(mt.segment_bridge(t, m, s))
+    assert rows(base.select("order_key", F.round("v", 4))) == rows(mt.metric_base(t, m, s).select("order_key", F.round("v", 4)))
+    inv = investigate(t, m, s, cache="checkpoint")
+    assert "lineitem" not in _plan(inv.segments) and "lineitem" not in _plan(inv.counts)

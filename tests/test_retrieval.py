@@ -1,15 +1,19 @@
 """Chunking, tokens, embedder, BM25, window filter and the exact fused search."""
 
+import datetime
 import hashlib
 import math
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001, SF001
-from shiftlens.operators import retrieval as rt
+from shiftlens.operators import retrieval as rt, search as se
 from shiftlens.plans import registered as rq
+from shiftlens.session import materialize
 
 
 def py_chunks(text, max_chars=900, sep="\n\n"):
@@ -36,6 +40,19 @@ def test_chunk_packing_matches_greedy_rule(spark):
         assert got[i] == py_chunks(t), i
 
 
+def test_packing_takes_time_in_proportion(spark):
+    """10^5 paragraphs: the pointers equal the greedy rule, and no step copies what is packed already."""
+    lengths = [(i * 37) % 300 + 1 for i in range(100_000)]
+    cuts = rt.next_chunks(np.array(lengths), 900, 2)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(lengths) and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+    size = lambda a, b: sum(lengths[a:b]) + 2 * (b - a - 1)
+    assert all(b - a == 1 or size(a, b) <= 900 for a, b in cuts) and all(size(a, c + 1) > 900 for (a, b), (c, _) in zip(cuts, cuts[1:]))
+    text = "\n\n".join("x" * n for n in lengths)
+    got = spark.createDataFrame([(text,)], "t string").select(rt.chunk_text("t").alias("c")).first()["c"]
+    assert got == py_chunks(text) and rt.next_chunks(np.array([], np.int64), 9, 2) == []
+    assert spark.sql("SELECT cast(NULL AS string) AS t").select(rt.chunk_text("t").alias("c")).first()["c"] is None
+
+
 def test_front_matter_defaults(spark):
     df = spark.createDataFrame([("my_note", "---\ntitle: Hello\ndate: 1998-02-03\n---\nBody text\n"),
                                 ("plain_doc", "Just text")], "doc_id string, raw string")
@@ -61,7 +78,7 @@ def test_bm25_matches_hand_formula(spark):
     docs = ["the cat sat", "the dog sat on the mat", "cats and dogs", "the the the"]
     chunks = spark.createDataFrame([(str(i), 0, d) for i, d in enumerate(docs)], "doc_id string, chunk_no int, text string")
     q = spark.createDataFrame([(1, "the cat")], "query_id int, qtext string")
-    got = {r["doc_id"]: r["bm25"] for r in rt.bm25_top(chunks, q, 10).collect()}
+    got = {r["doc_id"]: r["bm25"] for r in se.bm25_top(chunks, q, 10).collect()}
     toks = [re.findall(r"[a-z0-9_]+", d.lower()) for d in docs]
     n, avgdl = len(toks), sum(map(len, toks)) / len(toks)
     dfreq = Counter(t for ts in toks for t in set(ts))
@@ -89,7 +106,7 @@ def test_exact_search_equals_full_ranking(spark):
     chunks = rq.corpus_chunks(spark, SF0001)
     q = rq.benchmark_queries(spark, SF0001)
     fast = {(r["query_id"], r["hit_rank"]): (r["doc_id"], r["chunk_no"], r["score"], r["rank_bm25"], r["rank_cos"])
-            for r in rt.search(chunks, q, k=3).collect()}
+            for r in se.search(chunks, q, k=3).collect()}
     plain = {(r["query_id"], r["hit_rank"]): (r["doc_id"], r["chunk_no"], r["score"], r["rank_bm25"], r["rank_cos"])
              for r in rt.search_plain(chunks, q, k=3).collect()}
     assert fast == plain and len(fast) > 0
@@ -97,23 +114,66 @@ def test_exact_search_equals_full_ranking(spark):
 
 def test_scans_move_no_pairs(spark):
     """What leaves a task of the first scan is cut to its best per query; the second sends counts."""
+    index = se.build_index(rq.corpus_chunks(spark, SF0001))
+    rows = next(se._query_blocks(rq.benchmark_queries(spark, SF0001), 256, 1 << 20))
+    block = se._block(rows, index, 20, False)
+    found = se._best(block["index"], spark.sparkContext.broadcast(block["shared"]), 65, 2, False)
+    assert found.filter("q >= 0").count() <= 2 * 65 * len(rows)
+    assert {r.q for r in found.filter("q < 0").collect()} == {-1}
+
+
+@pytest.mark.parametrize("segment", [7, 512])
+def test_pruned_search_equals_full_ranking_and_scores_fewer(spark, segment, monkeypatch):
+    """With small segments and depths the bounds rule chunks out; hits and ranks stay those of the full ranking."""
+    chunks, q = rq.corpus_chunks(spark, SF0001), rq.benchmark_queries(spark, SF0001)
+    columns = ["query_id", "hit_rank", "doc_id", "chunk_no", "score", "rank_bm25", "rank_cos"]
+    index = materialize(se.build_index(chunks, segment), "checkpoint")
+    report = []
+    got = sorted(tuple(r) for r in se.search(chunks, q, k=2, index=index, report=report).select(*columns).collect())
+    assert got == sorted(tuple(r) for r in rt.search_plain(chunks, q, k=2).select(*columns).collect())
+    assert [r["list"] for r in report] == ["bm25", "cosine"] and all(0 < r["scored"] <= r["pairs"] for r in report)
+    one = materialize(index.coalesce(1), "checkpoint")  # one task: its thresholds rise with every segment
+    top = []
+    all_ = sorted(tuple(r) for r in se.bm25_top(chunks, q, 10**6, index=one).collect())
+    few = sorted(tuple(r) for r in se.bm25_top(chunks, q, 3, index=one, report=top).collect())
+    assert few == [r for r in all_ if r[4] <= 3] and top[0]["scored"] < (0.7 if segment == 7 else 0.9) * len(all_)
+
+
+def test_odd_chunks_and_queries(spark):
+    schema = "dataset string, doc_id string, chunk_no int, title string, doc_type string, doc_date date, text string, buckets array<int>, weights array<float>"
+    day = datetime.date
+    rows = [("en", "b", 0, "t", "d", day(1998, 5, 1), "the cat sat", [1, 5], [2.0, 1.0]), ("en", "a", 0, "t", "d", None, "the cat sat", [1, 5], [2.0, 1.0]),
+            ("en", "c", 0, "t", "d", day(1990, 1, 1), "the cat", [1], [1.0]), ("01", "d", 0, "t", "d", None, None, None, None), (None, "e", 0, "t", "d", None, "cat", [], []),
+            ("en", "f", 0, "t", "d", day(1998, 5, 2), "", [], [])]
+    chunks = spark.createDataFrame(rows, schema)
+    q = spark.createDataFrame([(1, "en", "cat the", day(1998, 4, 1), day(1998, 6, 1)), (2, "01", "cat", None, None), (3, None, "cat", None, None), (4, "en", "", None, None),
+                               (5, "en", None, None, None), (6, "zz", "cat", None, None)], "query_id int, dataset string, qtext string, start date, end date")
+    columns = ["query_id", "hit_rank", "doc_id", "rank_bm25", "rank_cos"]
+    got = sorted(tuple(r) for r in se.search(chunks, q).select(*columns).collect())
+    assert got == sorted(tuple(r) for r in rt.search_plain(chunks, q).select(*columns).collect()) and {r[0] for r in got} == {1, 2, 4, 5}
+
+
+def test_scan_of_a_stored_index_is_pruned(spark, tmp_path):
     chunks = rq.corpus_chunks(spark, SF0001)
-    rows = next(rt._query_blocks(rq.benchmark_queries(spark, SF0001), 256, 1 << 20))
-    block = rt._block_arrays(rows, chunks, 20, 256, False)
-    found = rt._best(rt._scan_input(chunks), spark.sparkContext.broadcast(block), 65, 2, False)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "Join" not in plan
-    assert found.count() <= 2 * 65 * len(rows)
+    se.write_index(se.build_index(chunks), f"{tmp_path}/index")
+    index = se.load_index(spark, f"{tmp_path}/index")
+    scan = se._pruned(index, [("en", 10_300, 10_400), ("de", 10_350, 10_500)])
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [dataset" in plan and "GreaterThanOrEqual(day_hi,1998-03-15)" in plan and "LessThanOrEqual(day_lo,1998-1" in plan
+    q = rq.benchmark_queries(spark, SF0001)
+    columns = ["query_id", "hit_rank", "doc_id", "chunk_no", "rank_bm25", "rank_cos"]
+    assert sorted(map(tuple, se.search(chunks, q, index=index).select(*columns).collect())) == sorted(map(tuple, se.search(chunks, q).select(*columns).collect()))
+    assert "embedding" not in chunks.columns and chunks.select(F.max(F.size("buckets"))).first()[0] <= 256
 
 
 def test_search_blocks_give_same_hits(spark):
     chunks = rq.corpus_chunks(spark, SF0001)
     q = rq.benchmark_queries(spark, SF0001)
-    one = sorted(tuple(r) for r in rt.search(chunks, q, k=2).select("query_id", "doc_id", "chunk_no", "score").collect())
-    many = sorted(tuple(r) for r in rt.search(chunks, q, k=2, block_bytes=900)
+    one = sorted(tuple(r) for r in se.search(chunks, q, k=2).select("query_id", "doc_id", "chunk_no", "score").collect())
+    many = sorted(tuple(r) for r in se.search(chunks, q, k=2, block_bytes=900)
                   .select("query_id", "doc_id", "chunk_no", "score").collect())
     assert one == many and one
-    assert rt.search(chunks, q.limit(0)).count() == 0 and rt.search(chunks.limit(0), q).count() == 0
+    assert se.search(chunks, q.limit(0)).count() == 0 and se.search(chunks.limit(0), q).count() == 0
 
 
 def test_rrf_fuses_ranks(spark):

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from shiftlens.sources import documents as docs
@@ -37,3 +38,55 @@ def test_markdown_folder_to_chunk_store(spark):
     assert {r["dataset"] for r in docs.load_chunks(spark, f"{store}-2").select("dataset").distinct().collect()} == {"public"}
     counts = {r["dataset"]: r["count"] for r in docs.load_chunks(spark, store).groupBy("dataset").count().collect()}
     assert counts == {"lab": 1, "public": 3}
+
+
+def _chunks(spark, rows):
+    schema = docs.CHUNK_SCHEMA
+    return spark.createDataFrame([(d, i, 0, "t", "document", None, f"text {i}", [1], [1.0]) for d, i in rows], schema)
+
+
+def test_replacing_a_dataset_is_one_step(spark, tmp_path, monkeypatch):
+    store = str(tmp_path)
+    stored = lambda: sorted((str(r["dataset"]), r["doc_id"]) for r in docs.load_chunks(spark, store).collect())
+    assert docs.load_chunks(spark, store).count() == 0 and docs.load_chunks(spark, store).columns[-2:] == ["buckets", "weights"]
+    docs.write_chunks(_chunks(spark, [("a", "1"), ("a", "2"), ("b/c=1", "3"), ("01", "4"), (None, "5")]), store)
+    old = [("01", "4"), ("None", "5"), ("a", "1"), ("a", "2"), ("b/c=1", "3")]
+    assert stored() == old
+    with monkeypatch.context() as m:  # a writer that fails when its files are there, before it publishes
+        m.setattr(docs.CommitLog, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            docs.write_chunks(_chunks(spark, [("a", "9"), ("b/c=1", "9")]), store)
+    assert stored() == old
+    reader = docs.load_chunks(spark, store)  # a reader keeps what it saw
+    docs.write_chunks(_chunks(spark, [("a", "7"), (None, "8")]), store)
+    assert stored() == [("01", "4"), ("None", "8"), ("a", "7"), ("b/c=1", "3")]
+    assert sorted((str(r["dataset"]), r["doc_id"]) for r in reader.collect()) == old
+    docs.write_chunks(_chunks(spark, []), store, dataset="01")
+    assert stored() == [("None", "8"), ("a", "7"), ("b/c=1", "3")]
+    assert docs.vacuum_chunks(spark, store) == 1 and stored() == [("None", "8"), ("a", "7"), ("b/c=1", "3")]
+    plan = docs.load_chunks(spark, store).filter("dataset = 'a' and doc_date >= date'1998-01-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "GreaterThanOrEqual(doc_date,1998-01-01)" in plan
+
+
+def test_two_writers_of_different_datasets_both_publish(spark, tmp_path, monkeypatch):
+    publish, raced = docs.CommitLog.publish, []
+
+    def late(self, record, version):
+        if not raced:
+            raced.append(version)
+            monkeypatch.setattr(docs.CommitLog, "publish", publish)
+            docs.write_chunks(_chunks(spark, [("b", "2")]), str(tmp_path))
+        publish(self, record, version)
+
+    monkeypatch.setattr(docs.CommitLog, "publish", late)
+    docs.write_chunks(_chunks(spark, [("a", "1")]), str(tmp_path))
+    assert {r["dataset"] for r in docs.load_chunks(spark, str(tmp_path)).collect()} == {"a", "b"}
+
+
+def test_markdown_files_written_by_tasks_are_read_back(spark, tmp_path):
+    rows = [("one", "# Title\r\n\r\ntext"), ("zwei_ä", "---\ntitle: x\n---\nbody"), ("empty", None), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id string, raw string").repartition(3)
+    assert docs.write_markdown(df, f"file:{tmp_path}/md") == 3
+    assert sorted(map(tuple, docs.read_markdown(spark, f"{tmp_path}/md").collect())) == sorted([("one", "# Title\n\ntext"), ("zwei_ä", rows[1][1])])  # no empty file
+    with pytest.raises(ValueError):
+        docs.write_markdown(spark.createDataFrame([("a/b", "x")], "doc_id string, raw string"), f"{tmp_path}/md")
