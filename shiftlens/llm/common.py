@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
          "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
-         "array<binary>": pa.list_(pa.binary())}
+         "array<binary>": pa.list_(pa.binary()), "array<string>": pa.list_(pa.string())}
 
 
 def ascii_lower(c: Column) -> Column:
@@ -33,6 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Blocks that delete all tables written inside them, the innermost last.
+_COLLECTING: list[Scratch] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back: the lineage
     is cut, the files are compressed and outlive any executor."""
@@ -42,22 +46,32 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _COLLECTING:
+        _COLLECTING[-1].tables.append(out)
+    return out
 
 
 class Scratch:
     """The tables that an operator writes on its way; leaving the block deletes them.
 
-    What outlives the block must have been written by ``stage``, or taken out of ``tables``, before."""
+    What outlives the block must have been written by ``stage``, or taken out of ``tables``, before. With ``collect``
+    the tables that operators called in the block write by ``stage`` are deleted too."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.tables = spark, []
+    def __init__(self, spark: SparkSession, collect: bool = False):
+        self.spark, self.tables, self.collect = spark, [], collect
 
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         out = stage(df, label)
-        self.tables.append(out)
+        if not any(t is out for t in self.tables):
+            self.tables.append(out)
         return out
 
+    def keep(self, table: DataFrame) -> None:
+        """This table outlives the block."""
+        for held in (self, *_COLLECTING):
+            held.tables = [t for t in held.tables if t is not table]
+
     def drop(self, table: DataFrame) -> None:
         """Delete the files of one table at once."""
         for file in table.inputFiles()[:1]:
@@ -65,13 +79,28 @@ class Scratch:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def __enter__(self) -> Scratch:
+        if self.collect:
+            _COLLECTING.append(self)
         return self
 
     def __exit__(self, *_) -> None:
+        if self.collect:
+            _COLLECTING.remove(self)
         for t in self.tables:
             self.drop(t)
 
 
+def nested(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, text): all columns beside the text as one, so that no name of theirs can clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select((F.struct(*others) if others else F.lit(None).cast("int")).alias("row"), F.col(f"`{text}`").alias("text"))
+
+
+def flat(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """What ``nested`` was given, in the order of ``columns``."""
+    return rows.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in columns])
+
+
 #: Rows whose texts are Python objects at one time.
 SLICE = 512
 

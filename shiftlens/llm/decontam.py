@@ -1,12 +1,15 @@
 """Benchmark decontamination with an Aho-Corasick automaton over windows of the test items' words.
 
-Texts are normalised to words joined by single spaces; an item is cut into windows of consecutive
-words, and every window is one pattern. A document is scanned once, and hits are mapped back to its
+Texts are normalised to words, and every word of an item is one symbol; an item is cut into windows of consecutive
+words, and every window is one pattern of as many symbols. A document's words become symbols too (one that no item
+has stands for all others), it is scanned once, and hits are mapped back to its
 word numbers and, where wanted, to character offsets in its original text.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,8 +18,12 @@ from pyspark.sql import functions as F
 from shiftlens.llm.common import map_texts
 
 WINDOW = 10
-#: Item text that one automaton may hold; more items are scanned for by further automata in turn.
-SHARD_BYTES = 16 << 20
+#: Item text that one automaton may hold; more items are scanned for by further automata in turn. A byte of text makes at most
+#: WINDOW / 2 nodes (of about 55 bytes), as a word and its space take two bytes and a window one node per word; with words
+#: of five letters it is 1.7 nodes, and 2 MiB are about 200 MB in a Python worker.
+SHARD_BYTES = 2 << 20
+#: Code points from which symbols are taken; those between are no characters.
+_FIRST, _GAP, _AFTER = 1, 0xD800, 0xE000
 
 #: Bytes that are no part of a word become spaces, A-Z become a-z; bytes of 128 and more are kept.
 _TABLE = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -27,27 +34,44 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.translate(_TABLE).split()
 
 
-def windows(words: list[bytes], size: int) -> list[str]:
-    """Patterns of an item, each between two spaces: its windows, or the whole of a shorter item."""
+def windows(words: list, size: int) -> list[list]:
+    """An item's windows, or the whole of a shorter item; none without words."""
     if not words:
         return []
-    runs = [words] if len(words) < size else [words[i:i + size] for i in range(len(words) - size + 1)]
-    return [f" {b' '.join(r).decode()} " for r in runs]
+    return [words] if len(words) < size else [words[i:i + size] for i in range(len(words) - size + 1)]
+
+
+class Symbols(dict):
+    """A character for each word of the items; one more for all other words."""
+
+    def __init__(self, words: list[bytes]):
+        numbers = (c for c in range(_FIRST + 1, 0x110000) if not _GAP <= c < _AFTER)
+        super().__init__(zip(words, map(chr, islice(numbers, len(words)))))
+        if len(self) < len(words):
+            raise ValueError("more different words than symbols: use a smaller shard_bytes")
 
+    def __missing__(self, word: bytes) -> str:
+        return chr(_FIRST)
 
-def automaton(items: list[tuple[object, bytes | None]], size: int) -> ahocorasick.Automaton | None:
-    """Patterns with (word count, numbers of the items they belong to); None without patterns."""
+    def line(self, words: list[bytes]) -> str:
+        return "".join(map(self.__getitem__, words))
+
+
+def automaton(items: list[tuple[str, bytes]], size: int) -> tuple[ahocorasick.Automaton | None, Symbols]:
+    """Patterns with (words, numbers of the items they belong to), None without patterns; and the symbols."""
+    split = [words_of(text) for _, text in items]
+    symbols = Symbols(sorted(set().union(*split)))
     owners: dict[str, set[int]] = {}
-    for number, (_, text) in enumerate(items):
-        for w in windows(words_of(text), size):
-            owners.setdefault(w, set()).add(number)
+    for number, words in enumerate(split):
+        for w in windows(words, size):
+            owners.setdefault(symbols.line(w), set()).add(number)
     if not owners:
-        return None
+        return None, symbols
     a = ahocorasick.Automaton()
     for w, own in owners.items():
-        a.add_word(w, (len(w), w.count(" ") - 1, tuple(own)))
+        a.add_word(w, (len(w), tuple(own)))
     a.make_automaton()
-    return a
+    return a, symbols
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -61,18 +85,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(a: ahocorasick.Automaton | None, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+def scan(a: ahocorasick.Automaton | None, symbols: Symbols, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
     """Merged word spans that patterns cover, and the numbers of the items they belong to."""
     if a is None or not words:
         return [], set()
-    line = f" {b' '.join(words).decode()} "
-    hits = [(end, *what) for end, what in a.iter(line)]
-    if not hits:
-        return [], set()
-    starts = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)[:-1] + 1
-    first = [int(np.searchsorted(starts, end - length + 2)) for end, length, _, _ in hits]
-    spans = merged([(at, at + count) for at, (_, _, count, _) in zip(first, hits, strict=True)])
-    return spans, {i for *_, own in hits for i in own}
+    hits = list(a.iter(symbols.line(words)))
+    return merged([(end - n + 1, end + 1) for end, (n, _) in hits]), {i for _, (_, own) in hits for i in own}
 
 
 def byte_ranges(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,7 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     strings, comma-joined) and ``hit_bytes`` (start and end of each hit in the UTF-8 text, alternating).
 
     A null or empty text has no words; an item without words is no pattern; equal items count each under
-    its own id, repeated rows of one id once; items with a null id or text are left out. One automaton
+    its own id (ids may hold commas; ``n_items`` counts ids), repeated rows of one id once; items with a null id or text are left out. One automaton
     holds up to about ``shard_bytes`` of item text; more items are dealt to further automata by a hash of the
     id, and the documents are scanned for them in turn, without a shuffle.
     """
@@ -98,16 +116,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // shard_bytes))
     keep = docs.columns if keep is None else keep
-    out = docs
+    # what is kept travels as one column, so that no name can clash with those of the scans
+    others = [c for c in keep if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    out = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
     for k in range(shards):
         own = usable.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect()
         shared = spark.sparkContext.broadcast({"items": [(str(r["item"]), r["text"].encode()) for r in own]})
-        before = () if k == 0 else (f"_spans{k - 1}", f"_items{k - 1}")
+        before = () if k == 0 else (f"spans{k - 1}", f"items{k - 1}")
         if k < shards - 1:
-            fields = {f"_spans{k}": "array<bigint>", f"_items{k}": "string"}
-            out = map_texts(out, _scanner(shared, size, before, False), fields, text, list(dict.fromkeys([*keep, text])), before)
+            fields = {f"spans{k}": "array<bigint>", f"items{k}": "array<string>"}
+            out = map_texts(out, _scanner(shared, size, before, False), fields, "text", ["row", "text"], before)
     fields = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "item_ids": "string", "hit_bytes": "array<bigint>"}
-    return map_texts(out, _scanner(shared, size, before, True), fields, text, keep, before)
+    out = map_texts(out, _scanner(shared, size, before, True), fields, "text", ["row", *(["text"] if text in keep else [])], before)
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in keep if c not in fields], *fields)
 
 
 def _scanner(shared, size: int, before: tuple[str, ...], last: bool):
@@ -117,23 +139,23 @@ def _scanner(shared, size: int, before: tuple[str, ...], last: bool):
         held = shared.value  # stays with the Python worker, so the automaton is built once for many tasks
         if "automaton" not in held:
             held["automaton"] = automaton(held["items"], size)
-        items, a = held["items"], held["automaton"]
+        items, (a, symbols) = held["items"], held["automaton"]
 
         def work(texts, batch):
             n = len(texts)
-            spans0, items0 = [batch.column(c).to_pylist() for c in before] if before else ([[]] * n, [""] * n)
+            spans0, items0 = [batch.column(c).to_pylist() for c in before] if before else ([[]] * n, [[]] * n)
             rows = []
             for t, s0, i0 in zip(texts, spans0, items0, strict=True):
                 words = words_of(t)
-                spans, numbers = scan(a, words)
+                spans, numbers = scan(a, symbols, words)
                 spans = merged(spans + list(zip(s0[::2], s0[1::2], strict=True)))
-                ids = sorted({items[i][0] for i in numbers} | set(i0.split(",") if i0 else ()))
+                ids = sorted({items[i][0] for i in numbers} | set(i0))
                 flat = [x for span in spans for x in span]
                 if last:
                     where = [x for r in byte_ranges(t, spans) for x in r] if spans else []
                     rows.append((len(words), sum(flat[1::2]) - sum(flat[::2]), len(ids), ",".join(ids), where))
                 else:
-                    rows.append((flat, ",".join(ids)))
+                    rows.append((flat, ids))
             return list(zip(*rows, strict=True)) if rows else [[]] * (5 if last else 2)
 
         return work
