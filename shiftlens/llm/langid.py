@@ -8,10 +8,10 @@ even that cosine is lower than held-out texts of that language with about as man
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ DIMS = 1 << 14
 CENTROIDS = 4
 #: The model is fitted on at most so many texts of one language, those with the smallest hash of key.
 SAMPLE = 400
+#: The most frequent languages that are learned, and the texts of all of them together (fewer of each, if there are many).
+LANGUAGES, SAMPLE_TEXTS = 512, 6_400
 #: Of texts up to this many characters, so that the sample is at most 400 x 20,000 x 4 bytes a language.
 SAMPLE_CHARS = 20_000
 #: A text is rejected below ``REJECT_SHARE`` of this quantile of the held-out cosines of its language and size.
@@ -31,7 +33,7 @@ FOLDS, LEAST_HELD = 4, 20
 OCTAVES = DIMS.bit_length() + 1
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -111,15 +113,16 @@ def _bounds(own: list[bytes], x: np.ndarray, idf: np.ndarray, centroids: int) ->
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE,
         centroids: int = CENTROIDS) -> Centroids:
-    """Fit on labelled rows: at most ``sample`` texts a language come to the driver.
+    """Fit on labelled rows: at most ``sample`` texts a language, and ``SAMPLE_TEXTS`` in all, come to the driver.
 
     Rows with a null language or text, without a letter or with more than ``SAMPLE_CHARS`` characters
-    are not learned from. Without any usable row the model knows no language and rejects every text.
+    are not learned from; of more than ``LANGUAGES`` languages the most frequent ones are learned. Without any usable row the model knows no language and rejects every text.
     """
     usable = rows.filter(F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS)) \
         .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
     # a language's sample is cut by a hash bound first, so no task sorts all rows of a language
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
+    sample = min(sample, max(1, SAMPLE_TEXTS // max(1, len(sizes))))
     if not sizes:
         return Centroids([], np.zeros((DIMS, 0), np.float32), np.ones(DIMS, np.float32), np.zeros((0, OCTAVES)))
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 1.5 * sample / n))])
