@@ -35,7 +35,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import Scratch, emit_rows, map_texts, stage
+from shiftlens.llm.common import Scratch, emit_rows, flat, map_texts, nested, stage
 
 SIZE = 20
 #: Words of an anchor. A text has about one anchor in (SIZE - ANCHOR + 2) / 2 = 8 words.
@@ -395,13 +395,14 @@ def dedup_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     """
     with Scratch(docs.sparkSession) as scratch:
         spans = stage(find_repeats(docs, scratch, text, key, size, **limits).spans(size), "spans")
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("starts").alias("_starts"), F.col("counts").alias("_counts"))
-    joined = docs.join(spans, (F.col(key) == F.col("_doc")) & (F.xxhash64(text) == F.col("_h")), "left").drop("_doc", "_h")
+    # the other columns travel as one, so that their names are of no matter
+    rows = nested(docs, text).withColumn("h", F.xxhash64("text")).withColumn("doc", F.col(f"row.`{key}`"))
+    joined = rows.join(spans.select("doc", "h", "starts", "counts"), ["doc", "h"], "left")
 
     def make():
         def work(texts, b):
             out = []
-            for t, s, n in zip(texts, b.column("_starts").to_pylist(), b.column("_counts").to_pylist()):
+            for t, s, n in zip(texts, b.column("starts").to_pylist(), b.column("counts").to_pylist()):
                 if s:
                     gone = removed_words(len(t.split()), s, n, size).tolist()
                     lead = t[:len(t) - len(t.lstrip())]
@@ -411,5 +412,4 @@ def dedup_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 
         return work
 
-    cut = map_texts(joined, make, {"_cut": "string"}, text, docs.columns, ("_starts", "_counts"))
-    return cut.select(*[F.col("_cut").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return flat(map_texts(joined, make, {"cut": "string"}, "text", ["row"], ("starts", "counts")).withColumnRenamed("cut", "text"), docs.columns, text)
