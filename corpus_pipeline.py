@@ -26,10 +26,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what the stages before it wrote is deleted at the end."""
+    """The rows of the last stage; what the stages, and the operators in them, wrote on the way is deleted at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with Scratch(spark) as scratch:
+    with Scratch(spark, collect=True) as scratch:
         for name, step in STAGES:
             docs = scratch.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-        scratch.tables.remove(docs)
+        scratch.keep(docs)
     return docs
