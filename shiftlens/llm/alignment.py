@@ -117,7 +117,7 @@ class Aligner:
 
         self.first = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ids_a, special_tokens={})
         self.second = Encoder(model_b)
-        self.table = Table(self.second.segment, lambda ids: np.array(ids, np.int32).tobytes())
+        self.table = Table(self.second, lambda ids: np.array(ids, np.int32).tobytes(), b"")
         self.a, self.b = Side(texts_a), Side(model_b.texts)
         self.ids_b = len(model_b.texts)
 

@@ -4,7 +4,7 @@ In a model whose pieces hold whitespace markers only at their front (or nothing
 the end of a word over the marker of the next one. A text is therefore cut before each run of markers, and at characters
 that stand in no piece beside another character; the merges of a chunk depend on nothing around it. Every Python
 worker keeps a table of the distinct chunks it met, each segmented once; a text's ids are the table's entries in the
-order of its chunks. The table is bounded: it is emptied when full, which costs time and changes no result.
+order of its chunks. The table is bounded: what was not met for long is forgotten, which costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -22,15 +22,14 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 
-#: Chunks in a worker's table, and the length up to which a chunk is kept there.
-TABLE, CHUNK_BYTES = 400_000, 64
+#: Chunks in each half of a worker's table (about 200 bytes each), and the length up to which a chunk is kept there.
+TABLE, CHUNK_BYTES = 500_000, 64
 #: Characters up to which a chunk's best neighbours are looked for by a plain minimum.
 SHORT = 64
 #: Bytes of a text that are cut into chunks at a time.
 BLOCK = 1 << 20
 
 INF = float("inf")
-NEVER = (INF, -1)
 
 
 @dataclass
@@ -76,16 +75,22 @@ def read_model(path: str) -> Model:
 
 
 class Table(dict):
-    """Distinct chunks, each segmented when it is first met and stored in the form that ``form`` gives its ids."""
+    """Distinct chunks, each segmented when it is first met and stored in the form that ``form`` gives its ids.
 
-    def __init__(self, segment, form):
+    When the table is full, its entries become the older half; those that are met again are taken over."""
+
+    def __init__(self, encoder: Encoder, form, join: bytes):
         super().__init__()
-        self.segment, self.form = segment, form
+        self.encoder, self.form, self.join, self.older = encoder, form, join, {}
 
     def __missing__(self, chunk: bytes):
-        got = self.form(self.segment(chunk.decode()))
+        got = self.older.get(chunk)
+        if got is None:
+            parts = self.encoder.parts(chunk.decode())
+            got = self.form(self.encoder.segment(parts[0])) if len(parts) == 1 else self.join.join([self[p.encode()] for p in parts])
         if len(chunk) <= CHUNK_BYTES:
             if len(self) >= TABLE:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = got
         return got
@@ -100,57 +105,82 @@ class Encoder:
         self.chunk = re.compile(rb"[%b]| *[^ %b]+| +" % (lonely, lonely)) if alone else re.compile(rb" *[^ ]+| +")
         self.border = re.compile(rb"[^ ] ")
         self.token_text = {str(i).encode(): t for i, t in enumerate(model.texts)}
+        self.neighbours = {p[i:i + 2] for p in model.pieces for i in range(len(p) - 1)}
+        # symbols are numbers: pieces by id, then the characters that only stand inside pieces
+        self.symbol = {p: i for p, (_, i) in model.pieces.items()}
+        for c in sorted(joined - set(self.symbol)):
+            self.symbol[c] = len(model.texts) + len(self.symbol)
+        self.other = 1 + max([len(model.texts), *self.symbol.values()])  # all other characters: in no pair
+        self.width = self.other + 1
+        self.cost: dict[int, float] = {}   # of joining a pair, and what it makes
+        self.made: dict[int, int] = {}
+        for p, (cost, i) in model.pieces.items():
+            for cut in range(1, len(p)):
+                x, y = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
+                if x is not None and y is not None:
+                    self.cost[x * self.width + y], self.made[x * self.width + y] = cost, i
+
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut between neighbours that stand side by side in no piece: no merge reaches over them."""
+        known = self.neighbours
+        cuts = [i + 1 for i in range(len(chunk) - 1) if chunk[i:i + 2] not in known]
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])] if cuts else [chunk]
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of one chunk: of all neighbours that make a piece, those of the best score are joined first, the
         leftmost first where scores are equal; characters without a piece become their bytes."""
-        pieces, out = self.model.pieces, []
-        for p in self._merged(chunk) if len(chunk) <= SHORT else self._merged_by_queue(chunk):
-            got = pieces.get(p)
-            if got is not None:
-                out.append(got[1])
-            else:
-                out += [self.model.bytes_[b] for b in p.encode()]
-        return out
-
-    def _merged(self, chunk: str) -> list[str]:
-        get, part = self.model.pieces.get, list(chunk)
-        cost = [get(a + b, NEVER)[0] for a, b in zip(part, part[1:])]
+        part = [self.symbol.get(c, self.other) for c in chunk]
+        ids = self._merged(part) if len(part) <= SHORT else self._merged_by_queue(part)
+        limit = len(self.model.texts)
+        if max(ids) < limit:
+            return ids
+        # what is left without an id are single characters: those only inside pieces, and, in order, those in none
+        inside = {v: k for k, v in self.symbol.items() if v >= limit}
+        unknown = iter([c for c in chunk if c not in self.symbol])
+        return [x for i in ids for x in ([i] if i < limit else [self.model.bytes_[b] for b in (inside[i] if i in inside else next(unknown)).encode()])]
+
+    def _merged(self, part: list[int]) -> list[int]:
+        get, made, width = self.cost.get, self.made, self.width
+        pair = [a * width + b for a, b in zip(part, part[1:])]
+        cost = [get(p, INF) for p in pair]
         while cost:
             best = min(cost)
             if best == INF:
                 break
             i = cost.index(best)
-            whole = part[i] + part[i + 1]
-            part[i:i + 2] = [whole]
-            del cost[i]
+            new = part[i] = made[pair[i]]
+            del part[i + 1], cost[i], pair[i]
             if i < len(cost):
-                cost[i] = get(whole + part[i + 1], NEVER)[0]
+                p = pair[i] = new * width + part[i + 1]
+                cost[i] = get(p, INF)
             if i:
-                cost[i - 1] = get(part[i - 1] + whole, NEVER)[0]
+                p = pair[i - 1] = part[i - 1] * width + new
+                cost[i - 1] = get(p, INF)
         return part
 
-    def _merged_by_queue(self, chunk: str) -> list[str]:
+    def _merged_by_queue(self, part: list[int]) -> list[int]:
         """The same in n log n steps."""
-        get, part = self.model.pieces.get, list(chunk)
-        n = len(part)
+        get, made, width = self.cost.get, self.made, self.width
+        gone, n = None, len(part)
+        part = list(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(get(part[i] + part[i + 1], NEVER)[0], i, part[i] + part[i + 1]) for i in range(n - 1)]
+        queue = [(get(part[i] * width + part[i + 1], INF), i, part[i] * width + part[i + 1]) for i in range(n - 1)]
         heapq.heapify(queue)
         while queue and queue[0][0] < INF:
-            _, i, whole = heapq.heappop(queue)
+            _, i, pair = heapq.heappop(queue)
             j = after[i]
-            if part[i] is None or j >= n or len(part[i]) + len(part[j]) != len(whole) or part[i] + part[j] != whole:
+            if part[i] is gone or j >= n or part[i] * width + part[j] != pair:
                 continue  # one of the two is gone or has grown
-            part[i], part[j] = whole, None
+            new = part[i] = made[pair]
+            part[j] = gone
             j, h = after[j], before[i]
             after[i] = j
-            if j < n:
-                before[j] = i
-                heapq.heappush(queue, (get(whole + part[j], NEVER)[0], i, whole + part[j]))
-            if h >= 0:
-                heapq.heappush(queue, (get(part[h] + whole, NEVER)[0], h, part[h] + whole))
-        return [p for p in part if p is not None]
+            for left, right in ((i, j), (h, i)):
+                if left >= 0 and right < n:
+                    before[right] = left
+                    p = part[left] * width + part[right]
+                    heapq.heappush(queue, (get(p, INF), left, p))
+        return [p for p in part if p is not gone]
 
     def chunks(self, text: bytes):
         """The chunks of a marked text, in blocks of about ``BLOCK`` bytes that end between two chunks."""
@@ -222,7 +252,7 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", keep: list[str] | N
         held = shared.value
         if "encoder" not in held:  # kept by the Python worker for its next tasks
             held["encoder"] = Encoder(held["model"])
-            held["table"] = Table(held["encoder"].segment, decimal)
+            held["table"] = Table(held["encoder"], decimal, b",")
         encoder, table = held["encoder"], held["table"]
 
         def work(texts, _):

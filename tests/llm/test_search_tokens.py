@@ -105,7 +105,7 @@ def test_pieces_in_blocks_with_a_small_table_and_by_queue(library, monkeypatch):
     monkeypatch.setattr(pieces, "TABLE", 3)
     monkeypatch.setattr(pieces, "SHORT", 1)
     encoder = pieces.Encoder(pieces.read_model(PIECES))
-    table = pieces.Table(encoder.segment, pieces.decimal)
+    table = pieces.Table(encoder, pieces.decimal, b",")
     for t in [t for t in ODD if t is not None and len(t) < 4000] + made_up(300, 5):
         assert encoder.encode(t.encode(), table, b",") == pieces.decimal(library.encode(t)), t
 
