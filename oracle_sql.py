@@ -711,6 +711,8 @@ def _metric_anomaly_sql(orders: str, flagged_only: bool) -> str:
             "(SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(day) AS lo, max(day) AS hi FROM d)) sp "
             "CROSS JOIN k LEFT JOIN d ON d.metric = k.metric AND d.day = sp.day)")
     tail = _anomaly_sql("SELECT 1", flagged_only).split("t AS (SELECT *", 1)[1].replace("metric, event_type", "metric")
+    for c in ("value", "trend", "seasonal", "residual"):
+        tail = tail.replace(f"round({c}, 6) AS {c}", f"CASE WHEN abs({c}) >= 1e5 THEN round({c} + 1e-7, 4) ELSE round({c}, 6) END AS {c}")
     return (f"WITH od AS ({orders}),\n" + ",\n".join(per) + f",\nk(metric, kind) AS (VALUES {kinds}),\nd AS ({' UNION ALL '.join(sums)}),\n{days},\n"
             f"t AS (SELECT *{tail}")
 
