@@ -152,6 +152,6 @@ def emit_rows(df: DataFrame, make: Callable[[], Callable], schema: str, columns:
         work = make()
         for b in slices(batches):
             for got in work(b):
-                yield pa.RecordBatch.from_arrays([pa.array(got[n], t) for n, t in kinds.items()], names=list(kinds))
+                yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], t) for n, t in kinds.items()], names=list(kinds))
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, out)

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
@@ -44,35 +45,82 @@ ANCHOR = 6
 SHARD_WORDS = 60_000
 #: Distinct segments of one anchor, beyond which its windows are settled by a group-by.
 ANCHOR_SEGMENTS = 1_500
-MEMORY = 500_000
+#: Bytes whose words are hashed at a time, and the length from which a word is hashed on its own.
+BLOCK, LONG_WORD = 1 << 20, 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """63-bit hash of a word, remembered."""
+class Splitter:
+    """Words of many texts at a time, as numbers: made once per task."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return got
+    def __init__(self):
+        self.is_word = np.ones(256, bool)
+        self.is_word[list(b" \t\n\x0b\x0c\r")] = False
+        # powers of an odd number and of its inverse modulo 2^64: a word's hash is a difference of prefix sums
+        self.power, self.back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(BLOCK, x, np.uint64))))
+                                 for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64)))
+
+    def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A hash of each word, and where it starts and ends in the text."""
+        buf = np.frombuffer(text, np.uint8)
+        inside = np.concatenate(([False], self.is_word[buf], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):  # some bytes at a time
+            lo = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, lo + BLOCK, "right")))
+            part = buf[lo:min(int(end[j - 1]), lo + BLOCK)].astype(np.uint64) + np.uint64(1)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * self.power[:len(part)])))
+            s, e = start[i:j] - lo, np.minimum(end[i:j] - lo, len(part))
+            out[i:j] = (sums[e] - sums[s]) * self.back[s]
+            i = j
+        for w in np.flatnonzero(end - start > LONG_WORD).tolist():
+            out[w] = xxhash.xxh3_64_intdigest(text[start[w]:end[w]])
+        return _mixed(out), start, end
+
+    def segments(self, texts: list[bytes], size: int = SIZE, k: int = ANCHOR) -> Segments:
+        """The segments of all texts, in order."""
+        joined = b"\n".join(texts)
+        h, start, end = self.words(joined)
+        border = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))  # the first word of each text
+        doc = np.repeat(np.arange(len(texts)), np.diff(border))
+        none = np.empty(0, np.int64)
+        n = len(h) - size + 1
+        if n < 1:
+            return Segments(joined, start, end, border, none, none, none, none)
+        grams = np.zeros(len(h) - k + 1, np.uint64)
+        for j in range(k):
+            grams = grams * _STEP + h[j:len(h) - k + 1 + j]
+        grams = _mixed(grams)
+        window = np.flatnonzero(doc[:n] == doc[size - 1:])  # those inside one text
+        at = (sliding_window_view(grams, size - k + 1).argmin(1) + np.arange(n))[window]  # the leftmost of equal hashes
+        first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)))) if len(window) else none
+        of = doc[window[first]]
+        return Segments(joined, start, end, border, of, grams[at[first]].view(np.int64), window[first] - border[of], np.diff(np.append(first, len(window))))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def segments(words: list[bytes], hashes: WordHashes, size: int = SIZE, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each segment of a text."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    w = np.array([hashes[x] for x in words], np.int64).view(np.uint64)
-    grams = np.zeros(len(w) - k + 1, np.uint64)
-    for j in range(k):
-        grams = grams * _STEP + w[j:len(w) - k + 1 + j]
-    grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(32)
-    at = sliding_window_view(grams, size - k + 1).argmin(1) + np.arange(n)  # the leftmost of equal hashes
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[first]].view(np.int64), first, np.diff(np.append(first, n))
+@dataclass
+class Segments:
+    text: bytes          # all texts, one per line or more
+    start: np.ndarray    # of each word in it
+    end: np.ndarray
+    border: np.ndarray   # the first word of each text
+    doc: np.ndarray      # of each segment: the number of its text, its anchor, first window and number of windows
+    anchor: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+    def content(self, i: int, size: int) -> bytes:
+        """The words of a segment, joined by single spaces."""
+        w = self.border[self.doc[i]] + self.first[i]
+        return b" ".join(self.text[self.start[w]:self.end[w + self.count[i] + size - 2]].split())
 
 
 class SuffixAutomaton:
@@ -200,22 +248,35 @@ def _explode_windows(size: int):
     return lambda: work
 
 
+def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``BLOCK`` bytes together."""
+    at = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= BLOCK or i == len(texts):
+            yield at, i
+            at, size = i, 0
+
+
 def _anchored(rows: DataFrame, size: int) -> DataFrame:
     """Per document: a 128-bit digest of its text, its number of words, the SHA-256 of its words joined by single
     spaces, and its segments' anchors and first windows; ``again`` marks anchors that occur twice in the text."""
 
     def make():
-        hashes = WordHashes()
+        splitter = Splitter()
+
+        def part(texts):
+            s = splitter.segments(texts, size)
+            # an anchor that is repeated in its text; the few that only seem so do no harm
+            _, back, counts = np.unique(s.anchor.view(np.uint64) + s.doc.astype(np.uint64) * _STEP, return_inverse=True, return_counts=True)
+            cuts = np.searchsorted(s.doc, np.arange(1, len(texts)))
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
+            return (digests[:, 0].tolist(), digests[:, 1].tolist(), np.diff(s.border).tolist(), [hashlib.sha256(b" ".join(t.split())).digest() for t in texts],
+                    *(np.split(x, cuts) for x in (s.anchor, s.first, (counts[back] > 1).astype(np.int32))))
 
         def work(texts, _):
-            out = []
-            for t in texts:
-                words = t.split()
-                a, first, _n = segments(words, hashes, size)
-                _, back, counts = np.unique(a, return_inverse=True, return_counts=True)
-                x = xxhash.xxh3_128_intdigest(t)
-                out.append((*_halves(x), len(words), hashlib.sha256(b" ".join(words)).digest(), a, first, (counts[back] > 1).astype(np.int32)))
-            return list(zip(*out, strict=True)) if out else [[]] * 7
+            parts = [part(texts[a:b]) for a, b in _groups(texts)]
+            return [[x for p in parts for x in p[i]] for i in range(7)]
 
         return work
 
@@ -224,11 +285,6 @@ def _anchored(rows: DataFrame, size: int) -> DataFrame:
     return map_texts(rows, make, fields, keep=["doc", "h"])
 
 
-def _halves(x: int) -> tuple[int, int]:
-    """A 128-bit number as two signed ones."""
-    return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
-
-
 @dataclass
 class Repeats:
     """What is repeated in a corpus, by document (``doc`` is its key, ``h`` a hash of its text)."""
@@ -281,24 +337,30 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str
     corpus = scratch.stage(map_texts(rows, pack, {"packed": "binary"}, keep=["doc", "h"]).join(flagged, ["doc", "h"]), "corpus")
 
     def take():
-        hashes, z = WordHashes(), zstandard.ZstdDecompressor()
+        splitter, z = Splitter(), zstandard.ZstdDecompressor()
 
         def work(b):
-            out = {"anchor": [], "ca": [], "cb": [], "content": [], "doc": [], "h": [], "start": [], "n": []}
-            for doc, h, p, starts in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "packed", "starts"))):
-                words = z.decompress(p).split()
-                a, first, count = segments(words, hashes, size)
-                own = set()
-                for i in np.flatnonzero(np.isin(first, starts)).tolist():
-                    start, n = int(first[i]), int(count[i])
-                    content = b" ".join(words[start:start + n + size - 1])
-                    x = xxhash.xxh3_128_intdigest(content)
-                    # a segment that stood in this text before is removed; its words need not be looked at again
-                    shown = None if x in own else content.decode()
-                    own.add(x)
-                    for name, v in zip(out, (int(a[i]), *_halves(x), shown, doc, h, start, n)):
-                        out[name].append(v)
-            yield out
+            texts = [z.decompress(p) for p in b.column("packed").to_pylist()]
+            for lo, hi in _groups(texts):
+                yield part(b.slice(lo, hi - lo), texts[lo:hi])
+
+        def part(b, texts):
+            s = splitter.segments(texts, size)
+            asked = b.column("starts")
+            rows = np.repeat(np.arange(b.num_rows), pc.list_value_length(asked).to_numpy())
+            on = np.flatnonzero(np.isin((s.doc << 40) + s.first, (rows << 40) + asked.flatten().to_numpy()))
+            contents = [s.content(i, size) for i in on.tolist()]
+            digests = [xxhash.xxh3_128_digest(c) for c in contents]
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            # a segment that stood in its text before is removed; its words need not be looked at again
+            seen: set[tuple[int, bytes]] = set()
+            for i, key in enumerate(zip(s.doc[on].tolist(), digests)):
+                if key in seen:
+                    contents[i] = None
+                seen.add(key)
+            of = pa.array(s.doc[on])
+            return {"anchor": s.anchor[on], "ca": halves[:, 0], "cb": halves[:, 1], "content": contents, "doc": b.column("doc").take(of), "h": b.column("h").take(of),
+                   "start": s.first[on], "n": s.count[on]}
 
         return work
 
