@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: With it, Spark deletes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Queries that write a table leave no shuffle files: nothing reads them again once the table is there."""
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+
+
 #: Blocks that delete all tables written inside them, the innermost last.
 _COLLECTING: list[Scratch] = []
 
@@ -45,7 +63,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with without_shuffle_files(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if _COLLECTING:
         _COLLECTING[-1].tables.append(out)
