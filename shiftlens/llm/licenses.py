@@ -1,10 +1,10 @@
 """License scan: a paragraph classifier over word n-grams, with templates to confirm what it says.
 
-Every line of a text is a paragraph, and is covered by overlapping windows of a bounded number of words, so
-that a notice within a long line stands whole in one of them. A sparse logistic regression over hashed words
+A paragraph ends at a blank line, so that a notice which is wrapped over lines stands in one. It is covered by overlapping windows of a
+bounded number of words, and each of its short lines is a window too. A sparse logistic regression over hashed words
 and word pairs gives each window a probability per licence family and for "no licence". A window that is
 probably a licence is given a family if the calibrated probability is high enough and a template of that
-family shares enough word pairs with it; a paragraph whose windows get none is ``unknown``.
+family shares enough word pairs with it; what is probably a licence and is given none is ``unknown``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.llm.common import map_texts
 
-DIMS = 1 << 13
+DIMS = 1 << 15
 NONE, UNKNOWN = "none", "unknown"
 #: Paragraphs of documents from which "no licence" is learned: at most so many documents, with up to so many characters.
 SAMPLE, SAMPLE_CHARS = 300, 20_000
@@ -29,11 +29,14 @@ MEMORY = 400_000
 #: Words of a window and from one window to the next: any WINDOW - STEP + 1 words (the longest template) stand in one.
 WINDOW, STEP = 24, 8
 
-#: Notices that state each licence family.
+#: Sentences and parts of them that state each licence family, of up to WINDOW - STEP + 1 words.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\")",
-                   "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
+                   "you may not use this file except in compliance with the License", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+                   "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions",
+            "Neither the name of the copyright holder nor the names of its contributors may be used",
             "Released under the BSD License.", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
               "SPDX-License-Identifier: CC-BY-4.0"],
@@ -41,11 +44,16 @@ TEMPLATES = {
                  "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
                  "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.",
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License",
+            "This program is free software: you can redistribute it and/or modify",
             "it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only"],
+    "lgpl": ["This work is licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License",
+             "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-3.0-only"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions",
             "This project is licensed under the MIT License", "SPDX-License-Identifier: MIT"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+            "If a copy of the MPL was not distributed with this file, You can obtain one", "SPDX-License-Identifier: MPL-2.0"],
     "public-domain": ["This work is released into the public domain.", "No rights reserved. CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
 }
 #: Licence notices of no family above, from which "unknown" is calibrated.
@@ -74,13 +82,35 @@ class _Words(dict):
         return got
 
 
-def paragraphs(text: bytes | None) -> list[list[bytes]]:
-    """Words of every line of the text that has any."""
-    return [w for line in (text or b"").translate(_TABLE).split(b"\n") if (w := line.split())]
+@dataclass
+class Paragraph:
+    words: list[bytes]
+    lines: list[int]    # the first word of each line, and the number of words
+
+    def windows(self) -> list[tuple[int, int]]:
+        """Start and end of the windows: those that cover the paragraph, and its lines that are no longer than one."""
+        own = [(a, b) for a, b in zip(self.lines, self.lines[1:]) if b - a <= WINDOW]
+        return sorted({*spans(len(self.words)), *own})
+
+
+def paragraphs(text: bytes | None) -> list[Paragraph]:
+    """The paragraphs of the text that have a word; a line without one ends a paragraph."""
+    out: list[Paragraph] = []
+    words: list[bytes] = []
+    lines = [0]
+    for line in [*(text or b"").translate(_TABLE).split(b"\n"), b""]:
+        own = line.split()
+        if own:
+            words += own
+            lines.append(len(words))
+        elif words:
+            out.append(Paragraph(words, lines))
+            words, lines = [], [0]
+    return out
 
 
 def spans(n: int) -> list[tuple[int, int]]:
-    """Start and end of the windows that cover a line of ``n`` words."""
+    """Start and end of the windows that cover ``n`` words."""
     return [(0, n)] if n <= WINDOW else [*((at, at + WINDOW) for at in range(0, n - WINDOW, STEP)), (n - WINDOW, n)]
 
 
@@ -91,12 +121,48 @@ def hashed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h * np.uint64(0xBF58476D1CE4E5B9)) >> shift, pair >> shift
 
 
-def grams(lines: list[list[bytes]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Dimension of each word and each pair of neighbours in a line, and the line of either."""
-    at = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    one, two = hashed(np.array([words[w] for line in lines for w in line], np.int64).view(np.uint64))
-    same = at[1:] == at[:-1]
-    return one, at, two[same], at[1:][same]
+@dataclass
+class Sparse:
+    """Rows of features (CSR): borders of the rows, dimensions, values."""
+
+    borders: np.ndarray
+    dims: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[list[bytes]], words: _Words) -> Sparse:
+        """Hashed words and word pairs of each row, of which none is empty; counts over the root of their number."""
+        dims, values = [], []
+        for r in rows:
+            at, n = np.unique(np.concatenate(hashed(np.array([words[w] for w in r], np.int64).view(np.uint64))).astype(np.int64), return_counts=True)
+            dims.append(at)
+            values.append(n / np.sqrt(n.sum()))
+        return cls(np.cumsum([0, *map(len, dims)]), np.concatenate([np.empty(0, np.int64), *dims]), np.concatenate([np.empty(0), *values]))
+
+    def rows(self, on: np.ndarray) -> Sparse:
+        many = np.diff(self.borders)
+        keep = np.repeat(on, many)
+        return Sparse(np.concatenate(([0], np.cumsum(many[on]))), self.dims[keep], self.values[keep])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        if len(self.borders) == 1:
+            return np.zeros((0, w.shape[1]))
+        return np.add.reduceat(self.values[:, None] * w[self.dims], self.borders[:-1])
+
+    def transposed(self):
+        """A function of a matrix with a row per row: the product of the transposed features with it, of DIMS rows."""
+        order = np.argsort(self.dims, kind="stable")
+        own, first = np.unique(self.dims[order], return_index=True)
+        row = np.repeat(np.arange(len(self.borders) - 1), np.diff(self.borders))[order]
+        values = self.values[order][:, None]
+
+        def product(d: np.ndarray) -> np.ndarray:
+            out = np.zeros((DIMS, d.shape[1]))
+            if len(own):
+                out[own] = np.add.reduceat(values * d[row], first)
+            return out
+
+        return product
 
 
 @dataclass
@@ -106,28 +172,32 @@ class Classifier:
     bias: np.ndarray
     temperature: float
     least: float            # smallest calibrated probability of a family
+    doubt: float = 0.5      # a window is probably a licence below this probability of none
 
-    def log_odds(self, lines: list[list[bytes]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-odds of every window of every line, the line of each window and its first word in the line."""
-        h = np.array([words[w] for line in lines for w in line], np.int64).view(np.uint64)
+    def log_odds(self, parts: list[Paragraph], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of every window, its paragraph, first and last word (exclusive) in it."""
+        h = np.array([words[w] for x in parts for w in x.words], np.int64).view(np.uint64)
         one, two = hashed(h)
-        base = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-        at = [(i, a, b) for i, x in enumerate(lines) for a, b in spans(len(x))]
-        line, start, end = np.array(at, np.int64).reshape(-1, 3).T
-        a, b = base[line] + start, base[line] + end
+        base = np.concatenate([[0], np.cumsum([len(x.words) for x in parts])]).astype(np.int64)
+        at = [(i, a, b) for i, x in enumerate(parts) for a, b in x.windows()]
+        of, start, end = np.array(at, np.int64).reshape(-1, 3).T
+        a, b = base[of] + start, base[of] + end
         size = np.sqrt(2 * (b - a) - 1)
-        z = np.empty((len(line), len(self.names)))
+        z = np.empty((len(of), len(self.names)))
         for k in range(len(self.names)):
             w = self.weights[:, k]
             of_one, of_two = np.concatenate([[0], np.cumsum(w[one])]), np.concatenate([[0], np.cumsum(w[two])])
             z[:, k] = (of_one[b] - of_one[a] + of_two[b - 1] - of_two[a]) / size + self.bias[k]
-        return z, line, start
+        return z, of, start, end
+
+    def probabilities(self, parts: list[Paragraph], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        z, of, start, end = self.log_odds(parts, words)
+        return softmax(z / self.temperature), of, start, end
+
 
-    def probabilities(self, lines: list[list[bytes]], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        z, line, start = self.log_odds(lines, words)
-        z /= self.temperature
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True), line, start
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
 def _pairs(words: list[bytes]) -> set:
@@ -148,14 +218,14 @@ def _matches(words: list[bytes], templates: list[tuple[int, set]], at: int) -> l
     return out
 
 
-def _apart(found: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """(start, family) of the matches of a line, in order; of those that overlap the one with the most pairs counts, so that a
+def _apart(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, family) of the matches of a paragraph, in order; of those that overlap the one with the most pairs counts, so that a
     notice that one window cuts off is known by the window that has it whole."""
     kept: list[tuple[int, int, str]] = []
     for _, a, b, family in sorted(found, key=lambda x: (-x[0], x[1:])):
         if all(b <= c or d <= a for c, d, _ in kept):
             kept.append((a, b, family))
-    return [(a, family) for a, _, family in sorted(kept)]
+    return sorted(kept)
 
 
 def _variants(rng: random.Random, notice: str, filler: list[list[bytes]], n: int) -> list[list[bytes]]:
@@ -172,63 +242,64 @@ def _variants(rng: random.Random, notice: str, filler: list[list[bytes]], n: int
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Classifier:
-    """Train on the templates and on lines of a bounded sample of ``docs`` without the words licence and license.
+    """Train on the templates and on windows of a bounded sample of ``docs`` without the words licence and license.
 
-    An empty table is learned from as well: only the templates and a fixed filler count then.
+    The temperature comes from templates that a model of the other templates has not seen. An empty table is learned from as
+    well: only the templates and a fixed filler count then.
     """
     n = max(1, docs.count())
     share = int(min(1.0, sample / n) * (1 << 20))
     usable = docs.filter((F.length(text) <= SAMPLE_CHARS) & F.col(key).isNotNull())
-    got = usable.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(F.col(text).alias("t")).limit(2 * sample).collect()
-    lines = sorted(x[a:b] for r in got for x in paragraphs(r["t"].encode()) for a, b in spans(len(x)))
-    plain = [x for x in lines if not any(b"licen" in w or w in (b"reserved", b"copyright", b"spdx") for w in x)]
+    # by the smallest hashes of key and text, so that the sample does not depend on the tasks
+    got = usable.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h")) \
+        .orderBy("h", "t").limit(2 * sample).collect()
+    cut = sorted(x.words[a:b] for r in got for x in paragraphs(r["t"].encode()) for a, b in x.windows())
+    plain = [x for x in cut if not any(b"licen" in w or w in (b"reserved", b"copyright", b"spdx") for w in x)]
     rng = random.Random(5)
-    plain = rng.sample(plain, min(len(plain), 2_000)) + [w for x in PLAIN for w in paragraphs(x.encode())]
+    plain = rng.sample(plain, min(len(plain), 2_000)) + [x.words for t in PLAIN for x in paragraphs(t.encode())]
     filler = list(plain)
     # also short lines and words said over and over, which windows of the sample seldom are
     for x in rng.sample(plain, min(len(plain), 400)):
         at = rng.randrange(len(x))
         plain += [x[at:at + rng.randrange(1, 5)], [x[at]] * rng.randrange(2, WINDOW + 1)]
     names = [NONE, *TEMPLATES]
-    rows, labels = list(plain), [0] * len(plain)
+    rows, labels, part = list(plain), [0] * len(plain), [i % 2 for i in range(len(plain))]
     for k, family in enumerate(TEMPLATES, 1):
-        for notice in TEMPLATES[family]:
+        for i, notice in enumerate(TEMPLATES[family]):
             v = _variants(rng, notice, filler, 40)
             rows += v
             labels += [k] * len(v)
-    y = np.array(labels)
+            part += [i % 2] * len(v)
+    y, half = np.array(labels), np.array(part)
     held = np.array([rng.random() < 0.2 for _ in rows])
     words = _Words()
-    x = np.zeros((len(rows), DIMS), np.float32)
-    one, at, two, at2 = grams(rows, words)
-    np.add.at(x, (at, one.astype(int)), 1)
-    np.add.at(x, (at2, two.astype(int)), 1)
-    x /= np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
-    w, b = _regress(x[~held], y[~held], len(names))
-    z = x[held] @ w + b
-    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: _loss(z / t, y[held])) if held.any() else 1.0
-    model = Classifier(names, w.astype(np.float64), b.astype(np.float64), temperature, 0.0)
+    x = Sparse.of(rows, words)
+    w, b = _regress(x.rows(half == 0), y[half == 0], len(names))
+    z = x.rows(half == 1).times(w) + b
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=lambda t: _loss(z / t, y[half == 1])) if (half == 1).any() else 1.0
+    w, b = _regress(x.rows(~held), y[~held], len(names))
+    model = Classifier(names, w, b, temperature, 0.0)
     # a family must be surer than 99 of 100 notices of no family, but no surer than 98 of 100 of its own
-    other = [v for notice in OTHER_NOTICES for v in _variants(rng, notice, filler, 40)]
-    strangers = model.probabilities(other, words)[0][:, 1:].max(1)
-    own = model.probabilities([r for r, h, k in zip(rows, held, y) if h and k], words)[0][:, 1:].max(1)
+    other = Sparse.of([v for notice in OTHER_NOTICES for v in _variants(rng, notice, filler, 40)], words)
+    strangers, own = (softmax((r.times(w) + b) / temperature)[:, 1:].max(1) for r in (other, x.rows(held & (y > 0))))
     model.least = float(min(np.quantile(strangers, 0.99), np.quantile(own, 0.02))) if len(own) else 0.5
+    # of 200 held-out windows without a licence one may look like one
+    calm = softmax((x.rows(held & (y == 0)).times(w) + b) / temperature)[:, 0]
+    model.doubt = float(np.clip(np.quantile(calm, 0.005), 0.2, 0.5)) if len(calm) else 0.5
     return model
 
 
-def _regress(x: np.ndarray, y: np.ndarray, k: int, steps: int = 150, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _regress(x: Sparse, y: np.ndarray, k: int, steps: int = 150, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by full-batch Adagrad."""
-    w, b = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
+    w, b = np.zeros((DIMS, k)), np.zeros(k)
     gw, gb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
-    one = np.eye(k, dtype=np.float32)[y]
+    one, back = np.eye(k)[y], x.transposed()
     # the words around a notice stand in all families, so "none" (0) weighs as much as these together
-    weight = (1 / np.bincount(y, minlength=k).clip(min=1) * np.where(np.arange(k) == 0, k - 1, 1))[y][:, None].astype(np.float32)
-    weight *= len(y) / weight.sum() / len(y)
+    weight = (1 / np.bincount(y, minlength=k).clip(min=1) * np.where(np.arange(k) == 0, k - 1, 1))[y][:, None]
+    weight /= weight.sum()
     for _ in range(steps):
-        z = x @ w + b
-        e = np.exp(z - z.max(1, keepdims=True))
-        d = (e / e.sum(1, keepdims=True) - one) * weight
-        g, h = x.T @ d + l2 * w, d.sum(0)
+        d = (softmax(x.times(w) + b) - one) * weight
+        g, h = back(d) + l2 * w, d.sum(0)
         gw += g ** 2
         gb += h ** 2
         w -= rate * g / np.sqrt(gw)
@@ -242,40 +313,50 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def scan(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``license`` (the family of its first confirmed paragraph; ``unknown`` if it only has notices of no
-    known family; null without any), ``n_licensed`` and ``n_unknown`` (paragraphs) and ``score`` (the largest
-    calibrated probability of a licence over the windows of the paragraphs).
+    """``docs`` with ``license`` (the family of its first confirmed notice; ``unknown`` if it only has notices of no
+    known family; null without any), ``licenses`` (all its families, sorted) with ``license_counts`` (notices of each), ``n_licensed`` and
+    ``n_unknown`` (notices) and ``score`` (the largest calibrated probability of a licence over the windows).
 
-    Every window of every line of the whole text is scored. A null text and one without words have no paragraph: null, 0, 0, 0.0.
+    Every window of the whole text is scored. A null text and one without words have none: null, empty lists, 0, 0, 0.0. An input column
+    named like an output is replaced; repeated rows are scanned each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias, model.temperature, model.least, TEMPLATES))
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias, model.temperature, model.least, model.doubt, TEMPLATES))
 
     def make():
-        names, weights, bias, temperature, least, templates = shared.value
-        m, words = Classifier(names, weights, bias, temperature, least), _Words()
+        names, weights, bias, temperature, least, doubt, templates = shared.value
+        m, words = Classifier(names, weights, bias, temperature, least, doubt), _Words()
         known = {f: [(len(w), _pairs(w)) for w in (t.encode().translate(_TABLE).split() for t in ts)] for f, ts in templates.items()}
 
         def judge(t):
-            lines = paragraphs(t)
-            if not lines:
-                return None, 0, 0, 0.0
-            p, line, start = m.probabilities(lines, words)
+            parts = paragraphs(t)
+            if not parts:
+                return None, [], [], 0, 0, 0.0
+            p, of, start, end = m.probabilities(parts, words)
+            likely = np.flatnonzero(p[:, 0] < doubt)
             found: dict[int, list[tuple[int, int, int, str]]] = {}
-            for i in np.flatnonzero(p[:, 0] < 0.5):
-                confirmed = found.setdefault(int(line[i]), [])
+            for i in likely.tolist():
                 best = 1 + int(p[i, 1:].argmax())
                 if p[i, best] >= least:
-                    window = lines[line[i]][start[i]:start[i] + WINDOW]
-                    confirmed += [(*x, names[best]) for x in _matches(window, known[names[best]], int(start[i]))]
-            first = next((_apart(x)[0][1] for x in found.values() if x), None)
-            sure = sum(map(bool, found.values()))
-            unsure = len(found) - sure
-            return first or (UNKNOWN if unsure else None), sure, unsure, float(1 - p[:, 0].min())
+                    window = parts[of[i]].words[start[i]:end[i]]
+                    found.setdefault(int(of[i]), []).extend((*x, names[best]) for x in _matches(window, known[names[best]], int(start[i])))
+            sure = {q: _apart(x) for q, x in sorted(found.items()) if x}
+            # windows without a confirmed notice; those that touch are one
+            unsure, reach = 0, (-1, -1)
+            for i in likely.tolist():
+                q, a, b = int(of[i]), int(start[i]), int(end[i])
+                if all(b <= c or d <= a for c, d, _ in sure.get(q, ())):
+                    unsure += (q, a) > reach
+                    reach = max(reach, (q, b))
+            families = [f for x in sure.values() for _, _, f in x]
+            distinct = sorted(set(families))
+            return (families[0] if families else UNKNOWN if unsure else None, distinct, [families.count(f) for f in distinct], len(families), unsure,
+                    float(1 - p[:, 0].min()))
 
         def work(texts, _):
             rows = [judge(t) for t in texts]
-            return list(zip(*rows, strict=True)) if rows else [[]] * 4
+            return list(zip(*rows, strict=True)) if rows else [[]] * 6
 
         return work
 
-    return map_texts(docs, make, {"license": "string", "n_licensed": "bigint", "n_unknown": "bigint", "score": "double"}, text, keep)
+    return map_texts(docs, make, {"license": "string", "licenses": "array<string>", "license_counts": "array<bigint>", "n_licensed": "bigint",
+                                  "n_unknown": "bigint", "score": "double"}, text, keep)

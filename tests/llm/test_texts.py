@@ -47,11 +47,21 @@ def test_language_of_odd_texts(spark, odd):
     for r in got:
         letters = r.text is not None and any(c.isalpha() for c in r.text)
         assert (r.lang_pred == "und") == (not letters) and (letters or (r.rejected and r.score == 0))
+    numbers = spark.createDataFrame([(1, "\u00bd \u00b2 \u00b3"), (2, "\u2167"), (3, "12_34"), (4, "\u00bd a")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(numbers, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
     nothing = langid.fit(odd.filter("lang is null"))
     assert {(r.lang_pred, r.rejected) for r in langid.predict(odd, nothing).collect()} == {("und", True)}
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_many_label_values_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 6)
+    rows = [(i, f"text number {i} of language {i % 40}", f"l{min(i % 40, 5):02d}") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.names) == {"l00", "l01", "l05"}  # the most frequent, then by name
+
+
 # ---- quality -------------------------------------------------------------------------------------
 def area(scores, labels):
     order = np.argsort(np.argsort(scores))
@@ -149,6 +159,10 @@ def test_decontamination_matches_a_plain_version(spark):
     items = [(r.item_id, r.text) for r in bench.collect()] + [(900, "the"), (901, ""), (902, None), (903, "The, Of\u00e9")]
     more = spark.createDataFrame(items, "item_id long, text string")
     want = brute.decontaminated(rows, items)
+    commas = [(f"x{i},y{i}", items[i][1]) for i in range(12)]
+    named = spark.createDataFrame(commas, "item_id string, text string")
+    counts = [sorted(map(tuple, decontam.decontaminate(docs, named, shard_bytes=b).select("doc_id", "n_hit", "n_items", "item_ids").collect())) for b in (1 << 24, 500)]
+    assert counts[0] == counts[1] and max(r[2] for r in counts[0]) <= 12
     for shard in (1 << 24, 700):  # one automaton, and several in turn
         for r in decontam.decontaminate(docs, more, shard_bytes=shard).collect():
             assert (r.n_words, r.n_hit, r.item_ids.split(",") if r.item_ids else []) == want[r.doc_id]
@@ -168,6 +182,14 @@ def test_decontamination_offsets_and_odd_texts(spark, odd):
     assert decontam.decontaminate(odd.limit(0), item).count() == 0
 
 
+def test_the_automaton_has_a_node_per_word():
+    """A mebibyte of item text: nodes stay below the bound that SHARD_BYTES is set by."""
+    words = [f"word{i % 5000}" for i in range(20_000)]
+    a, symbols = decontam.automaton([("1", " ".join(words).encode())], 10)
+    assert len(symbols) == 5000 and a.get_stats()["nodes_count"] <= 10 * len(words) + 1
+    assert decontam.scan(a, symbols, [b"x", *[w.encode() for w in words[7:20]], b"y"])[0] == [(1, 14)]
+
+
 # ---- BPE -----------------------------------------------------------------------------------------
 def test_bpe_matches_the_tokenizers_library(spark, odd):
     from tokenizers import Tokenizer
@@ -261,7 +283,7 @@ def test_licences_inside_long_lines(spark):
     plain = " ".join(t for _, t in rows if "icense" not in (t or "")).split()
     rng = np.random.default_rng(6)
     around = lambda n: " ".join(plain[at:at + n]) if (at := int(rng.integers(0, len(plain) - n))) >= 0 else ""
-    assert max(len(w) for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.paragraphs(t.encode())) <= licenses.WINDOW - licenses.STEP + 1
+    assert max(len(w) for ts in licenses.TEMPLATES.values() for t in ts for w in [licenses.paragraphs(t.encode())[0].words]) <= licenses.WINDOW - licenses.STEP + 1
     texts, want = [], []
     for family, notices in licenses.TEMPLATES.items():
         for notice in notices:
@@ -275,6 +297,35 @@ def test_licences_inside_long_lines(spark):
     assert sum(got[i + len(texts)]["license"] is not None for i in range(len(bare))) <= 1
 
 
+def test_wrapped_and_mixed_notices(spark):
+    docs, _ = docs_of(spark, SF)
+    model = licenses.fit(docs.select("doc_id", "text"))
+    bsd = "Redistribution and use in source and binary\nforms, with or without modification,\nare permitted provided that"
+    mpl = "/* This Source Code Form is subject to\n * the terms of the Mozilla\n * Public License, v. 2.0. */"
+    mit = "Permission is hereby granted, free of\ncharge, to any person obtaining\na copy of this software"
+    gpl = "# This program is free software: you can redistribute\n# it and/or modify"
+    cases = [(bsd, ["bsd"]), (mpl, ["mpl"]), (mit, ["mit"]), (gpl, ["gpl"]), ("GNU LESSER GENERAL PUBLIC LICENSE", ["lgpl"]),
+             ("Released under the MIT License.\n\nsome words about the work in between\n\nLicensed under CC BY-NC 4.0.", ["cc-by-nc", "mit"]),
+             ("Released under the MIT License. " + "and so on " * 12 + "\n\n" + "Released under the MIT License.", ["mit"]),
+             ("the house by the river\nwas old and nobody lived there", [])]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model))
+    assert [got[i]["licenses"] for i in range(len(cases))] == [f for _, f in cases]
+    assert got[5]["license"] == "mit" and got[5]["license_counts"] == [1, 1] and got[6]["n_licensed"] == 2 and got[6]["license_counts"] == [2]
+
+
+def test_sparse_features_equal_dense_ones():
+    rng = np.random.default_rng(3)
+    rows = [[b"w%d" % i for i in rng.integers(0, 9, rng.integers(1, 12))] for _ in range(20)]
+    x = licenses.Sparse.of(rows, licenses._Words())
+    dense = np.zeros((20, licenses.DIMS))
+    dense[np.repeat(np.arange(20), np.diff(x.borders)), x.dims] = x.values
+    w, d = rng.random((licenses.DIMS, 3)), rng.random((20, 3))
+    assert np.allclose(x.times(w), dense @ w) and np.allclose(x.transposed()(d), dense.T @ d)
+    on = rng.random(20) < 0.5
+    assert np.allclose(x.rows(on).times(w), dense[on] @ w)
+
+
 def test_windows_cover_every_line():
     for n in range(1, 200):
         w = licenses.spans(n)
