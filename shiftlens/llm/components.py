@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from shiftlens.llm.common import Scratch, stage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# The smallest neighbour of every vertex is written before it is joined to the edges: then adaptive execution can split the
+# edges of a vertex that has very many.
+def _large_star(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """Every larger neighbour of a vertex is tied to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    low = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+    low = scratch.stage(both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low")), label)
     return both.filter("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """A vertex and its smaller neighbours are tied to the smallest of them. Edges run from large to small."""
-    low = edges.groupBy("src").agg(F.min("dst").alias("low"))
+    low = scratch.stage(edges.groupBy("src").agg(F.min("dst").alias("low")), label)
     moved = edges.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return moved.filter("src <> dst").unionByName(low.withColumnRenamed("low", "dst")).distinct()
 
@@ -42,7 +44,8 @@ def _rounds(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
                   .filter("src <> dst").distinct(), label)
     now = _print(edges)
     while now[0]:
-        edges = scratch.stage(_small_star(_large_star(edges)), label)
+        large = scratch.stage(_large_star(edges, scratch, label), label)
+        edges = scratch.stage(_small_star(large, scratch, label), label)
         before, now = now, _print(edges)
         if now == before:
             break
