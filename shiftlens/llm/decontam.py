@@ -50,11 +50,9 @@ class Symbols(dict):
         if len(self) < len(words):
             raise ValueError("more different words than symbols: use a smaller shard_bytes")
 
-    def __missing__(self, word: bytes) -> str:
-        return chr(_FIRST)
-
     def line(self, words: list[bytes]) -> str:
-        return "".join(map(self.__getitem__, words))
+        get, other = self.get, chr(_FIRST)
+        return "".join([get(w, other) for w in words])
 
 
 def automaton(items: list[tuple[str, bytes]], size: int) -> tuple[ahocorasick.Automaton | None, Symbols]:
