@@ -46,7 +46,7 @@ SHARD_WORDS = 60_000
 #: Distinct segments of one anchor, beyond which its windows are settled by a group-by.
 ANCHOR_SEGMENTS = 1_500
 #: Bytes whose words are hashed at a time, and the length from which a word is hashed on its own.
-BLOCK, LONG_WORD = 1 << 20, 64
+BLOCK, LONG_WORD = 1 << 18, 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
