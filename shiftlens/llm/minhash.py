@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import Scratch, map_texts, raw_texts, stage
+from shiftlens.llm.common import Scratch, map_texts, raw_texts, release, stage
 from shiftlens.llm.components import connected_components
 
 SHINGLE = 5
@@ -34,7 +34,7 @@ LEAST_EQUAL = 86
 #: Texts, and shingles, in a block of a bucket or group.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Words whose hash is remembered in a task.
-MEMORY = 500_000
+MEMORY = 200_000
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,6 +179,7 @@ def _edges(kind: str, find):
                 yield pa.RecordBatch.from_arrays([pa.array(src, arrow), pa.array(dst, arrow)], names=["src", "dst"])
                 src, dst = [], []
         yield pa.RecordBatch.from_arrays([pa.array(src, arrow), pa.array(dst, arrow)], names=["src", "dst"])
+        release()
 
     return run
 
