@@ -1,11 +1,12 @@
 """Language-model scoring with class-based bigrams.
 
 P(word | word before) = P(class | class before) x P(word | class). The classes come from exchange clustering of
-the most frequent words; the next most frequent ones join the class that explains their neighbours best, and
-every other word, seen or not, goes by its ending. All counts are over the whole training corpus.
+the most frequent words. Every other word seen in training joins the class that explains its neighbours best: the neighbours
+of each word are counted once, grouped by word, and words are placed in rounds, each by the classes of the round
+before. Words never seen go by their endings. All counts are over the whole training corpus.
 
-Counts of the most frequent words are broadcast (a bounded number); a text's other words are looked up by
-a join with the vocabulary.
+The most frequent words and their classes are broadcast (a bounded number); a text's other words are looked up by
+a join with the vocabulary. As neighbours of others, those others count as one class of their own while words are placed.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shiftlens.llm.common import map_texts, raw_texts, slices, stage
+from shiftlens.llm.common import map_texts, raw_texts, release, slices, stage
 
 CLASSES = 48
 #: Words that are clustered by exchange, words that are then added one by one, and words whose counts are broadcast.
@@ -26,6 +29,8 @@ CORE, MIDDLE, HOT = 512, 10_000, 100_000
 #: Longer words are never broadcast.
 HOT_BYTES = 64
 ROUNDS = 12
+#: Rounds in which words outside the core are placed at most, and the share of their occurrences that may move in the last one.
+PLACE_ROUNDS, STABLE = 4, 0.01
 #: Added to the counts of words and of class transitions.
 WORD_ADD, CLASS_ADD = 0.5, 0.1
 FLUSH = 250_000
@@ -96,25 +101,6 @@ def _counted(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
 
-def _pair_counts(texts: DataFrame, shared, code_of, size: int) -> np.ndarray:
-    """Sums over all texts of codes below ``size``; a task sends one row per code that it met."""
-
-    def run(batches):
-        code = code_of(shared.value)
-        total = np.zeros(size, np.int64)
-        for b in slices(batches):
-            held = [c for t in raw_texts(b.column("text")) for c in code(words_of(t))]
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=size)
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["code", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size)
-    out[rows["code"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -159,47 +145,237 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return own[:n]
 
 
-def _core_codes(core: int):
-    size = core + 2
+def contexts(texts: DataFrame, listed: list[bytes], core: int) -> DataFrame:
+    """(word, id, next, codes, counts): what stands beside each word of ``texts``.text, and how often.
 
-    def code_of(words: list[bytes]):
-        ids = {w: i for i, w in enumerate(words)}
+    A code is twice a listed word's number, plus one for a neighbour on the right; ``len(listed)`` is the end of a text (the word
+    b"" here) and the number behind it any unlisted word, as is an id. The first ``core`` words and the end have their right
+    neighbours among themselves and unlisted neighbours only; the other words have the rest. ``next`` is null but in rows
+    that count two unlisted words side by side. A task adds its own counts up first; a word's rows are added up where they meet,
+    and what is listed per word is bounded by twice the listed words.
+    """
+    n = len(listed)
+    end, rare = n, n + 1
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
+
+    def count(batches):
+        ids = Numbers(shared.value)
+        names = [*shared.value, b"", None]
+        parts, pairs, held = [], [], 0
+
+        def rows():
+            word_of = [*names, *ids.unlisted]
+            key, many = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
+            word = key // (2 * rare + 2)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(key) else np.empty(0, np.int64)
+            which, borders = word[first], pa.array(np.append(first, len(key)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([word_of[w] for w in which.tolist()], pa.binary()), pa.array(np.minimum(which, rare).astype(np.int32)), pa.nulls(len(which), pa.binary()),
+                 pa.ListArray.from_arrays(borders, pa.array((key % (2 * rare + 2)).astype(np.int32))), pa.ListArray.from_arrays(borders, pa.array(many.astype(np.int64)))],
+                names=CONTEXT)
+            x, y = np.concatenate([np.empty((2, 0), np.int64), *pairs], 1)
+            key, many = np.unique(x * len(word_of) + y, return_counts=True)
+            one = pa.array(np.arange(len(key) + 1, dtype=np.int32))
+            x, y = (pa.array([word_of[w] for w in side.tolist()], pa.binary()) for side in (key // len(word_of), key % len(word_of)))
+            yield pa.RecordBatch.from_arrays(
+                [x, pa.array(np.full(len(key), rare, np.int32)), y, pa.ListArray.from_arrays(one, pa.array(np.zeros(len(key), np.int32))),
+                 pa.ListArray.from_arrays(one, pa.array(many.astype(np.int64)))], names=CONTEXT)
+
+        for b in slices(batches):
+            number = ids.__getitem__
+            tokens = [end]
+            for t in raw_texts(b.column("text")):
+                tokens += map(number, words_of(t))
+                tokens.append(end)
+            if b.num_rows:
+                a = np.array(tokens, np.int64)
+                near, top = np.minimum(a, rare), (a < core) | (a == end)
+                x, y = a[:-1], a[1:]
+                right, left = ~top[:-1] | top[1:] | (y > end), ~top[1:] | (x > end)
+                parts += [x[right] * (2 * rare + 2) + near[1:][right] * 2 + 1, y[left] * (2 * rare + 2) + near[:-1][left] * 2]
+                both = (x > end) & (y > end)
+                pairs.append(np.stack((x[both], y[both])))
+                held += len(parts[-1]) + len(parts[-2])
+            if held > 16 * FLUSH:
+                yield from rows()
+                ids.forget()
+                parts, pairs, held = [], [], 0
+        yield from rows()
+        release()
+
+    def add_up(batches):
+        late = None  # the last word's rows: more may come
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if late is not None:
+                t = pa.concat_tables([pa.Table.from_batches([late]).cast(b.schema), t]).combine_chunks()
+            new = np.zeros(max(0, t.num_rows - 1), bool)
+            for c in ("word", "next"):
+                x = pc.fill_null(t.column(c), b"")  # no word
+                new |= pc.not_equal(x.slice(1), x.slice(0, len(new))).to_numpy()
+            if t.num_rows:
+                first = [0, *(np.flatnonzero(new) + 1).tolist()]
+                yield _added(t.slice(0, first[-1]), first[:-1], 2 * rare + 2)
+                late = _added(t.slice(first[-1]), [0], 2 * rare + 2)
+        if late is not None:
+            yield late
+        release()
 
-        def code(tokens):
-            a = np.array([core + 1, *[ids.get(w, core) for w in tokens], core + 1])
-            return (a[:-1] * size + a[1:],)
+    raw = texts.select("text").mapInArrow(count, CONTEXT_SCHEMA).repartition("word").sortWithinPartitions("word", "next")
+    return stage(raw.mapInArrow(add_up, CONTEXT_SCHEMA), "contexts")
 
-        return code
 
-    return code_of
+CONTEXT = ["word", "id", "next", "codes", "counts"]
+CONTEXT_SCHEMA = "word binary, id int, next binary, codes array<int>, counts array<bigint>"
 
 
-def _middle_codes(core: int, middle: int, classes: int):
-    total = classes + 2
+class Numbers(dict):
+    """Numbers of listed words, and numbers given to others as they come."""
+
+    def __init__(self, listed: list[bytes]):
+        super().__init__(zip(listed, range(len(listed))))
+        self.free, self.unlisted = len(listed) + 2, []
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = self.free + len(self.unlisted)
+        self.unlisted.append(word)
+        return got
+
+    def forget(self) -> None:
+        for word in self.unlisted:
+            del self[word]
+        self.unlisted = []
+
+
+def _entries(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of all entries of some rows of ``contexts``."""
+    codes, counts = (pc.list_flatten(rows.column(c)) for c in ("codes", "counts"))
+    many = pc.list_value_length(rows.column("codes")).to_numpy()
+    return np.repeat(np.arange(rows.num_rows), many), codes.to_numpy(), counts.to_numpy()
+
+
+def _added(rows: pa.Table, first: list[int], width: int) -> pa.RecordBatch:
+    """Rows of equal words, which begin at ``first``, made one each."""
+    row, codes, counts = _entries(rows)
+    group = np.searchsorted(first, row, "right") - 1
+    key, back = np.unique(group * width + codes, return_inverse=True)
+    sums = np.zeros(len(key), np.int64)
+    np.add.at(sums, back, counts)
+    borders = pa.array(np.searchsorted(key, np.arange(len(first) + 1) * width).astype(np.int32))
+    heads = [rows.column(c).combine_chunks().take(pa.array(first, pa.int64())) for c in ("word", "id", "next")]
+    return pa.RecordBatch.from_arrays([*heads, pa.ListArray.from_arrays(borders, pa.array((key % width).astype(np.int32))),
+                                       pa.ListArray.from_arrays(borders, pa.array(sums))], names=CONTEXT)
+
+
+@dataclass
+class Placing:
+    """What tells a word's class by its neighbours.
+
+    ``of`` is the class of every listed word, then that of the end and that of all unlisted words; a class of
+    ``classes`` is not known yet. ``table`` counts class bigrams."""
+
+    of: np.ndarray
+    table: np.ndarray | None
+    classes: int
+    endings: dict[bytes, int] | None = None  # if given, unlisted words go by them
+
+    def __post_init__(self):
+        self.total, k = self.classes + 2, self.classes
+        if self.table is None:
+            return
+        self.forward = np.log((self.table + CLASS_ADD) / (self.table + CLASS_ADD).sum(1, keepdims=True))
+        self.size = self.table.sum(0)[:k]
+
+    def best(self, rows) -> np.ndarray:
+        """The class that explains each row's neighbours best."""
+        row, codes, counts = _entries(rows)
+        cell = (row * 2 + (codes & 1)) * self.total + self.of[codes >> 1]
+        near = np.bincount(cell, counts, rows.num_rows * 2 * self.total).reshape(-1, 2, self.total)
+        k = self.classes
+        fit = near[:, 0] @ self.forward[:, :k] + near[:, 1] @ self.forward[:k].T - near[:, 0].sum(1, keepdims=True) * np.log(np.maximum(self.size, 1))
+        fit[:, self.size <= 0] = -np.inf
+        return fit.argmax(1)
+
+    def own(self, rows) -> np.ndarray:
+        """The class of each row's word: as listed, or, for an unlisted word, told now."""
+        number = rows.column("id").to_numpy()
+        out, other = self.of[number], number == len(self.of) - 1
+        if other.any():
+            if self.endings is None:
+                out[other] = self.best(rows.filter(pa.array(other)))
+            else:
+                out[other] = [by_ending(w, self.endings) for w in rows.column("word").filter(pa.array(other)).to_pylist()]
+        return out
+
+    def bigrams(self, rows, core: int, unlisted: bool) -> np.ndarray:
+        """Counts of class bigrams, each taken from one of its two words. With ``unlisted`` the rows and classes of unlisted
+        words count; without, they are of no known class. Two of them side by side are left out."""
+        end, rare = len(self.of) - 2, len(self.of) - 1
+        number = rows.column("id").to_numpy()
+        k = self.own(rows) if unlisted else self.of[number]
+        row, codes, counts = _entries(rows)
+        near, right, of_rare = codes >> 1, (codes & 1) == 1, number[row] == rare
+        # two listed words outside the core are counted by the left one; a listed and an unlisted one by the latter, if its row is there
+        use = np.where(near == rare, not unlisted, right | of_rare | (near < core) | (near == end))
+        a, b = np.where(right, k[row], self.of[near]), np.where(right, self.of[near], k[row])
+        return np.bincount((a * self.total + b)[use], counts[use], self.total ** 2).astype(np.int64)
+
+
+def _bigram_counts(beside: DataFrame, placing: Placing, core: int, total: int | None = None) -> np.ndarray:
+    """Class bigrams of all rows but those of two unlisted words; given their ``total``, of listed words' rows and of all bigrams."""
+    shared = beside.sparkSession.sparkContext.broadcast(placing)
+
+    def run(batches):
+        held, out = shared.value, 0
+        for b in slices(batches):
+            out = out + held.bigrams(b, core, total is None)
+        on = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(np.atleast_1d(out)[on], pa.int64())], names=["code", "n"])
+
+    rows = beside.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(placing.total ** 2)
+    out[rows["code"].to_numpy()] = rows["n"].to_numpy()
+    out = out.reshape(placing.total, placing.total)
+    if total is not None:
+        out[placing.classes, placing.classes] += total - out.sum()
+    return out
 
-    def code_of(held):
-        words, own = held
-        ids = {w: i for i, w in enumerate(words)}  # core words first
-        table = np.concatenate([own, np.full(middle + 1, classes), [classes + 1]])
-        last = len(table) - 1
 
-        def code(tokens):
-            a = np.array([last, *[ids.get(w, last - 1) for w in tokens], last])
-            k, m = table[a], a - core
-            on = (m >= 0) & (m < middle)
-            i = np.flatnonzero(on)
-            return ((m[i] * 2) * total + k[i - 1], (m[i] * 2 + 1) * total + k[i + 1]) if len(i) else ()
+def _best_of_listed(beside: DataFrame, placing: Placing, core: int, upto: int) -> np.ndarray:
+    """Classes by their neighbours of the listed words from number ``core`` up to ``upto``."""
+    shared = beside.sparkSession.sparkContext.broadcast(placing)
+
+    def run(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(shared.value.best(b), pa.int32())], names=["id", "k"])
 
-        return code
+    got = beside.filter((F.col("id") >= core) & (F.col("id") < upto)).mapInArrow(run, "id int, k int").toPandas()
+    out = placing.of[core:upto].copy()
+    out[got["id"].to_numpy() - core] = got["k"].to_numpy()
+    return out
+
+
+def _placed(beside: DataFrame, placing: Placing) -> DataFrame:
+    """(word, n, k) of all words that have all their right neighbours in ``beside``: those outside the core."""
+    shared = beside.sparkSession.sparkContext.broadcast(placing)
+
+    def run(batches):
+        for b in slices(batches):
+            row, codes, counts = _entries(b)
+            on = (codes & 1) == 1
+            n = np.bincount(row[on], counts[on], b.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(n), pa.array(shared.value.own(b), pa.int64())], names=["word", "n", "k"])
 
-    return code_of
+    return beside.mapInArrow(run, "word binary, n bigint, k bigint")
 
 
-def train(texts: DataFrame, classes: int = CLASSES, core: int = CORE, middle: int = MIDDLE, hot: int = HOT) -> tuple[Model, DataFrame]:
-    """The model and the vocabulary (word, n), from all rows of ``texts``.text; nulls count as empty texts.
+def train(texts: DataFrame, classes: int = CLASSES, core: int = CORE, middle: int = MIDDLE, hot: int = HOT,
+          place_all: bool = False) -> tuple[Model, DataFrame]:
+    """The model and the vocabulary (word, n, k: its class), from all rows of ``texts``.text; nulls count as empty texts.
 
-    Four passes over the texts. To the driver come: the ``hot`` most frequent words, counts of pairs of
-    ``core`` words, of classes next to ``middle`` words and of classes - all of bounded size.
+    Words outside the ``hot`` most frequent ones go by their endings, or, with ``place_all``, get their classes by
+    their neighbours as the others do. To the driver come: the ``hot`` words, their classes, counts of
+    pairs of ``core`` words and of classes - all of bounded size. Three passes over the texts.
     """
     spark = texts.sparkSession
     words = stage(vocabulary(texts), "vocabulary")
@@ -218,66 +394,54 @@ def train(texts: DataFrame, classes: int = CLASSES, core: int = CORE, middle: in
     listed, counts = [w for _, w in top], np.array([c for c, _ in top], np.int64)
     core = min(core, len(listed))
     middle = min(middle, len(listed) - core)
-    share = spark.sparkContext.broadcast
 
-    pairs = _pair_counts(texts, share(listed[:core]), _core_codes(core), (core + 2) ** 2).reshape(core + 2, core + 2)
+    near = contexts(texts, listed, core)
+    beside, two = near.filter("next is null"), near.filter("next is not null")
+    frequent = stage(beside.filter(F.col("id") <= len(listed)), "listed-contexts")  # few rows, read every round
+    outside = beside.filter(F.col("id").between(core, len(listed) - 1) | (F.col("id") == len(listed) + 1))
+    alone = np.concatenate([np.arange(core), np.full(len(listed) - core, core), [core + 1, core]])
+    pairs = _bigram_counts(frequent, Placing(alone, None, core), core, int(n) + docs)
     own = exchange(pairs, classes)
-    total = classes + 2
-    one = np.eye(total)[np.concatenate([own, [classes, classes + 1]])]
+    # the classes of the core tell those of the next words, these and theirs all others, until few words move
+    of = np.concatenate([own, np.full(len(listed) - core, classes), [classes + 1, classes]]).astype(np.int64)
+    one = np.eye(classes + 2)[np.concatenate([own, [classes, classes + 1]])]
     table = one.T @ pairs @ one
-    near = _pair_counts(texts, share((listed[:core + middle], own)), _middle_codes(core, middle, classes), middle * 2 * total).reshape(middle, 2, total)
-    forward = np.log((table + CLASS_ADD) / (table + CLASS_ADD).sum(1, keepdims=True))
-    size = np.maximum(table.sum(0)[:classes], 1)
-    fit = near[:, 0] @ forward[:, :classes] + near[:, 1] @ forward[:classes].T - near[:, 0].sum(1, keepdims=True) * np.log(size)
-    used = np.bincount(own, minlength=classes) > 0
-    fit[:, ~used] = -np.inf
-    known = np.concatenate([own, fit.argmax(1)]) if middle else own
+    for turn in range((PLACE_ROUNDS if place_all else 1) if len(listed) > core else 0):
+        upto = len(listed) if turn else core + middle
+        new = _best_of_listed(frequent, Placing(of, table, classes), core, upto)
+        moved = counts[core:upto][new != of[core:upto]].sum()
+        of = np.concatenate([of[:core], new, of[upto:]])
+        table = _bigram_counts(frequent, Placing(of, None, classes), core, int(n) + docs)
+        if turn and moved < STABLE * counts[core:upto].sum():
+            break
 
     votes: dict[bytes, np.ndarray] = {}
-    for w, c, k in zip(listed, counts, known):
-        for m in range(min(3, len(w)) + 1):
+    for w, c, k in zip(listed, counts, of):
+        for m in range(min(3, len(w)) + 1) if k < classes else ():
             votes.setdefault(w[len(w) - m:], np.zeros(classes))[k] += c
     endings = {e: int(x.argmax()) for e, x in votes.items()}
-    of_hot = np.concatenate([known, [by_ending(w, endings) for w in listed[len(known):]]]).astype(np.int64)
-
-    kept = share((listed, of_hot, endings))
-    class_tokens, class_words = _class_sizes(words, kept, classes)
-
-    def step_codes(held):
-        names, of, ends = held
-        ids = Classes(names, ends)
-        k_of = np.concatenate([of, np.arange(classes)])
-
-        def code(tokens):
-            k = np.concatenate([[classes], k_of[[ids[w] for w in tokens]] if tokens else [], [classes]]).astype(np.int64)
-            return (k[:-1] * (classes + 1) + k[1:],)
-
-        return code
-
-    steps = _pair_counts(texts, kept, step_codes, (classes + 1) ** 2).reshape(classes + 1, classes + 1)
+    of[:len(listed)] = [by_ending(w, endings) if k == classes else k for w, k in zip(listed, of)]
+
+    placing = Placing(of, table, classes, None if place_all else endings)
+    top = spark.createDataFrame(pa.table({"word": pa.array(listed[:core], pa.binary()), "n": pa.array(counts[:core], pa.int64()), "k": pa.array(of[:core], pa.int64())}))
+    words = stage(_placed(outside, placing).unionByName(top), "classes")
+    class_tokens, class_words = np.zeros(classes), np.zeros(classes)
+    for k, t, d in words.groupBy("k").agg(F.sum("n"), F.count("*")).collect():
+        class_tokens[k], class_words[k] = t, d
+
+    steps = _bigram_counts(beside, placing, core)
+    known = words.select("word", "k")
+    # words that are not frequent: neither side is broadcast
+    pairs = two.select("word", "next", F.col("counts")[0].alias("n")).join(known.withColumnRenamed("k", "a").hint("merge"), "word") \
+        .join(known.select(F.col("word").alias("next"), F.col("k").alias("b")).hint("merge"), "next")
+    for a, b, m in pairs.groupBy("a", "b").agg(F.sum("n")).collect():
+        steps[a, b] += m
+    kept = [*range(classes), classes + 1]
+    steps = steps[np.ix_(kept, kept)]
     overall = (steps.sum(0) + CLASS_ADD) / (steps.sum() + CLASS_ADD * (classes + 1))
     steps = (steps + 5 * overall) / (steps.sum(1, keepdims=True) + 5)
     end = 1 if docs else 0
-    return Model(listed, counts, of_hot, endings, int(n) + docs, int(v) + end, docs, class_tokens, class_words, np.log10(steps)), words
-
-
-def _class_sizes(words: DataFrame, kept, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(batches):
-        names, of, ends = kept.value
-        ids = Classes(names, ends)
-        k_of = np.concatenate([of, np.arange(classes)])
-        tokens, distinct = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-        for b in batches:
-            k = k_of[[ids[w] for w in b.column("word").to_pylist()]] if b.num_rows else np.empty(0, np.int64)
-            tokens += np.bincount(k, b.column("n").to_numpy(), classes).astype(np.int64)
-            distinct += np.bincount(k, minlength=classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(tokens), pa.array(distinct)], names=["k", "tokens", "words"])
-
-    got = words.mapInArrow(run, "k bigint, tokens bigint, words bigint").groupBy("k").agg(F.sum("tokens"), F.sum("words")).collect()
-    tokens, distinct = np.zeros(classes), np.zeros(classes)
-    for k, t, d in got:
-        tokens[k], distinct[k] = t, d
-    return tokens, distinct
+    return Model(listed, counts, of[:len(listed)], endings, int(n) + docs, int(v) + end, docs, class_tokens, class_words, np.log10(steps)), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -289,7 +453,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", k
     outs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outs and c != text]
     new = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double",
-           "_rare": "array<binary>", "_rare_n": "array<bigint>", "_rare_class": "array<bigint>"}
+           "_rare": "array<binary>", "_ending": "array<int>", "_of": "array<int>", "_left": "array<int>", "_right": "array<int>"}
     classes = len(model.class_tokens)
     spread = model.class_tokens + WORD_ADD * (model.class_words + 1)
     hot_base, end_base = model.base(model.counts), float(model.base(model.docs))
@@ -300,7 +464,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", k
     def make():
         hot, of, endings, steps, base, emit, end, end_known = shared.value
         n_hot, ids = len(hot), Classes(hot, endings)
-        k_of, rest = np.concatenate([of, np.arange(classes)]).astype(np.int64), np.zeros(classes)
+        # the class of an unlisted word is looked up later
+        k_of, rest = np.concatenate([of, np.full(classes, -1)]).astype(np.int64), np.zeros(classes)
         base, emit = np.concatenate([base, rest]), np.concatenate([emit, rest])
 
         def work(texts, _):
@@ -309,26 +474,47 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", k
                 tokens = words_of(t)
                 a = np.array([ids[w] for w in tokens], np.int64)
                 k = np.concatenate([[classes], k_of[a], [classes]]).astype(np.int64)
-                unlisted = np.flatnonzero(a >= n_hot).tolist()
-                rare = Counter([tokens[i] for i in unlisted])
-                of_rare = {tokens[i]: int(a[i]) - n_hot for i in unlisted}
-                rows.append((len(tokens) + 1, len(tokens) - len(unlisted) + end_known, float(base[a].sum()) + end,
-                             float(emit[a].sum() + steps[k[:-1], k[1:]].sum()), list(rare), list(rare.values()), [of_rare[w] for w in rare]))
+                on = (k[:-1] >= 0) & (k[1:] >= 0)
+                at = np.flatnonzero(a >= n_hot)
+                place: dict[bytes, int] = {}
+                which = [place.setdefault(tokens[i], len(place)) for i in at.tolist()]
+                rows.append((len(tokens) + 1, len(tokens) - len(at) + end_known, float(base[a].sum()) + end,
+                             float(emit[a].sum() + steps[k[:-1][on], k[1:][on]].sum()), list(place), [ids[w] - n_hot for w in place],
+                             which, k[at].astype(np.int32), k[at + 2].astype(np.int32)))
             return list(zip(*rows, strict=True)) if rows else [[]] * len(new)
 
         return work
 
     part = stage(map_texts(docs, make, new, text, keep).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    spread_of = F.element_at(F.array(*[F.lit(float(x)) for x in spread]), F.col("k").cast("int") + 1)
-    looked = part.select("_row", F.explode(F.arrays_zip("_rare", "_rare_n", "_rare_class")).alias("r")) \
-        .select("_row", F.col("r._rare").alias("word"), F.col("r._rare_n").alias("m"), F.col("r._rare_class").alias("k")).join(words, "word", "left")
-    count = F.coalesce("n", F.lit(0))
-    rare = looked.groupBy("_row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("m"))).alias("_known"),
-        F.sum(F.col("m") * F.log10((count + 1) / F.lit(float(model.tokens + model.distinct + 1)))).alias("_base"),
-        F.sum(F.col("m") * F.log10((count + F.lit(WORD_ADD)) / spread_of)).alias("_emit"))
-    zero = F.lit(0.0)
-    out = part.join(rare, "_row", "left").select(
-        *[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("_emit", zero)).alias("score"))
+    found = part.select("_row", F.posexplode("_rare").alias("j", "word")).join(words.select("word", "n", "k"), "word") \
+        .groupBy("_row").agg(F.collect_list(F.struct("j", "n", "k")).alias("f")) \
+        .select("_row", F.col("f.j").alias("_j"), F.col("f.n").alias("_n"), F.col("f.k").cast("array<int>").alias("_k"))
+    joined = part.drop("_rare").join(found, "_row", "left")
+    steps, whole = model.steps, model.tokens + model.distinct + 1
+    done = ["n_tokens", "n_known", "base_score", "score"]
+
+    def add_rare(batches):
+        for b in batches:
+            rows = np.arange(b.num_rows)
+            lists = {c: pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy() for c in ("_ending", "_of", "_j")}
+            ending, of, left, right, j, n_of, k_of = (pc.list_flatten(b.column(c)).to_numpy() for c in ("_ending", "_of", "_left", "_right", "_j", "_n", "_k"))
+            start = np.cumsum(lists["_ending"]) - lists["_ending"]
+            n, k = np.zeros(len(ending), np.int64), ending.astype(np.int64)  # words never seen
+            at = np.repeat(start, lists["_j"]) + j
+            n[at], k[at] = n_of, k_of
+            row, at = np.repeat(rows, lists["_of"]), np.repeat(start, lists["_of"]) + of
+            n, k = n[at], k[at]
+            left, before = left.astype(np.int64), np.concatenate([[0], k[:-1]]) if len(k) else k
+            left = np.where(left < 0, before, left)  # an unlisted word before it is the last one listed here
+            last = right >= 0
+            score = np.log10((n + WORD_ADD) / spread[k]) + steps[left, k]
+            score[last] += steps[k[last], right[last]]
+            adds = [np.bincount(row, n > 0, b.num_rows).astype(np.int64), np.bincount(row, np.log10((n + 1) / whole), b.num_rows),
+                    np.bincount(row, score, b.num_rows)]
+            old = [b.column(c) for c in done]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), old[0], *(pc.add(x, pa.array(y)) for x, y in zip(old[1:], adds))], names=[*keep, *done])
+
+    schema = T.StructType([joined.schema[c] for c in [*keep, *done]])
+    out = joined.mapInArrow(add_rare, schema).select(
+        *[F.col(f"`{c}`") for c in keep], "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -1,6 +1,7 @@
 """Classifiers, rules, licences, decontamination, BPE and language model against plain versions."""
 
 import math
+from collections import Counter
 
 import brute
 import numpy as np
@@ -247,6 +248,54 @@ def test_model_is_a_distribution(spark, odd):
     assert len(rows) == odd.count() and all(r.n_known == 0 and r.base_score == 0 for r in rows)
 
 
+def plain_classes(texts, model, words):
+    """Words with their counts and classes, and each text's classes with the end before and behind."""
+    held = {bytes(r.word): (r.n, r.k) for r in words.collect()}
+    end = len(model.class_tokens)
+    of = lambda w: held[w][1] if w in held else brown.by_ending(w, model.endings)
+    return held, [[end, *map(of, brown.words_of(t)), end] for t in texts]
+
+
+@pytest.mark.parametrize("core, middle, hot", [(20, 30, 120), (0, 0, 0), (40, 5000, 10_000)])
+def test_every_seen_word_counts_with_its_own_class(spark, odd, core, middle, hot):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").unionByName(odd.select("text"))
+    texts = [(r.text or "").encode() for r in df.collect()]
+    model, words = brown.train(df, classes=6, core=core, middle=middle, hot=hot, place_all=True)
+    held, runs = plain_classes(texts, model, words)
+    counts = Counter(w for t in texts for w in brown.words_of(t))
+    assert {w: n for w, (n, _) in held.items()} == counts
+    assert all(held[w][1] == k for w, k in zip(model.hot, model.classes))
+    steps = np.zeros((7, 7))
+    for run in runs:
+        np.add.at(steps, (run[:-1], run[1:]), 1)
+    overall = (steps.sum(0) + brown.CLASS_ADD) / (steps.sum() + 7 * brown.CLASS_ADD)
+    assert np.allclose(10 ** model.steps, (steps + 5 * overall) / (steps.sum(1, keepdims=True) + 5))
+    spread = np.bincount([k for _, k in held.values()], [n + brown.WORD_ADD for n, _ in held.values()], 6) + brown.WORD_ADD
+    new = spark.createDataFrame([(1, "unseenish the unseenish zzq the"), (2, None), (3, texts[0].decode()), (3, texts[0].decode()), (4, texts[5].decode())], "doc_id long, text string")
+    got = sorted((r.doc_id, r.score, r.n_known) for r in brown.score(new.repartition(2), model, words).collect())
+    want = []
+    for r in new.collect():
+        tokens = brown.words_of((r.text or "").encode())
+        run = plain_classes([(r.text or "").encode()], model, words)[1][0]
+        emit = sum(math.log10((held.get(w, (0,))[0] + brown.WORD_ADD) / spread[k]) for w, k in zip(tokens, run[1:]))
+        want.append((r.doc_id, emit + sum(model.steps[a, b] for a, b in zip(run, run[1:])), sum(w in held for w in tokens) + 1))
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[0] == w[0] and g[2] == w[2] and math.isclose(g[1], w[1], rel_tol=1e-9)
+
+
+def test_rare_words_are_placed_by_their_neighbours(spark, monkeypatch):
+    """Words seen twice only, all with one ending, stand where either of two frequent words stands."""
+    texts = ["a0 b0 " * 40, "b0 a0 " * 40] * 2
+    rare = [f"w{i}q" for i in range(40)]  # the even ones between b0 and b0, the odd ones between a0 and a0
+    texts += [" ".join([x, w, x, w, x]) for i, w in enumerate(rare) for x in ["ba"[i % 2] + "0"]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(brown, "exchange", lambda pairs, classes: np.arange(2))
+    model, words = brown.train(df, classes=2, core=2, middle=0, hot=2, place_all=True)
+    of = {bytes(r.word).decode(): r.k for r in words.collect()}
+    assert model.hot == [b"a0", b"b0"] and (of["a0"], of["b0"]) == (0, 1)
+    assert all(of[w] == of["ab"[i % 2] + "0"] for i, w in enumerate(rare))
+
+
 # ---- rejection of languages that were not learned -------------------------------------------------
 STRANGE = {
     "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
