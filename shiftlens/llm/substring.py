@@ -307,12 +307,13 @@ def _gathered(ranges: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", size: int = SIZE,
-                 shard_words: int = SHARD_WORDS, anchor_segments: int = ANCHOR_SEGMENTS) -> Repeats:
+                 shard_words: int = SHARD_WORDS, anchor_segments: int = ANCHOR_SEGMENTS, corpus_again: bool = True) -> Repeats:
     """The windows to remove; rows with a null key or text take no part. The tables in ``scratch`` must outlive the use
-    of the result."""
+    of the result. Tables are deleted as soon as nothing needs them; without ``corpus_again`` the corpus is one of them."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).filter("doc is not null and text is not null")
-    known = scratch.stage(_anchored(rows, size), "anchors")
+    anchors = scratch.stage(_anchored(rows, size), "anchors")
+    known = scratch.stage(anchors.select("doc", "h", "da", "db", "n_words", "sha"), "texts")  # what outlives the anchors
     occurrence = F.struct("doc", "h", "start")
 
     # a whole text that is there already: the first of its copies stands for all of them
@@ -322,7 +323,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str
     copies = known.select("doc", "h", "da", "db", "n_words").join(firsts, ["da", "db"]).filter(F.struct("doc", "h") != F.col("first")) \
         .select("doc", "h", "n_words").distinct()
 
-    found = known.select("doc", "h", F.explode(F.arrays_zip("anchors", "starts", "again")).alias("a")) \
+    found = anchors.select("doc", "h", F.explode(F.arrays_zip("anchors", "starts", "again")).alias("a")) \
         .select(F.col("a.anchors").alias("anchor"), "doc", "h", F.col("a.starts").alias("start"), F.col("a.again").alias("again"))
     often = found.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("again").alias("again")) \
         .filter("lo <> hi or again = 1").select("anchor")
@@ -335,6 +336,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str
         return lambda texts, _: ([z.compress(t) for t in texts],)
 
     corpus = scratch.stage(map_texts(rows, pack, {"packed": "binary"}, keep=["doc", "h"]).join(flagged, ["doc", "h"]), "corpus")
+    scratch.discard(anchors)
 
     def take():
         splitter, z = Splitter(), zstandard.ZstdDecompressor()
@@ -366,6 +368,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str
 
     taken = emit_rows(corpus, take, f"anchor bigint, ca bigint, cb bigint, content string, doc {kind}, h bigint, start bigint, n bigint", ["doc", "h", "packed", "starts"])
     taken = scratch.stage(taken, "segments")
+    if not corpus_again:
+        scratch.discard(corpus)
     in_text = taken.filter("content is null").select("doc", "h", "start", "n")
     taken = taken.filter("content is not null")
     distinct = scratch.stage(taken.groupBy("anchor", "ca", "cb").agg(F.min(occurrence).alias("own"), F.first("content").alias("content"))
@@ -456,7 +460,7 @@ def dedup_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     repeated rows are treated as in ``dedup_digests``.
     """
     with Scratch(docs.sparkSession) as scratch:
-        spans = stage(find_repeats(docs, scratch, text, key, size, **limits).spans(size), "spans")
+        spans = stage(find_repeats(docs, scratch, text, key, size, corpus_again=False, **limits).spans(size), "spans")
     # the other columns travel as one, so that their names are of no matter
     rows = nested(docs, text).withColumn("h", F.xxhash64("text")).withColumn("doc", F.col(f"row.`{key}`"))
     joined = rows.join(spans.select("doc", "h", "starts", "counts"), ["doc", "h"], "left")

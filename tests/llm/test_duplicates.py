@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from shiftlens.llm import langid, minhash, queries, stages, substring
-from shiftlens.llm.common import fold_is
+from shiftlens.llm.common import Scratch, fold_is
 from shiftlens.llm.components import connected_components
 from shiftlens.session import checkpoint_dir
 
@@ -254,3 +254,15 @@ def test_hashes_of_words_do_not_depend_on_where_they_stand():
     words = [f"w{i}".encode() for i in range(200_000)]
     h, _, _ = sp.words(b" ".join(words))  # more than one block
     assert len(set(h.tolist())) == len(words) and h[150_000] == sp.words(words[150_000])[0][0]
+
+
+def test_tables_on_the_way_are_deleted_when_nothing_needs_them(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, text + " y")], "doc_id long, text string")
+    with Scratch(spark) as scratch:
+        found = substring.find_repeats(docs, scratch, corpus_again=False)
+        names = [t.inputFiles()[0] for t in scratch.tables if t.inputFiles()]
+        assert not any("/anchors-" in n or "/corpus-" in n for n in names)
+        assert {r.doc: sorted(zip(r.starts, r.counts)) for r in found.spans(20).collect()}.keys() == {2, 3}
+    with Scratch(spark) as scratch:
+        assert substring.find_repeats(docs, scratch).corpus.count() == 3  # it is read again for digests
