@@ -61,10 +61,20 @@ def multiply(a: Csr, b: Csr, columns: int) -> tuple[np.ndarray, np.ndarray, np.n
     return cell[first] // columns, cell[first] % columns, np.diff(np.append(first, len(cell)))
 
 
-def overlap_links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers (of A, of B) that share bytes, in order, for two cuts of the same bytes."""
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of A, and which of B, end where one of the other ends, for two rising rows of ends of the same bytes."""
+    at = np.searchsorted(ends_b, ends_a)  # the last ends are equal
+    on_a = ends_b[at] == ends_a
+    on_b = np.zeros(len(ends_b), bool)
+    on_b[at[on_a]] = True
+    return on_a, on_b
+
+
+def overlap_links(ends_a: np.ndarray, ends_b: np.ndarray, both: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers (of A, of B) that share bytes, in order, for two cuts of the same bytes; ``both`` are the common ends, if known."""
     left, right = [], []
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    if both is None:
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
     at = a0 = b0 = 0
     while at < (both[-1] if len(both) else 0):
         end = both[min(np.searchsorted(both, at + BLOCK), len(both) - 1)]
@@ -138,7 +148,9 @@ class Aligner:
         a, b = (np.concatenate([x[s] for x in ids]) for s in (0, 1))
         ends_a, ends_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])  # all texts in one row of bytes
         doc_a, doc_b = (np.repeat(np.arange(n), m) for m in many)
-        left, right = overlap_links(ends_a, ends_b)
+        on_a, on_b = common_ends(ends_a, ends_b)
+        common = ends_a[on_a]
+        left, right = overlap_links(ends_a, ends_b, common)
         links = np.bincount(doc_a[left], minlength=n)
         # distinct pairs of ids of each text with their number of links
         width = len(self.a.size) * self.ids_b
@@ -146,23 +158,24 @@ class Aligner:
         border = np.searchsorted(cell, np.arange(n + 1) * width)
         pair = cell % width
         # groups: tokens up to each common end; the factors of the shared-group product
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        group_a, group_b = np.cumsum(on_a) - on_a, np.cumsum(on_b) - on_b
         in_a, in_b = (np.bincount(g, minlength=len(common)) for g in (group_a, group_b))
         of = np.zeros(len(common), np.int64)
         of[group_a] = doc_a
         shared = np.zeros(n, np.int64)
         np.add.at(shared, of, in_a * in_b)
         return {"n_a": many[0], "n_b": many[1], "n_groups": np.bincount(of, minlength=n), "n_links": links, "n_shared": shared,
-                "groups": self.written(a, b, group_a, group_b, doc_a, n), "pairs": np.split(pair, border[1:-1]),
+                "groups": self.written(a, b, (group_a, in_a, on_a), (group_b, in_b, on_b), doc_a, n), "pairs": np.split(pair, border[1:-1]),
                 "times": np.split(times, border[1:-1])}
 
-    def written(self, a, b, group_a, group_b, doc_a, n) -> list[str]:
-        """Every text's groups as ``a1,a2|b1;a3|b2,b3``: groups hold neighbours, so A's and B's tokens are merged by group."""
+    def written(self, a, b, of_a, of_b, doc_a, n) -> list[str]:
+        """Every text's groups as ``a1,a2|b1;a3|b2,b3``: groups hold neighbours, so A's and B's tokens are merged by group.
+
+        ``of_a`` and ``of_b`` are the groups of the tokens, their numbers of tokens, and which token is a group's last."""
         total = len(a) + len(b)
-        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
-        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
-        last_a, last_b = (np.append(g[1:] != g[:-1], True) if len(g) else np.empty(0, bool) for g in (group_a, group_b))
+        (group_a, in_a, last_a), (group_b, in_b, last_b) = of_a, of_b
+        place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]  # behind B's tokens of the groups before
+        place_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
         code = np.empty(total, np.int64)
         code[place_a] = a * 3 + last_a                              # "," or, behind the group's last one, "|"
         code[place_b] = len(self.a.written) + b * 3 + 2 * last_b    # "," or ";"

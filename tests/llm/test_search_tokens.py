@@ -200,3 +200,11 @@ def test_links_in_small_blocks(monkeypatch):
     want = [x.tolist() for x in alignment.overlap_links(ends_a, ends_b)]
     monkeypatch.setattr(alignment, "BLOCK", 1)
     assert [x.tolist() for x in alignment.overlap_links(ends_a, ends_b)] == want
+
+
+def test_common_ends_of_two_cuts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40):
+        a, b = (np.unique(np.append(rng.integers(1, 60, n), [60] * (n > 0))).astype(np.int64) for _ in range(2))
+        on_a, on_b = alignment.common_ends(a, b)
+        assert (a[on_a] == np.intersect1d(a, b)).all() and (b[on_b] == a[on_a]).all() and len(a[on_a]) == len(np.intersect1d(a, b))
