@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from shiftlens.llm import alignment, pieces, queries, ranked
