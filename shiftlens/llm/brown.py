@@ -34,6 +34,8 @@ PLACE_ROUNDS, STABLE = 4, 0.01
 #: Added to the counts of words and of class transitions.
 WORD_ADD, CLASS_ADD = 0.5, 0.1
 FLUSH = 250_000
+#: Words outside the hot ones whose endings' classes a task remembers; all are forgotten when there are so many.
+ENDING_MEMORY = 200_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -67,10 +69,16 @@ class Classes(dict):
 
     def __init__(self, hot: list[bytes], endings: dict[bytes, int]):
         super().__init__(zip(hot, range(len(hot))))
-        self.endings, self.n = endings, len(hot)
+        self.endings, self.n, self.others = endings, len(hot), []
 
     def __missing__(self, word: bytes) -> int:
-        return self.n + by_ending(word, self.endings)
+        if len(self.others) >= ENDING_MEMORY:
+            for w in self.others:
+                del self[w]
+            self.others = []
+        got = self[word] = self.n + by_ending(word, self.endings)
+        self.others.append(word)
+        return got
 
 
 def by_ending(word: bytes, endings: dict[bytes, int]) -> int:
@@ -146,12 +154,13 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
 
 
 def contexts(texts: DataFrame, listed: list[bytes], core: int) -> DataFrame:
-    """(word, id, next, codes, counts): what stands beside each word of ``texts``.text, and how often.
+    """(word, id, next, n, codes, counts): what stands beside each word of ``texts``.text, and how often.
 
     A code is twice a listed word's number, plus one for a neighbour on the right; ``len(listed)`` is the end of a text (the word
     b"" here) and the number behind it any unlisted word, as is an id. The first ``core`` words and the end have their right
     neighbours among themselves and unlisted neighbours only; the other words have the rest. ``next`` is null but in rows
-    that count two unlisted words side by side. A task adds its own counts up first; a word's rows are added up where they meet,
+    that count two unlisted words side by side (``n`` times, 0 elsewhere). Codes and counts are packed into bytes, as
+    Spark handles arrays number by number. A task adds its own counts up first; a word's rows are added up where they meet,
     and what is listed per word is bounded by twice the listed words.
     """
     n = len(listed)
@@ -168,18 +177,17 @@ def contexts(texts: DataFrame, listed: list[bytes], core: int) -> DataFrame:
             key, many = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64),) * 2
             word = key // (2 * rare + 2)
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(key) else np.empty(0, np.int64)
-            which, borders = word[first], pa.array(np.append(first, len(key)).astype(np.int32))
+            which, borders = word[first], np.append(first, len(key))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([word_of[w] for w in which.tolist()], pa.binary()), pa.array(np.minimum(which, rare).astype(np.int32)), pa.nulls(len(which), pa.binary()),
-                 pa.ListArray.from_arrays(borders, pa.array((key % (2 * rare + 2)).astype(np.int32))), pa.ListArray.from_arrays(borders, pa.array(many.astype(np.int64)))],
+                 pa.array(np.zeros(len(which), np.int64)), packed((key % (2 * rare + 2)).astype(np.int32), borders), packed(many.astype(np.int64), borders)],
                 names=CONTEXT)
             x, y = np.concatenate([np.empty((2, 0), np.int64), *pairs], 1)
             key, many = np.unique(x * len(word_of) + y, return_counts=True)
-            one = pa.array(np.arange(len(key) + 1, dtype=np.int32))
+            nothing = packed(np.empty(0, np.int64), np.zeros(len(key) + 1, np.int64))
             x, y = (pa.array([word_of[w] for w in side.tolist()], pa.binary()) for side in (key // len(word_of), key % len(word_of)))
             yield pa.RecordBatch.from_arrays(
-                [x, pa.array(np.full(len(key), rare, np.int32)), y, pa.ListArray.from_arrays(one, pa.array(np.zeros(len(key), np.int32))),
-                 pa.ListArray.from_arrays(one, pa.array(many.astype(np.int64)))], names=CONTEXT)
+                [x, pa.array(np.full(len(key), rare, np.int32)), y, pa.array(many.astype(np.int64)), nothing, nothing], names=CONTEXT)
 
         for b in slices(batches):
             number = ids.__getitem__
@@ -225,8 +233,26 @@ def contexts(texts: DataFrame, listed: list[bytes], core: int) -> DataFrame:
     return stage(raw.mapInArrow(add_up, CONTEXT_SCHEMA), "contexts")
 
 
-CONTEXT = ["word", "id", "next", "codes", "counts"]
-CONTEXT_SCHEMA = "word binary, id int, next binary, codes array<int>, counts array<bigint>"
+CONTEXT = ["word", "id", "next", "n", "codes", "counts"]
+CONTEXT_SCHEMA = "word binary, id int, next binary, n bigint, codes binary, counts binary"
+
+
+def packed(numbers: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """A row of bytes for the numbers between each two borders."""
+    at = pa.py_buffer((borders * numbers.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def unpacked(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each row of ``packed`` has, and all of them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty(0, np.int64), np.empty(0, kind)
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    numbers = np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(kind) if at[-1] > at[0] else np.empty(0, kind)
+    return np.diff(at) // numbers.itemsize, numbers
 
 
 class Numbers(dict):
@@ -249,9 +275,8 @@ class Numbers(dict):
 
 def _entries(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, count) of all entries of some rows of ``contexts``."""
-    codes, counts = (pc.list_flatten(rows.column(c)) for c in ("codes", "counts"))
-    many = pc.list_value_length(rows.column("codes")).to_numpy()
-    return np.repeat(np.arange(rows.num_rows), many), codes.to_numpy(), counts.to_numpy()
+    many, codes = unpacked(rows.column("codes"), np.int32)
+    return np.repeat(np.arange(rows.num_rows), many), codes, unpacked(rows.column("counts"), np.int64)[1]
 
 
 def _added(rows: pa.Table, first: list[int], width: int) -> pa.RecordBatch:
@@ -261,10 +286,10 @@ def _added(rows: pa.Table, first: list[int], width: int) -> pa.RecordBatch:
     key, back = np.unique(group * width + codes, return_inverse=True)
     sums = np.zeros(len(key), np.int64)
     np.add.at(sums, back, counts)
-    borders = pa.array(np.searchsorted(key, np.arange(len(first) + 1) * width).astype(np.int32))
+    borders = np.searchsorted(key, np.arange(len(first) + 1) * width)
     heads = [rows.column(c).combine_chunks().take(pa.array(first, pa.int64())) for c in ("word", "id", "next")]
-    return pa.RecordBatch.from_arrays([*heads, pa.ListArray.from_arrays(borders, pa.array((key % width).astype(np.int32))),
-                                       pa.ListArray.from_arrays(borders, pa.array(sums))], names=CONTEXT)
+    n = np.add.reduceat(rows.column("n").to_numpy(), first) if first else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([*heads, pa.array(n), packed((key % width).astype(np.int32), borders), packed(sums, borders)], names=CONTEXT)
 
 
 @dataclass
@@ -307,12 +332,13 @@ class Placing:
                 out[other] = [by_ending(w, self.endings) for w in rows.column("word").filter(pa.array(other)).to_pylist()]
         return out
 
-    def bigrams(self, rows, core: int, unlisted: bool) -> np.ndarray:
-        """Counts of class bigrams, each taken from one of its two words. With ``unlisted`` the rows and classes of unlisted
-        words count; without, they are of no known class. Two of them side by side are left out."""
+    def bigrams(self, rows, core: int, own: np.ndarray | None = None) -> np.ndarray:
+        """Counts of class bigrams, each taken from one of its two words. Given the rows' ``own`` classes the rows and classes of
+        unlisted words count; without, they are of no known class. Two of them side by side are left out."""
         end, rare = len(self.of) - 2, len(self.of) - 1
         number = rows.column("id").to_numpy()
-        k = self.own(rows) if unlisted else self.of[number]
+        unlisted = own is not None
+        k = own if unlisted else self.of[number]
         row, codes, counts = _entries(rows)
         near, right, of_rare = codes >> 1, (codes & 1) == 1, number[row] == rare
         # two listed words outside the core are counted by the left one; a listed and an unlisted one by the latter, if its row is there
@@ -321,26 +347,30 @@ class Placing:
         return np.bincount((a * self.total + b)[use], counts[use], self.total ** 2).astype(np.int64)
 
 
-def _bigram_counts(beside: DataFrame, placing: Placing, core: int, total: int | None = None) -> np.ndarray:
-    """Class bigrams of all rows but those of two unlisted words; given their ``total``, of listed words' rows and of all bigrams."""
-    shared = beside.sparkSession.sparkContext.broadcast(placing)
+def _bigram_counts(frequent: DataFrame, placing: Placing, core: int, total: int) -> np.ndarray:
+    """Class bigrams of listed words' rows; all others, of ``total``, are of no known classes."""
+    shared = frequent.sparkSession.sparkContext.broadcast(placing)
 
     def run(batches):
         held, out = shared.value, 0
         for b in slices(batches):
-            out = out + held.bigrams(b, core, total is None)
+            out = out + held.bigrams(b, core)
         on = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(np.atleast_1d(out)[on], pa.int64())], names=["code", "n"])
-
-    rows = beside.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(placing.total ** 2)
-    out[rows["code"].to_numpy()] = rows["n"].to_numpy()
-    out = out.reshape(placing.total, placing.total)
-    if total is not None:
-        out[placing.classes, placing.classes] += total - out.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(np.atleast_1d(out)[on], pa.int64())], names=["k", "n"])
+
+    out = _summed(frequent.mapInArrow(run, "k bigint, n bigint"), placing.total)
+    out[placing.classes, placing.classes] += total - out.sum()
     return out
 
 
+def _summed(counts: DataFrame, total: int) -> np.ndarray:
+    """Counts (k, n) of class bigrams as a matrix; k is the left class times ``total`` plus the right one."""
+    rows = counts.groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(total ** 2)
+    out[rows["k"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(total, total)
+
+
 def _best_of_listed(beside: DataFrame, placing: Placing, core: int, upto: int) -> np.ndarray:
     """Classes by their neighbours of the listed words from number ``core`` up to ``upto``."""
     shared = beside.sparkSession.sparkContext.broadcast(placing)
@@ -355,16 +385,26 @@ def _best_of_listed(beside: DataFrame, placing: Placing, core: int, upto: int) -
     return out
 
 
-def _placed(beside: DataFrame, placing: Placing) -> DataFrame:
-    """(word, n, k) of all words that have all their right neighbours in ``beside``: those outside the core."""
+def _placed(beside: DataFrame, placing: Placing, core: int) -> DataFrame:
+    """(word, n, k) of all words that have all their right neighbours in ``beside``: those outside the core; rows without
+    a word count the class bigrams (as in ``_summed``) of all rows but those of two unlisted words."""
     shared = beside.sparkSession.sparkContext.broadcast(placing)
+    names = ["word", "n", "k"]
 
     def run(batches):
+        held, out = shared.value, np.zeros(placing.total ** 2, np.int64)
+        inside = len(held.of) - 2  # the end of a text
         for b in slices(batches):
             row, codes, counts = _entries(b)
+            own, number = held.own(b), b.column("id").to_numpy()
+            out += held.bigrams(b, core, own)
             on = (codes & 1) == 1
             n = np.bincount(row[on], counts[on], b.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(n), pa.array(shared.value.own(b), pa.int64())], names=["word", "n", "k"])
+            use = pa.array((number >= core) & (number != inside))
+            yield pa.RecordBatch.from_arrays([b.column("word").filter(use), pa.array(n).filter(use), pa.array(own, pa.int64()).filter(use)], names=names)
+        on = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(on), pa.binary()), pa.array(out[on]), pa.array(on, pa.int64())], names=names)
+        release()
 
     return beside.mapInArrow(run, "word binary, n bigint, k bigint")
 
@@ -398,7 +438,6 @@ def train(texts: DataFrame, classes: int = CLASSES, core: int = CORE, middle: in
     near = contexts(texts, listed, core)
     beside, two = near.filter("next is null"), near.filter("next is not null")
     frequent = stage(beside.filter(F.col("id") <= len(listed)), "listed-contexts")  # few rows, read every round
-    outside = beside.filter(F.col("id").between(core, len(listed) - 1) | (F.col("id") == len(listed) + 1))
     alone = np.concatenate([np.arange(core), np.full(len(listed) - core, core), [core + 1, core]])
     pairs = _bigram_counts(frequent, Placing(alone, None, core), core, int(n) + docs)
     own = exchange(pairs, classes)
@@ -424,15 +463,16 @@ def train(texts: DataFrame, classes: int = CLASSES, core: int = CORE, middle: in
 
     placing = Placing(of, table, classes, None if place_all else endings)
     top = spark.createDataFrame(pa.table({"word": pa.array(listed[:core], pa.binary()), "n": pa.array(counts[:core], pa.int64()), "k": pa.array(of[:core], pa.int64())}))
-    words = stage(_placed(outside, placing).unionByName(top), "classes")
+    placed = stage(_placed(beside, placing, core).unionByName(top), "classes")
+    words = placed.filter("word is not null")
     class_tokens, class_words = np.zeros(classes), np.zeros(classes)
     for k, t, d in words.groupBy("k").agg(F.sum("n"), F.count("*")).collect():
         class_tokens[k], class_words[k] = t, d
 
-    steps = _bigram_counts(beside, placing, core)
+    steps = _summed(placed.filter("word is null"), placing.total)
     known = words.select("word", "k")
     # words that are not frequent: neither side is broadcast
-    pairs = two.select("word", "next", F.col("counts")[0].alias("n")).join(known.withColumnRenamed("k", "a").hint("merge"), "word") \
+    pairs = two.select("word", "next", "n").join(known.withColumnRenamed("k", "a").hint("merge"), "word") \
         .join(known.select(F.col("word").alias("next"), F.col("k").alias("b")).hint("merge"), "next")
     for a, b, m in pairs.groupBy("a", "b").agg(F.sum("n")).collect():
         steps[a, b] += m
@@ -453,7 +493,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", k
     outs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outs and c != text]
     new = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double",
-           "_rare": "array<binary>", "_ending": "array<int>", "_of": "array<int>", "_left": "array<int>", "_right": "array<int>"}
+           "_rare": "array<binary>", "_ending": "binary", "_of": "binary", "_left": "binary", "_right": "binary"}
     classes = len(model.class_tokens)
     spread = model.class_tokens + WORD_ADD * (model.class_words + 1)
     hot_base, end_base = model.base(model.counts), float(model.base(model.docs))
@@ -469,19 +509,31 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", k
         base, emit = np.concatenate([base, rest]), np.concatenate([emit, rest])
 
         def work(texts, _):
-            rows = []
-            for t in texts:
-                tokens = words_of(t)
-                a = np.array([ids[w] for w in tokens], np.int64)
-                k = np.concatenate([[classes], k_of[a], [classes]]).astype(np.int64)
-                on = (k[:-1] >= 0) & (k[1:] >= 0)
-                at = np.flatnonzero(a >= n_hot)
-                place: dict[bytes, int] = {}
-                which = [place.setdefault(tokens[i], len(place)) for i in at.tolist()]
-                rows.append((len(tokens) + 1, len(tokens) - len(at) + end_known, float(base[a].sum()) + end,
-                             float(emit[a].sum() + steps[k[:-1][on], k[1:][on]].sum()), list(place), [ids[w] - n_hot for w in place],
-                             which, k[at].astype(np.int32), k[at + 2].astype(np.int32)))
-            return list(zip(*rows, strict=True)) if rows else [[]] * len(new)
+            words, size = [words_of(t) for t in texts], len(texts)
+            many = np.array([len(w) for w in words], np.int64)
+            tokens = [w for text in words for w in text]
+            a, row = np.array(list(map(ids.__getitem__, tokens)), np.int64), np.repeat(np.arange(size), many)
+            # one end before, between and behind the texts
+            k = np.full(len(a) + size + 1, classes)
+            k[np.arange(len(a)) + row + 1] = k_of[a]
+            left, right = k[:-1], k[1:]
+            step = np.where((left >= 0) & (right >= 0), steps[left, right], 0.0)
+            at = np.flatnonzero(a >= n_hot)
+            left, right = (k[at + row[at] + i].astype(np.int32) for i in (0, 2))
+            lists = [[], [], [], [], []]
+            borders = np.searchsorted(row[at], np.arange(size + 1)).tolist()
+            rare, ending = [tokens[i] for i in at.tolist()], (a[at] - n_hot).astype(np.int32)
+            for x, y in zip(borders, borders[1:]):
+                place = dict.fromkeys(rare[x:y])
+                for i, w in enumerate(place):
+                    place[w] = i
+                of = np.array([place[w] for w in rare[x:y]], np.int32)
+                own = np.empty(len(place), np.int32)
+                own[of] = ending[x:y]
+                for held, got in zip(lists, (list(place), own.tobytes(), of.tobytes(), left[x:y].tobytes(), right[x:y].tobytes())):
+                    held.append(got)
+            return [many + 1, many - np.diff(borders) + end_known, np.bincount(row, base[a], size) + end,
+                    np.bincount(row, emit[a], size) + np.bincount(np.repeat(np.arange(size), many + 1), step, size), *lists]
 
         return work
 
@@ -496,13 +548,13 @@ def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", k
     def add_rare(batches):
         for b in batches:
             rows = np.arange(b.num_rows)
-            lists = {c: pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy() for c in ("_ending", "_of", "_j")}
-            ending, of, left, right, j, n_of, k_of = (pc.list_flatten(b.column(c)).to_numpy() for c in ("_ending", "_of", "_left", "_right", "_j", "_n", "_k"))
-            start = np.cumsum(lists["_ending"]) - lists["_ending"]
+            (endings, ending), (many, of), (_, left), (_, right) = (unpacked(b.column(c), np.int32) for c in ("_ending", "_of", "_left", "_right"))
+            j, n_of, k_of = (pc.list_flatten(b.column(c)).to_numpy() for c in ("_j", "_n", "_k"))
+            start = np.cumsum(endings) - endings
             n, k = np.zeros(len(ending), np.int64), ending.astype(np.int64)  # words never seen
-            at = np.repeat(start, lists["_j"]) + j
+            at = np.repeat(start, pc.fill_null(pc.list_value_length(b.column("_j")), 0).to_numpy()) + j
             n[at], k[at] = n_of, k_of
-            row, at = np.repeat(rows, lists["_of"]), np.repeat(start, lists["_of"]) + of
+            row, at = np.repeat(rows, many), np.repeat(start, many) + of
             n, k = n[at], k[at]
             left, before = left.astype(np.int64), np.concatenate([[0], k[:-1]]) if len(k) else k
             left = np.where(left < 0, before, left)  # an unlisted word before it is the last one listed here

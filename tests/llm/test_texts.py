@@ -5,6 +5,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,26 @@ def test_rare_words_are_placed_by_their_neighbours(spark, monkeypatch):
     assert all(of[w] == of["ab"[i % 2] + "0"] for i, w in enumerate(rare))
 
 
+def test_endings_are_looked_up_once_a_word(monkeypatch):
+    asked, by_ending = [], brown.by_ending
+    monkeypatch.setattr(brown, "by_ending", lambda word, endings: asked.append(word) or by_ending(word, endings))
+    monkeypatch.setattr(brown, "ENDING_MEMORY", 3)
+    ids = brown.Classes([b"hot"], {b"": 0, b"x": 2})
+    assert [ids[w] for w in [b"hot", b"ax", b"b", b"ax", b"ax", b"b"]] == [0, 3, 1, 3, 3, 1] and asked == [b"ax", b"b"]
+    assert [ids[w] for w in [b"cx", b"d", b"ax", b"hot"]] == [3, 1, 3, 0] and len(ids) == 3  # a full memory is emptied, hot words stay
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.int64])
+def test_packed_numbers_come_back(kind):
+    numbers, borders = np.arange(9, dtype=kind) - 4, np.array([0, 0, 3, 3, 9])
+    rows = brown.packed(numbers, borders)
+    for some, want in ((rows, (0, 4)), (rows[1:], (1, 4)), (rows[1:3], (1, 3)), (rows[:0], (0, 0)), (pa.chunked_array([rows[:2], rows[2:]]), (0, 4))):
+        many, got = brown.unpacked(some, kind)
+        first, last = want
+        assert many.tolist() == np.diff(borders)[first:last].tolist() and got.tolist() == numbers[borders[first]:borders[last]].tolist()
+    assert brown.unpacked(brown.packed(numbers[:0], np.zeros(3, np.int64)), kind)[0].tolist() == [0, 0]
+
+
 # ---- rejection of languages that were not learned -------------------------------------------------
 STRANGE = {
     "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
