@@ -1,6 +1,6 @@
 """Byte-pair encoding by backtracking over longest matches, and decoding from an offset table.
 
-An Aho-Corasick automaton over the vocabulary gives the longest token at every position of a word.
+A trie over the vocabulary gives the longest token at each position of a word that is asked for.
 The encoder goes from left to right, taking the longest token whose pair with the token before it is
 compatible (the merges would leave exactly these two side by side); where no token fits, it takes
 the last one back and tries the next shorter. Positions that led nowhere are marked, so the work is
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame
 
 from shiftlens.llm.common import map_texts
 
-#: Entries in a Python worker's memories of encoded pieces and of token pairs, and of encoded words (about 200 bytes each);
-#: one is emptied when full.
-MEMORY, WORD_MEMORY = 300_000, 200_000
+#: Entries in a Python worker's memories of encoded pieces, of encoded words and of token pairs (about 200 bytes each).
+MEMORY, WORD_MEMORY, PAIR_MEMORY = 600_000, 500_000, 300_000
 
 #: Stands for the end of a word inside a word's symbols; it occurs in no symbol of a byte.
 END = ""
@@ -71,29 +70,33 @@ def read_vocabulary(path: str) -> Vocabulary:
                       "Lowercase" in kinds, suffix)
 
 
-class Pieces(dict):
-    """Encoded pieces, each made when first asked for."""
+class Memory(dict):
+    """What ``make`` gives for a key, each made when first asked for. ``size`` keys are held in two halves: when the newer one is
+    full it becomes the older one, and what was in that and was not asked for since is forgotten."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.some_empty = make, False
+        self.make, self.half, self.older, self.some_empty = make, size // 2, {}, False
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= MEMORY:
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            self.some_empty |= not got
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        got = self[piece] = self.make(piece)
-        self.some_empty |= not got
+        self[key] = got
         return got
 
 
 @dataclass
 class Encoder:
     vocabulary: Vocabulary
-    pairs: dict[tuple[int, int], bool] = field(default_factory=dict)  # the compatibility table, filled as pairs come up
-    words: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.pieces = Pieces(self.encode_piece)
+        self.pieces, self.words = Memory(self.encode_piece, MEMORY), Memory(self.encode_text_word, WORD_MEMORY)
+        self.pairs = Memory(self.compatible, PAIR_MEMORY)  # the compatibility table, filled as pairs come up
         v = self.vocabulary
         self.length = [len(t) for t in v.tokens]
         self.finder = ahocorasick.Automaton()
@@ -104,10 +107,9 @@ class Encoder:
                 by_text.setdefault(t, i)
         for t, i in by_text.items():
             self.finder.add_word(t, i)
-        self.finder.make_automaton()
-        self.by_text = by_text
-        self.shorter: dict[int, int | None] = {}
-        self.symbols = byte_symbols()
+        self.by_text, self.most = by_text, max(map(len, by_text), default=0)
+        self.shorter = [self.longest_in(t[:-1]) for t in v.tokens]  # the longest token that is a proper prefix of each
+        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         self.word = regex.compile(v.words, regex.V0)
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.specials, key=len, reverse=True)))) if v.specials else None
         # decoding: the token texts, cut from one string of bytes by a table of offsets
@@ -119,12 +121,14 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).tolist()
         self.token_text = {str(i).encode(): blob[a:b] for i, (a, b) in enumerate(zip(offsets, offsets[1:]))}
 
-    def next_shorter(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of this one."""
-        if token not in self.shorter:
-            text = self.vocabulary.tokens[token]
-            self.shorter[token] = next((self.by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.by_text), None)
-        return self.shorter[token]
+    def longest_in(self, text: str) -> int | None:
+        """The longest token that the text begins with."""
+        by_text = self.by_text
+        for n in range(self.finder.longest_prefix(text[:self.most]), 0, -1):
+            token = by_text.get(text[:n])
+            if token is not None:
+                return token
+        return None
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens at the token's left (0) or right (1) edge while it is merged, each with the rank of the
@@ -138,61 +142,43 @@ class Encoder:
             ends = self.vocabulary.merges[halves]
             token = halves[side]
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Do the merges leave ``a`` and ``b`` side by side? No, if some merge joins what stands left and
+    def compatible(self, pair: tuple[int, int]) -> bool:
+        """Do the merges leave the two tokens side by side? No, if some merge joins what stands left and
         right of the border while both exist; of equal merges the left one comes first."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            ok = True
-            for x, x_ends in self._edge(a, 1):
-                for y, y_ends in self._edge(b, 0):
-                    rank = self.vocabulary.merges.get((x, y))
-                    if rank is not None and rank < x_ends and rank <= y_ends:
-                        ok = False
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            self.pairs[a, b] = ok
-        return ok
+        right = self._edge(pair[1], 0)
+        for x, x_ends in self._edge(pair[0], 1):
+            for y, y_ends in right:
+                rank = self.vocabulary.merges.get((x, y))
+                if rank is not None and rank < x_ends and rank <= y_ends:
+                    return False
+        return True
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given in byte symbols with END behind it."""
-        length, pairs, n = self.length, self.pairs, len(word)
-        longest: list[int | None] = [None] * n
-        for end, token in self.finder.iter(word):  # of one start, longer tokens come later
-            longest[end + 1 - length[token]] = token
+        length, pairs, shorter, longest_in, most, n = self.length, self.pairs, self.shorter, self.longest_in, self.most, len(word)
         # the end mark is no token of its own: no token may end before it
-        usable, out, at, token = [True] * (n - 1) + [False, True], [], 0, longest[0]
+        usable, out, at, last, token = [True] * (n - 1) + [False, True], [], 0, None, longest_in(word)
         while at < n:
-            while token is not None:
-                if usable[at + length[token]]:
-                    if not out:
-                        break
-                    ok = pairs.get((out[-1], token))
-                    if ok or ok is None and self.compatible(out[-1], token):
-                        break
-                token = self.next_shorter(token)
+            while token is not None and not (usable[at + length[token]] and (last is None or pairs[last, token])):
+                token = shorter[token]
             if token is None:
                 usable[at] = False
                 if not out:
                     raise ValueError(f"the vocabulary has no tokens for {word!r}")
                 token = out.pop()
+                last = out[-1] if out else None
                 at -= length[token]
-                token = self.next_shorter(token)
+                token = shorter[token]
             else:
                 out.append(token)
+                last = token
                 at += length[token]
-                token = longest[at] if at < n else None
+                token = longest_in(word[at:at + most]) if at < n else None
         return out
 
     def encode_text_word(self, word: str) -> bytes:
         """The ids of one normalised word, as text."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= WORD_MEMORY:
-                self.words.clear()
-            ids = self.encode_word("".join([self.symbols[b] for b in word.encode()]) + END)
-            got = self.words[word] = " ".join(map(str, ids)).encode()
-        return got
+        return " ".join(map(str, self.encode_word(word.encode().decode("latin-1").translate(self.symbols) + END))).encode()
 
     def encode_piece(self, piece: bytes) -> bytes:
         """The ids of a piece without ASCII white space, as text.
@@ -204,7 +190,7 @@ class Encoder:
         else:
             text = unicodedata.normalize("NFC", piece.decode())
             text = "".join(map(str.lower, text)) if self.vocabulary.lower else text
-        return b" ".join(map(self.encode_text_word, self.word.findall(text)))
+        return b" ".join(map(self.words.__getitem__, self.word.findall(text)))
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a whole text, as text joined by spaces."""

@@ -210,6 +210,16 @@ def test_bpe_matches_the_tokenizers_library(spark, odd):
     assert bpe.tokenise(odd, path).count() == odd.count() and bpe.tokenise(odd.limit(0), path).count() == 0
 
 
+def test_bpe_memory_keeps_what_is_asked_for():
+    made = []
+    held = bpe.Memory(lambda key: made.append(key) or key * 2, 8)
+    for i in range(1, 30):
+        assert held[i] == 2 * i and held["often"] == "oftenoften" and len(held) + len(held.older) <= 8
+    assert made.count("often") == 1 and sorted(x for x in made if x != "often") == list(range(1, 30))
+    assert held[1] == 2 and made[-1] == 1  # long forgotten, made again
+    assert not held.some_empty and held[""] == "" and held.some_empty
+
+
 # ---- language model ------------------------------------------------------------------------------
 def test_base_scores_and_a_better_model(spark):
     _, rows = docs_of(spark, SMALL)
