@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from shiftlens.llm.common import map_texts
 
 #: Entries in a Python worker's memories of encoded pieces, of encoded words and of token pairs (about 200 bytes each).
-MEMORY, WORD_MEMORY, PAIR_MEMORY = 600_000, 500_000, 300_000
+MEMORY, WORD_MEMORY, PAIR_MEMORY = 400_000, 300_000, 300_000
 
 #: Stands for the end of a word inside a word's symbols; it occurs in no symbol of a byte.
 END = ""
