@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlens.llm.common import map_texts, raw_texts, release, slices, stage
+from shiftlens.llm.common import Scratch, map_texts, raw_texts, release, slices, stage
 
 CLASSES = 48
 #: Words that are clustered by exchange, words that are then added one by one, and words whose counts are broadcast.
@@ -35,7 +35,7 @@ PLACE_ROUNDS, STABLE = 4, 0.01
 WORD_ADD, CLASS_ADD = 0.5, 0.1
 FLUSH = 250_000
 #: Words outside the hot ones whose endings' classes a task remembers; all are forgotten when there are so many.
-ENDING_MEMORY = 200_000
+ENDING_MEMORY = 100_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -101,6 +101,8 @@ def vocabulary(texts: DataFrame) -> DataFrame:
                 yield _counted(held)
                 held.clear()
         yield _counted(held)
+        del held
+        release()
 
     return texts.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -230,7 +232,7 @@ def contexts(texts: DataFrame, listed: list[bytes], core: int) -> DataFrame:
         release()
 
     raw = texts.select("text").mapInArrow(count, CONTEXT_SCHEMA).repartition("word").sortWithinPartitions("word", "next")
-    return stage(raw.mapInArrow(add_up, CONTEXT_SCHEMA), "contexts")
+    return raw.mapInArrow(add_up, CONTEXT_SCHEMA)
 
 
 CONTEXT = ["word", "id", "next", "n", "codes", "counts"]
@@ -357,6 +359,7 @@ def _bigram_counts(frequent: DataFrame, placing: Placing, core: int, total: int)
             out = out + held.bigrams(b, core)
         on = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(np.atleast_1d(out)[on], pa.int64())], names=["k", "n"])
+        release()
 
     out = _summed(frequent.mapInArrow(run, "k bigint, n bigint"), placing.total)
     out[placing.classes, placing.classes] += total - out.sum()
@@ -378,6 +381,7 @@ def _best_of_listed(beside: DataFrame, placing: Placing, core: int, upto: int) -
     def run(batches):
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(shared.value.best(b), pa.int32())], names=["id", "k"])
+        release()
 
     got = beside.filter((F.col("id") >= core) & (F.col("id") < upto)).mapInArrow(run, "id int, k int").toPandas()
     out = placing.of[core:upto].copy()
@@ -415,10 +419,16 @@ def train(texts: DataFrame, classes: int = CLASSES, core: int = CORE, middle: in
 
     Words outside the ``hot`` most frequent ones go by their endings, or, with ``place_all``, get their classes by
     their neighbours as the others do. To the driver come: the ``hot`` words, their classes, counts of
-    pairs of ``core`` words and of classes - all of bounded size. Three passes over the texts.
+    pairs of ``core`` words and of classes - all of bounded size. Two passes over the texts and a count of them. What is written
+    on the way is deleted at the end, but for the vocabulary with its classes.
     """
+    with Scratch(texts.sparkSession) as scratch:
+        return _train(texts, classes, core, middle, hot, place_all, scratch)
+
+
+def _train(texts: DataFrame, classes: int, core: int, middle: int, hot: int, place_all: bool, scratch: Scratch) -> tuple[Model, DataFrame]:
     spark = texts.sparkSession
-    words = stage(vocabulary(texts), "vocabulary")
+    words = scratch.stage(vocabulary(texts), "vocabulary")
     docs = texts.count()
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     octave = F.floor(F.log2("n") * 16)
@@ -435,9 +445,9 @@ def train(texts: DataFrame, classes: int = CLASSES, core: int = CORE, middle: in
     core = min(core, len(listed))
     middle = min(middle, len(listed) - core)
 
-    near = contexts(texts, listed, core)
+    near = scratch.stage(contexts(texts, listed, core), "contexts")
     beside, two = near.filter("next is null"), near.filter("next is not null")
-    frequent = stage(beside.filter(F.col("id") <= len(listed)), "listed-contexts")  # few rows, read every round
+    frequent = scratch.stage(beside.filter(F.col("id") <= len(listed)), "listed-contexts")  # few rows, read every round
     alone = np.concatenate([np.arange(core), np.full(len(listed) - core, core), [core + 1, core]])
     pairs = _bigram_counts(frequent, Placing(alone, None, core), core, int(n) + docs)
     own = exchange(pairs, classes)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shiftlens.llm import bpe, brown, conv_quality, decontam, langid, licenses, quality_rules, queries
 from shiftlens.llm.common import fold_is
+from shiftlens.session import checkpoint_dir
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -316,6 +317,17 @@ def test_endings_are_looked_up_once_a_word(monkeypatch):
     assert [ids[w] for w in [b"cx", b"d", b"ax", b"hot"]] == [3, 1, 3, 0] and len(ids) == 3  # a full memory is emptied, hot words stay
 
 
+def test_training_leaves_only_the_vocabulary_with_its_classes(spark):
+    def tables():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+        return {f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+
+    before = tables()
+    _, words = brown.train(spark.createDataFrame([("a b a c",), ("b a",)], "text string"), classes=2, core=1, middle=1, hot=2, place_all=True)
+    left = tables() - before
+    assert len(left) == 1 and left.pop().startswith("classes-") and words.count() == 3
+
+
 @pytest.mark.parametrize("kind", [np.int32, np.int64])
 def test_packed_numbers_come_back(kind):
     numbers, borders = np.arange(9, dtype=kind) - 4, np.array([0, 0, 3, 3, 9])
