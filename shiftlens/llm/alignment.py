@@ -8,21 +8,28 @@ either side) and counted, not written out, since a group may be long on both sid
 
 How often a pair of ids is linked in the whole corpus is a sum over all documents. The pairs that occur most, a bounded number
 of them, are broadcast; all others meet the documents that hold them in a join.
+
+Texts are cut into chunks before their white space, where no token of either tokenizer reaches over. Every Python worker keeps
+a bounded table of the chunks it met with the ids of both, so that each is encoded once.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from array import array
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlens.llm.bpe import byte_symbols
 from shiftlens.llm.common import map_texts, stage
-from shiftlens.llm.pieces import Encoder, Table, read_model
+from shiftlens.llm.pieces import MARK, SHORT, Encoder, Model, Table, read_model
 
 #: Pairs that are broadcast at most (24 bytes each).
 COMMON = 1 << 19
@@ -30,6 +37,14 @@ COMMON = 1 << 19
 HELD_PAIRS = 1 << 20
 #: Bytes of text whose matrices are held at a time; a block ends where tokens of both end.
 BLOCK = 1 << 18
+#: Chunks in each half of a worker's table with the ids of both tokenizers, the characters up to which a chunk is kept there,
+#: and chunks in each half of its table of B's segmentation alone.
+CHUNKS, CHUNK_CHARS, PARTS = 400_000, 32, 100_000
+#: What ``\s`` is in a pattern.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Patterns whose words look at nothing before them and reach neither over white space behind anything else nor from a letter
+#: over ASCII punctuation: what stands before such a place, and the rest, are cut alike alone and together.
+APART = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
 
 
 # ---- sparse matrices ------------------------------------------------------------------------------
@@ -107,47 +122,101 @@ def read_byte_level(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     return ids, texts
 
 
+def chunk_patterns(pattern: str, neighbours: set[str]) -> tuple[re.Pattern, re.Pattern] | None:
+    """What finds the chunks of a text, and what finds a place (after its match's first character) where one ends; None for
+    a pattern that is not known to cut chunks as it cuts the text.
+
+    A chunk ends before white space that follows something else, except such as stands behind something else in a piece
+    of B (``neighbours``). No chunk ends inside a run of white space: how that is cut depends on what follows. An empty chunk ends a text."""
+    if pattern not in APART:
+        return None
+    inside = "".join(c for c in SPACES if any(p[1] == c and p[0] not in SPACES for p in neighbours))
+    front = "".join(c for c in SPACES if c not in inside)
+    more = f"(?:[{inside}][{front}]*+[^{SPACES}]*+)*+" if inside else ""
+    return re.compile(f"[{front}]*+[^{SPACES}]*+{more}"), re.compile(f"[^{SPACES}][{front}]")
+
+
 class Side:
-    """The byte lengths of a vocabulary's tokens, and each id's decimal text with what may follow it."""
+    """The byte lengths of a vocabulary's tokens, and each id's decimal text with each of the marks that may follow it."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], marks: tuple[str, ...]):
         self.size = np.array([len(t) for t in texts], np.int64)
-        self.written = [f"{i}{mark}" for i in range(len(texts)) for mark in ",|;"]
+        self.written = [f"{i}{mark}" for i in range(len(texts)) for mark in marks]
+
+
+class Chunks(Table):
+    """Distinct chunks with their ids of A and then those of B, raised by the size of A's vocabulary, as 32-bit numbers.
+
+    With ``apart``, punctuation behind a word is a chunk of its own where no piece of B reaches over the border: its ids of both follow
+    the word's ids of both."""
+
+    def __init__(self, first, encoder: Encoder, ids_a: int, apart: bool):
+        super().__init__(encoder, lambda ids: array("i", [ids_a + i for i in ids]).tobytes(), b"", CHUNKS, CHUNK_CHARS)
+        self.first, self.second, self.apart = first, Table(encoder, self.form, b"", PARTS), apart
+
+    def made(self, chunk: str) -> bytes:
+        if self.apart:
+            word = chunk.rstrip(punctuation)
+            n = len(word)
+            if 0 < n < len(chunk) and word[-1].isalpha() and chunk[n - 1:n + 1] not in self.encoder.neighbours:
+                return self[word] + self[chunk[n:]]
+        a = array("i", self.first.encode_ordinary(chunk)).tobytes()
+        marked = chunk.replace(MARK, " ")
+        if len(marked) <= SHORT:
+            return a + self.form(self.encoder.segment(marked))
+        return a + b"".join([b"".join(map(self.second.__getitem__, part)) for part in self.encoder.chunks(marked.encode())])
 
 
 class Aligner:
-    def __init__(self, pattern: str, ids_a: dict[bytes, int], texts_a: list[bytes], model_b):
+    def __init__(self, pattern: str, ids_a: dict[bytes, int], texts_a: list[bytes], model_b: Model):
         import tiktoken
 
-        self.first = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ids_a, special_tokens={})
-        self.second = Encoder(model_b)
-        self.table = Table(self.second, lambda ids: np.array(ids, np.int32).tobytes(), b"")
-        self.a, self.b = Side(texts_a), Side(model_b.texts)
-        self.ids_b = len(model_b.texts)
-        self.pieces = self.a.written + self.b.written
-
-    def tokens(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both tokenizers; none where either's bytes are not the text's with a space in front.
+        encoder = Encoder(model_b)
+        self.a, self.b = Side(texts_a, (",", "|")), Side(model_b.texts, (",", ";", ""))
+        self.ids_a, self.ids_b = len(texts_a), len(model_b.texts)
+        self.patterns = chunk_patterns(pattern, encoder.neighbours)
+        first = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ids_a, special_tokens={})
+        self.table = Chunks(first, encoder, self.ids_a, self.patterns is not None)
+        self.pieces = pa.array(self.a.written + self.b.written)
+
+    def chunks(self, text: str):
+        """The chunks of a text, in blocks of about ``BLOCK`` characters that end between two chunks."""
+        if self.patterns is None:
+            yield [text]
+            return
+        chunk, border = self.patterns
+        at = 0
+        while at < len(text):
+            cut = border.search(text, at + BLOCK)
+            end = cut.start() + 1 if cut else len(text)
+            yield chunk.findall(text, at, end)
+            at = end
+
+    def tokens(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' ids of A and those of B, and the number of each one's text; a text has none where either's bytes
+        are not the text's with a space in front.
 
         Both cut what they are given and drop nothing: A is given the text with the space, B the same with a space for every
         marker. The bytes differ where the lengths do: a marker has three bytes, its space one."""
-        none = np.empty(0, np.int64)
-        if not text:
-            return none, none
-        a = self.first.encode_to_numpy(" " + text.decode(), disallowed_special=()).astype(np.int64)
-        b = np.frombuffer(self.second.encode(text, self.table, b""), np.int32).astype(np.int64)
-        if {int(self.a.size[a].sum()), int(self.b.size[b].sum())} != {len(text) + 1}:
-            return none, none
-        return a, b
+        known, n = self.table.__getitem__, len(texts)
+        found = [b"".join([b"".join(map(known, part)) for part in self.chunks(" " + t.decode())]) if t else b"" for t in texts]
+        code = np.frombuffer(b"".join(found), np.int32)
+        doc = np.repeat(np.arange(n), [len(x) // 4 for x in found])
+        of_b = code >= self.ids_a
+        a, b, doc_a, doc_b = code[~of_b].astype(np.int64), code[of_b].astype(np.int64) - self.ids_a, doc[~of_b], doc[of_b]
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        whole = (np.bincount(doc_a, self.a.size[a], n) == size) & (np.bincount(doc_b, self.b.size[b], n) == size)
+        if not whole.all():
+            in_a, in_b = whole[doc_a], whole[doc_b]
+            a, b, doc_a, doc_b = a[in_a], b[in_b], doc_a[in_a], doc_b[in_b]
+        return a, b, doc_a, doc_b
 
     def align(self, texts: list[bytes | None]) -> dict[str, list]:
         """One entry per text and output of ``align``."""
-        ids = [self.tokens(t) for t in texts]
         n = len(texts)
-        many = [np.array([len(x[s]) for x in ids], np.int64) for s in (0, 1)]
-        a, b = (np.concatenate([x[s] for x in ids]) for s in (0, 1))
+        a, b, doc_a, doc_b = self.tokens(texts)
+        many = [np.bincount(doc, minlength=n) for doc in (doc_a, doc_b)]
         ends_a, ends_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])  # all texts in one row of bytes
-        doc_a, doc_b = (np.repeat(np.arange(n), m) for m in many)
         on_a, on_b = common_ends(ends_a, ends_b)
         common = ends_a[on_a]
         left, right = overlap_links(ends_a, ends_b, common)
@@ -165,24 +234,24 @@ class Aligner:
         shared = np.zeros(n, np.int64)
         np.add.at(shared, of, in_a * in_b)
         return {"n_a": many[0], "n_b": many[1], "n_groups": np.bincount(of, minlength=n), "n_links": links, "n_shared": shared,
-                "groups": self.written(a, b, (group_a, in_a, on_a), (group_b, in_b, on_b), doc_a, n), "pairs": np.split(pair, border[1:-1]),
+                "groups": self.written(a, b, (group_a, in_a, on_a), (group_b, in_b, on_b), *many), "pairs": np.split(pair, border[1:-1]),
                 "times": np.split(times, border[1:-1])}
 
-    def written(self, a, b, of_a, of_b, doc_a, n) -> list[str]:
+    def written(self, a, b, of_a, of_b, many_a, many_b) -> list[str]:
         """Every text's groups as ``a1,a2|b1;a3|b2,b3``: groups hold neighbours, so A's and B's tokens are merged by group.
 
-        ``of_a`` and ``of_b`` are the groups of the tokens, their numbers of tokens, and which token is a group's last."""
-        total = len(a) + len(b)
+        ``of_a`` and ``of_b`` are the groups of the tokens, their numbers of tokens, and which token is a group's last;
+        ``many_a`` and ``many_b`` are the texts' numbers of tokens."""
         (group_a, in_a, last_a), (group_b, in_b, last_b) = of_a, of_b
         place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]  # behind B's tokens of the groups before
         place_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
-        code = np.empty(total, np.int64)
-        code[place_a] = a * 3 + last_a                              # "," or, behind the group's last one, "|"
-        code[place_b] = len(self.a.written) + b * 3 + 2 * last_b    # "," or ";"
-        words = [*map(self.pieces.__getitem__, code.tolist())]
-        borders = np.searchsorted(doc_a, np.arange(n + 1))
-        ends = np.append(place_a, total)[borders]
-        return ["".join(words[x:y])[:-1] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        code = np.empty(len(a) + len(b), np.int64)
+        code[place_a] = a * 2 + last_a                              # "," or, behind the group's last one, "|"
+        of_b = len(self.a.written) + b * 3 + last_b                 # "," or ";"
+        of_b[(np.cumsum(many_b) - 1)[many_b > 0]] += 1              # nothing behind the text's last one
+        code[place_b] = of_b
+        borders = np.concatenate(([0], np.cumsum(many_a + many_b)))
+        return pc.binary_join(pa.LargeListArray.from_arrays(borders, self.pieces.take(pa.array(code))), "").to_pylist()
 
 
 FIELDS = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_shared": "bigint", "groups": "string",

@@ -77,19 +77,23 @@ def read_model(path: str) -> Model:
 class Table(dict):
     """Distinct chunks, each segmented when it is first met and stored in the form that ``form`` gives its ids.
 
-    When the table is full, its entries become the older half; those that are met again are taken over."""
+    When the table holds ``size``, its entries become the older half; those that are met again are taken over. Chunks
+    longer than ``longest`` are not kept."""
 
-    def __init__(self, encoder: Encoder, form, join: bytes):
+    def __init__(self, encoder: Encoder, form, join: bytes, size: int = TABLE, longest: int = CHUNK_BYTES):
         super().__init__()
-        self.encoder, self.form, self.join, self.older = encoder, form, join, {}
+        self.encoder, self.form, self.join, self.size, self.longest, self.older = encoder, form, join, size, longest, {}
+
+    def made(self, chunk: bytes) -> bytes:
+        parts = self.encoder.parts(chunk.decode())
+        return self.form(self.encoder.segment(parts[0])) if len(parts) == 1 else self.join.join([self[p.encode()] for p in parts])
 
     def __missing__(self, chunk: bytes):
         got = self.older.get(chunk)
         if got is None:
-            parts = self.encoder.parts(chunk.decode())
-            got = self.form(self.encoder.segment(parts[0])) if len(parts) == 1 else self.join.join([self[p.encode()] for p in parts])
-        if len(chunk) <= CHUNK_BYTES:
-            if len(self) >= TABLE:
+            got = self.made(chunk)
+        if len(chunk) <= self.longest:
+            if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = got
@@ -106,19 +110,8 @@ class Encoder:
         self.border = re.compile(rb"[^ ] ")
         self.token_text = {str(i).encode(): t for i, t in enumerate(model.texts)}
         self.neighbours = {p[i:i + 2] for p in model.pieces for i in range(len(p) - 1)}
-        # symbols are numbers: pieces by id, then the characters that only stand inside pieces
-        self.symbol = {p: i for p, (_, i) in model.pieces.items()}
-        for c in sorted(joined - set(self.symbol)):
-            self.symbol[c] = len(model.texts) + len(self.symbol)
-        self.other = 1 + max([len(model.texts), *self.symbol.values()])  # all other characters: in no pair
-        self.width = self.other + 1
-        self.cost: dict[int, float] = {}   # of joining a pair, and what it makes
-        self.made: dict[int, int] = {}
-        for p, (cost, i) in model.pieces.items():
-            for cut in range(1, len(p)):
-                x, y = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
-                if x is not None and y is not None:
-                    self.cost[x * self.width + y], self.made[x * self.width + y] = cost, i
+        self.cost = {p: cost for p, (cost, _) in model.pieces.items() if len(p) > 1}  # of joining the two parts of a piece
+        self.ids = {p: i for p, (_, i) in model.pieces.items()}
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk cut between neighbours that stand side by side in no piece: no merge reaches over them."""
@@ -129,57 +122,49 @@ class Encoder:
     def segment(self, chunk: str) -> list[int]:
         """Ids of one chunk: of all neighbours that make a piece, those of the best score are joined first, the
         leftmost first where scores are equal; characters without a piece become their bytes."""
-        part = [self.symbol.get(c, self.other) for c in chunk]
-        ids = self._merged(part) if len(part) <= SHORT else self._merged_by_queue(part)
-        limit = len(self.model.texts)
-        if max(ids) < limit:
+        part = self._merged(list(chunk)) if len(chunk) <= SHORT else self._merged_by_queue(list(chunk))
+        ids = [*map(self.ids.get, part)]
+        if None not in ids:
             return ids
-        # what is left without an id are single characters: those only inside pieces, and, in order, those in none
-        inside = {v: k for k, v in self.symbol.items() if v >= limit}
-        unknown = iter([c for c in chunk if c not in self.symbol])
-        return [x for i in ids for x in ([i] if i < limit else [self.model.bytes_[b] for b in (inside[i] if i in inside else next(unknown)).encode()])]
-
-    def _merged(self, part: list[int]) -> list[int]:
-        get, made, width = self.cost.get, self.made, self.width
-        pair = [a * width + b for a, b in zip(part, part[1:])]
-        cost = [get(p, INF) for p in pair]
+        return [x for i, p in zip(ids, part) for x in ([self.model.bytes_[b] for b in p.encode()] if i is None else [i])]
+
+    def _merged(self, part: list[str]) -> list[str]:
+        get = self.cost.get
+        cost = [get(a + b, INF) for a, b in zip(part, part[1:])]
         while cost:
             best = min(cost)
             if best == INF:
                 break
             i = cost.index(best)
-            new = part[i] = made[pair[i]]
-            del part[i + 1], cost[i], pair[i]
+            new = part[i] = part[i] + part.pop(i + 1)
+            del cost[i]
             if i < len(cost):
-                p = pair[i] = new * width + part[i + 1]
-                cost[i] = get(p, INF)
+                cost[i] = get(new + part[i + 1], INF)
             if i:
-                p = pair[i - 1] = part[i - 1] * width + new
-                cost[i - 1] = get(p, INF)
+                cost[i - 1] = get(part[i - 1] + new, INF)
         return part
 
-    def _merged_by_queue(self, part: list[int]) -> list[int]:
+    def _merged_by_queue(self, part: list[str]) -> list[str]:
         """The same in n log n steps."""
-        get, made, width = self.cost.get, self.made, self.width
-        gone, n = None, len(part)
-        part = list(part)
+        get, gone, n = self.cost.get, None, len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(get(part[i] * width + part[i + 1], INF), i, part[i] * width + part[i + 1]) for i in range(n - 1)]
+        queue = [(cost, i, p) for i, p in enumerate(map(str.__add__, part, part[1:])) if (cost := get(p)) is not None]
         heapq.heapify(queue)
-        while queue and queue[0][0] < INF:
-            _, i, pair = heapq.heappop(queue)
+        while queue:
+            _, i, new = heapq.heappop(queue)
             j = after[i]
-            if part[i] is gone or j >= n or part[i] * width + part[j] != pair:
+            if part[i] is gone or j >= n or part[i] + part[j] != new:
                 continue  # one of the two is gone or has grown
-            new = part[i] = made[pair]
+            part[i] = new
             part[j] = gone
             j, h = after[j], before[i]
             after[i] = j
             for left, right in ((i, j), (h, i)):
                 if left >= 0 and right < n:
                     before[right] = left
-                    p = part[left] * width + part[right]
-                    heapq.heappush(queue, (get(p, INF), left, p))
+                    p = part[left] + part[right]
+                    if p in self.cost:
+                        heapq.heappush(queue, (self.cost[p], left, p))
         return [p for p in part if p is not gone]
 
     def chunks(self, text: bytes):

@@ -209,3 +209,51 @@ def test_common_ends_of_two_cuts():
         a, b = (np.unique(np.append(rng.integers(1, 60, n), [60] * (n > 0))).astype(np.int64) for _ in range(2))
         on_a, on_b = alignment.common_ends(a, b)
         assert (a[on_a] == np.intersect1d(a, b)).all() and (b[on_b] == a[on_a]).all() and len(a[on_a]) == len(np.intersect1d(a, b))
+
+
+def aligner(pattern=None):
+    import public_tokenizers
+    return alignment.Aligner(pattern or public_tokenizers.PATTERN, *alignment.read_byte_level(BYTES), pieces.read_model(PIECES))
+
+
+def test_alignment_encodes_each_chunk_once(monkeypatch):
+    import tiktoken
+    given = []
+    for name in ("encode_ordinary", "encode_to_numpy"):
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, text, *a, f=getattr(tiktoken.Encoding, name), **b: given.append(text) or f(self, text, *a, **b))
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("ing", "tion", "ment", "ness")]
+    texts = [" ".join(w + mark for w in words).encode() for mark in ("", ",", ".", ";", ",") for _ in range(50)]
+    out = aligner().align(texts)
+    assert len(set(out["groups"])) == 4 and out["groups"][50] == out["groups"][200]
+    assert sum(map(len, given)) < len(texts[0]) + 99
+
+
+def test_alignment_in_chunks_equals_whole_texts(first, library):
+    rng = np.random.default_rng(11)
+    words = ["foo", "Foo's", "don't,", "12a", "über", "日本語", "🙂", "...", "'s", "́", "½", "\x00", "▁", "a,\r", "{\r", "</s>", "<|endoftext|>", "ﬁ", "_", "a_", "x" * 70]
+    spaces = ["", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r", "\r\n", "\r \n", "\x0b", "\x85", "\xa0", "\xa0 ", "　", "　  ", " \n ", " "]
+    texts = ["".join(rng.choice(words) + rng.choice(spaces) for _ in range(rng.integers(0, 14))) for _ in range(400)] + [None]
+    got = aligner().align([t if t is None else t.encode() for t in texts])
+    want = [plain_alignment(t, first, library) for t in texts]
+    assert got["groups"] == [w[2] for w in want]
+    assert got["n_links"].tolist() == [len(w[3]) for w in want] and got["n_a"].tolist() == [len(w[0]) for w in want]
+
+
+def test_alignment_by_another_pattern_takes_whole_texts():
+    import tiktoken
+    ids, _ = alignment.read_byte_level(BYTES)
+    pattern = r"\s*\S+\s*"  # words reach over white space behind them
+    whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ids, special_tokens={})
+    texts = ["one, two  three", "a\n\nb. c"]
+    got = aligner(pattern).align([t.encode() for t in texts])
+    assert got["n_a"].tolist() == [len(whole.encode_ordinary(" " + t)) for t in texts]
+
+
+def test_segments_by_list_and_by_queue(library):
+    encoder = pieces.Encoder(pieces.read_model(PIECES))
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 40), 200]:
+        chunk = " " + "".join(rng.choice([*"aeinorstldhg,.é語"], n))
+        by_list, by_queue = encoder._merged(list(chunk)), encoder._merged_by_queue(list(chunk))
+        assert by_list == by_queue and "".join(by_list) == chunk
+        assert encoder.segment(chunk) == library.encode(chunk[1:])
